@@ -1,0 +1 @@
+"""Spark-native data-preparation and benchmark-analytics engine."""
