@@ -66,7 +66,7 @@ def _encode(block: int, ids: list, flags: list, texts: list[bytes], separator: b
     return {"block": block, "ids": ids, "flags": flags, "counts": pack(np.array(counts, np.uint64)), "vocabulary": list(vocabulary), "codes": pack(codes)}
 
 
-def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None) -> DataFrame:
+def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of df as blocks. flag: an integer column expression kept per document; separator: instead of white space."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +84,7 @@ def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False
                 flags.append(f or 0)
                 texts.append(t.translate(LOWER) if lower else t)
                 size += len(t) + 16
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield out()
                     seq, ids, flags, texts, size = seq + 1, [], [], [], 0
         if ids:
@@ -118,7 +118,7 @@ def join_blocks(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, dict
 
     arrow = to_arrow_schema(blocks.sparkSession.createDataFrame([], schema).schema)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left, right):
         got = {(r["kind"], r["owner"]): r["data"] for r in right.to_pylist()}
         rows = [x for r in left.to_pylist() for x in fn(Block(r), got)]
         return pa.Table.from_pylist(rows, arrow)
@@ -136,7 +136,7 @@ def answer(asked: DataFrame, fn: Callable[[int, list[dict]], Iterator[dict]], sc
 
     arrow = to_arrow_schema(asked.sparkSession.createDataFrame([], schema).schema)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         return pa.Table.from_pylist(list(fn(key[0].as_py(), table.to_pylist())), arrow)
 
     return asked.groupBy("owner").applyInArrow(run, schema)
@@ -153,3 +153,25 @@ def by_owner(sorted_hashes: np.ndarray, owners: int) -> list[tuple[int, slice]]:
     cuts = np.flatnonzero(np.diff(own)) + 1
     edges = np.concatenate([[0], cuts, [len(own)]])
     return [(int(own[a]), slice(int(a), int(b))) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+
+
+def owners_for(blocks: DataFrame, per_owner: int = 1) -> int:
+    """Hash ranges for the questions of a table of blocks: several a shuffle partition, and at least
+    one for every per_owner blocks, so that an owner's share stays the same as the input grows."""
+    from .common import partitions
+
+    return max(3 * partitions(blocks.sparkSession), blocks.count() // per_owner)
+
+
+def bundle(*parts: bytes) -> bytes:
+    """Byte strings as one, each after its length."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unbundle(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out

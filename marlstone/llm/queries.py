@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts, warc
+from . import lm_scoring, quality_rules, substring_dedup, token_counts, warc
+from .common import crc_fold
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,7 +25,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5) != 1)
+
+
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -33,7 +43,7 @@ WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages
 ), d AS (
   SELECT page_id, octet_length(body) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS stays,
-         translate(array_to_string(list_transform(range(8), i -> to_base(('0x' || substr(h, 1 + 5 * i::INT, 5))::BIGINT, 32, 4)), ''),
+         translate(array_to_string(list_transform(range(8), lambda i: to_base(('0x' || substr(h, 1 + 5 * i::INT, 5))::BIGINT, 32, 4)), ''),
                    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
   FROM p
 )
@@ -42,3 +52,17 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id <> stays THEN stays END AS refers_to
 FROM d
 """
+
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL["op4_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM s),
+f AS (SELECT t, min(doc_id) AS least FROM x GROUP BY t HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM x JOIN f USING (t) WHERE doc_id > least),
+a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

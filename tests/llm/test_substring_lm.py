@@ -1,0 +1,123 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from corpus import documents
+from pyspark.sql import functions as F
+
+from marlstone.llm import lm_scoring, substring_dedup
+from marlstone.llm.common import crc_fold
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string"
+
+
+def kept(rows, k=13):
+    texts = [(float("inf") if i is None else i, SPACE.findall(t or "")) for i, t in rows]
+    least = {}
+    for i, w in texts:
+        for a in range(len(w) - k + 1):
+            key = tuple(w[a : a + k])
+            least[key] = min(least.get(key, i), i)
+    out = []
+    for (i, _), (n, w) in zip(rows, texts, strict=True):
+        goes = {p for a in range(len(w) - k + 1) if least[tuple(w[a : a + k])] < n for p in range(a, a + k)}
+        left = " ".join(x for p, x in enumerate(w) if p not in goes)
+        out.append((i, len(w), len(goes), hashlib.sha256(left.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 3000, 6 << 20])
+def test_substring_dedup_equals_brute_force(spark, block_bytes):
+    rows = documents(1)
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA + ", kept string, block int")
+    got = substring_dedup.substring_dedup(df, block_bytes=block_bytes).withColumn("s", F.sha2("kept", 256)).select("doc_id", "n_words", "n_removed", "s")
+    assert Counter(map(tuple, got.collect())) == kept(rows)
+
+
+def test_substring_dedup_of_nothing(spark):
+    assert substring_dedup.substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [tuple(r) for r in substring_dedup.substring_dedup(spark.createDataFrame([(1, None)], SCHEMA)).collect()] == [(1, 0, 0, "")]
+
+
+def tokens(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return [*SPACE.findall(low), "</s>"]
+
+
+def crc(i):
+    return zlib.crc32(("" if i is None else str(i)).encode())
+
+
+@pytest.mark.parametrize("block_bytes", [1, 3000, 6 << 20])
+def test_lm_counts_equal_brute_force(spark, block_bytes):
+    rows = documents(2)
+    train = [tokens(t) for i, t in rows if crc(i) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    pair = Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
+    context = Counter(a for t in train for a in ["<s>", *t[:-1]])
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, SCHEMA), crc_fold(F.col("doc_id"), 5) != 1, block_bytes=block_bytes).collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, t in rows:
+        own = tokens(t)
+        want.append((str(i), crc(i) % 5 == 1, len(own), sum(c[w] > 0 for w in own), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), 6)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
+    assert all(r.score < 0 for r in got)
+    # the same weights over plain counts give the same scores
+    by = {(str(r.doc_id), r.n_tokens): r.score for r in got}
+    w = weights_of(rows)
+    for i, t in rows[:20]:
+        own, s = tokens(t), 0.0
+        for a, b in zip(["<s>", *own], own):
+            k = 0 if not context[a] else 1 + int(math.log2(context[a]))
+            s += math.log10(w[k][0] * (pair[a, b] / context[a] if context[a] else 0) + w[k][1] * c[b] / n + w[k][2] / (v + 1))
+        assert abs(by[str(i), len(own)] - s) < 0.02 * abs(s) + 1e-6
+
+
+def weights_of(rows):
+    """Held-out weights from plain counts, without the grid."""
+    train = [tokens(t) for i, t in rows if crc(i) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    pair = Counter((a, b) for t in train for a, b in zip(["<s>", *t], t))
+    context = Counter(a for t in train for a in ["<s>", *t[:-1]])
+    seen = {}
+    for t in train:
+        cw, cp, cc = Counter(t), Counter(zip(["<s>", *t], t)), Counter(["<s>", *t[:-1]])
+        for a, b in zip(["<s>", *t], t):
+            x = context[a] - cc[a]
+            k = 0 if x <= 0 else 1 + int(math.log2(x))
+            seen.setdefault(k, []).append(((pair[a, b] - cp[a, b]) / x if x > 0 else 0, (c[b] - cw[b]) / (n - len(t)), 1 / (v + 1)))
+    out = {}
+    for k in range(64):
+        w = [1 / 3] * 3
+        for _ in range(60 if k in seen else 0):
+            sums = [0.0] * 3
+            for p in seen[k]:
+                z = sum(x * y for x, y in zip(w, p))
+                for j in range(3):
+                    sums[j] += w[j] * p[j] / z
+            w = [x / len(seen[k]) for x in sums]
+        if k not in seen:
+            w = out[k - 1] if k > 1 else [0, 0.5, 0.5]
+        w = [0 if k == 0 else w[0], w[1], max(w[2], 1e-7)]
+        out[k] = [x / sum(w) for x in w]
+    return out
+
+
+def test_lm_scores_held_out_text_better_than_the_base(spark):
+    rows = [(i, " ".join(["red fox", "blue whale", "grey owl"][(i + j) % 3] for j in range(40))) for i in range(40)]
+    got = lm_scoring.lm_scores(spark.createDataFrame(rows, SCHEMA), crc_fold(F.col("doc_id"), 5) != 1).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.score > r.base_score for r in held)
+
+
+def test_lm_without_training_rows(spark):
+    got = lm_scoring.lm_scores(spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA), F.lit(False)).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
+    assert lm_scoring.lm_scores(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
