@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, quality_rules, substring_dedup, token_counts, warc
+from . import lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
 from .common import crc_fold
 
 
@@ -34,7 +34,14 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5) != 1)
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    fold = crc_fold(F.col("doc_id"), 4)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels.where(fold != 2)))
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
 
 ORACLE_SQL: dict[str, str] = {}
 
