@@ -17,7 +17,6 @@ the key and the text are not read, so their names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,21 +29,15 @@ from .common import tokenizer_path
 KNOWN = 300_000  # pieces a worker remembers before it starts afresh: bounds memory, not results
 
 
-@lru_cache(maxsize=2)
-def _load(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 class PieceCounter:
     """Token counts of white-space pieces, remembered."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _load(path), {}
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
 
     def counts(self, pieces: list[str]) -> np.ndarray:
         if len(self.known) > KNOWN:

@@ -5,9 +5,10 @@ both also behind obfuscation (digits and signs for letters, spaced-out letters),
 words and their nearness to lexicon words, capitals, punctuation and obfuscated spellings.
 
 The classifier is fitted on at most SAMPLE_ROWS labelled rows, those whose ids hash lowest; every
-text is scored whole. A learned lexicon word stands in SUPPORT toxic rows that are not copies of
-each other (the effective number of their min-hash signatures) and PRECISION of the rows it stands
-in are toxic. Raw scores for the calibration come from trees that have not seen the row.
+text is scored whole. The learned lexicon is of stems, the first STEM letters of words: a stem begins
+words of SUPPORT toxic rows that are not copies of each other (the effective number of their min-hash
+signatures) and PRECISION of the words it begins stand in toxic rows; its weight is the logarithm of
+how much more often that is than in clean rows, and a word has the weight of its longest stem. Raw scores for the calibration come from trees that have not seen the row.
 
 Null and empty texts have all rates 0 and get the score of such a row; rows without a label are
 not learned from, several labels of one id count as the largest; without two classes the score
@@ -17,6 +18,7 @@ is the share of toxic rows, 0 without any. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 20_000
-SUPPORT, PRECISION = 20, 0.9
+SAMPLE_ROWS = 40_000
+SUPPORT, PRECISION = 12, 0.4
+STEM = range(4, 11)
 THRESHOLD = 0.3
 NEAR = 3  # words on either side that count as near
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 80, 3, 0.15, 48, 8, 1.0
@@ -58,9 +61,14 @@ def _masked_hits(tokens: list[str], lexicon: frozenset) -> int:
     return hits
 
 
-def features(texts: list[str | None], learned: frozenset) -> np.ndarray:
+def _stems(word: str) -> Iterator[str]:
+    return (word[:k] for k in reversed(STEM) if k <= len(word))
+
+
+def features(texts: list[str | None], learned: dict[str, float]) -> np.ndarray:
     lexicon = frozenset(LEXICON)
-    every = lexicon | learned | SECOND_PERSON
+    every = lexicon | SECOND_PERSON
+    heads = frozenset(w[: STEM[0]] for w in learned)
     out = np.zeros((len(texts), len(FEATURES)))
     for r, text in enumerate(texts):
         if not text:
@@ -68,10 +76,10 @@ def features(texts: list[str | None], learned: frozenset) -> np.ndarray:
         words = WORD.findall(text.lower())
         n = max(1, len(words))
         found = [(i, w) for i, w in enumerate(words) if w in every]
-        fixed = sum(w in lexicon for _, w in found)
-        own = sum(w in learned for _, w in found)
+        stems = [(i, next((learned[x] for x in _stems(w) if x in learned), 0.0)) for i, w in enumerate(words) if w[: STEM[0]] in heads]
+        fixed, own = sum(w in lexicon for _, w in found), sum(v for _, v in stems)
         second = [i for i, w in found if w in SECOND_PERSON]
-        bad = np.array([i for i, w in found if w in lexicon or w in learned])
+        bad = np.array(sorted({i for i, w in found if w in lexicon} | {i for i, v in stems if v > 3}))
         near = 0
         if len(second) and len(bad):
             at = np.searchsorted(bad, second)
@@ -168,7 +176,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    learned: frozenset
+    learned: dict
     trees: Trees | None
     knots: np.ndarray
     levels: np.ndarray
@@ -179,7 +187,7 @@ class Model:
         return np.clip(np.interp(self.trees.raw(features(texts, self.learned)), self.knots, self.levels), 0.0, 1.0)
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: frozenset) -> Model:
+def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(learned, None, np.zeros(1), np.array([float(y.mean()) if len(y) else 0.0]))
     raw = np.zeros(len(y))
@@ -199,27 +207,30 @@ def _signature(words: set[str]) -> int:
     return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0)
 
 
-def _learn_lexicon(sample: DataFrame, text: str) -> frozenset:
+def _learn_lexicon(sample: DataFrame, text: str) -> dict[str, float]:
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in _texts(batch, 0):
-                words = set(WORD.findall((t or "").lower()))
-                if words:
-                    yield pa.RecordBatch.from_pydict({"word": list(words), "signature": pa.array(np.full(len(words), _signature(words), np.uint64).view(np.int64))})
-
-    seen = sample.where("y = 1").select(text).mapInArrow(of_toxic, "word string, signature long").groupBy("word", "signature").count()
-    enough = seen.groupBy("word").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("n2")).where((F.col("n") >= SUPPORT) & (F.col("n") * F.col("n") >= SUPPORT * F.col("n2")))
-    toxic = {r.word: r.n for r in enough.collect()}  # bounded by the sample
+                words = WORD.findall((t or "").lower())
+                if stems := Counter(x for w in words for x in _stems(w)):
+                    signature = np.full(len(stems), _signature(set(words)), np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"stem": list(stems), "signature": pa.array(signature), "n": list(stems.values())})
+
+    seen = sample.where("y = 1").select(text).mapInArrow(of_toxic, "stem string, signature long, n long").groupBy("stem", "signature").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    by_stem = seen.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("docs")).alias("d2"))
+    toxic = {r.stem: r.n for r in by_stem.where((F.col("d") >= SUPPORT) & (F.col("d") * F.col("d") >= SUPPORT * F.col("d2"))).collect()}  # bounded by the sample
     if not toxic:
-        return frozenset()
+        return {}
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [w for t in _texts(batch, 0) for w in set(WORD.findall((t or "").lower())) if w in toxic]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string())})
+            stems = Counter(x for t in _texts(batch, 0) for w in WORD.findall((t or "").lower()) for x in _stems(w) if x in toxic)
+            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(stems), pa.string()), "n": pa.array(list(stems.values()), pa.int64())})
 
-    clean = {r.word: r["count"] for r in sample.where("y = 0").select(text).mapInArrow(of_clean, "word string").groupBy("word").count().collect()}
-    return frozenset(w for w, n in toxic.items() if n >= PRECISION * (n + clean.get(w, 0))) - frozenset(LEXICON)
+    clean = {r.stem: r.n for r in sample.where("y = 0").select(text).mapInArrow(of_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
+    odds = {w: (n + 0.5, clean.get(w, 0) + 0.5) for w, n in toxic.items() if n >= PRECISION * (n + clean.get(w, 0))}
+    rows = {r.y: r.words for r in sample.groupBy("y").agg(F.sum(F.octet_length(text)).alias("words")).collect()}
+    return {w: float(np.log2(a / b * rows.get(0, 0) / rows[1])) for w, (a, b) in odds.items() if a / b * rows.get(0, 0) > rows[1]}
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
