@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
 from .common import crc_fold
 
 
@@ -34,6 +34,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5) != 1)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     fold = crc_fold(F.col("doc_id"), 4)
@@ -41,7 +46,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -73,3 +78,55 @@ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FRO
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+ITEM_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op1_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {ITEM_WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {ITEM_WORDS_SQL} AS w FROM benchmark),
+bw AS (
+  SELECT item_id, array_to_string(w, ' ') AS t, len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND 9
+  UNION
+  SELECT item_id, array_to_string(w[i:i + 9], ' '), 10 FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM b WHERE len(w) >= 10)
+), dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), m AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, t)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE_SQL["op8_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM documents),
+x AS (SELECT doc_id, i, w[i:i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, t FROM x GROUP BY doc_id, t HAVING count(*) > 1),
+c AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM x JOIN r USING (doc_id, t)) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(w) AS n_words, len(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines,
+         len([x FOR x IN w IF regexp_matches(x, '\\pL')]) AS n_alphabetic,
+         len([x FOR x IN w IF list_contains({quality_rules.STOP_WORDS!r}, lower(x))]) AS n_stop,
+         len([x FOR x IN lines IF regexp_matches(x, '(\\.\\.\\.|…)\\s*$')]) AS n_ellipsis,
+         len([x FOR x IN lines IF regexp_matches(x, '^\\s*[-*•]')]) AS n_bullet
+  FROM d LEFT JOIN c USING (doc_id)
+), s AS (
+  SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+         CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE n_repeat_words::DOUBLE / n_words END AS repeat_word_ratio,
+         CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE word_chars::DOUBLE / n_words END AS mean_word_chars,
+         CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE n_symbols::DOUBLE / n_words END AS symbol_ratio,
+         CASE WHEN n_lines = 0 THEN 0.0::DOUBLE ELSE n_dup_lines::DOUBLE / n_lines END AS dup_line_ratio,
+         CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE n_alphabetic::DOUBLE / n_words END AS alphabetic_ratio,
+         CASE WHEN n_words = 0 THEN 0.0::DOUBLE ELSE n_stop::DOUBLE / n_words END AS stop_word_ratio,
+         CASE WHEN n_lines = 0 THEN 0.0::DOUBLE ELSE n_ellipsis::DOUBLE / n_lines END AS ellipsis_line_ratio,
+         CASE WHEN n_lines = 0 THEN 0.0::DOUBLE ELSE n_bullet::DOUBLE / n_lines END AS bullet_line_ratio,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM m
+)
+SELECT *, NOT base_failed AND n_words >= 50 AND repeat_word_ratio <= 0.5 AND mean_word_chars BETWEEN 2 AND 16 AND symbol_ratio <= 0.1 AND alphabetic_ratio >= 0.7
+       AND stop_word_ratio >= 0.05 AND dup_line_ratio <= 0.3 AND ellipsis_line_ratio <= 0.3 AND bullet_line_ratio <= 0.9 AS kept
+FROM s
+"""
