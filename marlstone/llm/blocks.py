@@ -12,6 +12,7 @@ frequent item therefore reaches its owner at most once a block, however often it
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pack, unpack
 
 BLOCK_BYTES = 6 << 20
-SCHEMA = "block long, ids array<bigint>, flags array<int>, counts binary, vocabulary array<binary>, codes binary"
+SCHEMA = "block long, ids array<bigint>, flags array<int>, counts binary, vocabulary binary, codes binary"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -35,16 +36,21 @@ class Block:
     def __init__(self, row: dict):
         self.block, self.ids, self.flags = row["block"], row["ids"], row["flags"]
         self.counts = unpack(row["counts"]).astype(np.int64)
-        self.vocabulary, self._codes = row["vocabulary"], row["codes"]
+        self._vocabulary, self._codes = row["vocabulary"], row["codes"]
         self.starts = np.cumsum(self.counts) - self.counts
 
+    @property
+    def vocabulary(self) -> list[bytes]:
+        return [] if self._vocabulary is None else zlib.decompress(self._vocabulary).split(b"\n")
+
     @property
     def codes(self) -> np.ndarray:
         return unpack(self._codes).astype(np.int64)
 
     def hashes(self, salt: int = 0) -> np.ndarray:
         """64-bit hash of each word in place."""
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        words = self.vocabulary
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in words), np.uint64, len(words))
         return own[self.codes] if len(own) else np.empty(0, np.uint64)
 
     def numbers(self, null: int) -> np.ndarray:
@@ -63,7 +69,8 @@ def _encode(block: int, ids: list, flags: list, texts: list[bytes], separator: b
         counts.append(len(own))
         words += own
     codes, vocabulary = pd.factorize(np.array(words, dtype=object)) if words else (np.empty(0, np.int64), [])
-    return {"block": block, "ids": ids, "flags": flags, "counts": pack(np.array(counts, np.uint64)), "vocabulary": list(vocabulary), "codes": pack(codes)}
+    joined = zlib.compress(b"\n".join(vocabulary), 1) if words else None  # no word or line holds a line feed
+    return {"block": block, "ids": ids, "flags": flags, "counts": pack(np.array(counts, np.uint64)), "vocabulary": joined, "codes": pack(codes)}
 
 
 def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -71,7 +78,7 @@ def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("counts", pa.binary()), ("vocabulary", pa.list_(pa.binary())), ("codes", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("counts", pa.binary()), ("vocabulary", pa.binary()), ("codes", pa.binary())])
         ids, flags, texts, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:

@@ -5,6 +5,7 @@ Words are maximal runs of anything but ASCII white space unless an operator says
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -39,10 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+    for df in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

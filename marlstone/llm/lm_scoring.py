@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
-from .common import materialize, mix, pack, pack_sorted, unpack, unpack_sorted
+from .common import materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted
 
 END, BEGIN = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0xB5297A4D3F84D5B5)
 GRID = 4
@@ -198,9 +198,11 @@ def lm_scores(df: DataFrame, trains: Column, key: str = "doc_id", text: str = "t
     bits = min(64, 24 + int(max(1, blocks.count()) << 20).bit_length())
     asked = map_blocks(blocks, _ask(owners, bits), ASK)
     answers = materialize(answer(asked, _total, ANSWER + ", tokens long, types long"))
+    release(df.sparkSession)
     n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("types")).first())
     replies = answers.where("block is not null").select("block", "kind", "owner", "data")
     grid = join_blocks(blocks, replies, _grid(owners, bits, n, v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(float), v)
     schema = f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    release(df.sparkSession)
     return join_blocks(blocks, replies, _score(owners, bits, n, v, weights, key), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
 from .common import crc_fold
 
 
@@ -46,7 +46,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -130,3 +134,17 @@ SELECT *, NOT base_failed AND n_words >= 50 AND repeat_word_ratio <= 0.5 AND mea
        AND stop_word_ratio >= 0.05 AND dup_line_ratio <= 0.3 AND ellipsis_line_ratio <= 0.3 AND bullet_line_ratio <= 0.9 AS kept
 FROM s
 """
+
+ORACLE_SQL["op10_jaccard_join"] = f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, array_to_string(w, ' ') AS g FROM t WHERE len(w) BETWEEN 1 AND 4
+  UNION
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r AS (SELECT x, y FROM e WHERE y < x UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)
+"""

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .blocks import ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
-from .common import NULL_ID, materialize, mix, pack, pack_sorted, unpack, unpack_sorted, window_hash
+from .common import NULL_ID, materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
 
 WINDOW = 13
 DEPTH = 4  # rows of the count-min table; each is at least twice as wide as its entries
@@ -136,8 +136,7 @@ def _remove(owners: int, k: int, key: str):
         edges = np.bincount(goes, minlength=n + k + 1)[: n + 1].astype(np.int64)
         edges[k:] -= np.bincount(goes, minlength=n + 1)[: n + 1 - k] if n + 1 > k else 0
         covered = np.cumsum(edges[:n]) > 0
-        words = np.empty(len(block.vocabulary), object)
-        words[:] = block.vocabulary
+        words = np.array([*block.vocabulary, None], object)
         codes = block.codes
         for i, a, c in zip(block.ids, block.starts, block.counts, strict=True):
             kept = ~covered[a : a + c]
@@ -151,5 +150,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     blocks = materialize(to_blocks(df, key, text, block_bytes=block_bytes))
     owners = owners_for(blocks)
     estimated = materialize(answer(map_blocks(blocks, _sketch(owners, window), ASK), _estimate))
+    release(df.sparkSession)
     decided = materialize(answer(join_blocks(blocks, estimated, _ask_exact(owners, window), ASK), _exact))
+    release(df.sparkSession)
     return join_blocks(blocks, estimated.union(decided), _remove(owners, window, key), f"{key} long, n_words long, n_removed long, kept string")
