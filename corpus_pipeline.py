@@ -1,7 +1,64 @@
-"""The corpus pipeline: not yet."""
-STAGES = []
+"""The corpus pipeline: five stages from documents to packed training bins.
+
+Every stage but the last returns the columns of documents: toxicity drops the documents it
+rejects; line dedup deletes repeated line runs (a document that loses all its lines goes, and
+n_chars follows the text); the n-gram Jaccard join keeps one document of each group, the one with
+the smallest id; benchmark decontamination drops documents with a window of a benchmark item;
+best-fit packing returns one row for each piece of each document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
+from marlstone.llm.common import SPACES, crc_fold, materialize, split_words
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_fold(F.col("doc_id"), 4) != 2)
+    return toxicity.reject(docs, toxicity.fit(docs, labels))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_dedup(docs).where("n_lines = 0 or n_removed < n_lines")
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.jaccard_components(docs)
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit(docs, F.size(split_words(F.col("text"), SPACES)), F.col("source"), F.xxhash64("text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Toxicity is a learned score and packing a sequential rule: SQL states neither.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import pack, unpack
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 SCHEMA = "block long, ids array<bigint>, flags array<int>, counts binary, vocabulary binary, codes binary"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, lm_scoring, quality_rules, substring_dedup, token_counts, toxicity, warc
-from .common import crc_fold
+from . import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
+from .common import SPACES, crc_fold, split_words
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_budget(token_counts.prefix_counts(_read(spark, sf_dir, "documents"), boundaries=False), 2048)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return packing.best_fit(docs, F.size(split_words(F.col("text"), SPACES)), F.col("source"), F.xxhash64("text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     fold = crc_fold(F.col("doc_id"), 4)
@@ -50,7 +60,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_line_dedup": op7_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -148,3 +158,23 @@ r AS (SELECT x, y FROM e WHERE y < x UNION SELECT r.x, e.y FROM r JOIN e ON e.x
 SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)
 """
+
+# the shortest runs with 10 words from and up to each line, as in the operator; a run is the text of its lines
+ORACLE_SQL["op7_line_dedup"] = """
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM raw),
+l AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l),
+n AS (
+  SELECT a.doc_id, a.i AS i, min(b.i) AS e FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.s - a.s + a.w >= 10 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(b.i) AS i, a.i AS e FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 9 AND a.i AND a.s - b.s + b.w >= 10 GROUP BY a.doc_id, a.i
+), r AS (SELECT n.doc_id, n.i, n.e, string_agg(line, chr(10) ORDER BY c.i) AS t FROM n JOIN c ON c.doc_id = n.doc_id AND c.i BETWEEN n.i AND n.e GROUP BY ALL),
+f AS (SELECT t, min(struct_pack(d := doc_id, i := i)) AS least FROM r GROUP BY t),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM r JOIN f USING (t) WHERE struct_pack(d := doc_id, i := i) > least),
+gone AS (SELECT c.doc_id, p FROM c JOIN g USING (doc_id, i)),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM l0 ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT raw.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = raw.doc_id)::BIGINT AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = raw.doc_id)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM raw LEFT JOIN k ON k.doc_id = raw.doc_id
+"""

@@ -253,21 +253,27 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return fit_rows(x[order], got["y"].to_numpy(float)[order], got["fold"].to_numpy()[order], learned)
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """key, score and predicted of every row; with carry, all columns of docs and then score and predicted (names must differ)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    kept = docs if carry else docs.select(key)
-    names = kept.columns
-    schema = StructType([*kept.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
-    arrow, n = to_arrow_schema(schema), len(names)
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, score and predicted of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                s = model.score(_texts(part, n))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema=arrow)
+                s = model.score(_texts(part, 1))
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["k", "score", "predicted"])
+
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "k long, score double, predicted int").withColumnRenamed("k", key)
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold, all columns."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield part.filter(pa.array(model.score(_texts(part, at)) < threshold))
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("_scored_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
