@@ -1,0 +1,382 @@
+import base64
+import glob
+import gzip
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from corpus import documents
+from pyspark.sql import functions as F
+
+from marlstone.llm import components, decontamination, jaccard_join, line_dedup, packing, quality_rules, token_counts, toxicity, warc
+from marlstone.llm.common import tokenizer_path
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOW = {c: c + 32 for c in range(65, 91)}
+SCHEMA = "doc_id long, text string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 7) for r in rows], SCHEMA + ", items string, n_words int")
+
+
+# ----------------------------------------------------------------- 1
+def contaminated(rows, items, k=10):
+    bench = {}
+    for i, t in items:
+        w = ITEM.findall((t or "").translate(LOW))
+        for a in range(max(1, len(w) - k + 1) if w else 0):
+            bench.setdefault(tuple(w[a : a + k]), set()).add(i)
+    lengths = {len(x) for x in bench}
+    out = []
+    for i, t in rows:
+        w, hit, found = ITEM.findall((t or "").translate(LOW)), set(), set()
+        for n in lengths:
+            for a in range(len(w) - n + 1):
+                if (x := tuple(w[a : a + n])) in bench:
+                    hit |= set(range(a, a + n))
+                    found |= {str(y) for y in bench[x] if y is not None}
+        out.append((i, len(w), len(hit), tuple(sorted(found)), bool(hit)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_equals_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    rows = documents(3)
+    rng = random.Random(3)
+    items = [(None, "never seen before by any of these documents at all, truly")]
+    for i in range(30):
+        w = SPACE.findall(rng.choice(rows)[1] or "x")
+        at, n = rng.randrange(len(w)), rng.choice([1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 25])
+        items.append((i, "-".join(w[at : at + n]).upper()))
+    items += [(50, None), (51, ""), (52, "?!"), (53, items[5][1]), (7, items[6][1])]
+    got = decontamination.decontaminate(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()) == contaminated(rows, items)
+
+
+def test_decontamination_of_nothing(spark):
+    empty, items = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.decontaminate(empty, items).count() == 0
+    got = decontamination.decontaminate(spark.createDataFrame([(1, "a b")], SCHEMA), items).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)]
+
+
+# ----------------------------------------------------------------- 2
+def naive_pack(rows, capacity):
+    rest, out = [], []
+    for i, n, s, c in rows:
+        out += [(i, p, capacity) for p in range((n or 0) // capacity)]
+        if (n or 0) % capacity:
+            rest.append((-(n % capacity), i, n // capacity, s, c))
+    bins = []
+    for minus, i, piece, s, c in sorted(rest, key=lambda x: x[:2]):
+        fit = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= -minus and (s is None or s not in b["s"]) and (c is None or c not in b["c"])]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"left": capacity, "s": set(), "c": set(), "in": []})
+        bins[k]["left"] += minus
+        bins[k]["s"].add(s)
+        bins[k]["c"].add(c)
+        bins[k]["in"].append((i, piece))
+    return {k: b["in"] for k, b in enumerate(bins)}, Counter(out)
+
+
+def test_packing_equals_naive_best_fit(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 0, 1, 7, 64, 100, 128, rng.randrange(1, 300)]), rng.choice([None, "hot", "hot", "a", "b", "c"]), rng.choice([None, 1, 1, 2, 3, *range(10, 200)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, n int, source string, cluster int")
+    got = [r for r in packing.best_fit(df, F.col("n"), F.col("source"), F.col("cluster"), capacity=128).collect()]
+    bins, full = naive_pack(rows, 128)
+    have = {}
+    for r in sorted((r for r in got if r.bin is not None and r.n_tokens < 128), key=lambda r: r.start):
+        have.setdefault(r.bin, []).append((r.doc_id, r.piece))
+    assert have == bins
+    assert Counter((r.doc_id, r.piece, r.n_tokens) for r in got if r.n_tokens == 128) == full
+    assert {r.doc_id for r in got if r.bin is None} == {i for i, n, *_ in rows if not n}
+
+
+def test_packing_in_shards_keeps_every_token_and_no_conflict(spark):
+    rng = random.Random(6)
+    rows = [(i if i % 50 else None, rng.randrange(0, 400), rng.choice(["hot", "a", "b"]), i % 7) for i in range(500)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, n int, source string, cluster int")
+    got = packing.best_fit(df, F.col("n"), F.col("source"), F.lit(None).cast("int"), capacity=128, shard_rows=100).collect()
+    assert sum(r.n_tokens for r in got) == sum(r[1] for r in rows)
+    assert len({r.shard for r in got}) > 3
+    fill = Counter()
+    for r in got:
+        fill[r.shard, r.bin] += r.n_tokens * (r.bin is not None)
+    assert max(fill.values()) <= 128
+    assert packing.best_fit(df.limit(0), F.col("n"), F.col("source"), F.col("cluster")).count() == 0
+
+
+# ----------------------------------------------------------------- 3
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(7)
+    calm = ["river", "stone", "cloud", "meadow", "paper", "window", "garden", "simple", "quiet", "letter"]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(calm) + str(i % 3) * 0 for _ in range(rng.randrange(5, 60))]
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["you idiot", "1d10t", "STUPID!!", "s t u p i d", "worthless", "zorgblatt"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab.where("doc_id % 4 <> 2"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    held = [i for i in got if i % 4 == 2]
+    right = sum(got[i].predicted == int(i % 6 == 0) for i in held)
+    assert right >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in got.values())
+    odd = spark.createDataFrame([(1, None), (1, ""), (None, "idiot " * 5000), (2, "a\x00b")], SCHEMA)
+    assert toxicity.score(odd, model).count() == 4
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()] == [0.0, 0.0]
+    one = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, one)).collect()] == [1.0, 1.0]
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs, one)).count() == 0
+
+
+def test_isotonic_levels_ascend():
+    rng = np.random.default_rng(0)
+    raw = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(-raw))).astype(float)
+    knots, levels = toxicity.isotonic(raw, y)
+    assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all() and 0 <= levels[0] and levels[-1] <= 1
+
+
+# ----------------------------------------------------------------- 5
+def test_token_counts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    odd = ["<|startoftext|> x<|endoftext|>y", "don't we'll I'M 'S", "a b ć é", "İstanbul ΣΑΣ ß ﬁ", "日本語 テスト 🎉🎉🎉", "\x00\x01\x1f", "a\u0085b c", "1234567 12,5%", "<|endoftext|", "x" * 3000]
+    rows = documents(4) + [(500 + i, t) for i, t in enumerate(odd)]
+    got = token_counts.over_budget(token_counts.prefix_counts(frame(spark, rows)), 50).collect()
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
+    assert all(r.over_limit == (r.n_tokens > 50) for r in got)
+    kept = token_counts.fit_budget(token_counts.prefix_counts(frame(spark, rows)), 20).collect()
+    assert all(r.n_tokens_kept <= 20 and (r.n_tokens_kept == r.n_tokens) == (r.n_tokens <= 20) for r in kept)
+
+
+def test_every_prefix_of_a_text():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.PieceCounter(path)
+    text = "  We'll see: Tokenization of\tprefixes, isn't it? naïve 12 <|endoftext|> end\n"
+    p = token_counts.PrefixCounts(text, counter)
+    assert [p.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert p.count(p.truncate(8)) <= 8 < p.count(len(text))
+    assert token_counts.PrefixCounts(None, counter).count(0) == 0
+
+
+# ----------------------------------------------------------------- 7
+def lines_left(rows, least):
+    seqs = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        at = [p for p, x in enumerate(lines) if SPACE.search(x)]
+        seqs.append((float("inf") if i is None else i, lines, at))
+    first = {}
+    for i, lines, at in seqs:
+        for a in range(len(at)):
+            for b in range(a + 1, len(at) + 1):
+                run = tuple(lines[p] for p in at[a:b])
+                first[run] = min(first.get(run, (i, a)), (i, a))
+    out = []
+    for (i, t), (n, lines, at) in zip(rows, seqs, strict=True):
+        gone = set()
+        for a in range(len(at)):
+            for b in range(a + 1, len(at) + 1):
+                run = tuple(lines[p] for p in at[a:b])
+                if sum(len(SPACE.findall(x)) for x in run) >= least and first[run] < (n, a):
+                    gone |= set(at[a:b])
+        out.append((i, len(at), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 1, 2, 3, 12]))) for _ in range(9)] + ["", " \t"]
+    rows = []
+    for i in range(40):
+        rows.append((i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))))
+    rows += [(100 + i, rows[rng.randrange(40)][1]) for i in range(8)] + [(200, None), (201, ""), (202, "\n\n"), (None, rows[3][1]), (203, "a\n" * 60)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA + ", n_removed int").select("text", "doc_id", "n_removed")
+    got = line_dedup.line_dedup(df, min_words=6).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in got) == lines_left(rows, 6)
+
+
+def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
+    assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = [(5, "one two three four five six seven eight nine ten")] * 2 + [(6, "one two three four five six seven eight nine ten")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.n_removed) for r in got) == {(5, 0): 2, (6, 1): 1}
+
+
+# ----------------------------------------------------------------- 8
+def test_quality_measures_equal_plain_counts(spark):
+    rows = documents(8) + [(600, "a b c a b c x"), (601, "# $ % & | < > * é\n#\n#\n # \n"), (602, "x y\nx y\n\n\nx y\nz"), (603, "the of and " * 30)]
+    got = quality_rules.quality_rules(spark.createDataFrame([(*r, True, 1.0) for r in rows], SCHEMA + ", kept boolean, n_words double")).collect()
+    want = []
+    for i, t in rows:
+        w = SPACE.findall(t or "")
+        c = Counter(tuple(w[a : a + 3]) for a in range(len(w) - 2))
+        rep = {p for a in range(len(w) - 2) if c[tuple(w[a : a + 3])] > 1 for p in range(a, a + 3)}
+        lines = [x for x in (t or "").split("\n") if SPACE.search(x)]
+        base = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        want.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(rep), base))
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == Counter(want)
+    assert not any(r.kept and r.base_failed for r in got)
+    assert quality_rules.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_quality_rules_run_no_python(spark):
+    plan = quality_rules.quality_rules(spark.createDataFrame([(1, "a")], SCHEMA))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# ----------------------------------------------------------------- 9
+def test_warc_round_trip(spark):
+    rng = random.Random(9)
+    rows = [(i, f"http://h/{i}?a=b\r\nX: y" if i % 5 else None, rng.choice([None, "", "<p>é</p>", "x" * 100_000, "\r\n\r\n", f"page {i}", "WARC/1.1\r\nContent-Length: 3\r\n\r\n"])) for i in range(80)]
+    rows.append((None, "u", "only a null id"))
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    last = {}
+    for i, _, t in rows:
+        last[t or ""] = max(last.get(t or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, t in rows:
+        data = (t or "").encode()
+        to = last[t or ""]
+        own = i is None or to == i
+        want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own else "revisit", None if own else to))
+    assert Counter(map(tuple, got)) == Counter(want)
+    small = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), least_bytes=50).collect()
+    assert {r.record_type for r in small if r.payload_bytes < 50} == {"response"}
+    assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_warc_archives_are_a_member_a_record(spark, tmp_path):
+    rows = [(i, "http://h/", f"page {i} " * i) for i in range(20)]
+    marked = warc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "page_id", "html")
+    paths = warc.write_archives(marked, f"file://{tmp_path}")
+    index = warc.normalise(paths, f"file://{tmp_path}").collect()
+    whole, members = glob.glob(f"{tmp_path}/whole/*.gz"), glob.glob(f"{tmp_path}/members/*.gz")
+    assert b"".join(gzip.open(p).read() for p in whole) == b"".join(gzip.open(p).read() for p in members)
+    for r in index:
+        with open(r.archive.removeprefix("file://"), "rb") as f:
+            f.seek(r.offset)
+            member = f.read(r.length)
+        assert zlib.decompress(member, 31).startswith(b"WARC/1.1\r\n")
+    assert len(index) == 20 and sum(os.path.getsize(p) for p in members) == sum(r.length for r in index)
+    assert sum(len(open(p).readlines()) for p in glob.glob(f"{tmp_path}/members/*.idx")) == 20
+
+
+# ----------------------------------------------------------------- 10
+def linked(rows):
+    sets = []
+    for _, t in rows:
+        w = SPACE.findall((t or "").translate(LOW))
+        sets.append({tuple(w[a : a + 5]) for a in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = find(k)
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    return Counter((i, len(sets[k]), least.get(find(k)) if sets[k] else i) for k, (i, _) in enumerate(rows))
+
+
+def near_copies(seed, n):
+    rng = random.Random(seed)
+    base = [[rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.choice([30, 60, 200]))] for _ in range(5)]
+    out = []
+    for i in range(n):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+        if rng.random() < 0.3:
+            w = w[: int(len(w) * rng.uniform(0.7, 1))]
+        out.append((i * 7 % 1009, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1, 2000, 4 << 20])
+def test_jaccard_components_equal_brute_force(spark, block_bytes):
+    rows = documents(10) + near_copies(10, 150)
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", set string, n int"), block_bytes=block_bytes)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_jaccard_without_star_rounds_is_the_same(spark, monkeypatch, stars):
+    monkeypatch.setattr(jaccard_join, "STARS", stars)
+    rows = near_copies(11, 120)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
+
+
+def test_jaccard_of_nothing(spark):
+    assert jaccard_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(2, None), (3, "")], SCHEMA)).collect()
+    assert {tuple(r) for r in got} == {(2, 0, 2), (3, 0, 3)}
+
+
+def test_components_of_long_paths(spark):
+    edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "a")]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {f"{i:03}": "000" for i in range(1, 41)} | {"y": "x"}
+
+
+# ----------------------------------------------------------------- pipeline
+def test_pipeline_stages_equal_their_rules(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", f"s{i % 3 if i else 0}", len(t)) for i, t in near_copies(12, 60) + [(2000 + k, " ".join(f"w{k}_{j}" for j in range(60))) for k in range(20)]]
+    rows.append((3000, "you idiot you stupid worthless moron " * 4, "en", "s1", 10))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, " ".join(f"w3_{j}" for j in range(20, 35)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, *_ in rows[:-1]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = [(i, t) for i, t, *_ in rows]
+    deduped = [(i, t) for (i, n, gone, t), c in lines_left(texts, line_dedup.MIN_WORDS).items() for _ in range(c) if not n or gone < n]
+    groups = linked(deduped)
+    stays = {i for (i, _, root), c in groups.items() if i == root}
+    clean = {i for (i, *_, bad), c in contaminated([r for r in deduped if r[0] in stays], [(5, " ".join(f"w3_{j}" for j in range(20, 35)))]).items() if not bad}
+    assert 2003 not in clean and {2000 + k for k in range(20) if k != 3} <= clean
+    assert {r.doc_id for r in got} == clean
+    words = {i: len(SPACE.findall(t)) for i, t in deduped}
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.n_tokens
+    assert total == {i: words[i] for i in clean}
