@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from . import corpus, evaluation, graphs, registry, samples, streams  # noqa: F401  importing registers
 
 
-def queries():
-    return {}
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Corpus preparation in miniature: de-duplicate, route listed keys, enrich, shard, count."""
+    return registry.QUERIES["corpus_preparation"](spark, folder)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
