@@ -336,12 +336,12 @@ def method_order(spark, sf):
 
 
 @query(f"""WITH {_FACTS} SELECT method, task, CASE method WHEN 'AF' THEN 'Our Model' ELSE upper(substr(method, 1, 1)) || lower(substr(method, 2)) END AS name,
-  printf('%.3f', round(mean, 3)) || ' +/- ' || printf('%.3f', round(std, 3)) AS cell FROM agg WHERE lower(method) <> 'ro'""")
+  printf('%.3f', round(round(mean, 9), 3)) || ' +/- ' || printf('%.3f', round(round(std, 9), 3)) AS cell FROM agg WHERE lower(method) <> 'ro'""")
 def result_cells(spark, sf):
     """STR-06, STR-08, FIL-11, SNK-14."""
     a = K.exclude_methods(_agg(spark, sf), ["RO"])
     name = keys.display_name(F.col("method"), {"AF": "Our Model"}, ("model_",), ("_v1",))
-    return a.select("method", "task", name.alias("name"), keys.mean_std_text(F.col("mean"), F.col("std")).alias("cell"))
+    return a.select("method", "task", name.alias("name"), keys.mean_std_text(F.round("mean", 9), F.round("std", 9)).alias("cell"))
 
 
 @query(f"WITH {_FACTS} SELECT method, seed::VARCHAR AS seed, task, 'score' AS metric, value FROM facts")
