@@ -13,6 +13,6 @@ DEFAULTS = {
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the engine's defaults; conf keys use _ for . and override them."""
+    """A session with the engine's defaults; conf keys use _ for . (as in spark_ui_enabled) and override them."""
     builder = SparkSession.builder.config(map=DEFAULTS | {k.replace("_", "."): str(v) for k, v in conf.items()})
     return (builder.master(master) if master else builder).getOrCreate()
