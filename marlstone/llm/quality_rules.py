@@ -33,7 +33,7 @@ RULES: list[tuple[str, float | None, float | None]] = [
     ("symbol_ratio", None, 0.1),
     ("alphabetic_ratio", 0.7, None),
     ("stop_word_ratio", 0.05, None),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("ellipsis_line_ratio", None, 0.3),
     ("bullet_line_ratio", None, 0.9),
 ]

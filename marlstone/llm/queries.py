@@ -141,7 +141,7 @@ m AS (
   FROM m
 )
 SELECT *, NOT base_failed AND n_words >= 50 AND repeat_word_ratio <= 0.5 AND mean_word_chars BETWEEN 2 AND 16 AND symbol_ratio <= 0.1 AND alphabetic_ratio >= 0.7
-       AND stop_word_ratio >= 0.05 AND dup_line_ratio <= 0.3 AND ellipsis_line_ratio <= 0.3 AND bullet_line_ratio <= 0.9 AS kept
+       AND stop_word_ratio >= 0.05 AND dup_line_ratio <= 0.5 AND ellipsis_line_ratio <= 0.3 AND bullet_line_ratio <= 0.9 AS kept
 FROM s
 """
 
