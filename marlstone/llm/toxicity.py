@@ -43,6 +43,8 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein d
 #: Signs that stand for letters.
 DISGUISE = str.maketrans("013457@$!|+", "oieastasilt")
 
+SIGNS = np.frombuffer(b"0123456789@$!*|+", np.uint8)
+
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W_]*[^\W\d_][\d@$!*|+]+[^\W\d_][\w@$!*|+]*|[@$!013457][^\W\d_]{3,}[\w@$!*|+]*")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
@@ -85,9 +87,11 @@ def features(texts: list[str | None], learned: dict[str, float]) -> np.ndarray:
             at = np.searchsorted(bad, second)
             gaps = [min(abs(bad[max(a - 1, 0)] - s), abs(bad[min(a, len(bad) - 1)] - s)) for a, s in zip(at, second, strict=True)]
             near = sum(g <= NEAR for g in gaps)
-        masked, spaced = MASKED.findall(text), SPACED.findall(text)
-        hidden = _masked_hits(masked, lexicon) + sum(re.sub(r"[ .\-_]", "", s.lower()) in lexicon for s in spaced)
         byte = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+        masked = MASKED.findall(text) if byte[SIGNS].any() else []
+        single = [i for i, w in enumerate(words) if len(w) == 1]
+        spaced = SPACED.findall(text) if any(b - a == 3 for a, b in zip(single, single[3:])) else []
+        hidden = _masked_hits(masked, lexicon) + sum(re.sub(r"[ .\-_]", "", s.lower()) in lexicon for s in spaced)
         size = max(1, len(text))
         capitals = byte[65:91].sum()
         signs = byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum()
