@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CAPACITY = 2048
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 SCHEMA = "doc_id long, piece int, n_tokens long, shard int, bin int, start long"
 
 
