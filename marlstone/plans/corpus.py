@@ -15,53 +15,57 @@ H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 TOXIC = "SELECT DISTINCT d.text FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1 AND d.text IS NOT NULL"
 
 
+def _documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Documents keyed by k, the digest of their text: whole texts are read but never shuffled."""
+    return table(spark, sf, "documents").select(F.md5("text").alias("k"), *columns)
+
+
 def _listed(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys to exclude: the texts of documents labelled toxic, as a held-out set would be listed."""
+    """Keys to exclude: those of documents labelled toxic, as a held-out set would be listed."""
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
-    return C.key_set(table(spark, sf, "documents", ["doc_id", "text"]).join(toxic, "doc_id"), "text")
+    return C.key_set(_documents(spark, sf, "doc_id").join(toxic, "doc_id"), "k")
 
 
 @query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents WHERE text IS NOT NULL) WHERE rn = 1")
 def dedup_exact(spark, sf):
     """WIN-01, FIL-01."""
-    return C.keep_first(table(spark, sf, "documents", ["text", "doc_id", "lang", "source"]), ["text"], ["doc_id"]).select("doc_id", "lang", "source")
+    return C.keep_first(_documents(spark, sf, "doc_id", "lang", "source"), ["k"], ["doc_id"]).select("doc_id", "lang", "source")
 
 
 @query("""SELECT md5(text) AS k, arg_min(source, md5(doc_id::VARCHAR)) AS source, arg_min(quality, md5(doc_id::VARCHAR)) AS quality
 FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY text""")
 def dedup_argmin(spark, sf):
     """AGG-01, STR-01."""
-    d = C.enrich(table(spark, sf, "documents", ["doc_id", "text", "source"]), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
-    out = C.pick_columns(d, ["text"], ["source", "quality"], F.md5(F.col("doc_id").cast("string")))
-    return out.select(F.md5("text").alias("k"), "source", "quality")
+    d = C.enrich(_documents(spark, sf, "doc_id", "source"), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
+    return C.pick_columns(d, ["k"], ["source", "quality"], F.md5(F.col("doc_id").cast("string")))
 
 
 @query("""SELECT md5(text) AS k, arg_min({'source': source, 'quality': quality}, md5(doc_id::VARCHAR)).source AS source, arg_min({'source': source, 'quality': quality}, md5(doc_id::VARCHAR)).quality AS quality
 FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY text""")
 def dedup_argmin_row(spark, sf):
     """AGG-01, row-consistent."""
-    d = C.enrich(table(spark, sf, "documents", ["doc_id", "text", "source"]), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
-    return C.pick_rows(d, ["text"], ["source", "quality"], F.md5(F.col("doc_id").cast("string"))).select(F.md5("text").alias("k"), "source", "quality")
+    d = C.enrich(_documents(spark, sf, "doc_id", "source"), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
+    return C.pick_rows(d, ["k"], ["source", "quality"], F.md5(F.col("doc_id").cast("string")))
 
 
 @query(f"SELECT doc_id, lang FROM documents ANTI JOIN ({TOXIC}) USING (text)")
 def decontaminate_drop(spark, sf):
     """JOI-01, SRC-03."""
-    return C.drop_listed(table(spark, sf, "documents", ["doc_id", "text", "lang"]), _listed(spark, sf), "text").select("doc_id", "lang")
+    return C.drop_listed(_documents(spark, sf, "doc_id", "lang"), _listed(spark, sf), "k").select("doc_id", "lang")
 
 
 @query(f"""WITH k AS ({TOXIC}), f AS (
-  SELECT doc_id, text, text IN (SELECT text FROM k) OR {H.format("text || '7'")} % 100 < 29 AS is_val FROM documents)
-SELECT doc_id, is_val, CASE WHEN is_val THEN 0 ELSE {H.format("text")} % 20 END::INTEGER AS shard_id FROM f""")
+  SELECT doc_id, text, text IN (SELECT text FROM k) OR {H.format("md5(text) || '7'")} % 100 < 29 AS is_val FROM documents)
+SELECT doc_id, is_val, CASE WHEN is_val THEN 0 ELSE {H.format("md5(text)")} % 20 END::INTEGER AS shard_id FROM f""")
 def decontaminate_route(spark, sf):
     """JOI-03, STR-02, T12, T25."""
-    return C.route(table(spark, sf, "documents", ["doc_id", "text"]), _listed(spark, sf), "text", 0.2999, 7, 20).select("doc_id", "is_val", "shard_id")
+    return C.route(_documents(spark, sf, "doc_id"), _listed(spark, sf), "k", 0.2999, 7, 20).select("doc_id", "is_val", "shard_id")
 
 
 @query(f"SELECT lang, count(*)::BIGINT AS n FROM documents WHERE text IN (SELECT text FROM ({TOXIC})) GROUP BY lang")
 def overlap_semi_count(spark, sf):
     """JOI-04."""
-    return C.only_listed(table(spark, sf, "documents", ["text", "lang"]), _listed(spark, sf), "text").groupBy("lang").agg(F.count("*").alias("n"))
+    return C.only_listed(_documents(spark, sf, "lang"), _listed(spark, sf), "k").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND lang IS NOT NULL")
@@ -92,20 +96,20 @@ def seeded_shuffle_rank(spark, sf):
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def prep_manifest(spark, sf):
     """AGG-02, AGG-03, SNK-03."""
-    d = C.enrich(table(spark, sf, "documents", ["doc_id", "text", "source"]), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
-    d = C.flag_listed(d, _listed(spark, sf), "text")
-    conditions = {"n_text": F.col("text").isNotNull(), "n_labelled": F.col("quality").isNotNull(), "n_listed": F.col("listed")}
-    return C.counts(d, conditions, {"n_distinct": "text", "n_sources": "source"})
+    d = C.enrich(_documents(spark, sf, "doc_id", "source"), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
+    d = C.flag_listed(d, _listed(spark, sf), "k")
+    conditions = {"n_text": F.col("k").isNotNull(), "n_labelled": F.col("quality").isNotNull(), "n_listed": F.col("listed")}
+    return C.counts(d, conditions, {"n_distinct": "k", "n_sources": "source"})
 
 
 @query(f"""WITH k AS ({TOXIC}), d AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY text),
-r AS (SELECT doc_id, text IN (SELECT text FROM k) OR {H.format("text || '7'")} % 100 < 10 AS is_val, ({H.format("text")} % 8)::INTEGER AS s FROM d)
+r AS (SELECT doc_id, text IN (SELECT text FROM k) OR {H.format("md5(text) || '7'")} % 100 < 10 AS is_val, ({H.format("md5(text)")} % 8)::INTEGER AS s FROM d)
 SELECT is_val, CASE WHEN is_val THEN 0 ELSE s END AS shard_id, count(*)::BIGINT AS n, count(quality)::BIGINT AS n_labelled,
   coalesce(avg(quality), 0.0)::DOUBLE AS good FROM r LEFT JOIN labels USING (doc_id) GROUP BY 1, 2""")
 def corpus_preparation(spark, sf):
     """WIN-01, JOI-02, JOI-03, PRJ-01, AGG-04, AGG-05: the whole preparation."""
-    d = C.keep_first(table(spark, sf, "documents", ["text", "doc_id"]), ["text"], ["doc_id"])
-    r = C.route(d, _listed(spark, sf), "text", 0.1, 7, 8)
+    d = C.keep_first(_documents(spark, sf, "doc_id"), ["k"], ["doc_id"])
+    r = C.route(d, _listed(spark, sf), "k", 0.1, 7, 8)
     e = C.enrich(r.select("doc_id", "is_val", "shard_id"), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
     return e.groupBy("is_val", "shard_id").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"), F.coalesce(F.avg("quality"), F.lit(0.0)).alias("good"))
 
