@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..operators import features
 from ..operators import graph as G
 from ..sources.tables import table
 from .registry import query
@@ -148,3 +149,41 @@ def electron_cap(spark, sf):
     """MTH-11: capacity by bands."""
     e = table(spark, sf, "embeddings", ["vec_id", "label"]).groupBy("label").agg(F.collect_list(F.col("vec_id") % 30).alias("z"))
     return e.select("label", numeric.electron_cap(F.col("z"), [(2, 2), (10, 8), (10**9, 18)]).cast("long").alias("cap"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate::VARCHAR AS day, [CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END] AS codes FROM lineitem""")
+def node_codes(spark, sf):
+    """GRA-08, ARR-02."""
+    li = table(spark, sf, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
+    return features.code_columns(li, {"l_returnflag": ["A", "N"], "l_linestatus": ["O"]}, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "day"])
+
+
+@query("""SELECT s_suppkey, n_name, CASE WHEN s_nationkey % 3 = 0 THEN 0.0 ELSE s_nationkey / 2.0 END::DOUBLE AS weight, CASE WHEN s_acctbal < 0 AND s_nationkey % 3 = 0 THEN -1.0 WHEN s_nationkey % 3 = 0 THEN 0.0 ELSE s_nationkey / 2.0 END::DOUBLE AS filled
+FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def node_dimensions(spark, sf):
+    """GRA-08, JOI-15, SRC-18, FIL-15."""
+    dim = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") / 2.0).alias("weight"))
+    s = features.with_dimension(table(spark, sf, "supplier"), dim, "s_nationkey", ["weight"]).join(dim.select("s_nationkey", "n_name"), "s_nationkey")
+    return s.select("s_suppkey", "n_name", "weight", features.fill_sentinel(F.col("weight"), F.col("s_acctbal") < 0, F.lit(-1.0)).alias("filled"))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn, len(text)::BIGINT AS v FROM conversations), g AS (SELECT conv_id % 4 AS shard, conv_id, count(*) AS n, list(v ORDER BY turn, v) AS v FROM c GROUP BY ALL)
+SELECT shard, list(conv_id ORDER BY conv_id) AS graphs, list_concat([0], list(cum ORDER BY conv_id)) AS node_ptr, flatten(list(v ORDER BY conv_id)) AS vals FROM (SELECT *, sum(n) OVER (PARTITION BY shard ORDER BY conv_id)::INTEGER AS cum FROM g) GROUP BY shard""")
+def csr_pack(spark, sf):
+    """GRA-09, SNK-05."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("shard"), "conv_id", "turn", F.length("text").cast("long").alias("v")).distinct()
+    return features.pack_shard(c, "shard", "conv_id", ["turn"], "v").withColumnRenamed("values", "vals")
+
+
+@query("SELECT DISTINCT conv_id % 4 AS shard, conv_id AS graph, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS node, len(text)::BIGINT AS value FROM conversations")
+def csr_round_trip(spark, sf):
+    """GRA-09: packed and unpacked."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 4).alias("shard"), "conv_id", "turn", F.length("text").cast("long").alias("v"))
+    return features.unpack_shard(features.pack_shard(c, "shard", "conv_id", ["turn"], "v"), "shard")
+
+
+@query()
+def principal_components(spark, sf):
+    """ARR-06: the sign of a component is free, so tested by its variances."""
+    p = features.principal_components(table(spark, sf, "embeddings", ["vec_id", "embedding"]), "embedding", 8)
+    return p.select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("components"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import compare as K
+from ..operators import weighting
 from ..sources.tables import table
 from ..streaming import incremental as S
 from .registry import query
@@ -62,3 +63,40 @@ def stream_windowed_counts(spark, sf):
     stream = S.file_stream(spark, f"{sf}/events.parquet")
     out = S.run_to_end(S.windowed_totals(stream, "ts", "1 day", "1 day", ["event_type"], F.col("value")))
     return out.select(F.col("w.start").cast("long").alias("start"), "event_type", "n")
+
+
+@query(f"WITH {_DAYS} SELECT task, day::VARCHAR AS day, round(1.0::DOUBLE / count(*) OVER (PARTITION BY day), 9) AS weight FROM d")
+def equal_weights(spark, sf):
+    """MTH-12, EXT-02."""
+    w = weighting.WEIGHTINGS["equal"](_days(spark, sf), "day", "task", "loss")
+    return w.select("task", F.col("day").cast("string").alias("day"), F.round("weight", 9).alias("weight"))
+
+
+_U = "(('0x' || substr(md5(day::VARCHAR || '/' || task || '/3/{}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH {_DAYS}, x AS (SELECT task, day, sqrt(-2.0::DOUBLE * ln({_U.format(0)})) * cos(6.283185307179586::DOUBLE * ({_U.format(1)})) AS x FROM d)
+SELECT task, day::VARCHAR AS day, round(exp(x) / sum(exp(x)) OVER (PARTITION BY day), 8) AS weight FROM x""")
+def random_weights(spark, sf):
+    """MTH-12, EXT-02, T24."""
+    w = weighting.random(_days(spark, sf), "day", "task", "loss", 3)
+    return w.select("task", F.col("day").cast("string").alias("day"), F.round("weight", 8).alias("weight"))
+
+
+@query(f"""WITH {_DAYS}, s AS (SELECT *, -0.5::DOUBLE + len(task) / 10.0::DOUBLE AS scale FROM d), p AS (SELECT *, 1 / (2 * exp(scale)) AS p FROM s)
+SELECT task, day::VARCHAR AS day, round(p / sum(p) OVER (PARTITION BY day), 9) AS weight, round(sum(loss * p + scale / 2) OVER (PARTITION BY day), 7) AS objective FROM p""")
+def uncertainty_weights(spark, sf):
+    """MTH-12, EXT-02."""
+    d = _days(spark, sf).withColumn("scale", -0.5 + F.length("task") / 10.0)
+    w = weighting.uncertainty(d, "day", "task", "loss")
+    return w.select("task", F.col("day").cast("string").alias("day"), F.round("weight", 9).alias("weight"), F.round("objective", 7).alias("objective"))
+
+
+@query(f"""WITH {_DAYS}, n AS (SELECT *, min(loss) OVER (PARTITION BY task ORDER BY day) AS nadir FROM d), r AS (SELECT *, ln(loss / nadir + 1e-10) AS r FROM n),
+z AS (SELECT *, (r - max(r) OVER (PARTITION BY day)) / 0.5::DOUBLE AS z FROM r)
+SELECT task, day::VARCHAR AS day, round(exp(z) / sum(exp(z)) OVER (PARTITION BY day), 8) AS weight, round(0.5::DOUBLE * ln(sum(exp(z)) OVER (PARTITION BY day)) * count(*) OVER (PARTITION BY day), 8) AS objective FROM z""")
+def chebyshev_weights(spark, sf):
+    """MTH-12, EXT-02, AGG-29."""
+    d = K.running_minimum(_days(spark, sf), "task", "day", "loss")
+    w = weighting.chebyshev(d, "day", "task", "loss", mu=0.5)
+    return w.select("task", F.col("day").cast("string").alias("day"), F.round("weight", 8).alias("weight"), F.round("objective", 8).alias("objective"))

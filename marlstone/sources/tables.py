@@ -138,3 +138,35 @@ def gaps_to(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
 def with_positions(df: DataFrame, order: Column) -> DataFrame:
     """JOI-06: a stable position column for later scatter."""
     return df.withColumn("pos", order)
+
+
+def text_records(spark: SparkSession, path: str, separator: str, name: str = "record") -> DataFrame:
+    """SRC-14: records of a text file that end with a separator line (as in structure files), blank ones left out."""
+    raw = spark.read.option("lineSep", separator + "\n").text(path)
+    return raw.select(F.regexp_replace("value", "^\\n|\\n$", "").alias(name)).where(F.length(F.trim(name)) > 0)
+
+
+def grouped_records(records: DataFrame, key: Column, record: str = "record") -> DataFrame:
+    """SRC-14, JOI-18: records by key, in a fixed order."""
+    return records.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(record)).alias("records"))
+
+
+def array_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-19: .npy files of one or two dimensions as (file, row, values)."""
+
+    def read(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                a = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+                a = a.reshape(len(a), -1)
+                for at in range(0, len(a), 4096):
+                    part = a[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], ["file", "row", "values"])
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.substring_index("path", "/", -1), "content").mapInArrow(read, "file string, row long, values array<double>")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import keys, numeric
-from marlstone.operators import batching, compare, corpus, fallible, graph, labels, metrics, ragged, significance
+from marlstone.operators import batching, compare, corpus, fallible, features, graph, labels, metrics, ragged, significance, weighting
 from marlstone.sources import sinks, tables
 
 
@@ -342,3 +342,46 @@ def test_last_shard_is_validation(spark, tmp_path):
         os.link(part, f"{tmp_path}/s/shard_{i:03}.parquet")
     train, val = tables.split_last(tables.shards(spark, f"{tmp_path}/s"))
     assert train.count() == 8 and {r.shard for r in val.collect()} == {10}
+
+
+def test_records_and_array_files(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("a\nx\n$$$$\nb\ny\n$$$$\na\nz\n$$$$\n")
+    r = tables.text_records(spark, f"{tmp_path}/s.txt", "$$$$")
+    assert rows(tables.grouped_records(r, F.substring_index("record", "\n", 1))) == [("a", ["a\nx", "a\nz"]), ("b", ["b\ny"])]
+    np.save(tmp_path / "m.npy", np.arange(6.0).reshape(3, 2))
+    assert rows(tables.array_files(spark, f"{tmp_path}/*.npy")) == [("m.npy", 0, [0.0, 1.0]), ("m.npy", 1, [2.0, 3.0]), ("m.npy", 2, [4.0, 5.0])]
+
+
+def test_registry_of_tasks(spark):
+    losses = {"gap_cation_1": "huber", "gap": "huber", "p": "beta_nll", "o": "ordinal"}
+    r = features.task_registry(spark, losses, ("beta_nll",), ("cation",))
+    assert rows(r.select("task")) == [("gap",), ("o",)]
+    with pytest.raises(ValueError):
+        features.task_registry(spark, {"x": "none"})
+    wide, each = (features.group_assays(r, "set", ["a", "b"], e) for e in (False, True))
+    assert wide.where("task = 'set'").first().n_outputs == 2 and each.where("task like 'set/%'").count() == 2
+    assert {tuple(x.tasks) for x in features.outputs_by_size(r).collect()} == {("gap",), ("o",)}
+
+
+def test_weights_of_a_step_sum_to_one(spark):
+    df = spark.createDataFrame([(s, t, float(1 + i), -0.5, 1.0) for s in (0, 1) for i, t in enumerate("abc")], "step int, task string, loss double, scale double, nadir double")
+    for name in ("equal", "random", "uncertainty", "chebyshev"):
+        w = weighting.WEIGHTINGS[name](df, "step", "task", "loss").groupBy("step").agg(F.sum("weight").alias("w")).collect()
+        assert all(r.w == pytest.approx(1) for r in w)
+    assert one(spark, weighting.ramped(F.lit(5), 11, 1.0, 0.0)) == pytest.approx(0.5) and one(spark, weighting.ramped(F.lit(0), 1, 1.0, 0.3)) == pytest.approx(0.3)
+
+
+def test_components_by_explained_share(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 5)) + rng.normal(size=(60, 5)) * 1e-6
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i int, v array<double>")
+    got = np.array([r.components for r in features.principal_components(df, "v", 0.999).orderBy("i").collect()])
+    _, s, _ = np.linalg.svd(x - x.mean(0))
+    assert got.shape == (60, 2) and np.allclose((got**2).sum(0), s[:2] ** 2, rtol=1e-6)
+    assert len(features.principal_components(df, "v", 3).first().components) == 3
+
+
+def test_complete_rows_and_sentinels(spark):
+    df = spark.createDataFrame([("a", 0.0), ("b", None), ("c", 2.0)], "k string, v double")
+    assert rows(features.complete_rows(df, ["v"], spark.createDataFrame([("a",), ("b",)], "k string"), "k")) == [("a", 0.0)]
+    assert one(spark, features.fill_sentinel(F.lit(0.0), F.lit(True), F.lit(9.0))) == 9.0 and one(spark, features.has_edges(F.array())) is False
