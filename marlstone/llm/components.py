@@ -23,19 +23,23 @@ def _large(edges: DataFrame) -> DataFrame:
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+    return down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node is either a root or the child of one root."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child")).union(edges.select("b", F.lit(0)))
+    roles = ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("low"))
+    return roles.where("n > 1 or n = 1 and low = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node but the roots; edges: a, b."""
     spark = edges.sparkSession
-    current = materialize(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct())
-    state = None
-    while True:
-        new = materialize(_small(_large(current).where("a <> b").distinct()).where("a <> b").distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b")
+    current = materialize(_small(edges).distinct())
+    while not _is_forest_of_stars(current):
+        new = materialize(_small(_large(current).distinct()).distinct())
         release(spark, current)
         current = new
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return current.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        state = now
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))

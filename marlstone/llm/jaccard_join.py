@@ -6,15 +6,20 @@ each set and the least id that links reach.
 
 Shingles are ordered by document frequency, rare first. If x and y link, then for any l their
 l-prefixes, the first |x| - ceil(0.8 |x|) + l shingles of each, share l shingles. Each document
-lengthens its prefix, from l = 1 to DEEPEST, while the estimated cost falls: the postings its prefix
-reads plus the candidates they can yield, each of which needs l matches, times the price of a
-verification. A pair is verified if it shares min(l_x, l_y) shingles of the prefixes of that depth.
-
-Equal sets are one class from the start, so copies are counted once. Before the exact join, STARS
-rounds link each class with one pivot per prefix shingle; later candidates are only pairs of
-different components, generated from the members outside the component that holds most of a
-posting. A large group of near copies therefore costs about one pair a member, and no link
-between components is lost: every remaining pair is still counted and verified.
+lengthens its prefix, from l = 1 to DEEPEST, if that lowers the estimated cost: the postings its
+prefix reads plus the price of verifying its candidates, of which there are about as many as the
+l-th largest posting is long (postings that go together are nested). A pair is verified if it shares
+min(l_x, l_y) shingles of the prefixes of that depth.
+
+Shingles that no other document has match nothing, so a pair needs enough others on both sides.
+Equal sets are one class from the start, so copies are counted once. Before the exact join, a star
+round links each class with one pivot per prefix shingle, the class with the fewest shingles of its
+own (the likely source of near copies). Later candidates are only pairs of different components,
+generated from the members outside the component that holds most of a posting, and only at the
+first prefix shingle they share. The star round also leaves each member's overlap with the pivot:
+what x and y share is at most the lesser overlap plus the lesser rest, which rules most others out.
+A large group of near copies therefore costs about one pair a member, and no link between
+components is lost: every remaining pair is still verified.
 
 Null and empty texts have empty sets and link with nothing; null ids are never a component's id
 unless all its ids are null; rows that repeat an id share its component. Only the named columns
@@ -38,7 +43,6 @@ from .components import components
 
 SHINGLE, PERCENT = 5, 80
 DEEPEST = 8
-STARS = 2
 CELL = np.uint64(24)  # frequencies are kept for the leading 40 bits
 SHORT = np.uint64(16)  # verification compares 48 bits
 MOST = 65535
@@ -99,14 +103,13 @@ def needed(n: int) -> int:
 def prefix_depth(frequency: np.ndarray, n: int) -> int:
     """The l whose prefix costs least; frequency: of all shingles in order, rare first."""
     deepest = min(DEEPEST, needed(n))
-    postings = np.cumsum(frequency - 1)
     ends = n - needed(n) + np.arange(1, deepest + 1)
-    read = postings[ends - 1].astype(float)
-    cost = read + n * read / np.arange(1, deepest + 1)  # a candidate of depth l took l postings
-    return 1 + int(np.argmin(cost))
+    read = np.cumsum(frequency - 1)[ends - 1].astype(float)
+    found = [np.sort(frequency[:e] - 1)[-depth] for depth, e in enumerate(ends, 1)]
+    return 1 + int(np.argmin(read + n * np.array(found, float)))
 
 
-SETS = "doc_id long, n long, set binary, live binary, tokens array<bigint>, levels array<int>, depth int"
+SETS = "doc_id long, n long, shared long, set binary, live binary, tokens array<bigint>, levels array<int>, depth int"
 
 
 def _sets(owners: int):
@@ -119,13 +122,14 @@ def _sets(owners: int):
         seen = set()
         for i, n, end in zip(block.ids, s.n.tolist(), ends.tolist(), strict=True):
             own = order[end - n : end]
-            row = {"doc_id": i, "n": n, "set": None, "live": None, "tokens": None, "levels": None, "depth": None}
+            row = {"doc_id": i, "n": n, "shared": None, "set": None, "live": None, "tokens": None, "levels": None, "depth": None}
             if n and (df[own] > 1).sum() >= needed(n):
                 h, f = s.hash[own], df[own]
                 up = np.sort(h)
                 row["set"] = xxhash.xxh3_128_digest(up.tobytes())
                 if row["set"] not in seen:
                     seen.add(row["set"])
+                    row["shared"] = int((f > 1).sum())
                     row["live"] = pack_sorted(np.sort(h[f > 1] >> SHORT))
                     rare = np.lexsort((h, f))
                     depth = prefix_depth(f[rare], n)
@@ -138,53 +142,72 @@ def _sets(owners: int):
     return make
 
 
-def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs a, b of class keys that link."""
+def _overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, both (shared shingles) and linked of pairs of class keys."""
     side = lambda x: classes.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("live").alias(f"live{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for r in range(batch.num_rows):
-                x, y, nx, sx, ny, sy = (c[r].as_py() for c in batch.columns)
+            count, linked = [], []
+            for nx, sx, ny, sy in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 both = len(np.intersect1d(unpack_sorted(sx), unpack_sorted(sy), assume_unique=True))
-                if 100 * both >= PERCENT * (nx + ny - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                count.append(both)
+                linked.append(100 * both >= PERCENT * (nx + ny - both))
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(count, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
     sized = pairs.join(side("b"), "b").join(side("a"), "a")
-    return sized.select("a", "b", "na", "livea", "nb", "liveb").mapInArrow(run, "a binary, b binary")
+    return sized.select("a", "b", "na", "livea", "nb", "liveb").mapInArrow(run, "a binary, b binary, both long, linked boolean")
+
+
+def _may_link(n: str, shared: str, m: str, other: str):
+    """The least overlap of sets of n and m is within what each shares with any other set."""
+    return (100 + PERCENT) * F.least(shared, other) >= PERCENT * (F.col(n) + F.col(m))
+
+
+def _contract(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with comp replaced by the root of its component."""
+    return rows.join(comps.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
 
 
-def _similar_size(x: str, y: str):
-    return (100 * F.col(x) >= PERCENT * F.col(y)) & (100 * F.col(y) >= PERCENT * F.col(x))
+def _between(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of classes as links of their components so far."""
+    known = rows.select("set", "comp").distinct()
+    a = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b")
+    return a.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
-def _in_components(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
-    if comps is None:
-        return rows.withColumn("comp", F.col("set"))
-    return rows.join(comps.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.coalesce("root", "set")).drop("root")
+def _pivots(rows: DataFrame) -> DataFrame:
+    """token, pivot (a), na, sa of the shingles that several classes have."""
+    by = F.struct((F.col("n") - F.col("shared")).alias("own"), "set", "n", "shared")
+    return rows.groupBy("token").agg(F.min(by).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", "p.set", "p.n", "p.shared").toDF("token", "a", "na", "sa")
 
 
-def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class with the pivot of each of its prefix shingles, if they are in different components."""
-    by = F.struct(F.xxhash64("set", F.lit(turn)), "set", "comp", "n")
-    pivots = rows.groupBy("token").agg(F.min(by).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "p.set", "p.comp", "p.n").toDF("token", "a", "ca", "na")
-    return rows.join(pivots, "token").where((F.col("comp") != F.col("ca")) & _similar_size("n", "na")).select("a", F.col("set").alias("b")).distinct()
+def _star_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each class with the pivots of its prefix shingles."""
+    return rows.join(pivots, "token").where((F.col("set") != F.col("a")) & _may_link("n", "shared", "na", "sa")).select("a", F.col("set").alias("b")).distinct()
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share enough prefix shingles."""
+def _cross_pairs(rows: DataFrame, classes: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
+    """The pairs of different components that share enough prefix shingles and may share enough of all."""
     held = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
-    live = rows.join(held, "token")
-    left = live.where("comp <> major").select("token", F.col("set").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("level").alias("la"), F.col("depth").alias("da"))
-    right = live.select("token", F.col("set").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("level").alias("lb"), F.col("depth").alias("db"), (F.col("comp") == F.col("major")).alias("main"))
-    once = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b")))
-    deep = F.greatest("la", "lb") <= F.least("da", "db")
-    shared = left.join(right, "token").where(once & deep & _similar_size("na", "nb"))
-    pair = shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("da", "db").alias("l"))
-    return pair.groupBy("a", "b", "l").count().where("count >= l").select("a", "b")
+    live = rows.join(held, "token").join(pivots.select("token", F.col("a").alias("pivot")), "token")
+    live = live.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "both"), ["pivot", "set"], "left")
+    is_pivot = F.col("set") == F.col("pivot")
+    near, rest = F.when(is_pivot, F.col("shared")).otherwise(F.coalesce("both", "shared")), F.when(is_pivot, 0).otherwise(F.coalesce(F.col("shared") - F.col("both"), F.col("shared")))
+    prefixes = classes.select("set", "tokens", "levels")
+    live = live.select("token", "set", "comp", "n", "shared", "depth", "major", near.alias("near"), rest.alias("rest")).join(prefixes, "set")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("set", "comp", "n", "shared", "depth", "near", "rest", "tokens", "levels")]
+    left = live.where("comp <> major").select("token", *side("a"))
+    right = live.select("token", *side("b"), (F.col("comp") == F.col("major")).alias("main"))
+    once = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("set_a") < F.col("set_b")))
+    enough = (100 + PERCENT) * (F.least("near_a", "near_b") + F.least("rest_a", "rest_b")) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    depth = F.least("depth_a", "depth_b")
+    upto = lambda x: F.slice(f"tokens_{x}", F.lit(1), F.size(F.filter(f"levels_{x}", lambda level: level <= depth)))
+    common = F.array_intersect(upto("a"), upto("b"))
+    first = (F.size(common) >= depth) & (F.get(common, F.lit(0)) == F.col("token"))
+    match = once & _may_link("n_a", "shared_a", "n_b", "shared_b") & enough & first
+    found = left.join(right.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & match)
+    return found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -197,16 +220,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", b
     sets = materialize(join_blocks(blocks, counted, _sets(owners), SETS))
     release(spark, blocks, counted)
     classes = materialize(sets.where("live is not null").drop("doc_id").dropDuplicates(["set"]))
-    rows = classes.select("set", "n", "depth", F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select("set", "n", "depth", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
-    links, comps = None, None
-    for turn in range(STARS + 1):
-        placed = materialize(_in_components(rows, comps))
-        pairs = _star_pairs(placed, turn) if turn < STARS else _cross_pairs(placed)
-        found = materialize(_verify(materialize(pairs), classes))
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        release(spark, placed)
-    ids = sets.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "set")
-    members = materialize(_in_components(ids, comps))
+    rows = materialize(classes.select("set", "n", "shared", "depth", F.explode("tokens").alias("token")))
+    pivots = materialize(_pivots(rows))
+    stars = materialize(_overlaps(_star_pairs(rows, pivots), classes))
+    comps = components(stars.where("linked"))
+    placed = materialize(_contract(rows.withColumn("comp", F.col("set")), comps))
+    release(spark, rows)
+    crossing = materialize(_overlaps(_cross_pairs(placed, classes, pivots, stars), classes))
+    joined = components(_between(crossing.where("linked"), placed))
+    ids = sets.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "set").withColumn("comp", F.col("set"))
+    ids = _contract(_contract(ids, comps), joined)
+    members = materialize(ids)
     least = members.where("set is not null").groupBy("comp").agg(F.min(key).alias("least"))
     return members.join(least, "comp", "left").select(key, "n_shingles", F.when(F.col("set").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))

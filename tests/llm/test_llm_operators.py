@@ -338,10 +338,11 @@ def test_jaccard_components_equal_brute_force(spark, block_bytes):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_jaccard_without_star_rounds_is_the_same(spark, monkeypatch, stars):
-    monkeypatch.setattr(jaccard_join, "STARS", stars)
-    rows = near_copies(11, 120)
+@pytest.mark.parametrize("deepest", [1, 8])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_jaccard_at_any_depth_is_the_same(spark, monkeypatch, deepest, seed):
+    monkeypatch.setattr(jaccard_join, "DEEPEST", deepest)
+    rows = near_copies(seed, 120)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
 
