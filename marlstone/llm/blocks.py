@@ -162,9 +162,10 @@ def by_owner(sorted_hashes: np.ndarray, owners: int) -> list[tuple[int, slice]]:
     return [(int(own[a]), slice(int(a), int(b))) for a, b in zip(edges[:-1], edges[1:]) if b > a]
 
 
-def owners_for(blocks: DataFrame, per_owner: int = 1) -> int:
-    """Hash ranges for the questions of a table of blocks: several a shuffle partition, and at least
-    one for every per_owner blocks, so that an owner's share stays the same as the input grows."""
+def owners_for(blocks: DataFrame, per_owner: int = 8) -> int:
+    """Hash ranges for the questions of a table of blocks: several a shuffle partition, and at least one
+    for every per_owner blocks, so that an owner's share stays the same as the input grows. Larger
+    inputs want larger blocks (block_bytes), which keeps many items in each block's row to an owner."""
     from .common import partitions
 
     return max(3 * partitions(blocks.sparkSession), blocks.count() // per_owner)
