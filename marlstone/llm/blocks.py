@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, unpack
+from .common import give_back, pack, unpack
 
 BLOCK_BYTES = 4 << 20
 SCHEMA = "block long, ids array<bigint>, flags array<int>, counts binary, vocabulary binary, codes binary"
@@ -96,6 +96,8 @@ def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False
                     seq, ids, flags, texts, size = seq + 1, [], [], [], 0
         if ids:
             yield out()
+        ids, flags, texts = [], [], []
+        give_back()
 
     flag = F.lit(0) if flag is None else flag
     return df.select(F.col(key).cast("long").alias("k"), flag.cast("int").alias("f"), F.col(text).cast("string").alias("t")).mapInArrow(make, SCHEMA)
@@ -113,6 +115,8 @@ def map_blocks(blocks: DataFrame, fn: Callable[[Block], Iterator[dict]], schema:
                 block = Block(batch.slice(i, 1).to_pylist()[0])
                 if rows := list(fn(block)):
                     yield pa.RecordBatch.from_pylist(rows, arrow)
+                del block, rows
+                give_back()
 
     return blocks.mapInArrow(run, schema)
 
@@ -127,8 +131,10 @@ def join_blocks(blocks: DataFrame, answers: DataFrame, fn: Callable[[Block, dict
 
     def run(left, right):
         got = {(r["kind"], r["owner"]): r["data"] for r in right.to_pylist()}
-        rows = [x for r in left.to_pylist() for x in fn(Block(r), got)]
-        return pa.Table.from_pylist(rows, arrow)
+        out = pa.Table.from_pylist([x for r in left.to_pylist() for x in fn(Block(r), got)], arrow)
+        del got
+        give_back()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
@@ -144,7 +150,9 @@ def answer(asked: DataFrame, fn: Callable[[int, list[dict]], Iterator[dict]], sc
     arrow = to_arrow_schema(asked.sparkSession.createDataFrame([], schema).schema)
 
     def run(key, table):
-        return pa.Table.from_pylist(list(fn(key[0].as_py(), table.to_pylist())), arrow)
+        out = pa.Table.from_pylist(list(fn(key[0].as_py(), table.to_pylist())), arrow)
+        give_back()
+        return out
 
     return asked.groupBy("owner").applyInArrow(run, schema)
 

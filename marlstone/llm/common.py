@@ -133,6 +133,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between stages, and what they hold adds up."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """Where the vocabulary files lie on this machine."""
     import public_tokenizers

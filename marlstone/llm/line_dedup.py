@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialize, partitions, release
+from .common import NULL_ID, give_back, materialize, partitions, release
 
 MIN_WORDS = 10
 
@@ -105,6 +105,7 @@ def _documents(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 rows.append({"i": NULL_ID if i is None else i, "t": high, "u": low, "words": sum(words), "h1": a, "h2": b, "pos": [p for p, _ in runs], "len": [n for _, n in runs]})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, arrow)
+            give_back()
 
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(read, DOCS)
 
@@ -185,6 +186,7 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines), pa.array(n_removed)], schema=arrow)
+            give_back()
 
     # a document finds its runs by id and by the hash of its text, taken again from the text itself
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 SAMPLE_ROWS = 40_000
 SUPPORT, PRECISION = 12, 0.4
 STEM = range(4, 11)
@@ -266,6 +268,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 part = batch.slice(at, 256)
                 s = model.score(_texts(part, 1))
                 yield pa.RecordBatch.from_arrays([part[0], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["k", "score", "predicted"])
+            give_back()
 
     return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "k long, score double, predicted int").withColumnRenamed("k", key)
 
@@ -279,5 +282,6 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 yield part.filter(pa.array(model.score(_texts(part, at)) < threshold))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
