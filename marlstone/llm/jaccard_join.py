@@ -228,8 +228,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", b
     release(spark, rows)
     crossing = materialize(_overlaps(_cross_pairs(placed, classes, pivots, stars), classes))
     joined = components(_between(crossing.where("linked"), placed))
-    ids = sets.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "set").withColumn("comp", F.col("set"))
-    ids = _contract(_contract(ids, comps), joined)
-    members = materialize(ids)
-    least = members.where("set is not null").groupBy("comp").agg(F.min(key).alias("least"))
-    return members.join(least, "comp", "left").select(key, "n_shingles", F.when(F.col("set").isNull(), F.col(key)).otherwise(F.col("least")).alias("component_id"))
+    ids = sets.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "set")
+    # documents without a class link with nothing: they skip the joins, where their nulls would meet in one task
+    alone = ids.where("set is null").select(key, "n_shingles", F.col(key).alias("component_id"))
+    members = ids.where("set is not null").withColumn("comp", F.col("set"))
+    members = materialize(_contract(_contract(members, comps), joined))
+    least = members.groupBy("comp").agg(F.min(key).alias("component_id"))
+    return alone.union(members.join(least, "comp").select(key, "n_shingles", "component_id"))
