@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from documents to packed training bins.
 
 Every stage but the last returns the columns of documents: toxicity drops the documents it
-rejects; line dedup deletes repeated line runs (a document that loses all its lines goes, and
-n_chars follows the text); the n-gram Jaccard join keeps one document of each group, the one with
+rejects; line dedup deletes repeated line runs, however short (a document that loses all its lines
+goes, and n_chars follows the text); the n-gram Jaccard join keeps one document of each group, the one with
 the smallest id; benchmark decontamination drops documents with a window of a benchmark item;
 best-fit packing returns one row for each piece of each document.
 """
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_dedup.line_dedup(docs).where("n_lines = 0 or n_removed < n_lines")
+    left = line_dedup.line_dedup(docs, min_words=1).where("n_lines = 0 or n_removed < n_lines")
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

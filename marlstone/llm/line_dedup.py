@@ -14,6 +14,10 @@ runs that cover it. It suffices to look at the shortest sufficient run that star
 at each line: whatever longer run repeats is covered by such runs, which then repeat as well.
 These have at most MIN_WORDS lines, so the doubling ends there.
 
+MIN_WORDS is the limit that the SQL of op7_line_dedup states; shorter repeated runs stay there.
+With min_words=1, as in the pipeline, no repeated run stays: every line of one is a repeated run
+itself, so the lines alone tell, and nothing is doubled.
+
 Copies of a whole document are one document at first. Frequent lines and runs are counted before
 they are shuffled; what is joined back to the suffixes is split by AQE where it is skewed.
 
