@@ -4,7 +4,8 @@ Every stage but the last returns the columns of documents: toxicity drops the do
 rejects; line dedup deletes repeated line runs, however short (a document that loses all its lines
 goes, and n_chars follows the text); the n-gram Jaccard join keeps one document of each group, the one with
 the smallest id; benchmark decontamination drops documents with a window of a benchmark item;
-best-fit packing returns one row for each piece of each document.
+best-fit packing returns one row for each piece of each document. Of a group of near copies the join
+has left one document, so packing needs no clusters of them.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Best-fit packing of documents into bins of CAPACITY tokens, under conflicts.
 
-A bin never holds two pieces of one source or of one cluster of duplicates. A document longer than
+A bin never holds two pieces of one source or of one cluster of duplicates; near_duplicates gives
+the clusters of near copies (five-word shingles, 0.8, as in the Jaccard join). A document longer than
 a bin is cut: its full pieces fill bins of their own, its rest is packed. Pieces are taken longest
 first (equals in order of key) and each goes to the tightest compatible bin: open bins are ordered
 by residual in a tree whose nodes hold the intersection of the source and cluster bitmaps below
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .jaccard_join import jaccard_components
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -114,6 +116,15 @@ def pack_rows(rows: list[dict], capacity: int) -> list[dict]:
     return out
 
 
+def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of df and cluster: one value for all texts that Jaccard links reach (equal texts included); null for null."""
+    keyed = df.withColumn("cluster", F.when(F.col(text).isNotNull(), F.xxhash64(text)))
+    groups = jaccard_components(keyed.select("cluster", text), "cluster", text)
+    # only texts that hang on another one are joined; the others are their own cluster
+    moved = groups.where("component_id <> cluster").groupBy("cluster").agg(F.min("component_id").alias("_root"))
+    return keyed.join(moved, "cluster", "left").withColumn("cluster", F.coalesce("_root", "cluster")).select(*[f"`{c}`" for c in df.columns if c != "cluster"], "cluster")
+
+
 def best_fit(df: DataFrame, length: Column, source: Column, cluster: Column, key: str = "doc_id", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """key, piece, n_tokens, shard, bin (unique within its shard), start (offset in the bin)."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -45,8 +45,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return packing.best_fit(docs, F.size(split_words(F.col("text"), SPACES)), F.col("source"), F.xxhash64("text"))
+    docs = packing.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("n", F.size(split_words(F.col("text"), SPACES))))
+    return packing.best_fit(docs, F.col("n"), F.col("source"), F.col("cluster"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import corpus_pipeline
 from test_llm_operators import lines_left
 
+from marlstone.llm import queries
+
 
 def test_the_pipeline_leaves_no_repeated_line_however_short(spark, tmp_path):
     nine, seven = "a line of nine words that is not long", "Licensed under the Apache License, Version 2.0."
@@ -12,3 +14,13 @@ def test_the_pipeline_leaves_no_repeated_line_however_short(spark, tmp_path):
     assert sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in left) == sorted((i, t, len(t)) for i, n, gone, t in lines_left(rows, 1) if not n or gone < n)
     kept = [x for r in left for x in (r.text or "").split("\n")]
     assert all(kept.count(x) == 1 for x in (nine, seven, "Les."))
+
+
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    base = [[f"w{k}_{j}" for j in range(100)] for k in range(5)]
+    rows = [(20 * k + i, " ".join([*base[k][:i], "changed", *base[k][i + 1 :]]) if i < 2 else " ".join(base[k]), f"s{i}") for k in range(5) for i in range(4)] + [(200, None, "s9"), (201, "", "s9")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_packing(spark, str(tmp_path)).collect()
+    placed = [(r.shard, r.bin, r.doc_id // 20) for r in got if r.bin is not None]
+    assert len(placed) == 20 == len(set(placed))
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, len((t or "").split())) for i, t, _ in rows)
