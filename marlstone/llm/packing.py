@@ -12,6 +12,9 @@ Documents are dealt by hash over shards of about SHARD_ROWS rows, whatever their
 cluster, and shards are packed independently: at sf0.1 three shards take 1% more bins than one
 packer, and a hot source or cluster is spread evenly.
 
+The query and the pipeline count white-space words: n_tokens is words there, so their bins of
+CAPACITY do not fit a context of 2,048 model tokens.
+
 Null and empty lengths have no piece: they get one row without a bin. A null source or cluster
 conflicts with nothing. Rows that repeat are packed row by row. Only the named columns are read.
 """
