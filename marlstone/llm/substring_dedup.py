@@ -3,8 +3,9 @@
 A window is WINDOW consecutive words of one document; the earlier document is the one with the
 smaller id. Windows are judged on the input, not on what is left. Three passes over token blocks:
 
-1. Each block sends a sparse count-min sketch of its distinct windows to the owners of the hash
-   ranges, which merge the partial sketches into DEPTH rows of counters. The estimate never falls
+1. Each block sends the list of its distinct windows, 40 bits of hash each, to the owners of the
+   hash ranges, which count the lists into DEPTH rows of count-min counters: lists stand in for
+   sketches of partitions, so counters fit what an owner gets. The estimate never falls
    below the number of blocks that hold the window, so no repeated window is lost; a block flags
    the windows estimated in two blocks or seen by itself in two documents.
 2. Only flagged windows are sent with 128 bits of hash and the smallest id in the block, grouped
