@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.over_budget(token_counts.prefix_counts(_read(spark, sf_dir, "documents"), boundaries=False), 2048)
+    return token_counts.fit_budget(token_counts.prefix_counts(_read(spark, sf_dir, "documents")), 2048)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

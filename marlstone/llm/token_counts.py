@@ -1,83 +1,245 @@
 """Token counts: the exact number of tokens at every prefix of a text, from which truncation
 and budget questions are answered without encoding again.
 
-Tokens never cross ASCII white space in the tokenizers served here (their pre-tokenizer drops
-or isolates it), so the count of a text is a sum over its white-space pieces, and the dynamic
-program over prefixes is
+The store of a text holds one signed byte a character: by how much the count grows (or falls: "th" may
+be two tokens and "the" one) when the prefix takes that character in. A running sum gives
+count(text[:i]) for every i, so totals, the longest prefix within a budget and the count of any
+prefix need no tokenizer.
 
-    count(text[:i]) = count at the last piece boundary before i + count(piece[:i - boundary])
+Tokens never cross ASCII white space or the end of an ASCII digit in the tokenizer served here, so a
+text is cut there into pieces, and the counts of a prefix are those of the whole pieces before it plus
+those inside its last piece. Inside a piece the counts come from a dynamic program over prefixes of its
+pre-tokens. A byte-pair encoding of s[:i] ends in one token t, and what is before t is the encoding
+of s[:i - |t|]; t is the only token that ends there and is compatible with the last token of that shorter
+prefix, that is, the pair of them encodes to itself. So
 
-Boundary counts are a running sum; each distinct piece is encoded once a batch and once more
-for a prefix that ends inside it.
+    last[i]  = the compatible token that ends at i
+    count[i] = count[i - |last[i]|] + 1
 
-Null and empty texts have no tokens; repeated rows are counted row by row; columns besides
-the key and the text are not read, so their names cannot clash.
+with a second count for tokens that carry the end-of-word mark, which is how a prefix ends. Compatible pairs
+and distinct pieces are remembered.
+
+The rows of all words seen form a trie, so words that begin alike share them. Where the normaliser changes
+the number of characters, or where a piece holds the name of a special token, the library encodes every prefix
+of that piece while the store is built. Tokenizer files of another form (byte-pair merges over byte-level
+words without white space) are refused.
+
+Null and empty texts have no tokens and an empty store; repeated rows are counted row by row; columns
+besides the key and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import give_back, tokenizer_path
+
+KNOWN = 500_000  # pieces, pairs and trie rows a worker remembers before it starts afresh: bounds memory, not results
+PIECE = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D0-9]+[0-9]?|[0-9]")
+BATCH_CHARS = 1 << 20  # characters handed to the library at once
+
+
+class Words:
+    """The dynamic program over the prefixes of words, kept as a trie: words that begin alike share its rows.
+
+    A row is [last token, tokens so far, tokens if the word ended here]; the third is found when it is asked for."""
+
+    def __init__(self, vocabulary: dict, merges: list, end: str):
+        self.end = end
+        self.longest = max(map(len, vocabulary))
+        self.rank = {(a, b): k for k, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in merges)}
+        self.made = {a + b: (a, b, k) for (a, b), k in self.rank.items()}
+        if len(self.made) != len(self.rank):
+            raise ValueError("prefix counts need one merge for each token")
+        whole = {t for t in vocabulary if self._whole(t)}
+        self.inner = frozenset(whole)
+        self.closing = frozenset(t[: -len(end)] for t in whole if t.endswith(end)) if end else self.inner
+        self.rows: dict[str, list] = {}
+        self.known: dict[str, list[int]] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.inside: dict[tuple[str, str], bool] = {}
+        self.at_end: dict[tuple[str, str], bool] = {}
+
+    def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """What stands at an edge of token (0: left, 1: right) while it is merged, each with the rank of the merge that takes it up."""
+        if (spine := self.edges[side].get(token)) is None:
+            spine, x, until = [], token, float("inf")
+            while x is not None:
+                spine.append((x, until))
+                x, until = (self.made[x][side], self.made[x][2]) if x in self.made else (None, 0)
+            self.edges[side][token] = spine
+        return spine
+
+    def _apart(self, before: str, token: str) -> bool:
+        """No merge across the border of the two comes to its turn; of equal ranks the left one does."""
+        for x, until_x in self._edge(before, 1):
+            for y, until_y in self._edge(token, 0):
+                r = self.rank.get((x, y))
+                if r is not None and r < until_x and r <= until_y:
+                    return False
+        return True
 
-KNOWN = 300_000  # pieces a worker remembers before it starts afresh: bounds memory, not results
+    def _whole(self, token: str) -> bool:
+        """Merging the token's symbols gives the token."""
+        self.edges = ({}, {})
+        todo = [token]
+        while todo:
+            if made := self.made.get(todo.pop()):
+                a, b, rank = made
+                for x, until_x in self._edge(a, 1):
+                    for y, until_y in self._edge(b, 0):
+                        r = self.rank.get((x, y))
+                        if r is not None and r < rank and r < until_x and r <= until_y:
+                            return False
+                todo += [a, b]
+        return True
+
+    def rows_of(self, word: str) -> list[list]:
+        """The rows of word[:0], word[:1], ..."""
+        path, rows, inner, inside = [["", 0, 0]], self.rows, self.inner, self.inside
+        for i in range(1, len(word) + 1):
+            prefix = word[:i]
+            if (row := rows.get(prefix)) is None:
+                row = ["", -1, None]
+                for k in range(max(0, i - self.longest), i):
+                    t = prefix[k:]
+                    if t in inner and (before := path[k])[1] >= 0:
+                        pair = (before[0], t)
+                        if (fits := inside.get(pair)) is None:
+                            fits = inside[pair] = not k or self._apart(*pair)
+                        if fits:
+                            row = [t, before[1] + 1, None]
+                            break
+                rows[prefix] = row
+            path.append(row)
+        return path
+
+    def counts(self, word: str, wanted: Iterator[int]) -> list[int]:
+        """Tokens of word[:i], ended as a word, for i in wanted."""
+        path, out = self.rows_of(word), []
+        for i in wanted:
+            row = path[i]
+            if row[2] is None:
+                for k in range(max(0, i - self.longest), i):
+                    t = word[k:i]
+                    if t in self.closing and (before := path[k])[1] >= 0:
+                        pair = (before[0], t)
+                        if (fits := self.at_end.get(pair)) is None:
+                            fits = self.at_end[pair] = not k or self._apart(before[0], t + self.end)
+                        if fits:
+                            row[2] = before[1] + 1
+                            break
+                else:
+                    raise ValueError(f"no token ends {word[:i]!r}")
+            out.append(row[2])
+        return out
+
+    def forget(self) -> None:
+        for held in (self.rows, self.known, self.inside, self.at_end):
+            if len(held) > KNOWN:
+                held.clear()
 
 
 class PieceCounter:
-    """Token counts of white-space pieces, remembered."""
+    """Growth of the count at each character of pieces, remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split = spec["model"], json.dumps(spec["pre_tokenizer"])
+        if model["type"] != "BPE" or model.get("ignore_merges") or "ByteLevel" not in split or '"Removed"' not in split:
+            raise ValueError(f"{path}: prefix counts need byte-pair merges over byte-level words without white space")
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.normal, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.words = Words(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.known: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def counts(self, pieces: list[str]) -> np.ndarray:
-        if len(self.known) > KNOWN:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, (len(e) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+    def _program(self, piece: str) -> list[int] | None:
+        """Tokens of piece[:1], piece[:2], ...; None if its characters are not those of its normal form."""
+        plain = self.normal(piece)
+        if len(plain) != len(piece) or not (piece.isascii() or unicodedata.is_normalized("NFC", piece)) or any(s in piece for s in self.special):
+            return None
+        counts, done, at, known = [], 0, 0, self.words.known
+        for token, (begin, end) in self.split(plain):
+            if begin > at:
+                counts += [done] * (begin - at)
+            if (own := known.get(token)) is None:
+                own = known[token] = self._word(token, plain[begin:end])
+            counts += [done + n for n in own] if done else own
+            done, at = counts[-1], end
+        return counts + [done] * (len(plain) - at)
 
+    def _word(self, token: str, chars: str) -> list[int]:
+        """Tokens of each prefix of a pre-token; token: chars in byte-level symbols."""
+        if len(chars) > 1 and chars[0] == "'" and chars[-1].isalpha():  # cut short, a contraction is two words
+            mark = self.words.counts("'", (1,))[0]
+            return [mark, *(mark + n for n in self.words.counts(token[1:], range(1, len(token) - 1))), *self.words.counts(token, (len(token),))]
+        if len(token) == len(chars):
+            return self.words.counts(token, range(1, len(token) + 1))
+        return self.words.counts(token, accumulate(len(c.encode()) for c in chars))
 
-class PrefixCounts:
-    """One text: ends[j] is the character offset after piece j, at[j] the tokens up to there."""
+    def growth(self, piece: str) -> bytes:
+        if piece[0] in " \t\n\r\x0b\x0c":
+            return bytes(len(piece))
+        counts = self._program(piece)
+        if counts is None:
+            counts = self.library_prefixes(piece)
+        return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
-    def __init__(self, text: str | None, counter: PieceCounter):
-        import re
+    def library_prefixes(self, piece: str) -> list[int]:
+        """As the library encodes each prefix, some at a time."""
+        out, step = [], max(1, BATCH_CHARS // len(piece))
+        for at in range(0, len(piece), step):
+            out += self.library([piece[: i + 1] for i in range(at, min(at + step, len(piece)))])
+        return out
 
-        self.text, self.counter = text or "", counter
-        found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", self.text)]
-        self.begins, self.ends = [a for a, _ in found], [b for _, b in found]
-        self.at = np.cumsum(counter.counts([self.text[a:b] for a, b in found])) if found else np.empty(0, np.int64)
+    def store(self, text: str) -> bytes:
+        """One signed byte a character."""
+        pieces, known = PIECE.findall(text), self.known
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            pass
+        if len(known) > KNOWN:
+            known.clear()
+        for p in pieces:
+            if p not in known:
+                known[p] = self.growth(p)
+        self.words.forget()
+        return b"".join(map(known.__getitem__, pieces))
 
-    def count(self, i: int) -> int:
-        """Tokens of text[:i]."""
-        j = int(np.searchsorted(self.ends, i, "right"))
-        whole = int(self.at[j - 1]) if j else 0
-        if j < len(self.ends) and self.begins[j] < i:
-            whole += int(self.counter.counts([self.text[self.begins[j] : i]])[0])
-        return whole
 
-    def truncate(self, budget: int) -> int:
-        """Offset after the last whole piece within budget tokens."""
-        j = int(np.searchsorted(self.at, budget, "right"))
-        return self.ends[j - 1] if j else 0
+def running(store: bytes) -> np.ndarray:
+    """count(text[:i]) for i = 0, 1, ..."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(store, np.int8), dtype=np.int64)])
 
 
-def prefix_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, boundaries: bool = True) -> DataFrame:
-    """key, n_bytes, n_tokens and, if boundaries, prefix_tokens array<int>: the running count after each white-space piece."""
+def longest_within(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most budget tokens; counts as of running."""
+    return len(counts) - 1 - int(np.argmax(counts[::-1] <= budget))
+
+
+def prefix_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """key, n_bytes and prefix_growth, the store: binary, one signed byte a character."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())] + [("prefix_tokens", pa.list_(pa.int32()))] * boundaries)
+    schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("prefix_growth", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -85,36 +247,36 @@ def prefix_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = PieceCounter(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                pieces, sizes = [], []
-                for t in batch[1].cast(pa.binary()):
-                    own = (t.as_py() or b"").split()
-                    pieces += own
-                    sizes.append(len(own))
-                running = np.zeros(len(pieces) + 1, np.int64)
-                if pieces:
-                    codes, distinct = pd.factorize(np.array(pieces, dtype=object))
-                    running[1:] = np.cumsum(counter.counts([p.decode("utf-8", "replace") for p in distinct])[codes])
-                ends = np.cumsum([0, *sizes])
-                base = running[ends[:-1]]
-                columns = [batch[0], batch[2], pa.array(running[ends[1:]] - base)]
-                if boundaries:
-                    each = (running[1:] - np.repeat(base, sizes)).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each)))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            texts = whole[1].cast(pa.binary())
+            stores, size, start = [], 0, 0
+            for k in range(whole.num_rows):
+                stores.append(counter.store((texts[k].as_py() or b"").decode("utf-8", "replace")))
+                size += len(stores[-1])
+                if size > 4 * BATCH_CHARS or k + 1 == whole.num_rows:
+                    part = whole.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([part[0], part[2], pa.array(stores, pa.binary())], schema=schema)
+                    stores, size, start = [], 0, k + 1
+        give_back()
 
     text = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = "k long, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * boundaries
-    return df.select(F.col(key).cast("long").alias("k"), text.alias("t"), F.octet_length(text).cast("long").alias("b")).mapInArrow(count, out).withColumnRenamed("k", key)
+    rows = df.select(F.col(key).cast("long").alias("k"), text.alias("t"), F.octet_length(text).cast("long").alias("b"))
+    return rows.mapInArrow(count, "k long, n_bytes long, prefix_growth binary").withColumnRenamed("k", key)
 
 
-def over_budget(counts: DataFrame, limit: int) -> DataFrame:
-    """Adds over_limit: more than limit tokens."""
-    return counts.withColumn("over_limit", F.col("n_tokens") > limit)
+def fit_budget(counts: DataFrame, budget: int) -> DataFrame:
+    """counts without its store, with n_tokens, over_limit (n_tokens > budget), truncate_at (characters of the
+    longest prefix of at most budget tokens) and n_tokens_kept (its tokens), all from the stored counts."""
+    names = [c for c in counts.columns if c != "prefix_growth"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields if f.name in names) + ", n_tokens long, over_limit boolean, truncate_at long, n_tokens_kept long"
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for store in batch.column("prefix_growth"):
+                n = running(store.as_py() or b"")
+                within = longest_within(n, budget)
+                rows.append((int(n[-1]), bool(n[-1] > budget), within, int(n[within])))
+            columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, "n_tokens", "over_limit", "truncate_at", "n_tokens_kept"])
 
-def fit_budget(counts: DataFrame, budget: int) -> DataFrame:
-    """Adds n_pieces_kept and n_tokens_kept: the longest prefix of whole pieces within budget, from the stored counts."""
-    kept = F.filter("prefix_tokens", lambda c: c <= budget)
-    return counts.withColumn("n_pieces_kept", F.size(kept)).withColumn("n_tokens_kept", F.coalesce(F.array_max(kept), F.lit(0)))
+    return counts.mapInArrow(answer, schema)

@@ -167,24 +167,44 @@ def test_token_counts_equal_the_library(spark):
     library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     odd = ["<|startoftext|> x<|endoftext|>y", "don't we'll I'M 'S", "a b ć é", "İstanbul ΣΑΣ ß ﬁ", "日本語 テスト 🎉🎉🎉", "\x00\x01\x1f", "a\u0085b c", "1234567 12,5%", "<|endoftext|", "x" * 3000]
     rows = documents(4) + [(500 + i, t) for i, t in enumerate(odd)]
-    got = token_counts.over_budget(token_counts.prefix_counts(frame(spark, rows)), 50).collect()
+    store = token_counts.prefix_counts(frame(spark, rows))
+    got = token_counts.fit_budget(store, 50).collect()
     want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 50) for r in got)
-    kept = token_counts.fit_budget(token_counts.prefix_counts(frame(spark, rows)), 20).collect()
-    assert all(r.n_tokens_kept <= 20 and (r.n_tokens_kept == r.n_tokens) == (r.n_tokens <= 20) for r in kept)
+    length = {(r.doc_id, r.n_bytes): len(r.prefix_growth) for r in store.collect()}
+    for r in got:
+        assert r.n_tokens_kept <= 50 and (r.truncate_at == length[r.doc_id, r.n_bytes]) == (r.n_tokens <= 50)
+    assert token_counts.fit_budget(token_counts.prefix_counts(frame(spark, [])), 5).count() == 0
+
+
+ODD = ["  We'll see: Tokenization of\tprefixes, isn't it? naïve 12 <|endoftext|> end\n", "don't we'LL I'M 'S 'rest !'s ''ve 'l", "a b ć é", "İstanbul ΣΑΣ ß ﬁ", "日本語テスト 🎉🎉🎉", "\x00\x01\x1f", "a\u0085b\u3000c", "1234567 12,5%", "<|endoftext|", "x" * 300, "e\u0301a\u0300 x\u0338≠", "\u1100\u1161\u11a8각", "ǅ Ǆ ẞ", "\u212a \u212b Å", "aaaa aaaaaaa lll lllll ....... !!!!!!", "", None]
 
 
-def test_every_prefix_of_a_text():
+def test_every_prefix_of_every_text(spark):
+    """The store is built, the tokenizer is gone, and each prefix has the library's count."""
+    import pyarrow.parquet as pq
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    library, counter = Tokenizer.from_file(path), token_counts.PieceCounter(path)
-    text = "  We'll see: Tokenization of\tprefixes, isn't it? naïve 12 <|endoftext|> end\n"
-    p = token_counts.PrefixCounts(text, counter)
-    assert [p.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-    assert p.count(p.truncate(8)) <= 8 < p.count(len(text))
-    assert token_counts.PrefixCounts(None, counter).count(0) == 0
+    library = Tokenizer.from_file(path)
+    texts = ODD + [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if len(t or "") < 1500]
+    counter = token_counts.PieceCounter(path)
+    stores = [counter.store(t or "") for t in texts]
+    del counter
+    for t, store in zip(texts, stores, strict=True):
+        want = [len(e) for e in library.encode_batch_fast([(t or "")[:i] for i in range(len(t or "") + 1)], add_special_tokens=False)]
+        got = token_counts.running(store).tolist()
+        assert got == want
+        for budget in (0, 3, 40):
+            rows = [i for i, n in enumerate(want) if n <= budget]
+            n = token_counts.running(store)
+            assert rows[-1] == token_counts.longest_within(n, budget)
+
+
+def test_other_tokenizer_forms_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.PieceCounter(tokenizer_path("byte_bpe_50k.json"))
 
 
 # ----------------------------------------------------------------- 7
