@@ -6,8 +6,8 @@ be two tokens and "the" one) when the prefix takes that character in. A running
 count(text[:i]) for every i, so totals, the longest prefix within a budget and the count of any
 prefix need no tokenizer.
 
-Tokens never cross ASCII white space or the end of an ASCII digit in the tokenizer served here, so a
-text is cut there into pieces, and the counts of a prefix are those of the whole pieces before it plus
+Tokens never cross ASCII white space, the end of an ASCII digit or the border of a run of Latin letters in the tokenizer
+served here (but for contractions, which are left whole), so a text is cut there into pieces, and the counts of a prefix are those of the whole pieces before it plus
 those inside its last piece. Inside a piece the counts come from a dynamic program over prefixes of its
 pre-tokens. A byte-pair encoding of s[:i] ends in one token t, and what is before t is the encoding
 of s[:i - |t|]; t is the only token that ends there and is compatible with the last token of that shorter
@@ -19,10 +19,10 @@ prefix, that is, the pair of them encodes to itself. So
 with a second count for tokens that carry the end-of-word mark, which is how a prefix ends. Compatible pairs
 and distinct pieces are remembered.
 
-The rows of all words seen form a trie, so words that begin alike share them. Where the normaliser changes
+New words are taken in order, so that words that begin alike share rows. Where the normaliser changes
 the number of characters, or where a piece holds the name of a special token, the library encodes every prefix
-of that piece while the store is built. Tokenizer files of another form (byte-pair merges over byte-level
-words without white space) are refused.
+of that piece while the store is built. The cuts fit one normaliser and pre-tokenizer (NFC, lower case, words of
+letters, single digits, runs of signs); tokenizer files with others are refused.
 
 Null and empty texts have no tokens and an empty store; repeated rows are counted row by row; columns
 besides the key and the text are not read, so their names cannot clash.
@@ -43,15 +43,22 @@ from pyspark.sql import functions as F
 
 from .common import give_back, tokenizer_path
 
-KNOWN = 500_000  # pieces, pairs and trie rows a worker remembers before it starts afresh: bounds memory, not results
-PIECE = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D0-9]+[0-9]?|[0-9]")
+KNOWN, PAIRS = 500_000, 300_000  # pieces in a generation, and pairs, that a worker remembers: bounds memory, not results
+COARSE = re.compile(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D0-9]+[0-9]?|[0-9]")
+#: White space; Latin words; signs before a word or white space; anything else up to white space or a digit.
+LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
+PIECE = re.compile(rf"[\x20\x09-\x0D]+|[{LATIN}]++(?![^\x00-\x7F])|[!-&(-/:-@\[-`{{-~]++(?=[\x20\x09-\x0D{LATIN}]|\Z)|[^\x20\x09-\x0D0-9]+[0-9]?|[0-9]")
+#: The normaliser and the pre-tokenizer that the cuts fit.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BATCH_CHARS = 1 << 20  # characters handed to the library at once
 
 
 class Words:
-    """The dynamic program over the prefixes of words, kept as a trie: words that begin alike share its rows.
+    """The dynamic program over the prefixes of words; a word shares the rows of what it begins with like the last one.
 
-    A row is [last token, tokens so far, tokens if the word ended here]; the third is found when it is asked for."""
+    A row is [last token, tokens so far, tokens if the word ended here, where the last token begins]; the third is
+    found when it is asked for."""
 
     def __init__(self, vocabulary: dict, merges: list, end: str):
         self.end = end
@@ -63,8 +70,7 @@ class Words:
         whole = {t for t in vocabulary if self._whole(t)}
         self.inner = frozenset(whole)
         self.closing = frozenset(t[: -len(end)] for t in whole if t.endswith(end)) if end else self.inner
-        self.rows: dict[str, list] = {}
-        self.known: dict[str, list[int]] = {}
+        self.last, self.path = "", [["", 0, 0, 0]]
         self.edges: tuple[dict, dict] = ({}, {})
         self.inside: dict[tuple[str, str], bool] = {}
         self.at_end: dict[tuple[str, str], bool] = {}
@@ -103,89 +109,86 @@ class Words:
                 todo += [a, b]
         return True
 
-    def rows_of(self, word: str) -> list[list]:
-        """The rows of word[:0], word[:1], ..."""
-        path, rows, inner, inside = [["", 0, 0]], self.rows, self.inner, self.inside
-        for i in range(1, len(word) + 1):
-            prefix = word[:i]
-            if (row := rows.get(prefix)) is None:
-                row = ["", -1, None]
-                for k in range(max(0, i - self.longest), i):
-                    t = prefix[k:]
-                    if t in inner and (before := path[k])[1] >= 0:
-                        pair = (before[0], t)
-                        if (fits := inside.get(pair)) is None:
-                            fits = inside[pair] = not k or self._apart(*pair)
-                        if fits:
-                            row = [t, before[1] + 1, None]
-                            break
-                rows[prefix] = row
-            path.append(row)
-        return path
+    def _row(self, word: str, i: int, path: list[list]) -> list:
+        """The row of word[:i]. One token fits; where the last one began is the best guess."""
+        inner, inside = self.inner, self.inside
+        for k in (path[-1][3], *range(max(0, i - self.longest), i)):
+            t = word[k:i]
+            if t in inner and (before := path[k])[1] >= 0:
+                pair = (before[0], t)
+                if (fits := inside.get(pair)) is None:
+                    fits = inside[pair] = not k or self._apart(*pair)
+                if fits:
+                    return [t, before[1] + 1, None, k]
+        return ["", -1, None, i]
+
+    def _ended(self, word: str, i: int, path: list[list]) -> int:
+        """Tokens of word[:i], ended as a word."""
+        closing, at_end = self.closing, self.at_end
+        for k in (path[i][3], *range(max(0, i - self.longest), i)):
+            t = word[k:i]
+            if t in closing and (before := path[k])[1] >= 0:
+                pair = (before[0], t)
+                if (fits := at_end.get(pair)) is None:
+                    fits = at_end[pair] = not k or self._apart(before[0], t + self.end)
+                if fits:
+                    return before[1] + 1
+        raise ValueError(f"no token ends {word[:i]!r}")
 
     def counts(self, word: str, wanted: Iterator[int]) -> list[int]:
-        """Tokens of word[:i], ended as a word, for i in wanted."""
-        path, out = self.rows_of(word), []
+        """Tokens of word[:i], ended as a word, for i in wanted. The rows of what the last word began with are kept."""
+        path, same = self.path, 0
+        for a, b in zip(self.last, word):
+            if a != b:
+                break
+            same += 1
+        del path[same + 1 :]
+        self.last = word
+        for i in range(same + 1, len(word) + 1):
+            path.append(self._row(word, i, path))
+        out = []
         for i in wanted:
             row = path[i]
             if row[2] is None:
-                for k in range(max(0, i - self.longest), i):
-                    t = word[k:i]
-                    if t in self.closing and (before := path[k])[1] >= 0:
-                        pair = (before[0], t)
-                        if (fits := self.at_end.get(pair)) is None:
-                            fits = self.at_end[pair] = not k or self._apart(before[0], t + self.end)
-                        if fits:
-                            row[2] = before[1] + 1
-                            break
-                else:
-                    raise ValueError(f"no token ends {word[:i]!r}")
+                row[2] = self._ended(word, i, path)
             out.append(row[2])
         return out
 
     def forget(self) -> None:
-        for held in (self.rows, self.known, self.inside, self.at_end):
-            if len(held) > KNOWN:
+        for held in (self.inside, self.at_end):
+            if len(held) > PAIRS:
                 held.clear()
 
 
-class PieceCounter:
-    """Growth of the count at each character of pieces, remembered."""
+class PieceCounter(dict):
+    """Piece to the growth of the count at each of its characters; remembers two generations of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, split = spec["model"], json.dumps(spec["pre_tokenizer"])
-        if model["type"] != "BPE" or model.get("ignore_merges") or "ByteLevel" not in split or '"Removed"' not in split:
-            raise ValueError(f"{path}: prefix counts need byte-pair merges over byte-level words without white space")
+        model, normal, split = spec["model"], spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+        parts = [x["type"] for x in normal.get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in split.get("pretokenizers", [])]
+        if model["type"] != "BPE" or model.get("ignore_merges") or parts != NORMALISER or cuts != [SPLIT, None]:
+            raise ValueError(f"{path}: prefix counts are made for another normaliser and pre-tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.normal, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.words = Words(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        for piece in sorted(pieces, key=str.lower):
+            self[piece] = self.older[piece] if piece in self.older else self.growth(piece)
+        self.words.forget()
 
     def library(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _program(self, piece: str) -> list[int] | None:
-        """Tokens of piece[:1], piece[:2], ...; None if its characters are not those of its normal form."""
-        plain = self.normal(piece)
-        if len(plain) != len(piece) or not (piece.isascii() or unicodedata.is_normalized("NFC", piece)) or any(s in piece for s in self.special):
-            return None
-        counts, done, at, known = [], 0, 0, self.words.known
-        for token, (begin, end) in self.split(plain):
-            if begin > at:
-                counts += [done] * (begin - at)
-            if (own := known.get(token)) is None:
-                own = known[token] = self._word(token, plain[begin:end])
-            counts += [done + n for n in own] if done else own
-            done, at = counts[-1], end
-        return counts + [done] * (len(plain) - at)
-
     def _word(self, token: str, chars: str) -> list[int]:
         """Tokens of each prefix of a pre-token; token: chars in byte-level symbols."""
         if len(chars) > 1 and chars[0] == "'" and chars[-1].isalpha():  # cut short, a contraction is two words
@@ -195,6 +198,20 @@ class PieceCounter:
             return self.words.counts(token, range(1, len(token) + 1))
         return self.words.counts(token, accumulate(len(c.encode()) for c in chars))
 
+    def _program(self, piece: str) -> list[int] | None:
+        """Tokens of piece[:1], piece[:2], ...; None if its characters are not those of its normal form."""
+        if piece.isascii() and piece.isalpha():
+            return self._word(low := piece.lower(), low)
+        plain = self.normal(piece)
+        if len(plain) != len(piece) or not (piece.isascii() or unicodedata.is_normalized("NFC", piece)) or any(s in piece for s in self.special):
+            return None
+        counts, done, at = [], 0, 0
+        for token, (begin, end) in self.split(plain):
+            counts += [done] * (begin - at)
+            counts += [done + n for n in self._word(token, plain[begin:end])]
+            done, at = counts[-1], end
+        return counts + [done] * (len(plain) - at)
+
     def growth(self, piece: str) -> bytes:
         if piece[0] in " \t\n\r\x0b\x0c":
             return bytes(len(piece))
@@ -210,20 +227,27 @@ class PieceCounter:
             out += self.library([piece[: i + 1] for i in range(at, min(at + step, len(piece)))])
         return out
 
-    def store(self, text: str) -> bytes:
-        """One signed byte a character."""
-        pieces, known = PIECE.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > KNOWN:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = self.growth(p)
-        self.words.forget()
-        return b"".join(map(known.__getitem__, pieces))
+    def stores(self, texts: list[str]) -> list[bytes]:
+        """One signed byte a character of each text."""
+        if len(self) > KNOWN:
+            self.older = dict(self)
+            self.clear()
+        cut = [(COARSE if "<|" in t else PIECE).findall(t) for t in texts]
+        new: set[str] = set()
+        for pieces in cut:
+            new.update(set(pieces).difference(self))
+        self.learn(new)
+        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+
+
+def counter_of(path: str) -> PieceCounter:
+    """The worker's counter for a file: it outlives a task, as the library's module does."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_marlstone_counters", {})
+    if path not in held:
+        held[path] = PieceCounter(path)
+    return held[path]
 
 
 def running(store: bytes) -> np.ndarray:
@@ -245,17 +269,17 @@ def prefix_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = PieceCounter(path)
+        counter = counter_of(path)
         for whole in batches:
-            texts = whole[1].cast(pa.binary())
-            stores, size, start = [], 0, 0
+            data = whole[1].cast(pa.binary())
+            texts, size, start = [], 0, 0
             for k in range(whole.num_rows):
-                stores.append(counter.store((texts[k].as_py() or b"").decode("utf-8", "replace")))
-                size += len(stores[-1])
+                texts.append((data[k].as_py() or b"").decode("utf-8", "replace"))
+                size += len(texts[-1])
                 if size > 4 * BATCH_CHARS or k + 1 == whole.num_rows:
                     part = whole.slice(start, k + 1 - start)
-                    yield pa.RecordBatch.from_arrays([part[0], part[2], pa.array(stores, pa.binary())], schema=schema)
-                    stores, size, start = [], 0, k + 1
+                    yield pa.RecordBatch.from_arrays([part[0], part[2], pa.array(counter.stores(texts), pa.binary())], schema=schema)
+                    texts, size, start = [], 0, k + 1
         give_back()
 
     text = F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -1,14 +1,18 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features are rates of a text alone: words of a fixed lexicon and of one learned from the labels,
-both also behind obfuscation (digits and signs for letters, spaced-out letters), second-person
-words and their nearness to lexicon words, capitals, punctuation and obfuscated spellings.
-
-The classifier is fitted on at most SAMPLE_ROWS labelled rows, those whose ids hash lowest; every
-text is scored whole. The learned lexicon is of stems, the first STEM letters of words: a stem begins
-words of SUPPORT toxic rows that are not copies of each other (the effective number of their min-hash
-signatures) and PRECISION of the words it begins stand in toxic rows; its weight is the logarithm of
-how much more often that is than in clean rows, and a word has the weight of its longest stem. Raw scores for the calibration come from trees that have not seen the row.
+Features are rates of a text alone: words of a lexicon learned from the labels, also behind obfuscation
+(digits and signs for letters, spaced-out letters), second-person words and their nearness to lexicon words,
+capitals, punctuation and obfuscated spellings. No list of insults is given: the lexicon is what the labels
+show.
+
+The classifier is fitted on at most SAMPLE_ROWS labelled rows, those whose ids hash lowest (of rows that
+repeat an id, one); every text is scored whole. The lexicon has whole words (marked by a closing $) and stems, the
+first STEM letters of words. An entry begins words of SUPPORT toxic rows that are not copies of each other (the
+effective number of their min-hash signatures) and at least the share PRECISION of its occurrences stand in
+toxic rows; its weight is the logarithm of how much more often it occurs there than in clean rows, and a word has the weight of its longest
+entry. Rows are dealt into FOLDS by signature, so that copies stay together, and the features of a row come from
+a lexicon learned without its fold: the trees see features as good as those of new texts. Raw scores for
+the calibration likewise come from trees that have not seen the row's fold.
 
 Null and empty texts have all rates 0 and get the score of such a row; rows without a label are
 not learned from, several labels of one id count as the largest; without two classes the score
@@ -28,18 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, materialize, release
 
 SAMPLE_ROWS = 40_000
-SUPPORT, PRECISION = 12, 0.4
+SUPPORT, PRECISION = 3, 0.6
 STEM = range(4, 11)
+STRONG = 3.0  # weight from which an entry marks a word as bad: eight times as frequent in toxic rows
 THRESHOLD = 0.3
 NEAR = 3  # words on either side that count as near
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 80, 3, 0.15, 48, 8, 1.0
 FOLDS = 4
 
-#: Insults.
-LEXICON = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool imbecile jerk filthy vermin garbage coward liar pig dumm idiotin trottel arschloch abschaum crétin imbécile connard ordure idiota imbécil estúpido basura escoria".split()
 #: Second-person words.
 SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein deine ihr euch tu toi ton ta tes vous votre tú ti usted ustedes vosotros".split())
 #: Signs that stand for letters.
@@ -50,40 +53,53 @@ SIGNS = np.frombuffer(b"0123456789@$!*|+", np.uint8)
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"[^\W_]*[^\W\d_][\d@$!*|+]+[^\W\d_][\w@$!*|+]*|[@$!013457][^\W\d_]{3,}[\w@$!*|+]*")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
-FEATURES = ["log_words", "lexicon", "log_lexicon", "learned", "log_learned", "masked_lexicon", "second_person", "near_second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "masked", "spaced"]
+FEATURES = ["log_words", "lexicon", "log_lexicon", "bad", "log_bad", "masked_lexicon", "second_person", "near_second_person", "capitals", "capital_words", "exclamations", "punctuation", "digits", "masked", "spaced"]
 
 
-def _masked_hits(tokens: list[str], lexicon: frozenset) -> int:
-    hits = 0
-    for t in tokens:
-        plain = t.lower().translate(DISGUISE)
-        if "*" in plain:
-            shape = re.compile(plain.replace("+", "").replace("*", "."))
-            hits += len(plain.replace("*", "")) >= 2 and any(len(w) == len(plain) and shape.fullmatch(w) for w in lexicon)
-        else:
-            hits += plain in lexicon or plain.replace("i", "l") in lexicon
-    return hits
+def _entries(word: str) -> Iterator[str]:
+    """The lexicon entries that may stand for a word, the longest first."""
+    if len(word) >= 3:
+        yield word + "$"
+    for k in reversed(STEM):
+        if k <= len(word):
+            yield word[:k]
+
+
+class Lexicon:
+    """Entries with weights; whole words among the strong ones answer for asterisks."""
 
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.heads = frozenset(w[:3] for w in weights)
+        self.whole = [w[:-1] for w, v in weights.items() if w[-1] == "$" and v > STRONG]
 
-def _stems(word: str) -> Iterator[str]:
-    return (word[:k] for k in reversed(STEM) if k <= len(word))
+    def weight(self, word: str) -> float:
+        if word[:3] not in self.heads:
+            return 0.0
+        return next((self.weights[x] for x in _entries(word) if x in self.weights), 0.0)
+
+    def hidden(self, token: str) -> bool:
+        """token, with signs for letters, reads as a bad word."""
+        plain = token.lower().translate(DISGUISE)
+        if "*" in plain:
+            shape = re.compile(re.escape(plain).replace("\\*", "."))
+            return len(plain.replace("*", "")) >= 2 and any(len(w) == len(plain) and shape.fullmatch(w) for w in self.whole)
+        return self.weight(plain) > STRONG or self.weight(plain.replace("i", "l")) > STRONG
 
 
-def features(texts: list[str | None], learned: dict[str, float]) -> np.ndarray:
-    lexicon = frozenset(LEXICON)
-    every = lexicon | SECOND_PERSON
-    heads = frozenset(w[: STEM[0]] for w in learned)
+def features(texts: list[str | None], lexicons: list[Lexicon]) -> np.ndarray:
+    """One row a text; lexicons: the one for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
-    for r, text in enumerate(texts):
+    for r, (text, lexicon) in enumerate(zip(texts, lexicons, strict=True)):
         if not text:
             continue
         words = WORD.findall(text.lower())
         n = max(1, len(words))
-        found = [(i, w) for i, w in enumerate(words) if w in every]
-        stems = [(i, next((learned[x] for x in _stems(w) if x in learned), 0.0)) for i, w in enumerate(words) if w[: STEM[0]] in heads]
-        fixed, own = sum(w in lexicon for _, w in found), sum(v for _, v in stems)
-        second = [i for i, w in found if w in SECOND_PERSON]
-        bad = np.array(sorted({i for i, w in found if w in lexicon} | {i for i, v in stems if v > 3}))
+        heads = lexicon.heads
+        weights = [(i, lexicon.weight(w)) for i, w in enumerate(words) if w[:3] in heads]
+        total = sum(v for _, v in weights)
+        bad = np.array([i for i, v in weights if v > STRONG])
+        second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
         near = 0
         if len(second) and len(bad):
             at = np.searchsorted(bad, second)
@@ -93,12 +109,12 @@ def features(texts: list[str | None], learned: dict[str, float]) -> np.ndarray:
         masked = MASKED.findall(text) if byte[SIGNS].any() else []
         single = [i for i, w in enumerate(words) if len(w) == 1]
         spaced = SPACED.findall(text) if any(b - a == 3 for a, b in zip(single, single[3:])) else []
-        hidden = _masked_hits(masked, lexicon) + sum(re.sub(r"[ .\-_]", "", s.lower()) in lexicon for s in spaced)
+        hidden = sum(map(lexicon.hidden, masked)) + sum(lexicon.weight(re.sub(r"[ .\-_]", "", s.lower())) > STRONG for s in spaced)
         size = max(1, len(text))
         capitals = byte[65:91].sum()
         signs = byte[33:48].sum() + byte[58:65].sum() + byte[91:97].sum() + byte[123:127].sum()
         shouted = len(re.findall(r"\b[A-Z]{3,}\b", text)) if capitals > 2 else 0
-        out[r] = [np.log1p(len(words)), fixed / n, np.log1p(fixed), own / n, np.log1p(own), np.log1p(hidden), len(second) / n, np.log1p(near), capitals / size, shouted / n, byte[33] / size, signs / size, byte[48:58].sum() / size, len(masked) / n, len(spaced) / n]
+        out[r] = [np.log1p(len(words)), total / n, np.log1p(total), len(bad) / n, np.log1p(len(bad)), np.log1p(hidden), len(second) / n, np.log1p(near), capitals / size, shouted / n, byte[33] / size, signs / size, byte[48:58].sum() / size, len(masked) / n, len(spaced) / n]
     return out
 
 
@@ -182,7 +198,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    learned: dict
+    lexicon: Lexicon
     trees: Trees | None
     knots: np.ndarray
     levels: np.ndarray
@@ -190,18 +206,18 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.levels[0])
-        return np.clip(np.interp(self.trees.raw(features(texts, self.learned)), self.knots, self.levels), 0.0, 1.0)
+        return np.clip(np.interp(self.trees.raw(features(texts, [self.lexicon] * len(texts))), self.knots, self.levels), 0.0, 1.0)
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray, learned: dict) -> Model:
+def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:
     if len(set(y.tolist())) < 2:
-        return Model(learned, None, np.zeros(1), np.array([float(y.mean()) if len(y) else 0.0]))
+        return Model(lexicon, None, np.zeros(1), np.array([float(y.mean()) if len(y) else 0.0]))
     raw = np.zeros(len(y))
     for k in range(FOLDS):
         own = fold == k
         if own.any() and 0 < y[~own].sum() < (~own).sum():
             raw[own] = boost(x[~own], y[~own]).raw(x[own])
-    return Model(learned, boost(x, y), *isotonic(raw, y))
+    return Model(lexicon, boost(x, y), *isotonic(raw, y))
 
 
 # ----------------------------------------------------------------- learning
@@ -209,54 +225,98 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[str | None]:
     return [None if t.as_py() is None else t.as_py().decode("utf-8", "replace") for t in batch[i].cast(pa.binary())]
 
 
-def _signature(words: set[str]) -> int:
-    return min((xxhash.xxh3_64_intdigest(w) for w in words), default=0)
+def signature(text: str | None) -> int:
+    """The least hash of the words: copies and most near copies have the same."""
+    return min((xxhash.xxh3_64_intdigest(w) for w in set(WORD.findall((text or "").lower()))), default=0)
 
 
-def _learn_lexicon(sample: DataFrame, text: str) -> dict[str, float]:
+def weigh(toxic: dict[str, list], clean: dict[str, list], size: dict[int, list], without: int | None) -> dict[str, float]:
+    """The lexicon without a fold: toxic: entry to (n, d, d2) a fold, clean: entry to n a fold, size: bytes of each class a fold."""
+    use = [f for f in range(FOLDS) if f != without]
+    total = lambda v: sum(v[f] for f in use)
+    bad, good = total(size[1]), total(size[0])
+    out = {}
+    for w, folds in toxic.items():
+        n, d, d2 = (sum(folds[f][j] for f in use) for j in range(3))
+        c = total(clean[w]) if w in clean else 0
+        if d >= SUPPORT and d * d >= SUPPORT * d2 and n >= PRECISION * (n + c) and (n + 0.5) * good > (c + 0.5) * bad:
+            out[w] = float(np.log2((n + 0.5) / (c + 0.5) * good / bad)) if good else 10.0
+    return out
+
+
+def _count_entries(sample: DataFrame) -> tuple[dict, dict, dict]:
+    """The three tables of weigh; sample: t, y. They are as large as the words of the bounded sample at most."""
+
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in _texts(batch, 0):
-                words = WORD.findall((t or "").lower())
-                if stems := Counter(x for w in words for x in _stems(w)):
-                    signature = np.full(len(stems), _signature(set(words)), np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"stem": list(stems), "signature": pa.array(signature), "n": list(stems.values())})
-
-    seen = sample.where("y = 1").select(text).mapInArrow(of_toxic, "stem string, signature long, n long").groupBy("stem", "signature").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-    by_stem = seen.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("docs").alias("d"), F.sum(F.col("docs") * F.col("docs")).alias("d2"))
-    toxic = {r.stem: r.n for r in by_stem.where((F.col("d") >= SUPPORT) & (F.col("d") * F.col("d") >= SUPPORT * F.col("d2"))).collect()}  # bounded by the sample
+                if own := Counter(x for w in WORD.findall((t or "").lower()) for x in _entries(w)):
+                    s = np.full(len(own), signature(t), np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"entry": list(own), "signature": pa.array(s), "n": list(own.values())})
+
+    seen = sample.where("y = 1").select("t").mapInArrow(of_toxic, "entry string, signature long, n long").groupBy("entry", "signature").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    fold = F.pmod(F.col("signature"), F.lit(FOLDS))
+    parts = [F.array(*[F.sum(F.when(fold == f, v).otherwise(0)) for v in (F.col("n"), F.col("docs"), F.col("docs") * F.col("docs"))]) for f in range(FOLDS)]
+    frequent = seen.groupBy("entry").agg(F.array(*parts).alias("folds"), F.sum("docs").alias("d")).where(F.col("d") >= SUPPORT)
+    toxic = {r.entry: r.folds for r in frequent.collect()}
     if not toxic:
-        return {}
+        return {}, {}, {0: [0] * FOLDS, 1: [0] * FOLDS}
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stems = Counter(x for t in _texts(batch, 0) for w in WORD.findall((t or "").lower()) for x in _stems(w) if x in toxic)
-            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(stems), pa.string()), "n": pa.array(list(stems.values()), pa.int64())})
+            own: Counter = Counter()
+            for t in _texts(batch, 0):
+                f = signature(t) % FOLDS
+                own.update((x, f) for w in WORD.findall((t or "").lower()) for x in _entries(w) if x in toxic)
+            yield pa.RecordBatch.from_pydict({"entry": pa.array([x for x, _ in own], pa.string()), "fold": pa.array([f for _, f in own], pa.int32()), "n": pa.array(list(own.values()), pa.int64())})
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch, 0)
+            yield pa.RecordBatch.from_pydict({"y": batch[1], "fold": pa.array([signature(t) % FOLDS for t in texts], pa.int32()), "n": pa.array([len(t or "") for t in texts], pa.int64())})
+
+    clean: dict[str, list] = {}
+    for r in sample.where("y = 0").select("t").mapInArrow(of_clean, "entry string, fold int, n long").groupBy("entry", "fold").agg(F.sum("n").alias("n")).collect():
+        clean.setdefault(r.entry, [0] * FOLDS)[r.fold] = r.n
+    size = {0: [0] * FOLDS, 1: [0] * FOLDS}
+    for r in sample.select("t", "y").mapInArrow(sizes, "y int, fold int, n long").groupBy("y", "fold").agg(F.sum("n").alias("n")).collect():
+        size[r.y][r.fold] = r.n
+    return toxic, clean, size
+
 
-    clean = {r.stem: r.n for r in sample.where("y = 0").select(text).mapInArrow(of_clean, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
-    odds = {w: (n + 0.5, clean.get(w, 0) + 0.5) for w, n in toxic.items() if n >= PRECISION * (n + clean.get(w, 0))}
-    rows = {r.y: r.words for r in sample.groupBy("y").agg(F.sum(F.octet_length(text)).alias("words")).collect()}
-    return {w: float(np.log2(a / b * rows.get(0, 0) / rows[1])) for w, (a, b) in odds.items() if a / b * rows.get(0, 0) > rows[1]}
+def choose_rows(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
+    """k, y of at most rows labelled ids, those that hash lowest; what meets in one task is little more than rows."""
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
+    n = known.count()
+    if n > 2 * rows:  # a hash below this is expected of 1.2 * rows ids
+        known = known.where(F.shiftrightunsigned(F.xxhash64("k"), 11) < int(2**53 * 1.2 * rows / n))
+    return known.orderBy(F.shiftrightunsigned(F.xxhash64("k"), 11), "k").limit(rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from at most rows labelled documents."""
-    chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
-    # the sample is bounded by rows, so it may be broadcast
-    sample = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k")
-    learned = _learn_lexicon(sample, "t")
+    chosen = choose_rows(labels, key, label, rows)
+    # the sample is bounded by rows, so it may be broadcast; of documents that repeat an id one is taken
+    joined = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k")
+    sample = materialize(joined.groupBy("k", F.col("y").cast("int").alias("y")).agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y"))
+    tables = _count_entries(sample)
+    lexicon = Lexicon(weigh(*tables, None))
+    without = [Lexicon(weigh(*tables, f)) for f in range(FOLDS)]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x = features(_texts(part, 0), learned)
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part[1], part[2]], ["x", "y", "fold"])
+                texts = _texts(part, 0)
+                folds = [signature(t) % FOLDS for t in texts]
+                x = features(texts, [without[f] for f in folds])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part[1], pa.array(folds, pa.int32())], ["x", "y", "fold"])
 
-    got = sample.select("t", F.col("y").cast("int"), F.pmod(F.xxhash64("k"), F.lit(FOLDS)).cast("int")).mapInArrow(extract, "x array<double>, y int, fold int").toPandas()
+    got = sample.mapInArrow(extract, "x array<double>, y int, fold int").toPandas()
+    release(docs.sparkSession, sample)
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, got["fold"].to_numpy(), got["y"].to_numpy())) if len(got) else np.empty(0, np.int64)
-    return fit_rows(x[order], got["y"].to_numpy(float)[order], got["fold"].to_numpy()[order], learned)
+    return fit_rows(x[order], got["y"].to_numpy(float)[order], got["fold"].to_numpy()[order], lexicon)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

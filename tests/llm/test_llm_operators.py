@@ -190,7 +190,7 @@ def test_every_prefix_of_every_text(spark):
     library = Tokenizer.from_file(path)
     texts = ODD + [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if len(t or "") < 1500]
     counter = token_counts.PieceCounter(path)
-    stores = [counter.store(t or "") for t in texts]
+    stores = counter.stores([t or "" for t in texts])
     del counter
     for t, store in zip(texts, stores, strict=True):
         want = [len(e) for e in library.encode_batch_fast([(t or "")[:i] for i in range(len(t or "") + 1)], add_special_tokens=False)]
