@@ -160,7 +160,7 @@ class Words:
                 held.clear()
 
 
-class PieceCounter(dict):
+class PieceCounter:
     """Piece to the growth of the count at each of its characters; remembers two generations of pieces."""
 
     def __init__(self, path: str):
@@ -179,11 +179,12 @@ class PieceCounter(dict):
         self.normal, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.words = Words(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
         for piece in sorted(pieces, key=str.lower):
-            self[piece] = self.older[piece] if piece in self.older else self.growth(piece)
+            self.known[piece] = self.older[piece] if piece in self.older else self.growth(piece)
         self.words.forget()
 
     def library(self, texts: list[str]) -> list[int]:
@@ -229,15 +230,14 @@ class PieceCounter(dict):
 
     def stores(self, texts: list[str]) -> list[bytes]:
         """One signed byte a character of each text."""
-        if len(self) > KNOWN:
-            self.older = dict(self)
-            self.clear()
+        if len(self.known) > KNOWN:
+            self.older, self.known = self.known, {}
         cut = [(COARSE if "<|" in t else PIECE).findall(t) for t in texts]
         new: set[str] = set()
         for pieces in cut:
-            new.update(set(pieces).difference(self))
+            new.update(set(pieces).difference(self.known))
         self.learn(new)
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
 def counter_of(path: str) -> PieceCounter:
