@@ -7,9 +7,9 @@ show.
 
 The classifier is fitted on at most SAMPLE_ROWS labelled rows, those whose ids hash lowest (of rows that
 repeat an id, one); every text is scored whole. The lexicon has whole words (marked by a closing $) and stems, the
-first STEM letters of words. An entry begins words of SUPPORT toxic rows that are not copies of each other (the
-effective number of their min-hash signatures) and at least the share PRECISION of its occurrences stand in
-toxic rows; its weight is the logarithm of how much more often it occurs there than in clean rows, and a word has the weight of its longest
+first STEM letters of words. An entry begins words of SUPPORT toxic rows, and of the share SHARE of them, that are not copies
+of each other (the effective number of their min-hash signatures), and at least the share PRECISION of its occurrences
+stand in toxic rows; its weight is the logarithm of how much more often it occurs there than in clean rows, and a word has the weight of its longest
 entry. Rows are dealt into FOLDS by signature, so that copies stay together, and the features of a row come from
 a lexicon learned without its fold: the trees see features as good as those of new texts. Raw scores for
 the calibration likewise come from trees that have not seen the row's fold.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import give_back, materialize, release
 
 SAMPLE_ROWS = 40_000
-SUPPORT, PRECISION = 3, 0.6
+SUPPORT, SHARE, PRECISION = 3, 0.012, 0.8
 STEM = range(4, 11)
 STRONG = 3.0  # weight from which an entry marks a word as bad: eight times as frequent in toxic rows
 THRESHOLD = 0.3
@@ -230,22 +230,43 @@ def signature(text: str | None) -> int:
     return min((xxhash.xxh3_64_intdigest(w) for w in set(WORD.findall((text or "").lower()))), default=0)
 
 
-def weigh(toxic: dict[str, list], clean: dict[str, list], size: dict[int, list], without: int | None) -> dict[str, float]:
-    """The lexicon without a fold: toxic: entry to (n, d, d2) a fold, clean: entry to n a fold, size: bytes of each class a fold."""
-    use = [f for f in range(FOLDS) if f != without]
-    total = lambda v: sum(v[f] for f in use)
-    bad, good = total(size[1]), total(size[0])
-    out = {}
-    for w, folds in toxic.items():
-        n, d, d2 = (sum(folds[f][j] for f in use) for j in range(3))
-        c = total(clean[w]) if w in clean else 0
-        if d >= SUPPORT and d * d >= SUPPORT * d2 and n >= PRECISION * (n + c) and (n + 0.5) * good > (c + 0.5) * bad:
-            out[w] = float(np.log2((n + 0.5) / (c + 0.5) * good / bad)) if good else 10.0
-    return out
+@dataclass
+class Counts:
+    """What the lexicon is chosen from, by fold: of each entry its occurrences in toxic rows, the toxic rows that have it, the
+    sum of squares of rows that have one signature, and its occurrences in clean rows; characters and rows of both classes."""
+
+    entry: list[str]
+    n: np.ndarray
+    rows: np.ndarray
+    squares: np.ndarray
+    clean: np.ndarray
+    size: np.ndarray
+    docs: np.ndarray
+
+    def weights(self, without: int | None) -> dict[str, float]:
+        """The lexicon without a fold."""
+        use = np.array([f != without for f in range(FOLDS)])
+        n, d, d2, c = (x[:, use].sum(1).astype(float) for x in (self.n, self.rows, self.squares, self.clean))
+        good, bad = self.size[0, use].sum(), self.size[1, use].sum()
+        least = max(SUPPORT, SHARE * self.docs[1, use].sum())
+        odds = (n + 0.5) / (c + 0.5) * (good / max(bad, 1))
+        keep = (d * d >= least * d2) & (d >= least) & (n >= PRECISION * (n + c)) & (odds > 1 if good else True)
+        return {self.entry[k]: float(np.log2(odds[k])) if good else 10.0 for k in np.flatnonzero(keep)}
+
+
+def _count_entries(sample: DataFrame) -> Counts:
+    """sample: t, y. Entries are those of SUPPORT and SHARE of the bounded sample's toxic rows."""
+    import pandas as pd
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch, 0)
+            yield pa.RecordBatch.from_pydict({"y": batch[1], "fold": pa.array([signature(t) % FOLDS for t in texts], pa.int32()), "n": pa.array([len(t or "") for t in texts], pa.int64())})
 
-def _count_entries(sample: DataFrame) -> tuple[dict, dict, dict]:
-    """The three tables of weigh; sample: t, y. They are as large as the words of the bounded sample at most."""
+    size, docs = np.zeros((2, FOLDS), np.int64), np.zeros((2, FOLDS), np.int64)
+    for r in sample.select("t", "y").mapInArrow(sizes, "y int, fold int, n long").where("y in (0, 1)").groupBy("y", "fold").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect():
+        size[r.y, r.fold], docs[r.y, r.fold] = r.n, r.docs
+    least = max(SUPPORT, SHARE * (docs[1].sum() - docs[1].max()))  # the least that any lexicon asks for
 
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,34 +275,27 @@ def _count_entries(sample: DataFrame) -> tuple[dict, dict, dict]:
                     s = np.full(len(own), signature(t), np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_pydict({"entry": list(own), "signature": pa.array(s), "n": list(own.values())})
 
-    seen = sample.where("y = 1").select("t").mapInArrow(of_toxic, "entry string, signature long, n long").groupBy("entry", "signature").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-    fold = F.pmod(F.col("signature"), F.lit(FOLDS))
-    parts = [F.array(*[F.sum(F.when(fold == f, v).otherwise(0)) for v in (F.col("n"), F.col("docs"), F.col("docs") * F.col("docs"))]) for f in range(FOLDS)]
-    frequent = seen.groupBy("entry").agg(F.array(*parts).alias("folds"), F.sum("docs").alias("d")).where(F.col("d") >= SUPPORT)
-    toxic = {r.entry: r.folds for r in frequent.collect()}
-    if not toxic:
-        return {}, {}, {0: [0] * FOLDS, 1: [0] * FOLDS}
+    seen = sample.where("y = 1").select("t").mapInArrow(of_toxic, "entry string, signature long, n long").groupBy("entry", "signature").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    fold = F.conv(F.hex("signature"), 16, 10).cast("decimal(20,0)") % FOLDS  # of the unsigned number
+    sums = [F.sum(F.when(fold == f, v).otherwise(0)).alias(f"{name}{f}") for name, v in (("n", F.col("n")), ("rows", F.col("rows")), ("squares", F.col("rows") * F.col("rows"))) for f in range(FOLDS)]
+    toxic = seen.groupBy("entry").agg(*sums, F.sum("rows").alias("d")).where(F.col("d") >= float(least)).toPandas()
+    place = {x: k for k, x in enumerate(toxic["entry"])}
+    clean = np.zeros((len(place), FOLDS), np.int64)
 
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: Counter = Counter()
+            own = np.zeros((len(place), FOLDS), np.int64)
             for t in _texts(batch, 0):
-                f = signature(t) % FOLDS
-                own.update((x, f) for w in WORD.findall((t or "").lower()) for x in _entries(w) if x in toxic)
-            yield pa.RecordBatch.from_pydict({"entry": pa.array([x for x, _ in own], pa.string()), "fold": pa.array([f for _, f in own], pa.int32()), "n": pa.array(list(own.values()), pa.int64())})
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = _texts(batch, 0)
-            yield pa.RecordBatch.from_pydict({"y": batch[1], "fold": pa.array([signature(t) % FOLDS for t in texts], pa.int32()), "n": pa.array([len(t or "") for t in texts], pa.int64())})
+                at = [place[x] for w in WORD.findall((t or "").lower()) for x in _entries(w) if x in place]
+                np.add.at(own, (at, signature(t) % FOLDS), 1)
+            k, f = np.nonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(f, pa.int64()), pa.array(own[k, f])], ["k", "fold", "n"])
 
-    clean: dict[str, list] = {}
-    for r in sample.where("y = 0").select("t").mapInArrow(of_clean, "entry string, fold int, n long").groupBy("entry", "fold").agg(F.sum("n").alias("n")).collect():
-        clean.setdefault(r.entry, [0] * FOLDS)[r.fold] = r.n
-    size = {0: [0] * FOLDS, 1: [0] * FOLDS}
-    for r in sample.select("t", "y").mapInArrow(sizes, "y int, fold int, n long").groupBy("y", "fold").agg(F.sum("n").alias("n")).collect():
-        size[r.y][r.fold] = r.n
-    return toxic, clean, size
+    if place:
+        got: pd.DataFrame = sample.where("y = 0").select("t").mapInArrow(of_clean, "k long, fold long, n long").groupBy("k", "fold").agg(F.sum("n").alias("n")).toPandas()
+        clean[got["k"].to_numpy(), got["fold"].to_numpy()] = got["n"].to_numpy()
+    table = lambda name: toxic[[f"{name}{f}" for f in range(FOLDS)]].to_numpy(np.int64)
+    return Counts(toxic["entry"].to_list(), table("n"), table("rows"), table("squares"), clean, size, docs)
 
 
 def choose_rows(labels: DataFrame, key: str, label: str, rows: int) -> DataFrame:
@@ -299,9 +313,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # the sample is bounded by rows, so it may be broadcast; of documents that repeat an id one is taken
     joined = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "k")
     sample = materialize(joined.groupBy("k", F.col("y").cast("int").alias("y")).agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("t", "y"))
-    tables = _count_entries(sample)
-    lexicon = Lexicon(weigh(*tables, None))
-    without = [Lexicon(weigh(*tables, f)) for f in range(FOLDS)]
+    counts = _count_entries(sample)
+    lexicon = Lexicon(counts.weights(None))
+    without = [Lexicon(counts.weights(f)) for f in range(FOLDS)]
+    del counts
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
