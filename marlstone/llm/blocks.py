@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import give_back, pack, unpack
 
 BLOCK_BYTES = 4 << 20
-SCHEMA = "block long, ids array<bigint>, flags array<int>, counts binary, vocabulary binary, codes binary"
+SCHEMA = "block long, ids array<bigint>, flags array<int>, words long, counts binary, vocabulary binary, codes binary"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -70,7 +70,7 @@ def _encode(block: int, ids: list, flags: list, texts: list[bytes], separator: b
         words += own
     codes, vocabulary = pd.factorize(np.array(words, dtype=object)) if words else (np.empty(0, np.int64), [])
     joined = zlib.compress(b"\n".join(vocabulary), 1) if words else None  # no word or line holds a line feed
-    return {"block": block, "ids": ids, "flags": flags, "counts": pack(np.array(counts, np.uint64)), "vocabulary": joined, "codes": pack(codes)}
+    return {"block": block, "ids": ids, "flags": flags, "words": len(words), "counts": pack(np.array(counts, np.uint64)), "vocabulary": joined, "codes": pack(codes)}
 
 
 def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -78,7 +78,7 @@ def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("counts", pa.binary()), ("vocabulary", pa.binary()), ("codes", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("words", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.binary()), ("codes", pa.binary())])
         ids, flags, texts, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:

@@ -3,12 +3,12 @@
 A window is WINDOW consecutive words of one document; the earlier document is the one with the
 smaller id. Windows are judged on the input, not on what is left. Three passes over token blocks:
 
-1. Each block sends the list of its distinct windows, 40 bits of hash each, to the owners of the
-   hash ranges, which count the lists into DEPTH rows of count-min counters: lists stand in for
-   sketches of partitions, so counters fit what an owner gets. The estimate never falls
-   below the number of blocks that hold the window, so no repeated window is lost; a block flags
-   the windows estimated in two blocks or seen by itself in two documents.
-2. Only flagged windows are sent with 128 bits of hash and the smallest id in the block, grouped
+1. Each block makes a count-min sketch of its distinct windows: DEPTH rows of WIDTH counters, WIDTH a power of
+   two of SPARSE times all words or more, the same for all blocks. It goes out without its zeros, in ranges of counters, to
+   the owners of the ranges, which add the sketches up counter by counter and say which counters exceed one. The
+   least counter of a window never falls below the number of blocks that hold it, so no repeated window is lost; a block
+   flags the windows estimated in two blocks or seen by itself in two documents.
+2. Only flagged windows are sent with 96 bits of hash and the smallest id in the block, grouped
    exactly, and answered by one bit: does a smaller id occur elsewhere?
 3. Each block removes what its own ids and those bits decide.
 
@@ -24,13 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .blocks import ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
 from .common import NULL_ID, materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
 
 WINDOW = 13
-DEPTH = 4  # rows of the count-min table; each is at least twice as wide as its entries
-CELL = np.uint64(24)  # low bits of a window hash that sketches leave out
+DEPTH = 2  # rows of the count-min sketch
+SPARSE = 4  # counters a row has for each word of the corpus, at least
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 
 class _Windows:
@@ -57,47 +60,88 @@ class _Windows:
         self.least = self.id[self.first]
         self.repeated = self.id[end[by_hash]] > self.least  # in two documents of this block
 
-    def flagged(self, got: dict, owners: int) -> np.ndarray:
-        flag = self.repeated.copy()
-        for owner, part in by_owner(self.hash, owners):
-            flag[part] |= np.unpackbits(np.frombuffer(got[1, owner], np.uint8), count=part.stop - part.start).astype(bool)
-        return np.flatnonzero(flag)
-
-
-def _sketch(owners: int, k: int):
+    def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ascending counters of a row that the windows fall on, how many windows do, and each window's among them."""
+        drop = np.uint64(64 - bits)
+        if row == 0:
+            order, cell = None, self.hash >> drop  # windows are in order of hash
+        else:
+            with np.errstate(over="ignore"):
+                cell = (mix(self.hash + np.uint64(row)) * ODD) >> drop
+            order = np.argsort(cell)
+            cell = cell[order]
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        place = np.cumsum(new) - 1
+        counts = np.bincount(place) if len(cell) else place
+        if order is not None:
+            back = np.empty(len(cell), np.int64)
+            back[order] = place
+            place = back
+        return cell[new], counts, place
+
+    def flagged(self, got: dict, owners: int, bits: int) -> np.ndarray:
+        estimated = np.ones(len(self.hash), bool)
+        for row in range(DEPTH):
+            cells, _, place = self.cells(row, bits)
+            above = np.zeros(len(cells), bool)
+            for owner, part in by_owner(cells << np.uint64(64 - bits), owners):
+                above[part] = np.unpackbits(np.frombuffer(got[SKETCH + row, owner], np.uint8), count=part.stop - part.start)
+            estimated &= above[place]
+        return np.flatnonzero(estimated | self.repeated)
+
+
+SKETCH, EXACT = 10, 2  # kinds of messages: one for each row of the sketch, and flagged windows
+
+
+def width_bits(words: int) -> int:
+    """The logarithm of the counters in a row."""
+    return min(60, max(16, int(SPARSE * words).bit_length()))
+
+
+def _sketch(owners: int, k: int, bits: int):
     def ask(block: Block) -> Iterator[dict]:
         w = _Windows(block, k)
-        for owner, part in by_owner(w.hash, owners):
-            yield {"owner": owner, "block": block.block, "kind": 1, "data": pack_sorted(w.hash[part] >> CELL)}
+        for row in range(DEPTH):
+            cells, counts, _ = w.cells(row, bits)
+            for owner, part in by_owner(cells << np.uint64(64 - bits), owners):
+                yield {"owner": owner, "block": block.block, "kind": SKETCH + row, "data": bundle(pack_sorted(cells[part]), np.packbits(counts[part] > 1).tobytes())}
 
     return ask
 
 
-def _estimate(owner: int, rows: list[dict]) -> Iterator[dict]:
-    """Merges the partial sketches of one hash range and answers which entries are estimated in two blocks."""
-    parts = [unpack_sorted(r["data"]) for r in rows]
-    cells = np.concatenate(parts)
-    width = np.uint64(1 << int(2 * len(cells)).bit_length())
-    estimate = np.full(len(cells), 255, np.uint8)
-    for row in range(DEPTH):
-        slot = mix(cells + np.uint64((row + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & (width - np.uint64(1))
-        counters = np.minimum(np.bincount(slot.astype(np.int64), minlength=int(width)), 255).astype(np.uint8)
-        estimate = np.minimum(estimate, counters[slot])
-    at = 0
-    for r, p in zip(rows, parts, strict=True):
-        yield {"block": r["block"], "kind": 1, "owner": owner, "data": np.packbits(estimate[at : at + len(p)] > 1).tobytes()}
-        at += len(p)
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """The sum of sketches over one range: its first counter, and counters; parts: (counters that are not zero, whether above one)."""
+    low = min(int(c[0]) for c, _ in parts)
+    total = np.zeros(max(int(c[-1]) for c, _ in parts) - low + 1, np.int32)
+    for cells, twice in parts:
+        total[(cells - np.uint64(low)).astype(np.int64)] += 1 + twice  # counters of one sketch differ
+    return low, total
 
 
-def _ask_exact(owners: int, k: int):
+def _estimate(owner: int, rows: list[dict]) -> Iterator[dict]:
+    """Adds up the sketches of one range and answers, for every counter that a block has, whether the sum exceeds one."""
+    for kind in sorted({r["kind"] for r in rows}):
+        own = [r for r in rows if r["kind"] == kind]
+        parts = []
+        for r in own:
+            cells, twice = unbundle(r["data"])
+            cells = unpack_sorted(cells)
+            parts.append((cells, np.unpackbits(np.frombuffer(twice, np.uint8), count=len(cells))))
+        low, total = merged(parts)
+        for r, (cells, _) in zip(own, parts, strict=True):
+            yield {"block": r["block"], "kind": kind, "owner": owner, "data": np.packbits(total[(cells - np.uint64(low)).astype(np.int64)] > 1).tobytes()}
+
+
+def _ask_exact(owners: int, k: int, bits: int):
     def ask(block: Block, got: dict) -> Iterator[dict]:
         w = _Windows(block, k)
-        flagged = w.flagged(got, owners)
-        second = window_hash(block.hashes(1), w.at[w.first[flagged]], k, 1)
+        flagged = w.flagged(got, owners, bits)
+        second = window_hash(block.hashes(1), w.at[w.first[flagged]], k, 1).astype(np.uint32)
         h, least = w.hash[flagged], w.least[flagged].view(np.uint64) ^ np.uint64(1 << 63)
         for owner, part in by_owner(h, owners):
             low = least[part].min()
-            yield {"owner": owner, "block": block.block, "kind": 2, "data": bundle(pack_sorted(h[part]), second[part].tobytes(), int(low).to_bytes(8, "little"), pack(least[part] - low))}
+            yield {"owner": owner, "block": block.block, "kind": EXACT, "data": bundle(pack_sorted(h[part]), second[part].tobytes(), int(low).to_bytes(8, "little"), pack(least[part] - low))}
 
     return ask
 
@@ -108,7 +152,7 @@ def _exact(owner: int, rows: list[dict]) -> Iterator[dict]:
     for r in rows:
         h, s, low, ids = unbundle(r["data"])
         first.append(unpack_sorted(h))
-        second.append(np.frombuffer(s, np.uint64))
+        second.append(np.frombuffer(s, np.uint32))
         least.append(unpack(ids) + np.uint64(int.from_bytes(low, "little")))
         sizes.append(len(first[-1]))
     a, b, ids = np.concatenate(first), np.concatenate(second), np.concatenate(least)
@@ -121,17 +165,17 @@ def _exact(owner: int, rows: list[dict]) -> Iterator[dict]:
     earlier[order] = smallest < own
     at = 0
     for r, n in zip(rows, sizes, strict=True):
-        yield {"block": r["block"], "kind": 2, "owner": owner, "data": np.packbits(earlier[at : at + n]).tobytes()}
+        yield {"block": r["block"], "kind": EXACT, "owner": owner, "data": np.packbits(earlier[at : at + n]).tobytes()}
         at += n
 
 
-def _remove(owners: int, k: int, key: str):
+def _remove(owners: int, k: int, bits: int, key: str):
     def cut(block: Block, got: dict) -> Iterator[dict]:
         w = _Windows(block, k)
-        flagged = w.flagged(got, owners)
+        flagged = w.flagged(got, owners, bits)
         earlier = np.zeros(len(w.hash), bool)
         for owner, part in by_owner(w.hash[flagged], owners):
-            earlier[flagged[part]] = np.unpackbits(np.frombuffer(got[2, owner], np.uint8), count=part.stop - part.start).astype(bool)
+            earlier[flagged[part]] = np.unpackbits(np.frombuffer(got[EXACT, owner], np.uint8), count=part.stop - part.start).astype(bool)
         goes = w.at[earlier[w.code] | (w.id > w.least[w.code])]
         n = len(w.hashes)
         edges = np.bincount(goes, minlength=n + k + 1)[: n + 1].astype(np.int64)
@@ -149,9 +193,9 @@ def _remove(owners: int, k: int, key: str):
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, n_words, n_removed and kept, the words left joined by one space."""
     blocks = materialize(to_blocks(df, key, text, block_bytes=block_bytes))
-    owners = owners_for(blocks)
-    estimated = materialize(answer(map_blocks(blocks, _sketch(owners, window), ASK), _estimate))
+    owners, bits = owners_for(blocks), width_bits(blocks.agg(F.sum("words")).first()[0] or 0)
+    estimated = materialize(answer(map_blocks(blocks, _sketch(owners, window, bits), ASK), _estimate))
     release(df.sparkSession)
-    decided = materialize(answer(join_blocks(blocks, estimated, _ask_exact(owners, window), ASK), _exact))
+    decided = materialize(answer(join_blocks(blocks, estimated, _ask_exact(owners, window, bits), ASK), _exact))
     release(df.sparkSession)
-    return join_blocks(blocks, estimated.union(decided), _remove(owners, window, key), f"{key} long, n_words long, n_removed long, kept string")
+    return join_blocks(blocks, estimated.union(decided), _remove(owners, window, bits, key), f"{key} long, n_words long, n_removed long, kept string")
