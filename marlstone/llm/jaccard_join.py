@@ -12,14 +12,19 @@ l-th largest posting is long (postings that go together are nested). A pair is v
 min(l_x, l_y) shingles of the prefixes of that depth.
 
 Shingles that no other document has match nothing, so a pair needs enough others on both sides.
-Equal sets are one class from the start, so copies are counted once. Before the exact join, a star
-round links each class with one pivot per prefix shingle, the class with the fewest shingles of its
-own (the likely source of near copies). Later candidates are only pairs of different components,
-generated from the members outside the component that holds most of a posting, and only at the
-first prefix shingle they share. The star round also leaves each member's overlap with the pivot:
-what x and y share is at most the lesser overlap plus the lesser rest, which rules most others out.
-A large group of near copies therefore costs about one pair a member, and no link between
-components is lost: every remaining pair is still verified.
+Equal sets are one class from the start, so copies are counted once. Prefix shingles with equal postings
+(the shingles of a passage that some texts share) are one token group: a class has one row a group, with the
+number of its shingles there at each depth, so a shared passage costs one row a pair and not one a
+shingle. What two classes share of a group is at most the lesser of their numbers; candidates are the
+pairs whose sum over groups reaches min(l_x, l_y), no fewer than the pairs that share as many shingles.
+No row carries a text's shingles along, so rows are linear in the texts' lengths.
+
+Before the exact join, a star round links each class with one pivot per token group, the class with the fewest
+shingles of its own (the likely source of near copies). Later candidates are only pairs of different components,
+generated from the members outside the component that holds most of a group's posting. The star round also
+leaves each member's overlap with the pivot: what x and y share is at most the lesser overlap plus the lesser
+rest, which rules most others out. A large group of near copies therefore costs about one pair a member,
+and no link between components is lost: every remaining pair is still verified.
 
 Null and empty texts have empty sets and link with nothing; null ids are never a component's id
 unless all its ids are null; rows that repeat an id share its component. Only the named columns
@@ -176,38 +181,47 @@ def _between(links: DataFrame, rows: DataFrame) -> DataFrame:
     return a.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """token, pivot (a), na, sa of the shingles that several classes have."""
+def _token_groups(rows: DataFrame) -> DataFrame:
+    """group, set, n, shared, depth, upto: one row for each class and group of its prefix shingles; upto[l - 1] counts
+    those of a level up to l, as far as it matters. rows: set, n, shared, depth, token, level.
+
+    Shingles are grouped by the number and two exclusive sums of hashes of the classes in their postings; were two
+    postings taken for one, there would be more candidates, not fewer links."""
+    h = lambda salt: F.bit_xor(F.xxhash64("set", F.lit(salt)))
+    postings = rows.groupBy("token").agg(F.count("*").alias("k"), h(1).alias("x"), h(2).alias("y")).where("k > 1").select("token", F.xxhash64("k", "x", "y").alias("group"))
+    upto = F.array(*[F.least(F.count_if(F.col("level") <= depth), F.lit(DEEPEST)).cast("int") for depth in range(1, DEEPEST + 1)])
+    return rows.join(postings, "token").groupBy("group", "set", "n", "shared", "depth").agg(upto.alias("upto"))
+
+
+def _pivots(groups: DataFrame) -> DataFrame:
+    """group, pivot (a), na, sa."""
     by = F.struct((F.col("n") - F.col("shared")).alias("own"), "set", "n", "shared")
-    return rows.groupBy("token").agg(F.min(by).alias("p"), F.count("*").alias("k")).where("k > 1").select("token", "p.set", "p.n", "p.shared").toDF("token", "a", "na", "sa")
+    return groups.groupBy("group").agg(F.min(by).alias("p")).select("group", "p.set", "p.n", "p.shared").toDF("group", "a", "na", "sa")
 
 
-def _star_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Each class with the pivots of its prefix shingles."""
-    return rows.join(pivots, "token").where((F.col("set") != F.col("a")) & _may_link("n", "shared", "na", "sa")).select("a", F.col("set").alias("b")).distinct()
+def _star_pairs(groups: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each class with the pivots of its token groups."""
+    return groups.join(pivots, "group").where((F.col("set") != F.col("a")) & _may_link("n", "shared", "na", "sa")).select("a", F.col("set").alias("b")).distinct()
 
 
-def _cross_pairs(rows: DataFrame, classes: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
+def _cross_pairs(groups: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
     """The pairs of different components that share enough prefix shingles and may share enough of all."""
-    held = rows.groupBy("token", "comp").count().groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
-    live = rows.join(held, "token").join(pivots.select("token", F.col("a").alias("pivot")), "token")
+    held = groups.groupBy("group", "comp").count().groupBy("group").agg(F.max_by("comp", F.struct("count", "comp")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
+    live = groups.join(held, "group").join(pivots.select("group", F.col("a").alias("pivot")), "group")
     live = live.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "both"), ["pivot", "set"], "left")
     is_pivot = F.col("set") == F.col("pivot")
     near, rest = F.when(is_pivot, F.col("shared")).otherwise(F.coalesce("both", "shared")), F.when(is_pivot, 0).otherwise(F.coalesce(F.col("shared") - F.col("both"), F.col("shared")))
-    prefixes = classes.select("set", "tokens", "levels")
-    live = live.select("token", "set", "comp", "n", "shared", "depth", "major", near.alias("near"), rest.alias("rest")).join(prefixes, "set")
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("set", "comp", "n", "shared", "depth", "near", "rest", "tokens", "levels")]
-    left = live.where("comp <> major").select("token", *side("a"))
-    right = live.select("token", *side("b"), (F.col("comp") == F.col("major")).alias("main"))
+    live = materialize(live.select("group", "set", "comp", "n", "shared", "depth", "upto", "major", near.alias("near"), rest.alias("rest")))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("set", "comp", "n", "shared", "depth", "upto", "near", "rest")]
+    left = live.where("comp <> major").select("group", *side("a"))
+    right = live.select(F.col("group").alias("group_b"), *side("b"), (F.col("comp") == F.col("major")).alias("main"))
     once = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("set_a") < F.col("set_b")))
     enough = (100 + PERCENT) * (F.least("near_a", "near_b") + F.least("rest_a", "rest_b")) >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    found = left.join(right, (F.col("group") == F.col("group_b")) & once & _may_link("n_a", "shared_a", "n_b", "shared_b") & enough)
     depth = F.least("depth_a", "depth_b")
-    upto = lambda x: F.slice(f"tokens_{x}", F.lit(1), F.size(F.filter(f"levels_{x}", lambda level: level <= depth)))
-    common = F.array_intersect(upto("a"), upto("b"))
-    first = (F.size(common) >= depth) & (F.get(common, F.lit(0)) == F.col("token"))
-    match = once & _may_link("n_a", "shared_a", "n_b", "shared_b") & enough & first
-    found = left.join(right.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & match)
-    return found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+    common = F.least(F.get("upto_a", depth - 1), F.get("upto_b", depth - 1))
+    pairs = found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), depth.alias("depth"), common.alias("common")).where("common > 0")
+    return pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("depth").alias("depth")).where("common >= depth").select("a", "b")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -220,18 +234,20 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", b
     sets = materialize(join_blocks(blocks, counted, _sets(owners), SETS))
     release(spark, blocks, counted)
     classes = materialize(sets.where("live is not null").drop("doc_id").dropDuplicates(["set"]))
-    rows = materialize(classes.select("set", "n", "shared", "depth", F.explode("tokens").alias("token")))
-    pivots = materialize(_pivots(rows))
-    stars = materialize(_overlaps(_star_pairs(rows, pivots), classes))
+    rows = classes.select("set", "n", "shared", "depth", F.explode(F.arrays_zip("tokens", "levels")).alias("t")).select("set", "n", "shared", "depth", F.col("t.tokens").alias("token"), F.col("t.levels").alias("level"))
+    groups = materialize(_token_groups(rows))
+    pivots = materialize(_pivots(groups))
+    stars = materialize(_overlaps(_star_pairs(groups, pivots), classes))
     comps = components(stars.where("linked"))
-    placed = materialize(_contract(rows.withColumn("comp", F.col("set")), comps))
-    release(spark, rows)
-    crossing = materialize(_overlaps(_cross_pairs(placed, classes, pivots, stars), classes))
+    placed = materialize(_contract(groups.withColumn("comp", F.col("set")), comps))
+    release(spark, groups)
+    crossing = materialize(_overlaps(_cross_pairs(placed, pivots, stars), classes))
     joined = components(_between(crossing.where("linked"), placed))
     ids = sets.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "set")
     # documents without a class link with nothing: they skip the joins, where their nulls would meet in one task
     alone = ids.where("set is null").select(key, "n_shingles", F.col(key).alias("component_id"))
     members = ids.where("set is not null").withColumn("comp", F.col("set"))
     members = materialize(_contract(_contract(members, comps), joined))
-    least = members.groupBy("comp").agg(F.min(key).alias("component_id"))
+    release(spark, classes, pivots, stars, placed, crossing)
+    least = materialize(members.groupBy("comp").agg(F.min(key).alias("component_id")))
     return alone.union(members.join(least, "comp").select(key, "n_shingles", "component_id"))
