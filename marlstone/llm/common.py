@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "[\\x20\\x09-\\x0D]+"
 NULL_ID = np.iinfo(np.int64).max  # a null document id sorts after all others
+SCRATCH: set[str] = set()  # tables of this driver that are not deleted yet
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -33,18 +34,37 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared scratch store and read it back: cuts the lineage, and lost executors cost nothing."""
-    path = scratch_dir(df.sparkSession)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends, if not before
     df.write.parquet(path)
+    SCRATCH.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    SCRATCH.discard(path)
+
+
+def held() -> frozenset[str]:
+    """The scratch tables there are, to be given to sweep."""
+    return frozenset(SCRATCH)
+
+
+def sweep(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Delete the scratch tables made since held() gave before, but for keep."""
+    for path in SCRATCH - before - {df._scratch for df in keep}:
+        _delete(spark, path)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
     for df in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, df._scratch)
     gc.collect()
     spark._jvm.System.gc()
 

@@ -55,17 +55,18 @@ def _kept(words: Column, k: int, run: int) -> Column:
 
 
 def _windows(items: DataFrame, item_key: str, item_text: str, window: int) -> DataFrame:
-    """Distinct windows: w (words joined by a space), n (their number), k, print, place, items."""
+    """Distinct windows: w (words joined by a space), n (their number), k, print, place, item (one row for each that has it)."""
     words = items.select(F.col(item_key).cast("string").alias("item"), item_words(F.col(item_text)).alias("words")).where("size(words) > 0")
     n = F.size("words")
     each = F.when(n < window, F.array("words")).otherwise(F.transform(_steps(n - (window - 1)), lambda i: F.slice("words", i + 1, window)))
-    distinct = words.select("item", F.explode(each).alias("words")).groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    distinct = words.select("item", F.explode(each).alias("words")).distinct()
     least = F.when(n < K, F.array_min(F.array(*[F.when(n == k, F.get(_grams(F.col("words"), k), F.lit(0))) for k in range(1, K)]))).otherwise(F.array_min(_grams(F.col("words"), K)))
-    return distinct.select(F.array_join("words", " ").alias("w"), n.alias("n"), F.least(n, F.lit(K)).alias("k"), least.alias("key"), "items").select("w", "n", "k", F.shiftright("key", 31).alias("print"), F.col("key").bitwiseAND(F.lit(POSITION)).cast("int").alias("place"), "items")
+    return distinct.select(F.array_join("words", " ").alias("w"), n.alias("n"), F.least(n, F.lit(K)).alias("k"), least.alias("key"), "item").select("w", "n", "k", F.shiftright("key", 31).alias("print"), F.col("key").bitwiseAND(F.lit(POSITION)).cast("int").alias("place"), "item")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_hit (words in windows of items), n_items, items (their ids as sorted strings), contaminated."""
+    """key, text_hash (xxhash64 of the text, which tells rows that repeat an id apart), n_words, n_hit (words in windows of
+    items), n_items, items (their ids as sorted strings), contaminated."""
     windows = materialize(_windows(items, item_key, item_text, window))
     lengths = [r.n for r in windows.select("n").distinct().collect()]  # at most window of them
     places = windows.select("k", "print", "place", "n").distinct()
@@ -84,11 +85,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     fits = F.filter("cs", lambda c: c["start"] + c["n"] <= F.size("words"))
     spans = F.transform(fits, lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.array_join(F.slice("words", c["start"] + 1, c["n"]), " ").alias("w")))
     rows = joined.select("id", F.xxhash64("t").alias("t"), item_words(F.col("t")).alias("words"), "cs").select("id", "t", F.size("words").alias("n_words"), F.when(F.size("cs") > 0, spans).alias("spans"))
-    each = rows.select("id", "t", "n_words", F.posexplode_outer("spans").alias("p", "s")).select("id", "t", "n_words", (F.coalesce("p", F.lit(0)) == 0).cast("int").alias("first"), F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.col("s.w").alias("w"))
-    found = each.join(windows.select("w", "items"), "w", "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct("start", "n"))
-    by_row = found.groupBy("id", "t", "n_words").agg(F.sum("first").alias("copies"), F.collect_set(hit).alias("hits"), F.collect_set("items").alias("lists"))
+    # a row without spans gets a word list that no window has, and no two rows the same
+    nothing = F.concat(F.lit(" "), F.xxhash64("id", "t").cast("string"))
+    each = rows.select("id", "t", "n_words", F.posexplode_outer("spans").alias("p", "s")).select("id", "t", "n_words", (F.coalesce("p", F.lit(0)) == 0).cast("int").alias("first"), F.col("s.start").alias("start"), F.col("s.n").alias("n"), F.coalesce("s.w", nothing).alias("w"))
+    known = windows.select("w").distinct().withColumn("v", F.xxhash64("w"))
+    found = each.join(known, "w", "left")
+    hit = F.when(F.col("v").isNotNull(), F.struct("start", "n"))
+    by_row = materialize(found.groupBy("id", "t", "n_words").agg(F.sum("first").alias("copies"), F.collect_set(hit).alias("hits"), F.collect_set("v").alias("vs")))
+    # the items of the windows of each contaminated row, as rows until the last step
+    row = ["id", "t", "n_words"]
+    named = by_row.where("size(vs) > 0").select(*row, F.explode("vs").alias("v")).join(windows.select(F.xxhash64("w").alias("v"), "item"), "v").where("item is not null")
+    listed = named.groupBy(*row).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in row]
+    dirty = by_row.where("size(vs) > 0").alias("a").join(listed.alias("b"), same[0] & same[1] & same[2], "left").select("a.*", "b.items")
+    rest = by_row.where("size(vs) = 0").withColumn("items", F.lit(None).cast("array<string>"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))))
-    listed = F.sort_array(F.array_distinct(F.flatten("lists")))
-    out = by_row.select("id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), listed.alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("c"))
-    return out.select(F.col("id").alias(key), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    out = dirty.union(rest).select("id", "t", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("c"))
+    return out.select(F.col("id").alias(key), F.col("t").alias("text_hash"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))

@@ -245,6 +245,40 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert Counter((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in got) == lines_left(rows, 6)
 
 
+def maximal_runs(rows):
+    """(id, pos, len, where it is found earlier) by comparing every place with every earlier one; ids and texts differ."""
+    lines = {i: [x for x in (t or "").split("\n") if SPACE.search(x)] for i, t in rows}
+    places = [(i, p) for i in sorted(lines) for p in range(len(lines[i]))]
+    longest = {}
+    for k, (i, p) in enumerate(places):
+        for j, q in places[:k]:
+            n = 0
+            while p + n < len(lines[i]) and q + n < len(lines[j]) and lines[i][p + n] == lines[j][q + n]:
+                n += 1
+            if n > longest.get((i, p), (0,))[0]:
+                longest[i, p] = (n, j, q)
+    return Counter((i, p, *longest[i, p]) for i, p in longest if longest.get((i, p - 1), (0,))[0] <= longest[i, p][0])
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_maximal_runs_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [[f"{rng.choice('abc')} {rng.randrange(4)}" for _ in range(rng.randrange(1, 12))] for _ in range(5)]
+    rows = []
+    for i in range(25):
+        parts = [x for _ in range(rng.randrange(4)) for x in (rng.choice(pool), [f"own {i} {rng.randrange(9)}"] * rng.randrange(3))]
+        rows.append((i, "\n".join([x for p in parts for x in p] + [f"end {i}"])))
+    rows.append((30, "same\n" * 40))
+    got = Counter()
+    for r in line_dedup.repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect():
+        got += Counter((r.i, x.pos, x.len, x.source_id, x.source_pos) for x in r.runs)
+    want = maximal_runs(rows)
+    assert Counter((i, p, n) for i, p, n, *_ in got) == Counter((i, p, n) for i, p, n, *_ in want)
+    lines = {i: [x for x in t.split("\n") if SPACE.search(x)] for i, t in rows}
+    for i, p, n, j, q in got:  # an earlier place that reads the same
+        assert (j, q) < (i, p) and lines[i][p : p + n] == lines[j][q : q + n]
+
+
 def test_line_dedup_of_nothing_and_of_repeated_rows(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(5, "one two three four five six seven eight nine ten")] * 2 + [(6, "one two three four five six seven eight nine ten")]
@@ -367,6 +401,33 @@ def test_jaccard_at_any_depth_is_the_same(spark, monkeypatch, deepest, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
 
 
+def passages(n, seed=3):
+    """Texts of 8 of 24 shared passages: all share some, hardly any link."""
+    rng = random.Random(seed)
+    own = [[f"p{k}w{j}" for j in range(50)] for k in range(24)]
+    return [(i, " ".join(w for k in rng.sample(range(24), 8) for w in own[k])) for i in range(n)]
+
+
+def test_jaccard_of_shared_passages_equals_brute_force(spark):
+    rows = passages(120) + [(1000, passages(1)[0][1] + " tail")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
+
+
+def test_jaccard_rows_grow_with_the_length_of_texts(spark, monkeypatch):
+    """Three unlinked texts that share halves: what is written for candidates is linear in their length."""
+    sizes = []
+    for n in (1000, 4000):
+        half = [[f"h{k}_{j}" for j in range(n // 2)] for k in range(3)]
+        rows = [(k, " ".join(half[k] + half[(k + 1) % 3])) for k in range(3)]
+        size, plain = [], jaccard_join.materialize
+        monkeypatch.setattr(jaccard_join, "materialize", lambda df, plain=plain, size=size: (out := plain(df), size.append(sum(len(str(r)) for r in out.collect())))[0])
+        assert len({r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}) == 3
+        monkeypatch.setattr(jaccard_join, "materialize", plain)
+        sizes.append(sum(size))
+    assert sizes[1] < 5 * sizes[0]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
     got = jaccard_join.jaccard_components(spark.createDataFrame([(2, None), (3, "")], SCHEMA)).collect()
