@@ -53,16 +53,37 @@ def best_with_tolerance(scores: DataFrame, task: str, good: Column, tolerance: f
     return g.join(top, task).withColumn("is_best", F.abs(F.col("_g") - F.col("_top")) <= F.abs(F.col("_top")) * tolerance).drop("_g", "_top")
 
 
-def win_percent(scores: DataFrame, task: str, good: Column, own: Column | None = None) -> DataFrame:
-    """AGG-11: share of its tasks that each method wins: among the best with tolerance, or with own (a
-    boolean), each own method at least as good as the best of the others (wins if there is none)."""
+def win_percent(scores: DataFrame, task: str, good: Column, own: Column | None = None, tolerance: float = 0.001) -> DataFrame:
+    """AGG-11: share of all tasks that each method wins: among the best with the relative tolerance, or with own (a
+    boolean) each own method no worse than the best of the others by more than it (wins if there is none).
+    A task that a method lacks counts as not won; n_tasks is the number of all tasks."""
+    g = scores.withColumn("_g", good).withColumn("_own", F.lit(True) if own is None else own)
+    n = scores.agg(F.countDistinct(task).alias("n_tasks"))  # one row
     if own is None:
-        flagged = best_with_tolerance(scores, task, good).withColumn("_win", F.col("is_best"))
+        won = F.abs(F.col("_g") - F.col("_top")) <= F.abs("_top") * tolerance
+        top = g.groupBy(task).agg(F.max("_g").alias("_top"))
     else:
-        g = scores.withColumn("_g", good).withColumn("_own", own)
-        rival = g.where(~F.col("_own")).groupBy(task).agg(F.max("_g").alias("_rival"))
-        flagged = g.where("_own").join(rival, task, "left").withColumn("_win", F.col("_rival").isNull() | (F.col("_g") >= F.col("_rival")))
-    return flagged.groupBy("method").agg((100.0 * F.count_if("_win") / F.count("*")).alias("win_percent"), F.count("*").alias("n_tasks"))
+        won = F.col("_top").isNull() | (F.col("_g") >= F.col("_top") - F.abs("_top") * tolerance)
+        top = g.where(~F.col("_own")).groupBy(task).agg(F.max("_g").alias("_top"))
+    wins = g.where("_own").join(top, task, "left").groupBy("method").agg(F.count_if(won).alias("_wins"))
+    return wins.crossJoin(F.broadcast(n)).select("method", (100.0 * F.col("_wins") / F.col("n_tasks")).alias("win_percent"), "n_tasks")
+
+
+def significant(tests: DataFrame, correction: str = "none", p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """AGG-12, T15: adds rejected over the pairs of all tasks together: "bh", "bonferroni" or "none"; a missing p is not significant."""
+    if correction == "bh":
+        return benjamini_hochberg(tests, p, alpha)
+    if correction == "bonferroni":
+        return bonferroni(tests, p, alpha)
+    if correction != "none":
+        raise ValueError(f"unknown correction: {correction}")
+    return tests.withColumn("rejected", F.coalesce(F.col(p) < alpha, F.lit(False)))
+
+
+def scaled_errors(facts: DataFrame, scales: DataFrame, higher: Column, task: str = "task") -> DataFrame:
+    """AGG-12, MTH-09: adds higher; values of tasks with a scale become 1 - value / scale, where higher is better."""
+    joined = facts.join(scales.select(task, F.col("scale").cast("double").alias("_s")), task, "left").withColumn("higher", higher | F.col("_s").isNotNull())
+    return joined.withColumn("value", F.when(F.col("_s").isNull(), F.col("value")).otherwise(1.0 - F.col("value") / F.col("_s"))).drop("_s")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
@@ -118,22 +139,31 @@ def studentised_range(pairs: DataFrame, pool: DataFrame | None, task: str = "tas
     return w.withColumn("q", F.abs("t") * F.sqrt(F.lit(2.0))).withColumn("q_df", F.col("df"))
 
 
-def pair_wins(tested: DataFrame, good_when_higher: Column) -> DataFrame:
-    """AGG-12, WIN-15: per method: wins, losses and ties over pairs; tested has rejected."""
-    a_better = F.when(good_when_higher, F.col("mean_a") > F.col("mean_b")).otherwise(F.col("mean_a") < F.col("mean_b"))
-    sides = tested.select(
-        F.explode(F.array(F.struct(F.col("method_a").alias("method"), (F.col("rejected") & a_better).alias("win"), (F.col("rejected") & ~a_better).alias("loss")), F.struct(F.col("method_b").alias("method"), (F.col("rejected") & ~a_better).alias("win"), (F.col("rejected") & a_better).alias("loss")))).alias("s")
+def _better_first(tested: DataFrame, higher: Column) -> DataFrame:
+    """tested with better, worse and rejected; of equal means the first name is the better."""
+    a_first = F.when(higher, F.col("mean_a") >= F.col("mean_b")).otherwise(F.col("mean_a") <= F.col("mean_b"))
+    name = lambda x, y: F.when(a_first, F.col(x)).otherwise(F.col(y))
+    return tested.withColumn("better", name("method_a", "method_b")).withColumn("worse", name("method_b", "method_a"))
+
+
+def pair_wins(tested: DataFrame, higher: Column) -> DataFrame:
+    """AGG-12, WIN-15: method, other, wins, ties over all tasks, for each ordered pair with any: a significant
+    difference is a win of the better, any other pair a tie of both."""
+    sides = _better_first(tested, higher).select("better", "worse", "rejected").select(
+        F.explode(F.array(F.struct(F.col("better").alias("method"), F.col("worse").alias("other"), F.col("rejected").alias("win"), (~F.col("rejected")).alias("tie")), F.struct(F.col("worse").alias("method"), F.col("better").alias("other"), F.lit(False).alias("win"), (~F.col("rejected")).alias("tie")))).alias("s")
     ).select("s.*")
-    return sides.groupBy("method").agg(F.count_if("win").alias("wins"), F.count_if("loss").alias("losses"), F.count_if(~F.col("win") & ~F.col("loss")).alias("ties"))
+    return sides.groupBy("method", "other").agg(F.count_if("win").alias("wins"), F.count_if("tie").alias("ties")).where("wins + ties > 0")
 
 
-def top_ranks(tested: DataFrame, s: DataFrame, good_when_higher: Column, task: str = "task") -> DataFrame:
-    """AGG-12, T21: participation (tasks with enough seeds, tested or not) and tasks where nobody is significantly better."""
-    a_better = F.when(good_when_higher, F.col("mean_a") > F.col("mean_b")).otherwise(F.col("mean_a") < F.col("mean_b"))
-    beaten = tested.where("rejected").select(task, F.when(a_better, F.col("method_b")).otherwise(F.col("method_a")).alias("method")).distinct().withColumn("_b", F.lit(True))
-    in_test = tested.select(task, F.explode(F.array("method_a", "method_b")).alias("method")).distinct().withColumn("_t", F.lit(True))
-    own = s.select(task, "method").join(in_test, [task, "method"], "left").join(beaten, [task, "method"], "left")
-    return own.groupBy("method").agg(F.count("*").alias("participation"), F.count_if(F.col("_t") & F.col("_b").isNull()).alias("top_rank"))
+def top_ranks(tested: DataFrame, s: DataFrame, higher: Column, task: str = "task") -> DataFrame:
+    """AGG-12, T21: participation (tasks with enough seeds, tested or not) and top_rank: tested tasks where the method is
+    the best (the first name of equals) or not significantly different from the best. s: task, method, mean
+    and whatever higher reads; methods of one task are few."""
+    tied = s.select(task, "method", F.when(higher, F.col("mean")).otherwise(-F.col("mean")).alias("_g"))
+    best = tied.groupBy(task).agg(F.min(F.struct((-F.col("_g")).alias("g"), "method")).alias("_b"), F.count("*").alias("_n")).where("_n > 1").select(task, F.col("_b.method").alias("_best"))
+    apart = tested.where("rejected").select(task, F.explode(F.array(F.struct(F.col("method_a").alias("method"), F.col("method_b").alias("_best")), F.struct(F.col("method_b").alias("method"), F.col("method_a").alias("_best")))).alias("x")).select(task, "x.*").withColumn("_apart", F.lit(True))
+    own = tied.join(best, task, "left").join(apart, [task, "method", "_best"], "left")
+    return own.groupBy("method").agg(F.count("*").alias("participation"), F.count_if(F.col("_best").isNotNull() & F.col("_apart").isNull()).alias("top_rank"))
 
 
 def common_tasks(facts: DataFrame, a: str, b: str, task: str = "task") -> DataFrame:
@@ -198,7 +228,10 @@ def ema_by_group(df: DataFrame, group: str, order: list[str], value: str, decay:
     return listed.select(group, ema(F.transform("_l", lambda x: x[value]), decay).alias("ema"))
 
 
-def retained(checkpoints: DataFrame, step: str, every: int) -> DataFrame:
-    """SNK-17, SRT-09: the latest checkpoint and every so many-th."""
+def retained(checkpoints: DataFrame, step: str, every: int, warmup: int = 0) -> DataFrame:
+    """SNK-17, SRT-09: the latest checkpoint, and of the older ones, from step warmup on, all (every = 0), those of every so
+    many-th step (every > 0) or none (every < 0)."""
     last = checkpoints.agg(F.max(step).alias("_last"))  # one row
-    return checkpoints.crossJoin(F.broadcast(last)).where((F.col(step) == F.col("_last")) | (F.col(step) % every == 0)).drop("_last")
+    older = F.lit(every == 0) if every <= 0 else F.col(step) % every == 0
+    kept = (F.col(step) == F.col("_last")) | (older & (F.col(step) >= warmup))
+    return checkpoints.crossJoin(F.broadcast(last)).where(kept).drop("_last")

@@ -70,10 +70,17 @@ def floor_quantiles(df: DataFrame, group: str, value: str, quantiles: list[float
     return ranked.groupBy(group).agg(F.min(value).alias("least"), *[at(p).alias(f"q{round(100 * p)}") for p in quantiles], F.max(value).alias("most"))
 
 
-def min_class_folds(df: DataFrame, task: str, y: str, most: int) -> DataFrame:
-    """AGG-24: size of the smallest class of each task and the folds it allows (at least 2, at most most)."""
-    per = df.where(F.col(y).isNotNull()).groupBy(task, y).agg(F.count("*").alias("c"))
-    return per.groupBy(task).agg(F.min("c").alias("min_class")).withColumn("folds", F.greatest(F.lit(2), F.least(F.lit(most), F.col("min_class"))).cast("long"))
+#: Folds by the number of rows: 3 above 2,000, 5 from 250, 3 below.
+FOLDS_BY_ROWS = ((2000, 3), (249, 5), (-1, 3))
+
+
+def adaptive_folds(df: DataFrame, task: str, y: str, classes: bool = True) -> DataFrame:
+    """AGG-24: rows of each task, size of its smallest class (0 if a class 0 .. largest is absent) and folds: by the
+    number of rows, and for classes no more than the smallest class has and no fewer than 2."""
+    per = df.where(F.col(y).isNotNull()).groupBy(task, F.col(y).cast("int").alias("_y")).agg(F.count("*").alias("c"))
+    out = per.groupBy(task).agg(F.sum("c").alias("n"), F.when(F.count("*") > F.max("_y"), F.min("c")).otherwise(0).cast("long").alias("min_class"))
+    folds = F.coalesce(*[F.when(F.col("n") > least, k) for least, k in FOLDS_BY_ROWS])
+    return out.withColumn("folds", (F.greatest(F.lit(2), F.least(folds, "min_class")) if classes else folds).cast("long"))
 
 
 def valid_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -164,10 +164,18 @@ def quantile_floor(spark, sf):
     return labels.floor_quantiles(table(spark, sf, "lineitem", ["l_returnflag", "l_extendedprice"]), "l_returnflag", "l_extendedprice", [0.25, 0.5, 0.9])
 
 
-@query("""SELECT lang, min(c) AS min_class, greatest(2, least(5, min(c)))::BIGINT AS folds FROM (SELECT lang, quality, count(*)::BIGINT AS c FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2) GROUP BY lang""")
+@query("""WITH d AS (SELECT lang || '/' || CASE WHEN doc_id % 11 = 0 THEN 'few' WHEN doc_id % 3 = 0 THEN 'some' ELSE 'many' END AS task, toxic AS y FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT 'lines', (l_linenumber % 3)::INTEGER FROM lineitem UNION ALL SELECT 'no zero', (o_orderkey % 2 + 1)::INTEGER FROM orders WHERE o_orderkey < 900),
+c AS (SELECT task, y, count(*)::BIGINT AS c FROM d GROUP BY ALL), t AS (SELECT task, sum(c)::BIGINT AS n, max(y) AS top, count(*) AS k, min(c) AS low FROM c GROUP BY task),
+m AS (SELECT task, n, CASE WHEN k > top THEN low ELSE 0 END::BIGINT AS min_class FROM t)
+SELECT task, n, min_class, greatest(2, least(CASE WHEN n > 2000 THEN 3 WHEN n >= 250 THEN 5 ELSE 3 END, min_class))::BIGINT AS folds FROM m""")
 def min_class_folds(spark, sf):
-    """AGG-24."""
-    return labels.min_class_folds(_labelled(spark, sf), "lang", "quality", 5)
+    """AGG-24: tasks of all three sizes, rare classes and one without a class 0."""
+    part = F.when(F.col("doc_id") % 11 == 0, "few").when(F.col("doc_id") % 3 == 0, "some").otherwise("many")
+    docs = table(spark, sf, "documents", ["doc_id", "lang"]).join(table(spark, sf, "labels"), "doc_id").select(F.concat("lang", F.lit("/"), part).alias("task"), F.col("toxic").cast("int").alias("y"))
+    lines = table(spark, sf, "lineitem", ["l_linenumber"]).select(F.lit("lines").alias("task"), (F.col("l_linenumber") % 3).cast("int").alias("y"))
+    odd = table(spark, sf, "orders", ["o_orderkey"]).where("o_orderkey < 900").select(F.lit("no zero").alias("task"), (F.col("o_orderkey") % 2 + 1).cast("int").alias("y"))
+    return labels.adaptive_folds(docs.union(lines).union(odd), "task", "y")
 
 
 @query("SELECT count(quality)::BIGINT AS quality, count(toxic)::BIGINT AS toxic, count(lang)::BIGINT AS lang FROM documents LEFT JOIN labels USING (doc_id)")

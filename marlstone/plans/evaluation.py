@@ -222,19 +222,28 @@ def best_with_tolerance(spark, sf):
     return K.best_with_tolerance(_agg(spark, sf), "task", F.round("mean", 9), 0.05).select("method", "task", "is_best")
 
 
-@query(f"""WITH {_FACTS}, b AS (SELECT method, task, abs(g - max(g) OVER (PARTITION BY task)) <= abs(max(g) OVER (PARTITION BY task)) * 0.001::DOUBLE AS w FROM (SELECT method, task, round(mean, 9) AS g FROM agg))
-SELECT method, round(100.0::DOUBLE * count(*) FILTER (WHERE w) / count(*), 9) AS win_percent, count(*)::BIGINT AS n_tasks FROM b GROUP BY method""")
+# tasks that some methods lack, so that shares of all tasks differ from shares of a method's own
+_SPARSE = f"{_FACTS}, own AS (SELECT method, task, round(mean, 9) AS g FROM agg WHERE NOT (method = 'NF' AND task LIKE '%1') AND NOT (method = 'AF' AND task LIKE '%2'))"
+
+
+def _sparse(spark: SparkSession, sf: str) -> DataFrame:
+    return _agg(spark, sf).where(~((F.col("method") == "NF") & F.col("task").endswith("1")) & ~((F.col("method") == "AF") & F.col("task").endswith("2")))
+
+
+@query(f"""WITH {_SPARSE}, w AS (SELECT method, count(*) FILTER (WHERE abs(g - top) <= abs(top) * 0.02::DOUBLE) AS wins FROM own JOIN (SELECT task, max(g) AS top FROM own GROUP BY task) USING (task) GROUP BY method)
+SELECT method, round(100.0::DOUBLE * wins / n, 9) AS win_percent, n::BIGINT AS n_tasks FROM w, (SELECT count(DISTINCT task) AS n FROM own)""")
 def win_pct(spark, sf):
-    """AGG-11."""
-    w = K.win_percent(_agg(spark, sf), "task", F.round("mean", 9))
+    """AGG-11: head to head, over all tasks, with a tolerance wide enough to show near ties."""
+    w = K.win_percent(_sparse(spark, sf), "task", F.round("mean", 9), tolerance=0.02)
     return w.select("method", F.round("win_percent", 9).alias("win_percent"), "n_tasks")
 
 
-@query(f"""WITH {_FACTS}, r AS (SELECT task, max(round(mean, 9)) AS rival FROM agg WHERE method NOT LIKE 'N%' GROUP BY task)
-SELECT method, round(100.0::DOUBLE * count(*) FILTER (WHERE rival IS NULL OR round(mean, 9) >= rival) / count(*), 9) AS win_percent, count(*)::BIGINT AS n_tasks FROM agg LEFT JOIN r USING (task) WHERE method LIKE 'N%' GROUP BY method""")
+@query(f"""WITH {_SPARSE}, r AS (SELECT task, min(g) AS best FROM own WHERE method NOT LIKE 'N%' GROUP BY task),
+w AS (SELECT method, count(*) FILTER (WHERE best IS NULL OR g <= best + abs(best) * 0.001::DOUBLE) AS wins FROM own LEFT JOIN r USING (task) WHERE method LIKE 'N%' GROUP BY method)
+SELECT method, round(100.0::DOUBLE * wins / n, 9) AS win_percent, n::BIGINT AS n_tasks FROM w, (SELECT count(DISTINCT task) AS n FROM own)""")
 def win_pct_against_rivals(spark, sf):
-    """AGG-11: against the best of the others."""
-    w = K.win_percent(_agg(spark, sf), "task", F.round("mean", 9), F.col("method").startswith("N"))
+    """AGG-11: against the best of the others, lower is better."""
+    w = K.win_percent(_sparse(spark, sf), "task", K.oriented(F.round("mean", 9), F.lit(False)), F.col("method").startswith("N"))
     return w.select("method", F.round("win_percent", 9).alias("win_percent"), "n_tasks")
 
 
@@ -275,28 +284,60 @@ def welch_t(spark, sf):
     return _welch(spark, sf).select("task", "method_a", "method_b", F.round("t", 6).alias("t"), F.round("df", 6).alias("df"))
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT method_a, method_b, coalesce(abs(round(t, 6)) > 1.5::DOUBLE, false) AS rejected, mean_a > mean_b AS a_better FROM w),
-z AS (SELECT method_a AS method, rejected AND a_better AS win, rejected AND NOT a_better AS loss FROM x UNION ALL SELECT method_b, rejected AND NOT a_better, rejected AND a_better FROM x)
-SELECT method, count(*) FILTER (WHERE win)::BIGINT AS wins, count(*) FILTER (WHERE loss)::BIGINT AS losses, count(*) FILTER (WHERE NOT win AND NOT loss)::BIGINT AS ties FROM z GROUP BY method""")
+# a p value that SQL can state, exp(-t^2 / 2), stands for the test's own, so that the rules after it can be compared
+_RULED = f"""{_PAIRS}, p AS (SELECT *, CASE WHEN t IS NULL THEN NULL ELSE round(exp(-t * t / 2.0::DOUBLE), 9) END AS p FROM w), z AS (SELECT count(p) AS n FROM p),
+k AS (SELECT p, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k FROM p WHERE p IS NOT NULL), c AS (SELECT max(p) AS cut FROM k, z WHERE p <= k::DOUBLE / n * 0.3::DOUBLE),
+x AS (SELECT *, {{rule}} AS rejected, mean_a <= mean_b AS a_first FROM p, z, c)"""
+_BH, _BONFERRONI, _NONE = "coalesce(p <= cut, false)", "coalesce(p < 0.3::DOUBLE / n, false)", "coalesce(p < 0.3::DOUBLE, false)"
+
+
+def _ruled(spark: SparkSession, sf: str, correction: str) -> DataFrame:
+    tested = _welch(spark, sf).withColumn("p", F.round(F.exp(-F.col("t") * F.col("t") / 2.0), 9))
+    return K.significant(tested, correction, alpha=0.3)
+
+
+def _wins_sql(rule: str) -> str:
+    return f"""WITH {_RULED.format(rule=rule)}, o AS (SELECT CASE WHEN a_first THEN method_a ELSE method_b END AS better, CASE WHEN a_first THEN method_b ELSE method_a END AS worse, rejected FROM x),
+s AS (SELECT better AS method, worse AS other, rejected AS win, NOT rejected AS tie FROM o UNION ALL SELECT worse, better, false, NOT rejected FROM o)
+SELECT method, other, count(*) FILTER (WHERE win)::BIGINT AS wins, count(*) FILTER (WHERE tie)::BIGINT AS ties FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE win OR tie) > 0"""
+
+
+@query(_wins_sql(_BH))
 def pairwise_wins(spark, sf):
-    """AGG-12, WIN-15: significance by a fixed t."""
-    tested = _welch(spark, sf).withColumn("rejected", F.coalesce(F.abs(F.round("t", 6)) > 1.5, F.lit(False)))
-    return K.pair_wins(tested, F.lit(True))
+    """AGG-12, WIN-15: by ordered pair, lower is better, false discovery rate over all tasks."""
+    return K.pair_wins(_ruled(spark, sf, "bh"), F.lit(False))
+
+
+@query(_wins_sql(_BONFERRONI))
+def pairwise_wins_bonferroni(spark, sf):
+    """AGG-12, WIN-15, WIN-05."""
+    return K.pair_wins(_ruled(spark, sf, "bonferroni"), F.lit(False))
 
 
-@query(f"""WITH {_PAIRS}, x AS (SELECT task, method_a, method_b, CASE WHEN mean_a > mean_b THEN method_b ELSE method_a END AS beaten FROM w WHERE abs(round(t, 6)) > 1.5::DOUBLE),
-b AS (SELECT DISTINCT task, beaten AS method FROM x), u AS (SELECT task, method_a AS method FROM w UNION SELECT task, method_b FROM w)
-SELECT s.method, count(*)::BIGINT AS participation, count(*) FILTER (WHERE u.method IS NOT NULL AND b.method IS NULL)::BIGINT AS top_rank FROM s LEFT JOIN u USING (task, method) LEFT JOIN b USING (task, method) GROUP BY s.method""")
+@query(f"""WITH {_RULED.format(rule=_NONE)}, best AS (SELECT task, arg_min(method, struct_pack(m := mean, n := method)) AS best FROM s GROUP BY task HAVING count(*) > 1),
+apart AS (SELECT task, method_a AS method, method_b AS best FROM x WHERE rejected UNION SELECT task, method_b, method_a FROM x WHERE rejected)
+SELECT s.method, count(*)::BIGINT AS participation, count(*) FILTER (WHERE best.best IS NOT NULL AND apart.task IS NULL)::BIGINT AS top_rank
+FROM s LEFT JOIN best USING (task) LEFT JOIN apart ON apart.task = s.task AND apart.method = s.method AND apart.best = best.best GROUP BY s.method""")
 def top_ranks(spark, sf):
-    """AGG-12, T21."""
-    tested = _welch(spark, sf).withColumn("rejected", F.coalesce(F.abs(F.round("t", 6)) > 1.5, F.lit(False)))
-    return K.top_ranks(tested, K.summary(_facts(spark, sf)), F.lit(True))
+    """AGG-12, T21: the best and whoever is not significantly different from it, variances unequal."""
+    return K.top_ranks(_ruled(spark, sf, "none"), K.summary(_facts(spark, sf)), F.lit(False))
 
 
-@query()
+@query(f"""WITH {_FACTS}, sc AS (SELECT DISTINCT p_brand AS task, 0.05::DOUBLE + len(p_brand) / 100.0::DOUBLE AS scale FROM part WHERE p_brand LIKE '%3')
+SELECT method, seed, task, round(CASE WHEN scale IS NULL THEN value ELSE 1 - value / scale END, 9) AS value, scale IS NOT NULL AS higher FROM facts LEFT JOIN sc USING (task)""")
+def scaled_mae(spark, sf):
+    """AGG-12, MTH-09: errors with a scale become scores."""
+    scales = table(spark, sf, "part", ["p_brand"]).where(F.col("p_brand").endswith("3")).select(F.col("p_brand").alias("task"), (0.05 + F.length("p_brand") / 100.0).alias("scale")).distinct()
+    return K.scaled_errors(_facts(spark, sf), scales, F.lit(False)).select("method", "seed", "task", F.round("value", 9).alias("value"), "higher")
+
+
+@query(f"""WITH {_PAIRS}, g AS (SELECT *, unnest(range(0, 1001)) AS i FROM w WHERE t IS NOT NULL AND df > 0),
+f AS (SELECT task, method_a, method_b, t, df, CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 1000.0::DOUBLE, 2) / df, -(df + 1) / 2) AS y FROM g),
+q AS (SELECT task, method_a, method_b, 1 - 2 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(pi() * any_value(df)) * abs(any_value(t)) / 3000.0::DOUBLE * sum(y) AS p FROM f GROUP BY ALL)
+SELECT task, method_a, method_b, round(p, 5) AS p FROM w LEFT JOIN q USING (task, method_a, method_b)""")
 def welch_p(spark, sf):
-    """MTH-10: two-sided p; tested against known values."""
-    return significance.p_values(_welch(spark, sf), "t", "df", None).select("task", "method_a", "method_b", F.round("p", 8).alias("p"))
+    """MTH-10: two-sided p."""
+    return significance.p_values(_welch(spark, sf), "t", "df", None).select("task", "method_a", "method_b", F.round("p", 5).alias("p"))
 
 
 @query()

@@ -43,10 +43,16 @@ def running_weight_avg(spark, sf):
     return r.select("task", F.col("day").cast("string").alias("day"), F.round("running", 10).alias("running"), "nadir")
 
 
-@query("SELECT step FROM (SELECT DISTINCT l_partkey AS step FROM lineitem) WHERE step = (SELECT max(l_partkey) FROM lineitem) OR step % 50 = 0")
+_STEPS = "s AS (SELECT DISTINCT l_partkey AS step FROM lineitem), l AS (SELECT max(step) AS last FROM s)"
+
+
+@query(f"""WITH {_STEPS} SELECT policy, step FROM s, l, (VALUES ('every 50 after 60', 50, 60), ('all after 90', 0, 90), ('latest', -1, 0), ('every 20', 20, 0)) AS p(policy, every, warmup)
+WHERE step = last OR (step >= warmup AND (every = 0 OR (every > 0 AND step % CASE WHEN every > 0 THEN every ELSE 1 END = 0)))""")
 def checkpoint_retention(spark, sf):
-    """SNK-17, SRT-09."""
-    return K.retained(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("step")).distinct(), "step", 50)
+    """SNK-17, SRT-09: warm-up, every so many-th, all and latest only."""
+    steps = table(spark, sf, "lineitem", ["l_partkey"]).select(F.col("l_partkey").alias("step")).distinct()
+    one = lambda policy, every, warmup: K.retained(steps, "step", every, warmup).select(F.lit(policy).alias("policy"), "step")
+    return one("every 50 after 60", 50, 60).union(one("all after 90", 0, 90)).union(one("latest", -1, 0)).union(one("every 20", 20, 0))
 
 
 @query("SELECT event_type, round(sum(value), 4) AS total, count(value)::BIGINT AS n FROM events GROUP BY event_type")

@@ -57,12 +57,12 @@ def test_upsert_and_merges(spark):
 
 # ----------------------------------------------------------------- labels
 def test_thresholds_and_reasons(spark):
-    cases = [("balanced", 100, 500), ("two", 200, 400), ("pos_only", 1000, 0), ("neg_only", 0, 1000), ("sparse", 50, 50), ("skewed", 10, 10000), ("bad", 1, 1)]
+    cases = [("enough", 41, 63), ("just", 40, 60), ("no_negative", 700, 12), ("no_positive", 39, 61), ("small", 50, 49), ("none", 3, 2)]
     stats = spark.createDataFrame([(t, p + n, p, n) for t, p, n in cases], "task string, n_valid int, n_pos int, n_neg int")
-    out = labels.filter_tasks(stats, 30, 30, 500)
-    assert {r.task for r in out.where("kept").collect()} == {"balanced", "two"}
-    assert out.where("task = 'bad'").first().drop_reason == "n_pos=1<30;n_neg=1<30;n_valid=2<500"
-    assert dict(map(tuple, labels.reason_histogram(out).collect())) == {"n_pos": 3, "n_neg": 2, "n_valid": 2}
+    out = labels.filter_tasks(stats, 40, 45, 100)
+    assert {r.task for r in out.where("kept").collect()} == {"enough", "just"}
+    assert out.where("task = 'none'").first().drop_reason == "n_pos=3<40;n_neg=2<45;n_valid=5<100"
+    assert dict(map(tuple, labels.reason_histogram(out).collect())) == {"n_pos": 2, "n_neg": 2, "n_valid": 2}
     with pytest.raises(ValueError):
         labels.filter_tasks(stats, 10**6, 1, 1, least_kept=1)
 
