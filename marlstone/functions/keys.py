@@ -83,3 +83,13 @@ def mean_std_text(mean: Column, std: Column, digits: int = 3) -> Column:
 def signed_text(x: Column, digits: int = 3) -> Column:
     """STR-08: a difference with its sign."""
     return F.format_string(f"%+.{digits}f", x)
+
+
+def colour_of(method: Column, colours: dict[str, str], default: str) -> Column:
+    """STR-07: the colour of the first name that the method contains, without regard to case."""
+    return F.coalesce(*[F.when(F.contains(F.lower(method), F.lit(k.lower())), F.lit(v)) for k, v in colours.items()], F.lit(default))
+
+
+def quoted(x: Column) -> Column:
+    """STR-07: an SQL string literal, quotes doubled."""
+    return F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))

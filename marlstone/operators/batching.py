@@ -6,16 +6,17 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ragged import row_numbers
+
 
 def budget_pack(df: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
     """WIN-09, T22: greedy batches in order within each group; adds batch (0, 1, ...).
 
     A row of at least budget flushes the open batch and stands alone; otherwise a row that would
-    overflow opens a new batch. The fold is sequential in a group, so groups (shards) are the unit of
-    parallelism."""
+    overflow opens a new batch. The fold is sequential in a group, so groups must be shards of bounded size (of
+    ragged.fixed_ranges, say) and not a column that may hold a third of all rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
@@ -56,8 +57,8 @@ def cycle_batches(df: DataFrame, key: str, batch_size: int, n_batches: int, seed
     epochs = -(-batch_size * n_batches // n) if n else 0
     pool = df.select(key).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max(epochs - 1, 0))))) if n else df.select(key).withColumn("epoch", F.lit(0))
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}-"), F.col("epoch").cast("string")))
-    rn = F.row_number().over(W.partitionBy("epoch").orderBy(order, key)) - 1 + F.col("epoch") * n
-    numbered = pool.withColumn("_at", rn.cast("long")).where(F.col("_at") < batch_size * n_batches)
+    # epochs follow each other and are as long as the pool, so one numbering of all of them serves
+    numbered = row_numbers(pool.withColumn("_order", order), ["epoch", "_order", key], name="_at").drop("_order").where(F.col("_at") < batch_size * n_batches)
     return numbered.select(key, "epoch", F.floor(F.col("_at") / batch_size).alias("batch"), (F.col("_at") % batch_size).alias("slot"))
 
 
@@ -75,7 +76,7 @@ def outer_union(sources: dict[str, DataFrame], main: str) -> DataFrame:
 
 def epoch_total(df: DataFrame, size: str, steps: int, order: str) -> DataFrame:
     """AGG-23: total size seen in steps items when the list is cycled in order: q whole rounds and the first r."""
-    numbered = df.withColumn("_rn", F.row_number().over(W.orderBy(order)))  # a list of shards: few rows
+    numbered = row_numbers(df, order, name="_rn").withColumn("_rn", F.col("_rn") + 1)
     total = numbered.agg(F.count("*").alias("n"), F.sum(size).alias("s"))
     q, r = F.floor(F.lit(steps) / F.col("n")), F.lit(steps) % F.col("n")
     return numbered.crossJoin(F.broadcast(total)).groupBy().agg((F.max(q) * F.max("s") + F.coalesce(F.sum(F.when(F.col("_rn") <= r, F.col(size))), F.lit(0))).alias("total"))

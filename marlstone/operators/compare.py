@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ragged import running_counts
+
 
 def valid_facts(facts: DataFrame) -> DataFrame:
     """FIL-06, FIL-07: without missing values and without seeds or methods that are metadata (leading underscore)."""
@@ -89,11 +91,11 @@ def scaled_errors(facts: DataFrame, scales: DataFrame, higher: Column, task: str
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """WIN-05, T15: rejected by the step-up rule over all tests: p at most the largest p_(k) <= k alpha / n.
 
-    Only counts by distinct p meet in one window; p values that decide nothing (above alpha) never do."""
+    Only counts by distinct p up to alpha are put in order, by ranges."""
     seen = tests.where(F.col(p).isNotNull())
     n = seen.agg(F.count("*").alias("n"))
     steps = seen.where(F.col(p) <= alpha).groupBy(p).agg(F.count("*").alias("c"))
-    ranked = steps.withColumn("k", F.sum("c").over(W.orderBy(p)))
+    ranked = running_counts(steps, [], p, ["c"]).withColumnRenamed("upto_c", "k")
     cut = ranked.crossJoin(F.broadcast(n)).where(F.col(p) <= F.col("k") / F.col("n") * alpha).agg(F.max(p).alias("_cut"))
     return tests.crossJoin(F.broadcast(cut)).withColumn("rejected", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 

@@ -125,3 +125,20 @@ def lookup(df: DataFrame, table: DataFrame, on: str, value: str, default: Column
     """JOI-06, JOI-07, JOI-08: left lookup in order of df, with found (validity) and default for misses."""
     t = table.select(on, F.col(value).alias("_v"))
     return df.join(t, on, "left").withColumn("found", F.col("_v").isNotNull()).withColumn(value, F.coalesce("_v", default)).drop("_v")
+
+
+def cached(df: DataFrame, cache: DataFrame, on: str, value: str, compute, zero: Column) -> DataFrame:
+    """JOI-08: value of each row from the cache; of keys that it lacks, computed once by compute(distinct keys), which may
+    leave some out; zero for those. Adds origin: cache, computed or zero."""
+    hits = df.join(cache.select(on, F.col(value).alias("_c")), on, "left")
+    missing = hits.where(F.col("_c").isNull() & F.col(on).isNotNull()).select(on).distinct()
+    made = compute(missing).select(on, F.col(value).alias("_m"))
+    both = hits.join(made, on, "left")
+    origin = F.when(F.col("_c").isNotNull(), "cache").when(F.col("_m").isNotNull(), "computed").otherwise("zero")
+    return both.withColumn("origin", origin).withColumn(value, F.coalesce("_c", "_m", zero)).drop("_c", "_m")
+
+
+def least_by(df: DataFrame, key: str, energy: str, columns: list[str]) -> DataFrame:
+    """SRT-05: the columns of the row with the least energy of each key; of equals the least row."""
+    best = df.where(F.col(energy).isNotNull()).groupBy(key).agg(F.min(F.struct(energy, *columns)).alias("_b"))
+    return best.select(key, *[F.col("_b")[c].alias(c) for c in (energy, *columns)])

@@ -53,8 +53,100 @@ def once_per_key(df: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame])
     return df.join(fn(df.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
 
 
+def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str, seconds: float | None = None) -> DataFrame:
+    """UDF-03, UDF-06: adds value, step (the place of the first step that did not fail) and error (of all steps, where all
+    failed). With seconds, each step runs in a process of its own that is killed when its time is up, so that code which
+    ignores signals cannot hold a task; null input gives nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    value = df.sparkSession.createDataFrame([], f"value {result}").schema.fields[0]
+    schema = StructType([*df.schema.fields, value, StructField("step", IntegerType()), StructField("error", StringType())])
+    arrow, at = to_arrow_schema(schema), df.columns.index(column)
+
+    def hard(fn, x):
+        """fn(x) in a forked process, killed after seconds."""
+        import multiprocessing
+
+        fork = multiprocessing.get_context("fork")
+        here, there = fork.Pipe(False)
+
+        def child():
+            try:
+                there.send((fn(x), None))
+            except Exception as problem:  # noqa: BLE001  any failure of a step is data
+                there.send((None, f"{type(problem).__name__}: {problem}"))
+
+        process = fork.Process(target=child, daemon=True)
+        process.start()
+        there.close()
+        try:
+            if not here.poll(seconds):
+                raise TimeoutError(f"killed after {seconds} s")
+            v, e = here.recv()
+        except EOFError:
+            raise RuntimeError("the process died") from None
+        finally:
+            process.kill()
+            process.join()
+        if e:
+            raise RuntimeError(e)
+        return v
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for x in batch[at].to_pylist():
+                errors, row = [], (None, None, None)
+                for k, fn in enumerate(steps if x is not None else []):
+                    try:
+                        row = (hard(fn, x) if seconds else fn(x), k, None)
+                        break
+                    except Exception as problem:  # noqa: BLE001
+                        errors.append(f"{type(problem).__name__}: {problem}"[:200])
+                        row = (None, None, "; ".join(errors))
+                out.append(row)
+            v, k, e = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, arrow.field("value").type), pa.array(k, pa.int32()), pa.array(e, pa.string())], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def least_squares(x, y, seed: int):
+    """A model for fit_predict: linear with an intercept; the seed is not needed."""
+    import numpy as np
+
+    w, *_ = np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)
+    return lambda new: np.c_[new, np.ones(len(new))] @ w
+
+
+def fit_predict(df: DataFrame, task: str, x: str, y: str, test: str, fit: Callable, members: int = 1) -> DataFrame:
+    """UDA-01..03: task, y and prediction of the test rows. In each task fit(x, y, seed) learns from the other rows with a
+    label, its target standardised (a deviation below 1e-8 counts as 1), and gives a function of x; predictions of members,
+    which differ by seed, are averaged. A task without training rows has null predictions. Tasks must fit a worker."""
+
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+
+        t = frame["test"].to_numpy(bool)
+        new = frame[t]
+        train = frame[~t & frame["y"].notna()]
+        guess = np.full(len(new), np.nan)
+        if len(train) and len(new):
+            target = train["y"].to_numpy(float)
+            mean, std = target.mean(), target.std()
+            std = 1.0 if std < 1e-8 else std
+            a, b = np.stack(train["x"].to_list()), np.stack(new["x"].to_list())
+            guess = np.mean([fit(a, (target - mean) / std, seed)(b) for seed in range(members)], axis=0) * std + mean
+        return pd.DataFrame({"task": new["task"], "y": new["y"], "prediction": guess})
+
+    rows = df.select(F.col(task).alias("task"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(test).alias("test"))
+    return rows.groupBy("task").applyInPandas(run, f"task {df.schema[task].dataType.simpleString()}, y double, prediction double")
+
+
 def per_task(df: DataFrame, task: str, fn: Callable, schema: str) -> DataFrame:
-    """UDA-01..03: fit and predict per task; fn takes and returns a pandas frame. Tasks must fit a worker."""
+    """UDA-01..03: any fit and predict per task; fn takes and returns a pandas frame. Tasks must fit a worker."""
     return df.groupBy(task).applyInPandas(fn, schema)
 
 

@@ -34,7 +34,7 @@ def complete_rows(df: DataFrame, columns: list[str], keys: DataFrame, on: str) -
     return df.dropna(subset=columns).join(keys, on, "left_semi")
 
 
-#: EXT-01: loss to metric, outputs and direction.
+#: Fixed values, EXT-01: loss to metric, outputs and whether higher is better.
 LOSSES = {"huber": ("mae", 1, False), "log_huber": ("mae", 1, False), "log_ratio_squared": ("mae", 1, False), "beta_nll": ("mae", 2, False), "ordinal": ("acc", 1, True), "focal": ("auroc", 1, True)}
 
 

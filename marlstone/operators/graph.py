@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def symmetrise(edges: DataFrame, real: Column) -> DataFrame:
     """GRA-01, SET-09: every edge, and the reverse of those that are real."""
@@ -16,9 +18,15 @@ def symmetrise(edges: DataFrame, real: Column) -> DataFrame:
     return edges.select("src", "dst", *others).unionByName(back)
 
 
+def _both_ways(edges: DataFrame, graph: str) -> DataFrame:
+    """graph, src, dst: every edge and its reverse once each, from one scan."""
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return edges.select(graph, F.explode(ways).alias("e")).select(graph, "e.src", "e.dst").distinct()
+
+
 def virtual_edges(wanted: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
     """FIL-19, GRA-02: wanted edges without those that exist in either direction, or that repeat."""
-    both = edges.select(graph, "src", "dst").union(edges.select(graph, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = _both_ways(edges, graph)
     pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
     first = wanted.join(both, [graph, "src", "dst"], "left_anti").withColumns({"a": pair[0], "b": pair[1]})
     best = first.groupBy(graph, "a", "b").agg(F.min(F.struct("src", "dst")).alias("e"))
@@ -26,16 +34,41 @@ def virtual_edges(wanted: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
 
 
 def star_and_ring(centers: DataFrame, graph: str) -> DataFrame:
-    """GRA-02, WIN-13: for each center with neighbours ranked best first: spokes to the three after the
-    first, and a ring over them, reversed where turn is 'S'. centers: graph, center, neighbours, turn."""
-    top = F.slice("neighbours", 1, 4)
-    rest = F.slice(top, 2, 3)
-    ring = F.when(F.col("turn") == "S", F.reverse(rest)).otherwise(rest)
-    c = centers.where(F.size("neighbours") >= 4).withColumn("_r", ring)
+    """GRA-02, WIN-13: around each center with four neighbours or more, ranked best first: the first three, reversed where turn
+    is 'S', are a, b, c and the fourth is d; spokes join a, b, c with d both ways, a ring goes b to a, c to b, a to c.
+    centers: graph, neighbours, turn. Give the result to without_real for edges that exist."""
+    first = F.slice("neighbours", 1, 3)
+    c = centers.where(F.size("neighbours") >= 4).select(graph, F.when(F.col("turn") == "S", F.reverse(first)).otherwise(first).alias("_r"), F.get("neighbours", F.lit(3)).alias("_d"))
     r = lambda i: F.get("_r", F.lit(i))
-    spokes = F.array(*[F.struct(F.col("center").alias("src"), r(i).alias("dst"), F.lit("spoke").alias("kind")) for i in range(3)])
-    circle = F.array(*[F.struct(r(i).alias("src"), r((i + 1) % 3).alias("dst"), F.lit("ring").alias("kind")) for i in range(3)])
-    return c.select(graph, F.explode(F.concat(spokes, circle)).alias("e")).select(graph, "e.src", "e.dst", "e.kind")
+    edge = lambda u, v, kind: F.struct(u.alias("src"), v.alias("dst"), F.lit(kind).alias("kind"))
+    spokes = [e for i in range(3) for e in (edge(r(i), F.col("_d"), "spoke"), edge(F.col("_d"), r(i), "spoke"))]
+    ring = [edge(r(1), r(0), "ring"), edge(r(2), r(1), "ring"), edge(r(0), r(2), "ring")]
+    return c.select(graph, F.explode(F.array(*spokes, *ring)).alias("e")).select(graph, "e.src", "e.dst", "e.kind")
+
+
+def across_double(bonds: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
+    """GRA-02: edges across double bonds of known geometry, both ways. bonds: graph, src, dst, kind ('E' or 'Z'), s_src and s_dst,
+    the reference neighbours of both ends. The other neighbour of an end (o_src, o_dst) is its least one besides the bond and the reference.
+    s_src to s_dst and o_src to o_dst are of the bond's kind, o_src to s_dst and s_src to o_dst of the other; what is absent is left out."""
+    both = _both_ways(edges, graph).withColumnsRenamed({"src": "_u", "dst": "_v"})
+    known = bonds.where(F.col("kind").isin("E", "Z") & (F.col("s_src") >= 0) & (F.col("s_dst") >= 0))
+
+    def other(end: str, far: str) -> DataFrame:
+        own = known.select(graph, "src", "dst", F.col(end).alias("_u"), F.col(far).alias("_far"), F.col(f"s_{end}").alias("_s")).join(both, [graph, "_u"])
+        return own.where("_v <> _far and _v <> _s").groupBy(graph, "src", "dst").agg(F.min("_v").alias(f"o_{end}"))
+
+    full = known.join(other("src", "dst"), [graph, "src", "dst"], "left").join(other("dst", "src"), [graph, "src", "dst"], "left")
+    turned = F.when(F.col("kind") == "E", "Z").otherwise("E")
+    pairs = [("s_src", "s_dst", F.col("kind")), ("o_src", "s_dst", turned), ("s_src", "o_dst", turned), ("o_src", "o_dst", F.col("kind"))]
+    edge = lambda u, v, kind: F.struct(F.col(u).alias("src"), F.col(v).alias("dst"), kind.alias("kind"))
+    listed = F.array(*[e for u, v, k in pairs for e in (edge(u, v, k), edge(v, u, k))])
+    return full.select(graph, F.explode(listed).alias("e")).select(graph, "e.src", "e.dst", "e.kind").where("src is not null and dst is not null")
+
+
+def without_real(wanted: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
+    """FIL-19: wanted edges once each by kind, without those whose ends a real edge joins in either direction."""
+    both = _both_ways(edges, graph)
+    return wanted.distinct().join(both, [graph, "src", "dst"], "left_anti")
 
 
 def ranked_neighbours(edges: DataFrame, graph: str, priority: str, most: int = 4) -> DataFrame:
@@ -63,9 +96,11 @@ def virtual_node(nodes: DataFrame, edges: DataFrame, graph: str) -> tuple[DataFr
 
 def transition(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
     """GRA-03: row-normalised adjacency with self-loops: graph, i, j, p."""
-    pairs = edges.select(graph, F.col("src").alias("i"), F.col("dst").alias("j")).union(edges.select(graph, "dst", "src"))
-    loops = nodes.select(graph, F.col("node").alias("i"), F.col("node").alias("j"))
-    a = pairs.union(loops).distinct()
+    own = F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j")))
+    loop = F.array(F.struct(F.col("node").alias("i"), F.col("node").alias("j")))
+    # one explode over both tables' rows: what follows needs the pairs of all of them by graph
+    rows = edges.select(graph, own.alias("p")).unionByName(nodes.select(graph, loop.alias("p")))
+    a = rows.select(graph, F.explode("p").alias("p")).select(graph, "p.i", "p.j").distinct()
     degree = a.groupBy(graph, "i").agg(F.count("*").alias("degree"))
     return a.join(degree, [graph, "i"]).select(graph, "i", "j", (1.0 / F.col("degree")).alias("p"), "degree")
 
@@ -78,6 +113,7 @@ def walk_powers(t: DataFrame, graph: str, steps: int) -> DataFrame:
         left = power.select(graph, "i", F.col("j").alias("m"), F.col("p").alias("a"))
         right = step.select(graph, F.col("i").alias("m"), "j", F.col("p").alias("b"))
         power = left.join(right, [graph, "m"]).groupBy(graph, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p")).withColumn("k", F.lit(k)).select(graph, "i", "j", "p", "k")
+        power = written(power)  # else the plan of the last power repeats all before it
         out = out.unionByName(power)
     return out
 

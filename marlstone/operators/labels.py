@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ragged import running_counts
+
 WIDE_LIMIT = 200  # columns up to which one wide aggregate compiles well
 
 
@@ -59,13 +61,11 @@ def reason_histogram(filtered: DataFrame) -> DataFrame:
 def floor_quantiles(df: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
     """AGG-08, T9: sorted[int(p (n - 1))] per group, with least and most.
 
-    Values are first counted, so a group is as long as its distinct values, and a window over the
-    counts finds the ranks."""
-    from pyspark.sql import Window as W
-
+    Values are first counted; the counts are added up by ranges of the order, so a group may hold any share of the rows."""
     c = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(group).orderBy(value)
-    ranked = c.select(group, value, F.sum("c").over(w).alias("upto"), F.sum("c").over(W.partitionBy(group)).alias("n"))
+    ranked = running_counts(c, [group], value, ["c"]).withColumnRenamed("upto_c", "upto")
+    n = c.groupBy(group).agg(F.sum("c").alias("n"))
+    ranked = ranked.join(n, group)
     at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(float(p)) * (F.col("n") - 1)), F.col(value)))
     return ranked.groupBy(group).agg(F.min(value).alias("least"), *[at(p).alias(f"q{round(100 * p)}") for p in quantiles], F.max(value).alias("most"))
 

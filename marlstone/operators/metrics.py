@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions.keys import finite
+from .ragged import running_counts
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,36 @@ def logit_metric(f: Callable) -> Callable:
     return lambda y, x: f(y, x)
 
 
-#: EXT-01, EXT-04: name to metric; unknown names raise KeyError.
+class Running:
+    """EXT-03: a metric over batches: update with each, score at any time, reinit to start again.
+
+    The state is a table of sums and counts by key; what is kept of a batch is as small as its keys."""
+
+    def __init__(self, metric: Metric, keys: list[str]):
+        self.metric, self.keys, self.state = metric, keys, None
+
+    def update(self, batch: DataFrame, y: Column, p: Column) -> Running:
+        new = self.metric.partial(batch, self.keys, y, p)
+        self.state = new if self.state is None else self.metric.merge(self.state.unionByName(new), self.keys)
+        return self
+
+    def score(self) -> DataFrame:
+        if self.state is None:
+            raise ValueError("no batch yet")
+        return self.metric.finish(self.state)
+
+    def reinit(self) -> None:
+        self.state = None
+
+
+def scorer(name: str) -> Metric:
+    """EXT-04: the metric of a name; ValueError for others."""
+    if name not in METRICS:
+        raise ValueError(f"unknown metric: {name}")
+    return METRICS[name]
+
+
+#: EXT-01, EXT-04: name to metric.
 METRICS: dict[str, Metric] = {
     m.name: m
     for m in (
@@ -69,10 +98,9 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
 
 
 def mid_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Average ranks of ties. Equal values are counted before the window, which then sees distinct values only."""
-    c = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy(value))
-    ranks = c.withColumn(name, upto - (F.col("_c") - 1) / 2.0).drop("_c")
+    """Average ranks of ties. Equal values are counted first; counts are added up by ranges of the order, not by keys."""
+    c = running_counts(df.groupBy(*keys, value).agg(F.count("*").alias("c")), keys, value, ["c"])
+    ranks = c.withColumn(name, F.col("upto_c") - (F.col("c") - 1) / 2.0).drop("c", "upto_c")
     return df.join(ranks, [*keys, value])
 
 
@@ -80,8 +108,7 @@ def auroc(df: DataFrame, keys: list[str], y: str, score: str, least: int = 1) ->
     """AGG-15, AGG-17: area under the ROC curve by mid-ranks; null with fewer than least positives or negatives."""
     seen = df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull())
     c = seen.groupBy(*keys, score).agg(F.count("*").alias("c"), F.count_if(F.col(y) == 1).alias("pos"))
-    upto = F.sum("c").over(W.partitionBy(*keys).orderBy(score))
-    ranked = c.withColumn("rank", upto - (F.col("c") - 1) / 2.0)
+    ranked = running_counts(c, keys, score, ["c"]).withColumn("rank", F.col("upto_c") - (F.col("c") - 1) / 2.0)
     s = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("c").cast("double").alias("n"))
     neg = F.col("n") - F.col("p")
     area = (F.col("r") - F.col("p") * (F.col("p") + 1.0) / 2.0) / (F.col("p") * neg)
@@ -96,8 +123,7 @@ def mean_auroc(df: DataFrame, keys: list[str], y: str, score: str, least: int =
 def average_precision(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """AGG-17: sum over thresholds of precision times the gain in recall; ties are one threshold."""
     c = df.where(F.col(y).isin(0, 1) & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("c"), F.count_if(F.col(y) == 1).alias("pos"))
-    w = W.partitionBy(*keys).orderBy(F.desc(score))
-    step = c.select(*keys, "pos", F.sum("pos").over(w).alias("tp"), F.sum("c").over(w).alias("k"))
+    step = running_counts(c, keys, F.desc(score), ["pos", "c"]).select(*keys, "pos", F.col("upto_pos").alias("tp"), F.col("upto_c").alias("k"))
     s = step.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("tp") / F.col("k")).alias("s"), F.sum("pos").alias("p"))
     return s.select(*keys, F.try_divide("s", "p").alias("average_precision"))
 
@@ -139,25 +165,22 @@ def ensemble(df: DataFrame, key: str, p: str, cut: float = 0.5) -> DataFrame:
     return df.groupBy(key).agg(F.avg(p).alias("p")).withColumn("label", (F.col("p") > cut).cast("int"))
 
 
-def beta_nll(df: DataFrame, y: str, a: str, b: str, name: str = "nll") -> DataFrame:
-    """MTH-04: negative log density of Beta(a, b) at y; log-gamma is not built in, so an Arrow map."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
-    arrow, at = to_arrow_schema(schema), [df.columns.index(c) for c in (y, a, b)]
+#: Coefficients of Lanczos' approximation of log gamma (g = 7).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
-    def run(batches):
-        from math import lgamma, log
 
-        def one(t, p, q):
-            if t is None or p is None or q is None or not 0 < t < 1 or p <= 0 or q <= 0:
-                return None
-            return lgamma(p) + lgamma(q) - lgamma(p + q) - (p - 1) * log(t) - (q - 1) * log(1 - t)
+def log_gamma(x: Column) -> Column:
+    """MTH-04: log gamma of positive x in built-in expressions."""
+    z = x - 1.0
+    total = F.lit(LANCZOS[0])
+    for k, c in enumerate(LANCZOS[1:], 1):
+        total = total + c / (z + float(k))
+    t = z + 7.5
+    return 0.91893853320467274178 + (z + 0.5) * F.log(t) - t + F.log(total)
 
-        for batch in batches:
-            values = [one(*r) for r in zip(*(batch[i].to_pylist() for i in at), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+def beta_nll(df: DataFrame, y: str, a: str, b: str, name: str = "nll") -> DataFrame:
+    """MTH-04: negative log density of Beta(a, b) at y; null outside its domain."""
+    t, p, q = (F.col(c).cast("double") for c in (y, a, b))
+    density = log_gamma(p) + log_gamma(q) - log_gamma(p + q) - (p - 1.0) * F.log(t) - (q - 1.0) * F.log(1.0 - t)
+    return df.withColumn(name, F.when((t > 0) & (t < 1) & (p > 0) & (q > 0), density))

@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64  # order ranges for two-level prefix sums: bounds what meets in one task
-
-
-def _ranges(df: DataFrame, order: str, ranges: int) -> DataFrame:
-    """Adds _range: the order column's place among approximate quantiles; equal values share a range."""
-    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
-    return df.withColumn("_range", place)
-
-
-def prefix_sum(df: DataFrame, order: str, value: Column, name: str, ties: list[str] | None = None, inclusive: bool = False, ranges: int = RANGES) -> DataFrame:
-    """WIN-02: running sum of value in order of a numeric column (then ties), exclusive unless said.
-
-    Two levels: sums of order ranges are few rows, whose prefix is broadcast; rows are only windowed
-    inside their range."""
-    placed = _ranges(df.withColumn("_value", value), order, ranges)
-    sums = placed.groupBy("_range").agg(F.sum("_value").alias("_s"))
-    # at most RANGES rows, whatever the input
+from ..session import written
+
+
+def prefix_sum(df: DataFrame, order: str | list[str | Column], value: Column, name: str, ties: list[str] | None = None, inclusive: bool = False, ranges: int | None = None) -> DataFrame:
+    """WIN-02: running sum of value in order (then ties), exclusive unless said.
+
+    Rows are dealt once by ranges of the order, as many as there are shuffle partitions, and summed up in each task as they
+    stream through; the sums of ranges, one a task, are added to them. Rows equal in order and ties follow in any order."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    spark = df.sparkSession
+    valued = df.withColumn("_value", value)
+    kind = "double" if dict(valued.dtypes)["_value"] in ("double", "float") else "long"
+    valued = valued.withColumn("_value", F.col("_value").cast(kind))
+    schema = StructType([*valued.schema.fields, StructField("_own", valued.schema["_value"].dataType), StructField("_range", IntegerType())])
+    arrow = to_arrow_schema(schema)
+    at = valued.columns.index("_value")
+
+    def add(batches):
+        place, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            v = np.asarray(batch[at].fill_null(0))
+            run = np.cumsum(v) + total
+            total = run[-1] if len(run) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run if inclusive else run - v), pa.array(np.full(len(v), place, np.int32))], schema=arrow)
+
+    by = [*([order] if isinstance(order, str) else order), *(ties or [])]
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(valued.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(add, schema))
+    sums = rows.groupBy("_range").agg(F.sum("_value").alias("_s"))
+    # one row a range
     before = sums.select("_range", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    w = W.partitionBy("_range").orderBy(order, *(ties or [])).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    own = placed.withColumn("_own", F.coalesce(F.sum("_value").over(w), F.lit(0)))
-    return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_value", "_own", "_before")
-
-
-def row_numbers(df: DataFrame, order: str, ties: list[str] | None = None, name: str = "rn") -> DataFrame:
+    return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_value", "_own", "_before")
+
+
+def running_counts(counted: DataFrame, keys: list[str], value: str | Column, columns: list[str]) -> DataFrame:
+    """Adds upto_<c> for each of columns: its sum over the rows of the same keys up to and with this one, in order of value, which
+    no two rows of a key share. A key may hold any share of the rows: ranges of the order are summed, not keys."""
+    out = counted
+    for c in columns:
+        out = prefix_sum(out, [*keys, value], F.col(c), f"_{c}")
+    if keys:
+        start = out.groupBy(*keys).agg(*[F.min(f"_{c}").alias(f"_first_{c}") for c in columns])
+        same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+        joined = out.alias("a").join(start.alias("b"), reduce(lambda x, y: x & y, same))
+        out = joined.select("a.*", *[f"b._first_{c}" for c in columns])
+    else:
+        out = out.withColumns({f"_first_{c}": F.lit(0) for c in columns})
+    return out.withColumns({f"upto_{c}": F.col(f"_{c}") - F.col(f"_first_{c}") + F.col(c) for c in columns}).drop(*[f"_{c}" for c in columns], *[f"_first_{c}" for c in columns])
+
+
+def row_numbers(df: DataFrame, order: str | list[str | Column], ties: list[str] | None = None, name: str = "rn") -> DataFrame:
     """SRT-06, SRT-07: 0, 1, 2, ... in order."""
     return prefix_sum(df, order, F.lit(1), name, ties)
 
@@ -53,10 +84,9 @@ def fixed_ranges(df: DataFrame, order: str, size: int, ties: list[str] | None =
 
 
 def group_shards(df: DataFrame, shard: str, every: int) -> DataFrame:
-    """WIN-08: every so many consecutive shards become one group; the shard list is small."""
-    ids = df.select(shard).distinct()
-    numbered = ids.select(shard, (F.dense_rank().over(W.orderBy(shard)) - 1).alias("_r"))
-    return df.join(F.broadcast(numbered), shard).withColumn("grp", F.floor(F.col("_r") / every)).drop("_r")
+    """WIN-08: every so many consecutive shards become one group."""
+    numbered = row_numbers(df.select(shard).distinct(), shard, name="_r")
+    return df.join(numbered, shard).withColumn("grp", F.floor(F.col("_r") / every)).drop("_r")
 
 
 def offsets(nodes: DataFrame, graph: str) -> DataFrame:

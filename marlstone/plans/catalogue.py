@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, evaluation, graphs, registry, samples, streams  # noqa: F401  importing registers
+from . import corpus, evaluation, graphs, registry, roundtrips, samples, streams  # noqa: F401  importing registers
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -298,8 +298,8 @@ def _ruled(spark: SparkSession, sf: str, correction: str) -> DataFrame:
 
 def _wins_sql(rule: str) -> str:
     return f"""WITH {_RULED.format(rule=rule)}, o AS (SELECT CASE WHEN a_first THEN method_a ELSE method_b END AS better, CASE WHEN a_first THEN method_b ELSE method_a END AS worse, rejected FROM x),
-s AS (SELECT better AS method, worse AS other, rejected AS win, NOT rejected AS tie FROM o UNION ALL SELECT worse, better, false, NOT rejected FROM o)
-SELECT method, other, count(*) FILTER (WHERE win)::BIGINT AS wins, count(*) FILTER (WHERE tie)::BIGINT AS ties FROM s GROUP BY ALL HAVING count(*) FILTER (WHERE win OR tie) > 0"""
+sides AS (SELECT better AS method, worse AS other, rejected AS win, NOT rejected AS tie FROM o UNION ALL SELECT worse, better, false, NOT rejected FROM o)
+SELECT method, other, count(*) FILTER (WHERE win)::BIGINT AS wins, count(*) FILTER (WHERE tie)::BIGINT AS ties FROM sides GROUP BY ALL HAVING count(*) FILTER (WHERE win OR tie) > 0"""
 
 
 @query(_wins_sql(_BH))

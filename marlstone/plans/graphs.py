@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -32,18 +33,40 @@ WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = v.conv_id AND e.src = v.src
 def virtual_edges(spark, sf):
     """GRA-02, FIL-19: turns two apart, without real pairs and repeats."""
     t = table(spark, sf, "conversations", ["conv_id", "turn"])
-    b = t.withColumnRenamed("turn", "dst")
-    wanted = t.join(b, "conv_id").where(F.col("dst").isin(F.col("turn") + 1) | (F.abs(F.col("dst") - F.col("turn")) == 2)).select("conv_id", F.col("turn").alias("src"), "dst")
+    # an equi-join on the shifted turn, not all pairs of a conversation
+    shifted = t.select("conv_id", F.col("turn").alias("src"), F.explode(F.array(F.col("turn") + 1, F.col("turn") + 2, F.col("turn") - 2)).alias("dst"))
+    wanted = shifted.join(t.withColumnRenamed("turn", "dst"), ["conv_id", "dst"]).select("conv_id", "src", "dst")
     return G.virtual_edges(wanted, _turn_edges(spark, sf), "conv_id")
 
 
-@query("""SELECT p_brand, src, dst, kind FROM (SELECT p_brand, list(s ORDER BY rn) AS l FROM (
-  SELECT p_brand, p_partkey AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 4 GROUP BY p_brand HAVING count(*) = 4) q,
-LATERAL (SELECT * FROM (VALUES (0, l[2], 'spoke'), (0, l[3], 'spoke'), (0, l[4], 'spoke'), (l[2], l[3], 'ring'), (l[3], l[4], 'ring'), (l[4], l[2], 'ring')) v(src, dst, kind))""")
+@query("""WITH c AS (SELECT p_brand, CASE WHEN p_brand LIKE '%1' THEN list_reverse(l[1:3]) ELSE l[1:3] END AS r, l[4] AS d FROM (SELECT p_brand, list(s ORDER BY rn) AS l FROM (
+  SELECT p_brand, p_partkey AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 4 GROUP BY p_brand HAVING count(*) = 4)),
+e AS (SELECT p_brand, unnest([struct_pack(s := r[1], t := d, k := 'spoke'), struct_pack(s := d, t := r[1], k := 'spoke'), struct_pack(s := r[2], t := d, k := 'spoke'), struct_pack(s := d, t := r[2], k := 'spoke'),
+  struct_pack(s := r[3], t := d, k := 'spoke'), struct_pack(s := d, t := r[3], k := 'spoke'), struct_pack(s := r[2], t := r[1], k := 'ring'), struct_pack(s := r[3], t := r[2], k := 'ring'), struct_pack(s := r[1], t := r[3], k := 'ring')]) AS e FROM c)
+SELECT DISTINCT p_brand, e.s AS src, e.t AS dst, e.k AS kind FROM e WHERE abs(e.s - e.t) <> 25""")
 def star_and_ring(spark, sf):
-    """GRA-02, WIN-13: each brand as a center with its dearest parts."""
-    edges = table(spark, sf, "part").select("p_brand", F.lit(0).cast("long").alias("src"), F.col("p_partkey").alias("dst"), "p_retailprice")
-    return G.star_and_ring(G.ranked_neighbours(edges, "p_brand", "p_retailprice").withColumn("turn", F.lit("R")), "p_brand")
+    """GRA-02, WIN-13, FIL-19: each brand as a center with its dearest parts, some turned; parts 25 apart are joined already."""
+    part = table(spark, sf, "part", ["p_brand", "p_partkey", "p_retailprice"])
+    edges = part.select("p_brand", F.lit(0).cast("long").alias("src"), F.col("p_partkey").alias("dst"), "p_retailprice")
+    centers = G.ranked_neighbours(edges, "p_brand", "p_retailprice").withColumn("turn", F.when(F.col("p_brand").endswith("1"), "S").otherwise("R"))
+    real = part.select("p_brand", F.col("p_partkey").alias("src"), (F.col("p_partkey") + 25).alias("dst"))
+    return G.without_real(G.star_and_ring(centers, "p_brand"), real, "p_brand")
+
+
+@query("""WITH n AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+b AS (SELECT p_brand, i, CASE WHEN i % 2 = 0 THEN 'E' ELSE 'Z' END AS k, CASE WHEN i % 2 = 0 THEN 'Z' ELSE 'E' END AS inv, i - 1 AS s3, i + 2 AS s4,
+  CASE WHEN i >= 4 THEN i - 4 WHEN i + 4 < n THEN i + 4 END AS s5, CASE WHEN i >= 3 THEN i - 3 WHEN i + 5 < n THEN i + 5 END AS s6 FROM n WHERE i % 5 = 3 AND i + 2 < n),
+p AS (SELECT p_brand, s3 AS u, s4 AS v, k FROM b UNION SELECT p_brand, s5, s4, inv FROM b UNION SELECT p_brand, s3, s6, inv FROM b UNION SELECT p_brand, s5, s6, k FROM b),
+e AS (SELECT p_brand, u AS src, v AS dst, k AS kind FROM p UNION SELECT p_brand, v, u, k FROM p)
+SELECT * FROM e WHERE src IS NOT NULL AND dst IS NOT NULL AND abs(src - dst) NOT IN (1, 4)""")
+def double_bond_edges(spark, sf):
+    """GRA-02, FIL-19: parts of a brand in a row, joined with the next and the fourth next; every fifth bond has a geometry."""
+    part = table(spark, sf, "part", ["p_brand", "p_partkey"])
+    w = W.partitionBy("p_brand")
+    n = part.select("p_brand", (F.row_number().over(w.orderBy("p_partkey")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    edges = n.select("p_brand", F.col("i").alias("src"), F.explode(F.array(F.col("i") + 1, F.col("i") + 4)).alias("dst"), "n").where("dst < n").drop("n")
+    bonds = n.where("i % 5 = 3 and i + 2 < n").select("p_brand", F.col("i").alias("src"), (F.col("i") + 1).alias("dst"), F.when(F.col("i") % 2 == 0, "E").otherwise("Z").alias("kind"), (F.col("i") - 1).alias("s_src"), (F.col("i") + 2).alias("s_dst"))
+    return G.without_real(G.across_double(bonds, edges, "p_brand"), edges, "p_brand")
 
 
 @query(f"WITH {_EDGES}, n AS (SELECT conv_id, max(n) AS hub FROM (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY conv_id) GROUP BY conv_id) SELECT conv_id, src, dst FROM e UNION ALL SELECT DISTINCT conv_id, turn, hub FROM conversations JOIN n USING (conv_id) UNION ALL SELECT DISTINCT conv_id, hub, turn FROM conversations JOIN n USING (conv_id)")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import guard
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -14,7 +16,7 @@ def query(sql: str | None = None) -> Callable:
     """Registers a query under its function's name, with the SQL that states the same."""
 
     def keep(fn: Callable) -> Callable:
-        QUERIES[fn.__name__] = fn
+        QUERIES[fn.__name__] = lambda spark, folder: fn(guard(spark), folder)
         if sql:
             SQL[fn.__name__] = sql
         return fn

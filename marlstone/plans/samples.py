@@ -83,24 +83,24 @@ def group_shards(spark, sf):
     return R.group_shards(table(spark, sf, "supplier", ["s_suppkey", "s_nationkey"]), "s_nationkey", 4)
 
 
-_PACK = """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+_PACK = """WITH RECURSIVE o AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS part, doc_id, n_chars AS n, (row_number() OVER (ORDER BY doc_id) - 1) % 128 + 1 AS i FROM documents),
 r AS (
-  SELECT source, doc_id, i, 0::BIGINT AS batch, CASE WHEN n >= 20000 THEN NULL ELSE n END AS used FROM o WHERE i = 1
+  SELECT part, doc_id, i, 0::BIGINT AS batch, CASE WHEN n >= 20000 THEN NULL ELSE n END AS used FROM o WHERE i = 1
   UNION ALL
-  SELECT o.source, o.doc_id, o.i, CASE WHEN o.n >= 20000 OR r.used IS NULL OR r.used + o.n > 20000 THEN r.batch + 1 ELSE r.batch END,
+  SELECT o.part, o.doc_id, o.i, CASE WHEN o.n >= 20000 OR r.used IS NULL OR r.used + o.n > 20000 THEN r.batch + 1 ELSE r.batch END,
          CASE WHEN o.n >= 20000 THEN NULL WHEN r.used IS NULL OR r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END
-  FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1
+  FROM r JOIN o ON o.part = r.part AND o.i = r.i + 1
 )"""
 
 
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
-    return B.budget_pack(table(spark, sf, "documents", ["source", "doc_id", "n_chars"]), "source", ["doc_id"], "n_chars", 20_000)
+    return B.budget_pack(R.fixed_ranges(table(spark, sf, "documents", ["doc_id", "n_chars"]), "doc_id", 128), "part", ["doc_id"], "n_chars", 20_000)
 
 
-@query(_PACK + " SELECT source, doc_id, batch FROM r")
+@query(_PACK + " SELECT part, doc_id, batch FROM r")
 def budget_pack(spark, sf):
     """WIN-09, T22."""
-    return _packed(spark, sf).select("source", "doc_id", "batch")
+    return _packed(spark, sf).select("part", "doc_id", "batch")
 
 
 @query("""WITH b AS (SELECT DISTINCT (l_shipdate::DATE - DATE '1990-01-01') // 30 AS d FROM lineitem), n AS (SELECT row_number() OVER (ORDER BY d) - 1 AS batch FROM b), c AS (SELECT count(*) AS n FROM n),

@@ -59,7 +59,7 @@ def checkpoint_retention(spark, sf):
 def stream_incremental_metric(spark, sf):
     """STM-01, STM-02, STM-03."""
     stream = S.file_stream(spark, f"{sf}/events.parquet")
-    out = S.run_to_end(S.masked_totals(stream, ["event_type"], F.col("value")))
+    out = S.run_to_end(S.masked_totals(stream, ["event_type"], F.col("value")), ["event_type"])
     return out.select("event_type", F.round("total", 4).alias("total"), "n")
 
 
@@ -67,7 +67,7 @@ def stream_incremental_metric(spark, sf):
 def stream_windowed_counts(spark, sf):
     """STM-02, T19: event-time windows."""
     stream = S.file_stream(spark, f"{sf}/events.parquet")
-    out = S.run_to_end(S.windowed_totals(stream, "ts", "1 day", "1 day", ["event_type"], F.col("value")))
+    out = S.run_to_end(S.windowed_totals(stream, "ts", "1 day", "1 day", ["event_type"], F.col("value")), ["w", "event_type"])
     return out.select(F.col("w.start").cast("long").alias("start"), "event_type", "n")
 
 

@@ -65,6 +65,26 @@ def keys_file(spark: SparkSession, path: str, name: str = "key") -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias(name)).where(F.length(name) > 0)
 
 
+def with_retry(read, tries: int = 5, wait: float = 1.0):
+    """SRC-10: read() again after a failure, waiting twice as long each time; the last failure is raised."""
+    import time
+
+    for k in range(tries):
+        try:
+            return read()
+        except Exception:
+            if k + 1 == tries:
+                raise
+            time.sleep(wait * 2**k)
+
+
+def union_of_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """SRC-10, SET-06: rows of all splits, with the split's name, in order of name."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [splits[k].withColumn("split", F.lit(k)) for k in sorted(splits)])
+
+
 def keys_by(df: DataFrame, group: str, key: str) -> DataFrame:
     """SRC-10: sorted distinct keys of each split or task."""
     return df.groupBy(group).agg(F.sort_array(F.collect_set(key)).alias("keys"))
@@ -119,6 +139,21 @@ def cube_json(facts: DataFrame, keys: list[str]) -> DataFrame:
     return listed.select(*keys, F.to_json(cube).alias("json"))
 
 
+def leaf(cube: Column, *path: str, default: float | None = None) -> Column:
+    """MAP-02: the value below nested map keys, default where a key is absent."""
+    for k in path:
+        cube = F.try_element_at(cube, F.lit(k))
+    return F.coalesce(cube, F.lit(default))
+
+
+def keyed_cache(parts: list[DataFrame], key: str, clear: bool) -> DataFrame:
+    """SRC-15, SRC-23: one row a key of cache tables read one after another: with clear the last table alone, else the first
+    table that has a key; within a table the least row by its other columns."""
+    from ..operators.corpus import merge_keep_first
+
+    return merge_keep_first(parts[-1:] if clear else parts, [key])
+
+
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """SRC-17, JOI-15: a fixed small table."""
     return spark.createDataFrame(rows, schema)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_folder
+
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """STM-01: Parquet files one after another, as a rotating shard loop."""
@@ -27,13 +27,20 @@ def windowed_totals(stream: DataFrame, ts: str, late: str, width: str, keys: lis
     return timed.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """STM-03: processes what is there and returns the result table; with a checkpoint it resumes."""
-    name = f"t_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """STM-03: processes what is there and returns the last row of each key.
+
+    The query runs in update mode, so that a watermark lets finished windows leave the state, and each batch writes the rows it
+    changed below folder; a batch that runs again overwrites its own. With a folder given before, it goes on from where it stopped."""
+    folder = folder or scratch_folder(stream.sparkSession)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
 def calibrated_minimum(stream: DataFrame, task: str, value: str, calibration: int) -> DataFrame:

@@ -303,7 +303,7 @@ def test_sources_and_sinks_round_trip(spark, tmp_path):
     assert [r["k"] for r in json.load(open(f"{tmp_path}/s.json"))] == ["k0", "k1", "k2"]
     for v in (1.0, 2.0):
         sinks.upsert_parquet(spark, f"{tmp_path}/u", spark.createDataFrame([("a", v)], "k string, v double"), ["k"])
-    assert rows(spark.read.parquet(f"{tmp_path}/u")) == [("a", 2.0)]
+    assert rows(sinks.read_upserted(spark, f"{tmp_path}/u")) == [("a", 2.0)]
     sinks.write_with_quarantine(spark.createDataFrame([(1, None), (2, "bad")], "i int, error string"), f"{tmp_path}/good", f"{tmp_path}/bad")
     assert spark.read.parquet(f"{tmp_path}/good").count() == spark.read.parquet(f"{tmp_path}/bad").count() == 1
     with pytest.raises(KeyError):

@@ -17,11 +17,11 @@ def test_minimum_freezes_after_calibration(spark, tmp_path):
     df = spark.createDataFrame([("a", 5.0), ("a", 3.0), ("a", 4.0), ("b", 1.0)], "t string, v double")
     df.coalesce(1).write.parquet(f"{tmp_path}/1")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/1")
-    got = {r.task: r for r in S.run_to_end(S.calibrated_minimum(stream, "t", "v", 2), "update").collect()}
+    got = {r.task: r for r in S.run_to_end(S.calibrated_minimum(stream, "t", "v", 2), ["task"]).collect()}
     assert (got["a"].nadir, got["a"].frozen, got["b"].frozen) == (3.0, True, False)
 
 
 def test_masked_totals_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", None)], "k string, v double").write.parquet(f"{tmp_path}/x/t.parquet")
     stream = spark.readStream.schema("k string, v double").parquet(f"{tmp_path}/x/t.parquet")
-    assert [tuple(r) for r in S.run_to_end(S.masked_totals(stream, ["k"], F.col("v"))).collect()] == [("a", 1.0, 1)]
+    assert [tuple(r) for r in S.run_to_end(S.masked_totals(stream, ["k"], F.col("v")), ["k"]).collect()] == [("a", 1.0, 1)]
