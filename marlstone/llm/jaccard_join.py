@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
@@ -51,6 +51,7 @@ DEEPEST = 8
 CELL = np.uint64(24)  # frequencies are kept for the leading 40 bits
 SHORT = np.uint64(16)  # verification compares 48 bits
 MOST = 65535
+CARRY = 32  # token groups of a class up to which its rows name all of them; a class with more is paired group by group
 
 
 class _Shingles:
@@ -182,17 +183,22 @@ def _between(links: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _token_groups(rows: DataFrame) -> DataFrame:
-    """group, set, n, shared, depth, upto: one row for each class and group of its prefix shingles; upto[l - 1] counts
-    those of a level up to l, as far as it matters. rows: set, n, shared, depth, token, level.
+    """group, set, n, shared, depth, upto: one row for each class and group of its prefix shingles; upto has four bits a
+    depth: how many of them are of a level up to it, as far as it matters. rows: set, n, shared, depth, token, level.
 
     Shingles are grouped by the number and two exclusive sums of hashes of the classes in their postings; were two
     postings taken for one, there would be more candidates, not fewer links."""
     h = lambda salt: F.bit_xor(F.xxhash64("set", F.lit(salt)))
     postings = rows.groupBy("token").agg(F.count("*").alias("k"), h(1).alias("x"), h(2).alias("y")).where("k > 1").select("token", F.xxhash64("k", "x", "y").alias("group"))
-    upto = F.array(*[F.least(F.count_if(F.col("level") <= depth), F.lit(DEEPEST)).cast("int") for depth in range(1, DEEPEST + 1)])
+    upto = sum((F.shiftleft(F.least(F.count_if(F.col("level") <= depth), F.lit(DEEPEST)), 4 * (depth - 1)) for depth in range(1, DEEPEST + 1)), F.lit(0).cast("long"))
     return rows.join(postings, "token").groupBy("group", "set", "n", "shared", "depth").agg(upto.alias("upto"))
 
 
+def _at_depth(upto: Column, depth: Column) -> Column:
+    """The four bits of a depth."""
+    return F.call_function("shiftright", upto, 4 * (depth - 1)).bitwiseAND(F.lit(15))
+
+
 def _pivots(groups: DataFrame) -> DataFrame:
     """group, pivot (a), na, sa."""
     by = F.struct((F.col("n") - F.col("shared")).alias("own"), "set", "n", "shared")
@@ -211,16 +217,31 @@ def _cross_pairs(groups: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataF
     live = live.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "both"), ["pivot", "set"], "left")
     is_pivot = F.col("set") == F.col("pivot")
     near, rest = F.when(is_pivot, F.col("shared")).otherwise(F.coalesce("both", "shared")), F.when(is_pivot, 0).otherwise(F.coalesce(F.col("shared") - F.col("both"), F.col("shared")))
-    live = materialize(live.select("group", "set", "comp", "n", "shared", "depth", "upto", "major", near.alias("near"), rest.alias("rest")))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("set", "comp", "n", "shared", "depth", "upto", "near", "rest")]
+    # a class of few groups carries them all, so that a pair is made once, at the first group that both have
+    few = groups.groupBy("set").count().where(F.col("count") <= CARRY).select("set")
+    every = groups.join(few, "set").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("group", "upto"))).alias("e"))
+    every = every.select("set", F.transform("e", lambda x: x["group"]).alias("gs"), F.transform("e", lambda x: x["upto"]).alias("us"))
+    live = live.select("group", "set", "comp", "n", "shared", "depth", "upto", "major", near.alias("near"), rest.alias("rest"))
+    live = materialize(live.join(every, "set", "left"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("set", "comp", "n", "shared", "depth", "upto", "near", "rest", "gs", "us")]
     left = live.where("comp <> major").select("group", *side("a"))
     right = live.select(F.col("group").alias("group_b"), *side("b"), (F.col("comp") == F.col("major")).alias("main"))
     once = (F.col("comp_a") != F.col("comp_b")) & (F.col("main") | (F.col("set_a") < F.col("set_b")))
     enough = (100 + PERCENT) * (F.least("near_a", "near_b") + F.least("rest_a", "rest_b")) >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    found = left.join(right, (F.col("group") == F.col("group_b")) & once & _may_link("n_a", "shared_a", "n_b", "shared_b") & enough)
     depth = F.least("depth_a", "depth_b")
-    common = F.least(F.get("upto_a", depth - 1), F.get("upto_b", depth - 1))
-    pairs = found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), depth.alias("depth"), common.alias("common")).where("common > 0")
+    carried = F.col("gs_a").isNotNull() & F.col("gs_b").isNotNull()
+
+    def shared(i: Column) -> Column:
+        at = F.array_position("gs_b", F.get("gs_a", i)).cast("int")
+        return F.when(at > 0, F.least(_at_depth(F.get("us_a", i), depth), _at_depth(F.get("us_b", at - 1), depth))).otherwise(0)
+
+    # a pair whose groups are all known is judged here and now, any other by the sum over its groups
+    known = F.aggregate(F.sequence(F.lit(0), F.size("gs_a") - 1), F.lit(0).cast("long"), lambda total, i: total + shared(i))
+    first = F.get(F.array_intersect("gs_a", "gs_b"), F.lit(0)) == F.col("group")
+    here = F.when(carried, first & (known >= depth)).otherwise(F.least(_at_depth(F.col("upto_a"), depth), _at_depth(F.col("upto_b"), depth)) > 0)
+    found = left.join(right, (F.col("group") == F.col("group_b")) & once & _may_link("n_a", "shared_a", "n_b", "shared_b") & enough & here)
+    common = F.when(carried, depth).otherwise(F.least(_at_depth(F.col("upto_a"), depth), _at_depth(F.col("upto_b"), depth)))
+    pairs = found.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"), depth.alias("depth"), common.alias("common"))
     return pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("depth").alias("depth")).where("common >= depth").select("a", "b")
 
 
