@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import guard
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "[\\x20\\x09-\\x0D]+"
 NULL_ID = np.iinfo(np.int64).max  # a null document id sorts after all others
@@ -34,7 +36,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared scratch store and read it back: cuts the lineage, and lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    spark = guard(df.sparkSession)
+    path = scratch_dir(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends, if not before
     df.write.parquet(path)
@@ -61,10 +64,15 @@ def sweep(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None
         _delete(spark, path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
     for df in tables:
         _delete(spark, df._scratch)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """drop, and let Spark drop the shuffle files of finished jobs: a full collection, so not for every small step."""
+    drop(spark, *tables)
     gc.collect()
     spark._jvm.System.gc()
 

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import drop, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
@@ -28,7 +28,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Every node is either a root or the child of one root."""
-    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("child")).union(edges.select("b", F.lit(0)))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("child")), F.struct(F.col("b").alias("x"), F.lit(0).alias("child")))).alias("e")).select("e.*")
     roles = ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("low"))
     return roles.where("n > 1 or n = 1 and low = 0").isEmpty()
 
@@ -40,6 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialize(_small(edges).distinct())
     while not _is_forest_of_stars(current):
         new = materialize(_small(_large(current).distinct()).distinct())
-        release(spark, current)
+        drop(spark, current)
         current = new
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))

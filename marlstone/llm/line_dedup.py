@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, give_back, materialize, partitions, release
+from .common import NULL_ID, drop, give_back, materialize, partitions, release
 
 #: Words a repeated run must have to be deleted, as the SQL of op7_line_dedup states; the pipeline sets 1.
 MIN_WORDS = 10
@@ -74,7 +74,7 @@ def _rank(suffixes: DataFrame) -> DataFrame:
     counted = materialize(suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("least")).where("n > 1"))
     ranked = _numbered(counted, ["h1", "h2"], "n", "rank").select("h1", "h2", "rank", "least")
     out = materialize(suffixes.join(ranked, ["h1", "h2"]).select("d", "pos", "rank", (_place() == F.col("least")).alias("leader")))
-    release(suffixes.sparkSession, counted)
+    drop(suffixes.sparkSession, counted)
     return out
 
 
@@ -86,7 +86,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
         second = ranks.select("d", (F.col("pos") - size).cast("int").alias("pos"), F.col("rank").alias("h2"))
         pairs = materialize(ranks.select("d", "pos", F.col("rank").alias("h1")).join(second, ["d", "pos"]))
         if size > 1:
-            release(lines.sparkSession, lines)
+            drop(lines.sparkSession, lines)
         lines, size = pairs, 2 * size
     release(lines.sparkSession, ranks, *([lines] if size > 1 else []))
     return levels
@@ -107,14 +107,14 @@ def lcp_intervals(levels: list[DataFrame]) -> DataFrame:
         # those whose next lines are like nobody's are a class of their own, below 0
         known = long.withColumn("_at", F.col("pos") + F.col("a")).join(ahead, ["d", "_at"], "left")
         classed = materialize(known.select("d", "pos", "a", "g", F.coalesce("rank", F.xxhash64("d", "pos").bitwiseOR(F.lit(-(1 << 63)))).alias("c")))
-        classes = materialize(classed.groupBy("a", "g", "c").agg(F.count("*").alias("n"), F.min(_place()).alias("least")))
+        classes = classed.groupBy("a", "g", "c").agg(F.count("*").alias("n"), F.min(_place()).alias("least"))
         several = classes.groupBy("a", "g").agg(F.count("*").alias("k"))
         of = materialize(classes.join(several, ["a", "g"]).where("n > 1 or k > 1"))
         placed = classed.join(of, ["a", "g", "c"])
         longer = placed.where("n > 1").select("d", "pos", (F.col("a") + step).alias("a"), F.xxhash64("g", "c", F.lit(j)).alias("g"))
         shorter = placed.where((F.col("k") > 1) & (_place() == F.col("least"))).select("d", "pos", "a", "g")
         new = materialize(short.union(longer).union(shorter))
-        release(spark, rows, classed, classes, of)
+        drop(spark, rows, classed, of)
         rows = new
     found = materialize(rows.groupBy("a", "g").agg(F.count("*").alias("n"), F.min(_place()).alias("source")).where("n > 1"))
     return rows.join(found, ["a", "g"]).where(_place() > F.col("source")).select("d", "pos", F.col("a").alias("len"), "source")
