@@ -195,7 +195,8 @@ def lm_scores(df: DataFrame, trains: Column, key: str = "doc_id", text: str = "t
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability); trains: boolean, learn from this row."""
     blocks = materialize(to_blocks(df, key, text, flag=trains, lower=True, block_bytes=block_bytes))
     owners = owners_for(blocks)
-    bits = min(64, 24 + int(max(1, blocks.count()) << 20).bit_length())
+    tokens = blocks.agg(F.sum(F.col("words") + F.size("ids"))).first()[0] or 1
+    bits = min(64, 24 + int(tokens).bit_length())
     asked = map_blocks(blocks, _ask(owners, bits), ASK)
     answers = materialize(answer(asked, _total, ANSWER + ", tokens long, types long"))
     release(df.sparkSession)

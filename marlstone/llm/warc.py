@@ -3,7 +3,8 @@
 write_archives makes whole-file gzip streams, as many crawls deliver them. normalise inflates
 each stream once, front to back with bounded memory, rewrites every record as its own gzip
 member and puts a sidecar index (offset, length, type, record id, digest) beside the archive.
-read_records seeks to the members by that index and checks every stored payload's digest.
+read_records reads the sidecars, seeks to the members by them, and checks that type and record id are those of the index and
+every stored payload's digest. The table between the two names archives and sidecars, not records.
 
 Archives live in a folder all executors share; a task's files count only once the row naming
 them is committed, so retried tasks leave at most unread files.
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import open_uri
 from .common import materialize, scratch_dir
 
 ARCHIVE_BYTES = 32 << 20  # inflated size at which a task starts its next archive
@@ -56,14 +57,6 @@ def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0
     return rows.join(stays, "payload_digest", "left").withColumn("refers_to", refers).drop("stays")
 
 
-def _open(path: str, mode: str):
-    fs, inner = pafs.FileSystem.from_uri(path)
-    if mode == "r":
-        return fs.open_input_file(inner)
-    fs.create_dir(inner.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(inner, compression=None)
-
-
 def _record(key, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     block = HTTP + (payload if refers_to is None else b"")
@@ -86,7 +79,7 @@ def write_archives(marked: DataFrame, folder: str, key: str = "page_id", url: st
                 k, u, p, d, to = (c[r].as_py() for c in batch.columns)
                 if sink is None:
                     path, size = f"{folder}/whole/{uuid.uuid4().hex}.warc.gz", 0
-                    sink, z = _open(path, "w"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                    sink, z = open_uri(path, "w"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 record = _record(k, u, p.encode(), d, to)
                 sink.write(z.compress(record))
                 size += len(record)
@@ -153,30 +146,46 @@ def _records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         at += size
 
 
-INDEX = "archive string, offset long, length long, record_type string, record_id string, payload_digest string"
+FIELDS = ("offset", "length", "record_type", "record_id", "payload_digest")
+ARCHIVES = "archive string, sidecar string, records long"
 
 
 def normalise(paths: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each archive with a member for each record; returns the rows of the sidecar indexes, committed."""
+    """Rewrites each archive with a member for each record and a sidecar index (.idx: the FIELDS of a record on a line, between
+    tabs); returns archive, sidecar and records, committed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch[0].to_pylist():
-                to, rows, offset = f"{folder}/members/{uuid.uuid4().hex}.warc.gz", [], 0
-                with _open(path, "r") as source, _open(to, "w") as sink, _open(f"{to}.idx", "w") as index:
+                to, n, offset = f"{folder}/members/{uuid.uuid4().hex}.warc.gz", 0, 0
+                with open_uri(path, "r") as source, open_uri(to, "w") as sink, open_uri(f"{to}.idx", "w") as index:
                     for h, record in _records(_inflated(source)):
                         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = z.compress(record) + z.flush()
                         sink.write(member)
-                        row = {"archive": to, "offset": offset, "length": len(member), "record_type": h["warc-type"], "record_id": h["warc-record-id"], "payload_digest": h["warc-payload-digest"]}
-                        index.write("\t".join(str(v) for k, v in row.items() if k != "archive").encode() + b"\n")
-                        rows.append(row)
+                        index.write("\t".join(map(str, (offset, len(member), h["warc-type"], h["warc-record-id"], h["warc-payload-digest"]))).encode() + b"\n")
+                        n += 1
                         offset += len(member)
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows)
+                yield pa.RecordBatch.from_pydict({"archive": [to], "sidecar": [f"{to}.idx"], "records": pa.array([n], pa.int64())})
 
     n = max(1, min(paths.count(), paths.sparkSession.sparkContext.defaultParallelism * 4))
-    return materialize(paths.repartition(n).mapInArrow(run, INDEX))
+    return materialize(paths.repartition(n).mapInArrow(run, ARCHIVES))
+
+
+def read_sidecar(path: str) -> Iterator[dict]:
+    """The index of an archive, line by line."""
+    with open_uri(path, "r") as f:
+        rest = b""
+        while True:
+            data = f.read(CHUNK)
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                row = dict(zip(FIELDS, line.decode().split("\t"), strict=True))
+                yield row | {"offset": int(row["offset"]), "length": int(row["length"])}
+            if not data:
+                break
+        if rest:
+            raise ValueError(f"{path} ends inside a line")
 
 
 def _page(record_id: str | None) -> int | None:
@@ -184,33 +193,38 @@ def _page(record_id: str | None) -> int | None:
     return None if tail == "None" else int(tail)
 
 
-def read_records(index: DataFrame, key: str = "page_id") -> DataFrame:
-    """Every record by its offset: key, payload_bytes, payload_digest, record_type, refers_to."""
+def read_records(archives: DataFrame, key: str = "page_id") -> DataFrame:
+    """Every record by its sidecar's offset: key, payload_bytes, payload_digest, record_type, refers_to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = source = None
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if r["archive"] != path:
-                    if source is not None:
-                        source.close()
-                    path, source = r["archive"], _open(r["archive"], "r")
-                source.seek(r["offset"])
-                record = zlib.decompress(source.read(r["length"]), 31)
-                h = _headers(record[: record.index(b"\r\n\r\n")])
-                digest = h["warc-payload-digest"].removeprefix("sha1:")
-                if h["warc-type"] == "response":
-                    payload = record[record.index(HTTP) + len(HTTP) : -4]
-                    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(h["x-payload-length"]):
-                        raise ValueError(f"{path}: the record at {r['offset']} is damaged")
-                rows.append({"k": _page(h["warc-record-id"]), "payload_bytes": int(h["x-payload-length"]), "payload_digest": digest, "record_type": h["warc-type"], "refers_to": _page(h["warc-refers-to"]) if "warc-refers-to" in h else None})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            for a in batch.to_pylist():
+                rows, path, n = [], a["archive"], 0
+                with open_uri(path, "r") as source:
+                    for r in read_sidecar(a["sidecar"]):
+                        source.seek(r["offset"])
+                        record = zlib.decompress(source.read(r["length"]), 31)
+                        h = _headers(record[: record.index(b"\r\n\r\n")])
+                        digest = h["warc-payload-digest"].removeprefix("sha1:")
+                        if (h["warc-type"], h["warc-record-id"], h["warc-payload-digest"]) != (r["record_type"], r["record_id"], r["payload_digest"]):
+                            raise ValueError(f"{path}: the record at {r['offset']} is not the one of the index")
+                        if h["warc-type"] == "response":
+                            payload = record[record.index(HTTP) + len(HTTP) : -4]
+                            if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != int(h["x-payload-length"]):
+                                raise ValueError(f"{path}: the record at {r['offset']} is damaged")
+                        rows.append({"k": _page(h["warc-record-id"]), "payload_bytes": int(h["x-payload-length"]), "payload_digest": digest, "record_type": h["warc-type"], "refers_to": _page(h["warc-refers-to"]) if "warc-refers-to" in h else None})
+                        n += 1
+                        if len(rows) == 4096:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows = []
+                if n != a["records"]:
+                    raise ValueError(f"{path}: the index has {n} records, not {a['records']}")
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("k", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     out = "k long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return index.mapInArrow(run, out).withColumnRenamed("k", key)
+    return archives.mapInArrow(run, out).withColumnRenamed("k", key)
 
 
 def warc_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:

@@ -333,16 +333,34 @@ def test_warc_archives_are_a_member_a_record(spark, tmp_path):
     rows = [(i, "http://h/", f"page {i} " * i) for i in range(20)]
     marked = warc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), "page_id", "html")
     paths = warc.write_archives(marked, f"file://{tmp_path}")
-    index = warc.normalise(paths, f"file://{tmp_path}").collect()
+    archives = warc.normalise(paths, f"file://{tmp_path}")
     whole, members = glob.glob(f"{tmp_path}/whole/*.gz"), glob.glob(f"{tmp_path}/members/*.gz")
     assert b"".join(gzip.open(p).read() for p in whole) == b"".join(gzip.open(p).read() for p in members)
-    for r in index:
-        with open(r.archive.removeprefix("file://"), "rb") as f:
-            f.seek(r.offset)
-            member = f.read(r.length)
+    index = [(a.archive, r) for a in archives.collect() for r in warc.read_sidecar(a.sidecar)]
+    for archive, r in index:
+        with open(archive.removeprefix("file://"), "rb") as f:
+            f.seek(r["offset"])
+            member = f.read(r["length"])
         assert zlib.decompress(member, 31).startswith(b"WARC/1.1\r\n")
-    assert len(index) == 20 and sum(os.path.getsize(p) for p in members) == sum(r.length for r in index)
-    assert sum(len(open(p).readlines()) for p in glob.glob(f"{tmp_path}/members/*.idx")) == 20
+    assert len(index) == 20 and sum(os.path.getsize(p) for p in members) == sum(r["length"] for _, r in index)
+    assert warc.read_records(archives).count() == 20
+    # the sidecar is what is read: another order gives another order, a wrong line an error
+    side = archives.first().sidecar.removeprefix("file://")
+    lines = open(side).readlines()
+    open(side, "w").writelines(reversed(lines))
+    assert [r.page_id for r in warc.read_records(archives).collect()] == [int(x.split("urn:x-page:")[1].split(">")[0]) for x in reversed(lines)]
+    open(side, "w").writelines([lines[0].replace("x-page:", "x-page:9"), *lines[1:]])
+    with pytest.raises(Exception, match="not the one of the index"):
+        warc.read_records(archives).collect()
+
+
+def test_warc_of_odd_pages(spark):
+    """Very long and repeated pages, nulls in every column, columns with clashing names."""
+    big = "<p>" + "x" * 3_000_000
+    rows = [(1, "u", big), (2, "u", big), (2, "u", big), (None, None, None), (None, None, None), (3, None, ""), (4, "é ü\r\nX: y", "b\r\n\r\nc"), (4, "u", "other")]
+    df = spark.createDataFrame([(*r, "x", "y", 7) for r in rows], "page_id long, url string, html string, payload_digest string, refers_to string, stays int")
+    got = warc.warc_round_trip(df).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter([(1, len(big), "revisit", 2), (2, len(big), "response", None), (2, len(big), "response", None), (None, 0, "revisit", 3), (None, 0, "revisit", 3), (3, 0, "response", None), (4, 6, "response", None), (4, 5, "response", None)])
 
 
 # ----------------------------------------------------------------- 10
@@ -392,10 +410,11 @@ def test_jaccard_components_equal_brute_force(spark, block_bytes):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
 
 
-@pytest.mark.parametrize("deepest", [1, 8])
+@pytest.mark.parametrize("deepest,carry", [(1, 32), (8, 32), (8, 0), (8, 3)])
 @pytest.mark.parametrize("seed", [11, 12])
-def test_jaccard_at_any_depth_is_the_same(spark, monkeypatch, deepest, seed):
+def test_jaccard_at_any_depth_is_the_same(spark, monkeypatch, deepest, carry, seed):
     monkeypatch.setattr(jaccard_join, "DEEPEST", deepest)
+    monkeypatch.setattr(jaccard_join, "CARRY", carry)
     rows = near_copies(seed, 120)
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == linked(rows)
