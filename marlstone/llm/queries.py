@@ -60,7 +60,26 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 SQL can state."""
+    return op6_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can state of documents: their words, and the pieces they are cut into."""
+    return op2_packing(spark, sf_dir).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_words"), F.count("bin").alias("n_pieces"))
+
+
+def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can state of bins: none is overfull, has a gap between pieces or two pieces of one source."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    placed = op2_packing(spark, sf_dir).where("bin is not null").join(docs, "doc_id")
+    bins = placed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("source").alias("pieces"), F.countDistinct("source").alias("sources"))
+    return bins.agg(F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("n") != F.col("end")).alias("gaps"), F.count_if(F.col("pieces") != F.col("sources")).alias("conflicts"))
+
+
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_line_dedup": op7_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
+QUERIES |= {"lm_base_scores": lm_base_scores, "packing_totals": packing_totals, "packing_bins": packing_bins}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -178,3 +197,19 @@ SELECT raw.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = raw.doc_id)::BIGINT
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM raw LEFT JOIN k ON k.doc_id = raw.doc_id
 """
+
+# crc32 by bits, as SQL has none: the remainder of the text's bytes by the fixed polynomial
+CRC_SQL = "list_reduce(list_prepend(4294967295, list_transform(range(len({0})), lambda i: ascii({0}[i + 1])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+
+ORACLE_SQL["lm_base_scores"] = f"""
+WITH d AS (SELECT doc_id, xor({CRC_SQL.format('(doc_id::VARCHAR)')}, 4294967295) % 5 = 1 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS token FROM d), c AS (SELECT token, count(*)::DOUBLE AS c FROM t WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT doc_id, any_value(held_out) AS held_out, count(*)::BIGINT AS n_tokens, count(c.c)::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens,
+       round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (v + 1)))), 5) AS base_score
+FROM t LEFT JOIN c USING (token), n GROUP BY doc_id
+"""
+
+ORACLE_SQL["packing_totals"] = f"SELECT doc_id, len({WORDS_SQL})::BIGINT AS n_words, ceil(len({WORDS_SQL}) / 2048.0)::BIGINT AS n_pieces FROM documents"
+
+ORACLE_SQL["packing_bins"] = "SELECT 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS conflicts"

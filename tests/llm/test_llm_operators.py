@@ -13,7 +13,7 @@ import pytest
 from corpus import documents
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, decontamination, jaccard_join, line_dedup, packing, quality_rules, token_counts, toxicity, warc
+from marlstone.llm import components, decontamination, jaccard_join, line_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
 from marlstone.llm.common import tokenizer_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -160,6 +160,86 @@ def test_isotonic_levels_ascend():
     assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all() and 0 <= levels[0] and levels[-1] <= 1
 
 
+def reference_boost(x, y, trees):
+    """Every cut of every feature tried by brute force; the raw score of each row."""
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    raw = np.full(len(y), np.log(rate / (1 - rate)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = y - p, p * (1 - p)
+        leaves = [np.arange(len(y))]
+        for _ in range(toxicity.DEPTH):
+            out = []
+            for rows in leaves:
+                best, cut = 1e-9, None
+                for j in range(x.shape[1]):
+                    for c in np.unique(x[rows, j])[:-1]:
+                        left = x[rows, j] <= c
+                        if min(left.sum(), (~left).sum()) < toxicity.LEAF:
+                            continue
+                        part = lambda m: g[rows[m]].sum() ** 2 / (h[rows[m]].sum() + toxicity.RIDGE)
+                        gain = part(left) + part(~left) - g[rows].sum() ** 2 / (h[rows].sum() + toxicity.RIDGE)
+                        if gain > best + 1e-12:
+                            best, cut = gain, left
+                out += [rows] if cut is None else [rows[cut], rows[~cut]]
+            leaves = out
+        for rows in leaves:
+            raw[rows] += toxicity.RATE * g[rows].sum() / (h[rows].sum() + toxicity.RIDGE)
+    return raw
+
+
+def test_boosting_equals_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 7, 120), rng.integers(0, 5, 120), rng.integers(0, 2, 120)], 1).astype(float)
+    y = (rng.random(120) < 1 / (1 + np.exp(3 - x[:, 0] + x[:, 1] * x[:, 2]))).astype(float)
+    monkeypatch.setattr(toxicity, "TREES", 6)
+    monkeypatch.setattr(toxicity, "BINS", 400)
+    assert np.allclose(toxicity.boost(x, y).raw(x), reference_boost(x, y, 6))
+
+
+def test_isotonic_equals_the_best_monotone_fit(monkeypatch):
+    """The level of a point is the largest over starts of the least mean to an end (the min-max formula)."""
+    rng = np.random.default_rng(4)
+    raw = np.sort(rng.permutation(40)).astype(float)
+    y = (rng.random(40) < raw / 40).astype(float)
+    knots, levels = toxicity.isotonic(raw, y)
+    want = [max(min(y[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    got = np.interp(raw, knots, levels)
+    size = {r: sum(w == v for w in want) for r, v in zip(raw, want, strict=True)}
+    smoothed = [(v * size[r] + 0.01) / (size[r] + 0.1) for r, v in zip(raw, want, strict=True)]
+    assert np.allclose(got, np.maximum.accumulate(smoothed))
+
+
+def test_a_lexicon_never_counts_its_own_fold():
+    counts = toxicity.Counts(["bad$", "other$"], np.array([[9, 0, 0, 0], [3, 3, 3, 3]]), np.array([[9, 0, 0, 0], [3, 3, 3, 3]]), np.array([[9, 0, 0, 0], [3, 3, 3, 3]]), np.zeros((2, 4), int), np.full((2, 4), 1000), np.full((2, 4), 10))
+    assert set(counts.weights(None)) == {"bad$", "other$"} and set(counts.weights(0)) == {"other$"}
+
+
+# ----------------------------------------------------------------- 4
+def test_sketches_add_up_and_never_underestimate():
+    rng = np.random.default_rng(5)
+    parts = []
+    for _ in range(4):
+        cells = np.unique(rng.integers(1000, 1300, 80)).astype(np.uint64)
+        parts.append((cells, rng.integers(0, 2, len(cells)).astype(np.uint8)))
+    low, total = substring_dedup.merged(parts)
+    want = Counter()
+    for cells, twice in parts:
+        for c, t in zip(cells.tolist(), twice.tolist(), strict=True):
+            want[c] += 1 + t
+    assert {low + k: n for k, n in enumerate(total.tolist()) if n} == want
+
+
+@pytest.mark.parametrize("bits", [4, 6, 16])
+def test_a_narrow_sketch_changes_no_result(spark, monkeypatch, bits):
+    from test_llm_blocks import kept
+
+    monkeypatch.setattr(substring_dedup, "width_bits", lambda words: bits)
+    rows = documents(7)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, SCHEMA), block_bytes=2000).withColumn("s", F.sha2("kept", 256)).select("doc_id", "n_words", "n_removed", "s")
+    assert Counter(map(tuple, got.collect())) == kept(rows)
+
+
 # ----------------------------------------------------------------- 5
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
