@@ -340,6 +340,16 @@ def welch_p(spark, sf):
     return significance.p_values(_welch(spark, sf), "t", "df", None).select("task", "method_a", "method_b", F.round("p", 5).alias("p"))
 
 
+@query(f"""WITH {_PAIRS}, g AS (SELECT *, unnest(range(0, 1001)) AS i FROM w WHERE t IS NOT NULL AND df > 0),
+f AS (SELECT task, method_a, method_b, t, df, CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 1000.0::DOUBLE, 2) / df, -(df + 1) / 2) AS y FROM g),
+q AS (SELECT task, method_a, method_b, 1 - 2 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(pi() * any_value(df)) * abs(any_value(t)) / 3000.0::DOUBLE * sum(y) AS p FROM f GROUP BY ALL)
+SELECT task, method_a, method_b, round(p, 4) AS p FROM w LEFT JOIN q USING (task, method_a, method_b)""")
+def range_p_of_two(spark, sf):
+    """UDA-05, MTH-10: the studentised range of two means is sqrt 2 times the t statistic, so its p is that of the t test."""
+    q = K.studentised_range(K.method_pairs(K.summary(_facts(spark, sf))), None).withColumn("k", F.lit(2).cast("long"))
+    return significance.p_values(q, "q", "q_df", "k").select("task", "method_a", "method_b", F.round("p", 4).alias("p"))
+
+
 @query()
 def hsd_pvalues(spark, sf):
     """UDA-05, MTH-10: Tukey-Kramer p of all pairs; tested against known values."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -161,6 +163,21 @@ def kabsch_align(spark, sf):
     return r.select("label", F.transform("rotation", lambda x: F.round(x, 6)).alias("rotation"))
 
 
+@query(f"WITH {_POINTS} SELECT DISTINCT label, 1.0::DOUBLE AS determinant, true AS orthogonal, true AS best FROM q")
+def kabsch_invariants(spark, sf):
+    """GRA-06: every rotation is proper and orthogonal, and leaves rotation times covariance symmetric, as only the best fit does."""
+    cov = G.centroid_covariance(_points(spark, sf), "label", list("xyz"), list("uvw"), F.lit(1.0))
+    r = G.kabsch(cov, "label", list("xyz"), list("uvw")).join(cov, "label")
+    m = lambda i, j: F.get("rotation", F.lit(3 * i + j))
+    det = m(0, 0) * (m(1, 1) * m(2, 2) - m(1, 2) * m(2, 1)) - m(0, 1) * (m(1, 0) * m(2, 2) - m(1, 2) * m(2, 0)) + m(0, 2) * (m(1, 0) * m(2, 1) - m(1, 1) * m(2, 0))
+    dot = lambda i, j: sum((m(i, k) * m(j, k) for k in range(3)), F.lit(0.0))
+    flat = reduce(lambda a, b: a & b, [F.abs(dot(i, j) - (1.0 if i == j else 0.0)) < 1e-9 for i in range(3) for j in range(3)])
+    h = lambda k, j: F.col(f"h_{'xyz'[k]}_{'uvw'[j]}")
+    rh = lambda i, j: sum((m(i, k) * h(k, j) for k in range(3)), F.lit(0.0))
+    even = reduce(lambda a, b: a & b, [F.abs(rh(i, j) - rh(j, i)) < 1e-9 * (1 + F.abs(rh(i, j))) for i, j in ((0, 1), (0, 2), (1, 2))])
+    return r.select("label", F.round(det, 9).alias("determinant"), flat.alias("orthogonal"), even.alias("best"))
+
+
 @query(f"WITH {_POINTS} SELECT round(2 * (" + " + ".join(f"pow(covar_samp({a}, {b}), 2)" for i, a in enumerate("xyzuvw") for b in "xyzuvw"[i + 1 :]) + ") / 30, 12) AS penalty FROM q")
 def offdiag_cov(spark, sf):
     """AGG-22."""
@@ -210,3 +227,19 @@ def principal_components(spark, sf):
     """ARR-06: the sign of a component is free, so tested by its variances."""
     p = features.principal_components(table(spark, sf, "embeddings", ["vec_id", "embedding"]), "embedding", 8)
     return p.select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("components"))
+
+
+@query("SELECT 8::BIGINT AS components, true AS centred, true AS uncorrelated, true AS descending, true AS within_total")
+def principal_component_invariants(spark, sf):
+    """ARR-06: means 0, covariances 0, variances descending, and together no more than the variance of the embeddings."""
+    e = table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    p = features.principal_components(e, "embedding", 8).select(*[F.get("components", F.lit(i)).alias(f"c{i}") for i in range(8)])
+    both = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+    row = p.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(8)], *[F.var_samp(f"c{i}").alias(f"v{i}") for i in range(8)], *[F.covar_samp(f"c{i}", f"c{j}").alias(f"k{i}_{j}") for i, j in both])
+    total = e.select(F.posexplode("embedding").alias("at", "x")).groupBy("at").agg(F.var_samp("x").alias("v")).agg(F.sum("v").alias("total"))
+    every = lambda tests: reduce(lambda a, b: a & b, tests)
+    held = sum((F.col(f"v{i}") for i in range(8)), F.lit(0.0))
+    return row.crossJoin(F.broadcast(total)).select(
+        F.lit(8).cast("long").alias("components"), every([F.abs(f"m{i}") < 1e-9 for i in range(8)]).alias("centred"), every([F.abs(f"k{i}_{j}") < 1e-9 for i, j in both]).alias("uncorrelated"),
+        every([F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-12 for i in range(7)]).alias("descending"), (held <= F.col("total") + 1e-9).alias("within_total"),
+    )

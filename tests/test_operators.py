@@ -385,3 +385,59 @@ def test_complete_rows_and_sentinels(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", None), ("c", 2.0)], "k string, v double")
     assert rows(features.complete_rows(df, ["v"], spark.createDataFrame([("a",), ("b",)], "k string"), "k")) == [("a", 0.0)]
     assert one(spark, features.fill_sentinel(F.lit(0.0), F.lit(True), F.lit(9.0))) == 9.0 and one(spark, features.has_edges(F.array())) is False
+
+
+def test_steps_that_hang_or_die_are_killed(spark):
+    import os
+    import time
+
+    def hang(x):
+        if x == 1:
+            time.sleep(60)
+        if x == 2:
+            os._exit(3)
+        return x * 10
+
+    def last(x):
+        if x == 2:
+            raise ValueError("not two")
+        return x * 100
+
+    got = fallible.fallback_map(spark.createDataFrame([(1,), (2,), (3,), (None,)], "x long"), "x", [hang, last], "bigint", seconds=1.5).collect()
+    by = {r.x: r for r in got}
+    assert (by[1].value, by[1].step) == (100, 1) and (by[3].value, by[3].step) == (30, 0)
+    assert by[2].value is None and "died" in by[2].error and "not two" in by[2].error
+    assert by[None].value is None and by[None].error is None
+
+
+def test_win_rules_where_the_second_best_differs(spark):
+    """The best is not apart from c, though the second best is: c is still on top. A method that lacks a task loses it."""
+    s = spark.createDataFrame([("t", m, v) for m, v in (("a", 3.0), ("b", 2.0), ("c", 1.0))], "task string, method string, mean double")
+    pairs = spark.createDataFrame([("t", "a", "b", 3.0, 2.0, False), ("t", "a", "c", 3.0, 1.0, False), ("t", "b", "c", 2.0, 1.0, True)], "task string, method_a string, method_b string, mean_a double, mean_b double, rejected boolean")
+    assert {r.method: r.top_rank for r in compare.top_ranks(pairs, s, F.lit(True)).collect()} == {"a": 1, "b": 1, "c": 1}
+    assert rows(compare.pair_wins(pairs, F.lit(True)).select("method", "other", "wins", "ties")) == [("a", "b", 0, 1), ("a", "c", 0, 1), ("b", "a", 0, 1), ("b", "c", 1, 0), ("c", "a", 0, 1)]
+    scores = spark.createDataFrame([("t1", "a", 1.0), ("t2", "a", 1.0), ("t1", "b", 0.9995)], "task string, method string, v double")
+    assert {r.method: (r.win_percent, r.n_tasks) for r in compare.win_percent(scores, "task", F.col("v")).collect()} == {"a": (100.0, 2), "b": (50.0, 2)}
+    with pytest.raises(ValueError):
+        compare.significant(pairs, "other")
+
+
+def test_a_lost_pointer_finds_the_newest_table(spark, tmp_path):
+    import os
+
+    for v in (1.0, 2.0, 3.0):
+        sinks.upsert_parquet(spark, f"{tmp_path}/u", spark.createDataFrame([("a", v)], "k string, v double"), ["k"])
+    os.remove(f"{tmp_path}/u/current.txt")
+    assert rows(sinks.read_upserted(spark, f"{tmp_path}/u")) == [("a", 3.0)]
+    with pytest.raises(FileNotFoundError):
+        sinks.read_upserted(spark, f"{tmp_path}/none")
+
+
+def test_running_counts_of_one_hot_key(spark):
+    df = spark.createDataFrame([("a", i, i % 3) for i in range(50)] + [("b", 0, 2), (None, 1, 4)], "k string, v long, c long")
+    got = {(r.k, r.v): r.upto_c for r in ragged.running_counts(df, ["k"], "v", ["c"]).collect()}
+    total, want = 0, {("b", 0): 2, (None, 1): 4}
+    for i in range(50):
+        total += i % 3
+        want["a", i] = total
+    assert got == want
