@@ -9,8 +9,9 @@ them, so the search for the successor of a length skips whole subtrees that conf
 until it meets a compatible bin; of equal residuals the oldest bin is taken.
 
 Documents are dealt by hash over shards of about SHARD_ROWS rows, whatever their source or
-cluster, and shards are packed independently: at sf0.1 three shards take 1% more bins than one
-packer, and a hot source or cluster is spread evenly.
+cluster, and shards are packed independently, so a hot source or cluster is spread evenly; rows that are alike are counted and
+dealt copy by copy. What shards lose is at their ends: bins that no later piece came to fill. The pieces of all bins
+filled less than OPEN are therefore packed once more, in shards of their own.
 
 The query and the pipeline count white-space words: n_tokens is words there, so their bins of
 CAPACITY do not fit a context of 2,048 model tokens.
@@ -33,7 +34,8 @@ from .jaccard_join import jaccard_components
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
-SCHEMA = "doc_id long, piece int, n_tokens long, shard int, bin int, start long"
+OPEN = 0.95  # share of a bin's capacity below which its pieces are packed again
+SCHEMA = "doc_id long, piece int, n_tokens long, shard int, bin int, start long, source long, cluster long, fill long"
 
 
 class Bins:
@@ -94,8 +96,8 @@ class Bins:
 
 
 def pack_rows(rows: list[dict], capacity: int) -> list[dict]:
-    """rows: id, n, source, cluster of one shard; one dict a piece."""
-    order = sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, r["n"] or 0, str(r["source"]), r["cluster"] or 0))
+    """rows: id, n, source, cluster of one shard (and piece, the number of the first piece); one dict a piece, with the fill of its bin."""
+    order = sorted(rows, key=lambda r: (r["id"] is None, r["id"] or 0, r.get("piece") or 0, r["n"] or 0, str(r["source"]), r["cluster"] or 0))
     bits: dict[tuple, int] = {}
     for kind in ("source", "cluster"):
         seen = Counter(r[kind] for r in order if r[kind] is not None and (r["n"] or 0) % capacity)
@@ -103,19 +105,23 @@ def pack_rows(rows: list[dict], capacity: int) -> list[dict]:
         bits |= {(kind, v): 1 << j for j, v in enumerate(repeated)}
     out, rest, full = [], [], []
     for r in order:
-        n = r["n"] or 0
-        for piece in range(n // capacity):
-            full.append((r["id"], piece))
+        n, first = r["n"] or 0, r.get("piece") or 0
+        full += [(r, first + k) for k in range(n // capacity)]
         if n % capacity:
-            rest.append((-(n % capacity), r["id"], n // capacity, bits.get(("source", r["source"]), 0), bits.get(("cluster", r["cluster"]), 0)))
+            rest.append((-(n % capacity), len(rest), first + n // capacity, r))
         elif not n:
-            out.append({"doc_id": r["id"], "piece": 0, "n_tokens": 0, "bin": None, "start": None})
+            out.append({"doc_id": r["id"], "piece": first, "n_tokens": 0, "bin": None, "start": None, "source": r["source"], "cluster": r["cluster"], "fill": None})
     bins = Bins(capacity)
-    for minus, i, piece, source, cluster in sorted(rest, key=lambda x: (x[0], x[1] is None, x[1] or 0)):
-        b, start = bins.add(-minus, source, cluster)
-        out.append({"doc_id": i, "piece": piece, "n_tokens": -minus, "bin": b, "start": start})
-    for b, (i, piece) in enumerate(full, len(bins.own)):
-        out.append({"doc_id": i, "piece": piece, "n_tokens": capacity, "bin": b, "start": 0})
+    placed = []
+    for minus, _, piece, r in sorted(rest, key=lambda x: x[:2]):
+        b, start = bins.add(-minus, bits.get(("source", r["source"]), 0), bits.get(("cluster", r["cluster"]), 0))
+        placed.append({"doc_id": r["id"], "piece": piece, "n_tokens": -minus, "bin": b, "start": start, "source": r["source"], "cluster": r["cluster"]})
+    fill = Counter()
+    for x in placed:
+        fill[x["bin"]] += x["n_tokens"]
+    out += [x | {"fill": fill[x["bin"]]} for x in placed]
+    for b, (r, piece) in enumerate(full, len(bins.own)):
+        out.append({"doc_id": r["id"], "piece": piece, "n_tokens": capacity, "bin": b, "start": 0, "source": r["source"], "cluster": r["cluster"], "fill": capacity})
     return out
 
 
@@ -132,13 +138,26 @@ def best_fit(df: DataFrame, length: Column, source: Column, cluster: Column, key
     """key, piece, n_tokens, shard, bin (unique within its shard), start (offset in the bin)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    items = materialize(df.select(F.col(key).cast("long").alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.when(source.isNotNull(), F.xxhash64(source)).alias("source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster")))
-    shards = max(1, -(-items.count() // shard_rows))
+    item = df.select(F.col(key).cast("long").alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"), F.when(source.isNotNull(), F.xxhash64(source)).alias("source"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("cluster"))
+    alike = item.groupBy("id", "n", "source", "cluster").agg(F.count("*").alias("copies"))
+    items = materialize(alike.select("id", "n", "source", "cluster", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")))
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], SCHEMA).schema)
 
-    def run(k, table):
-        shard = k[0].as_py()
-        return pa.Table.from_pylist([r | {"shard": shard} for r in pack_rows(table.to_pylist(), capacity)], arrow)
+    def packed(rows: DataFrame, by: list[str], base: int) -> tuple[DataFrame, int]:
+        """rows dealt by a hash over shards that are numbered from base; and how many there are."""
+        shards = max(1, -(-rows.count() // shard_rows))
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("id", "n", "cluster"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(run, SCHEMA).withColumnRenamed("doc_id", key)
+        def run(k, table):
+            shard = base + k[0].as_py()
+            return pa.Table.from_pylist([r | {"shard": shard} for r in pack_rows(table.to_pylist(), capacity)], arrow)
+
+        return rows.withColumn("_shard", F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")).groupBy("_shard").applyInArrow(run, SCHEMA), shards
+
+    first, shards = packed(items, ["id", "n", "cluster", "copy"], 0)
+    if shards > 1:
+        first = materialize(first)
+        again = F.coalesce(F.col("fill") < OPEN * capacity, F.lit(False))
+        loose = first.where(again).select(F.col("doc_id").alias("id"), "piece", F.col("n_tokens").alias("n"), "source", "cluster", "shard", "bin")
+        second, _ = packed(loose, ["id", "piece", "shard", "bin"], shards)
+        first = first.where(~again).unionByName(second)
+    return first.drop("source", "cluster", "fill").withColumnRenamed("doc_id", key)

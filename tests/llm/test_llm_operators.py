@@ -114,6 +114,18 @@ def test_packing_in_shards_keeps_every_token_and_no_conflict(spark):
     for r in got:
         fill[r.shard, r.bin] += r.n_tokens * (r.bin is not None)
     assert max(fill.values()) <= 128
+    pieces = {}
+    for r in got:
+        if r.bin is not None and r.n_tokens < 128:
+            pieces.setdefault((r.shard, r.bin), []).append((r.start, r.n_tokens))
+    for own in pieces.values():  # pieces of a bin follow each other, and of one source there is one
+        ends = 0
+        for start, n in sorted(own):
+            assert start == ends
+            ends += n
+        assert len(own) <= 3
+    one = packing.best_fit(df, F.col("n"), F.col("source"), F.lit(None).cast("int"), capacity=128, shard_rows=10**6).collect()
+    assert sum(r.bin is not None and r.n_tokens == 128 for r in got) == sum(r.bin is not None and r.n_tokens == 128 for r in one)
     assert packing.best_fit(df.limit(0), F.col("n"), F.col("source"), F.col("cluster")).count() == 0
 
 
