@@ -34,7 +34,7 @@ def test_rows_of_the_pipeline_are_judged_by_themselves(spark, tmp_path):
     rng = random.Random(5)
     calm = ["river", "stone", "cloud", "meadow", "paper", "window", "garden", "simple", "quiet", "letter"]
     own = lambda n: " ".join(rng.choice(calm) + "abcdefghij"[rng.randrange(10)] for _ in range(n))
-    rows = [(i, own(40) + (" you grumblatt and zorgvuk!" if i % 5 == 0 else "")) for i in range(300)]
+    rows = [(i, own(rng.randrange(20, 90)) + (" you grumblatt and zorgvuk!" if i % 5 == 0 else "")) for i in range(300)]
     item = " ".join(f"item{x}" for x in "abcdefghijklmnopqrst")
     rows += [(None, f"{own(30)} {item}"), (None, own(30)), (7, f"{own(30)} {item}"), (1000, rows[3][1]), (3, own(30)), (1, rows[1][1]), (None, rows[2][1]), (None, None), (None, None), (4, " ")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
