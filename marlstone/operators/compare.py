@@ -22,6 +22,15 @@ def seed_aggregate(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.count("value").alias("n"))
 
 
+def with_summary(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK-13: facts and, under the seed _summary, mean and deviation of each metric over seeds (as metric_mean, metric_std),
+    which readers leave out as metadata."""
+    agg = seed_aggregate(valid_facts(facts), [*keys, "metric"])
+    both = F.explode(F.array(F.struct(F.concat("metric", F.lit("_mean")).alias("m"), F.col("mean").alias("v")), F.struct(F.concat("metric", F.lit("_std")).alias("m"), F.col("std").alias("v"))))
+    extra = agg.select(*keys, both.alias("x")).select(*keys, F.lit("_summary").alias("seed"), F.col("x.m").alias("metric"), F.col("x.v").alias("value"))
+    return facts.select(*keys, F.col("seed").cast("string").alias("seed"), "metric", "value").unionByName(extra)
+
+
 def seed_values(facts: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-07: values in order of seed; one per seed, so lists stay short."""
     listed = facts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seed", "value"))).alias("_l"))

@@ -82,9 +82,12 @@ def p_values(tests: DataFrame, statistic: str, df: str, k: str | None, name: str
 
     def run(batches):
         for batch in batches:
+            known: dict[tuple, float | None] = {}  # the integral is taken once for equal rows of a batch
             out = []
             for r in zip(*(batch[i].to_pylist() for i in at), strict=True):
-                out.append(None if any(v is None or v != v for v in r) or r[1] <= 0 else t_two_sided(r[0], r[1]) if len(r) == 2 else studentised_range_sf(r[0], int(r[2]), r[1]))
+                if r not in known:
+                    known[r] = None if any(v is None or v != v for v in r) or r[1] <= 0 else t_two_sided(r[0], r[1]) if len(r) == 2 else studentised_range_sf(r[0], int(r[2]), r[1])
+                out.append(known[r])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema=arrow)
 
     return tests.mapInArrow(run, schema)

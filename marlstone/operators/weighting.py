@@ -55,5 +55,12 @@ def ramped(position: Column, steps: int, start: float, end: float) -> Column:
     return start - (start - end) * part
 
 
-#: EXT-02: name to weighting; unknown names raise KeyError.
+#: EXT-02: name to weighting; see weighting.
 WEIGHTINGS: dict[str, Callable] = {"equal": equal, "random": random, "uncertainty": uncertainty, "step_ratio": lambda df, step, task, loss, temperature=2.0: step_ratio_weights(df, task, step, loss, temperature), "chebyshev": chebyshev}
+
+
+def weighting(name: str) -> Callable:
+    """EXT-02: the weighting of a name; ValueError for others."""
+    if name not in WEIGHTINGS:
+        raise ValueError(f"unknown weighting: {name}")
+    return WEIGHTINGS[name]

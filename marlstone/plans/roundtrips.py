@@ -381,3 +381,69 @@ def fallback_steps(spark, sf):
 
     out = fallible.fallback_map(table(spark, sf, "orders", ["o_orderkey"]), "o_orderkey", [even, third], "bigint")
     return out.select("o_orderkey", "value", "step")
+
+
+@query("SELECT event_type, round(sum(value), 4) AS total, count(value)::BIGINT AS n FROM events GROUP BY event_type")
+def resumed_stream(spark, sf):
+    """STM-03: a stream stopped after two thirds of its files goes on where it was; rows count once."""
+    to = scratch_folder(spark)
+    e = table(spark, sf, "events", ["event_id", "event_type", "value"])
+    for k in range(3):
+        e.where(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{to}/in")
+        if k:
+            stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
+            out = S.run_to_end(S.masked_totals(stream, ["event_type"], F.col("value")), ["event_type"], f"{to}/run")
+    return out.select("event_type", F.round("total", 4).alias("total"), "n")
+
+
+@query("SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS head, label::SMALLINT AS code FROM embeddings WHERE label = 3")
+def cast_arrays(spark, sf):
+    """PRJ-02, PRJ-03, FIL-03: elements and codes cast, columns renamed, one state selected."""
+    e = table(spark, sf, "embeddings").where("label = 3")
+    return e.select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("head"), F.col("label").cast("short").alias("code"))
+
+
+@query("SELECT family, count(*)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean FROM (SELECT CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'fast' WHEN o_orderpriority LIKE '4%' THEN 'none' ELSE 'slow' END AS family, o_totalprice FROM orders) GROUP BY family")
+def task_families(spark, sf):
+    """FIL-12, JOI-19: tasks by the prefix of their names, from a small table sent to every executor."""
+    families = tables.dimension(spark, [("1", "fast"), ("2", "fast"), ("4", "none")], "prefix string, family string")
+    o = table(spark, sf, "orders", ["o_orderpriority", "o_totalprice"]).withColumn("prefix", F.substring("o_orderpriority", 1, 1))
+    named = o.join(F.broadcast(families), "prefix", "left").withColumn("family", F.coalesce("family", F.lit("slow")))
+    return named.groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query("SELECT l_returnflag AS task, round(sum(l_tax), 4) AS total, round(avg(l_tax), 9) AS mean, max(l_tax) AS most FROM lineitem GROUP BY l_returnflag")
+def reduced_over_ranks(spark, sf):
+    """AGG-28: sums, means and maxima of each rank's own rows, reduced over ranks."""
+    li = table(spark, sf, "lineitem", ["l_returnflag", "l_orderkey", "l_tax"])
+    own = li.groupBy((F.col("l_orderkey") % 4).alias("rank"), F.col("l_returnflag").alias("task")).agg(F.sum("l_tax").alias("s"), F.count("l_tax").alias("n"), F.max("l_tax").alias("m"))
+    return own.groupBy("task").agg(F.round(F.sum("s"), 4).alias("total"), F.round(F.sum("s") / F.sum("n"), 9).alias("mean"), F.max("m").alias("most"))
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS n_nodes, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+def nested_graph_cache(spark, sf):
+    """SNK-07, SRC-15: nested graphs written as Parquet and read again by key, the first table of two keeping its rows."""
+    to = scratch_folder(spark)
+    g = table(spark, sf, "conversations", ["conv_id", "turn"]).groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    g.write.parquet(f"{to}/a")
+    g.where("conv_id % 2 = 0").withColumn("turns", F.array().cast("array<bigint>")).write.parquet(f"{to}/b")
+    cache = tables.keyed_cache([spark.read.parquet(f"{to}/a"), spark.read.parquet(f"{to}/b")], "conv_id", False)
+    return cache.select("conv_id", F.size("turns").cast("long").alias("n_nodes"), "turns")
+
+
+@query("SELECT count(*)::BIGINT AS n, sum(n_nationkey)::BIGINT AS keys, (count(*) + 6) // 7 AS batches FROM nation")
+def batched_rows(spark, sf):
+    """SRC-07: two columns in batches of seven rows."""
+    n = keys_sum = batches = 0
+    for batch in tables.row_batches(table(spark, sf, "nation"), ["n_nationkey", "n_name"], 7):
+        batches, n, keys_sum = batches + 1, n + len(batch), keys_sum + sum(r.n_nationkey for r in batch)
+    return spark.createDataFrame([(n, keys_sum, batches)], "n long, keys long, batches long")
+
+
+@query("""WITH f AS (SELECT l_returnflag AS task, l_linenumber AS seed, round(avg(l_tax), 6) AS value FROM lineitem GROUP BY ALL)
+SELECT task, seed::VARCHAR AS seed, 'tax' AS metric, value FROM f UNION ALL SELECT task, '_summary', 'tax_mean', round(avg(value), 9) FROM f GROUP BY task UNION ALL SELECT task, '_summary', 'tax_std', round(stddev_samp(value), 9) FROM f GROUP BY task""")
+def result_summaries(spark, sf):
+    """SNK-13, FIL-07: seeds and their summary."""
+    li = table(spark, sf, "lineitem", ["l_returnflag", "l_linenumber", "l_tax"])
+    f = li.groupBy(F.col("l_returnflag").alias("task"), F.col("l_linenumber").alias("seed")).agg(F.round(F.avg("l_tax"), 6).alias("value")).withColumns({"metric": F.lit("tax"), "method": F.lit("m")})
+    return K.with_summary(f.withColumn("method", F.lit("m")), ["task", "method"]).select("task", "seed", "metric", F.round("value", 9).alias("value"))

@@ -90,6 +90,18 @@ def keys_by(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.groupBy(group).agg(F.sort_array(F.collect_set(key)).alias("keys"))
 
 
+def row_batches(df: DataFrame, columns: list[str], rows: int):
+    """SRC-07: the named columns alone, some rows at a time, one partition in memory: an iterator of lists of rows."""
+    batch = []
+    for r in df.select(*columns).toLocalIterator(prefetchPartitions=True):
+        batch.append(r)
+        if len(batch) == rows:
+            yield batch
+            batch = []
+    if batch:
+        yield batch
+
+
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-20: rows with the number of the shard file they come from."""
     df = spark.read.parquet(folder)
