@@ -2,7 +2,7 @@
 
 A block is made once, written to the shared store, and then read by every later pass, so
 that text is split and hashed once and numpy works on whole arrays. Blocks are bounded by
-BLOCK_BYTES of text (one longer text makes a block of its own).
+block_size of text (one longer text makes a block of its own).
 
 Passes ask questions about items (windows, n-grams, shingles) of all blocks in two steps,
 both linear in the input: a block sends each of its distinct items once to the owner of the
@@ -20,12 +20,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, pack, unpack
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, MOST_BYTES = 4 << 20, 128 << 20
 SCHEMA = "block long, ids array<bigint>, flags array<int>, words long, counts binary, vocabulary binary, codes binary"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -73,8 +73,18 @@ def _encode(block: int, ids: list, flags: list, texts: list[bytes], separator: b
     return {"block": block, "ids": ids, "flags": flags, "words": len(words), "counts": pack(np.array(counts, np.uint64)), "vocabulary": joined, "codes": pack(codes)}
 
 
-def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of df as blocks. flag: an integer column expression kept per document; separator: instead of white space."""
+def block_size(spark: SparkSession) -> int:
+    """BLOCK_BYTES, or more on executors with much memory for each core: a block costs about a hundred times its size while it
+    is worked on. Rows between blocks and owners grow with the square of the number of blocks, so large inputs want large ones."""
+    memory = spark.sparkContext._jsc.sc().executorMemory() << 20
+    cores = int(spark.conf.get("spark.executor.cores", "8"))
+    return min(MOST_BYTES, max(BLOCK_BYTES, memory // cores // 400))
+
+
+def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Rows of df as blocks. flag: an integer column expression kept per document; separator: instead of white space;
+    block_bytes: block_size if not given."""
+    block_bytes = block_bytes or block_size(df.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0

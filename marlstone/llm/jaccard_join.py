@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
+from .blocks import ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
 from .common import materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
 from .components import components
 
@@ -245,7 +245,7 @@ def _cross_pairs(groups: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataF
     return pairs.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("depth").alias("depth")).where("common >= depth").select("a", "b")
 
 
-def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """key, n_shingles, component_id."""
     spark = df.sparkSession
     blocks = materialize(to_blocks(df, key, text, lower=True, block_bytes=block_bytes))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ANSWER, ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
+from .blocks import ANSWER, ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
 from .common import materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted
 
 END, BEGIN = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0xB5297A4D3F84D5B5)
@@ -191,7 +191,7 @@ def _score(owners: int, bits: int, n: int, v: int, weights: np.ndarray, key: str
     return rows
 
 
-def lm_scores(df: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(df: DataFrame, trains: Column, key: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability); trains: boolean, learn from this row."""
     blocks = materialize(to_blocks(df, key, text, flag=trains, lower=True, block_bytes=block_bytes))
     owners = owners_for(blocks)

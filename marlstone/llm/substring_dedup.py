@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ASK, BLOCK_BYTES, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
+from .blocks import ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
 from .common import NULL_ID, materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
 
 WINDOW = 13
@@ -190,7 +190,7 @@ def _remove(owners: int, k: int, bits: int, key: str):
     return cut
 
 
-def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int | None = None) -> DataFrame:
     """key, n_words, n_removed and kept, the words left joined by one space."""
     blocks = materialize(to_blocks(df, key, text, block_bytes=block_bytes))
     owners, bits = owners_for(blocks), width_bits(blocks.agg(F.sum("words")).first()[0] or 0)
