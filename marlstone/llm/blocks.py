@@ -12,22 +12,20 @@ frequent item therefore reaches its owner at most once a block, however often it
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, pack, unpack
+from .common import expand, give_back, pack, squeeze, unpack
 
 BLOCK_BYTES, MOST_BYTES = 4 << 20, 128 << 20
 SCHEMA = "block long, ids array<bigint>, flags array<int>, words long, counts binary, vocabulary binary, codes binary"
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class Block:
@@ -41,7 +39,8 @@ class Block:
 
     @property
     def vocabulary(self) -> list[bytes]:
-        return [] if self._vocabulary is None else zlib.decompress(self._vocabulary).split(b"\n")
+        size = int.from_bytes(self._vocabulary[:6], "little")
+        return expand(self._vocabulary[6:], size).split(b"\n") if size else []
 
     @property
     def codes(self) -> np.ndarray:
@@ -61,16 +60,17 @@ class Block:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def _encode(block: int, ids: list, flags: list, texts: list[bytes], separator: bytes | None) -> dict:
-    words: list[bytes] = []
-    counts = []
-    for t in texts:
-        own = t.split() if separator is None else [x for x in t.split(separator)]
-        counts.append(len(own))
-        words += own
-    codes, vocabulary = pd.factorize(np.array(words, dtype=object)) if words else (np.empty(0, np.int64), [])
-    joined = zlib.compress(b"\n".join(vocabulary), 1) if words else None  # no word or line holds a line feed
-    return {"block": block, "ids": ids, "flags": flags, "words": len(words), "counts": pack(np.array(counts, np.uint64)), "vocabulary": joined, "codes": pack(codes)}
+def _encode(block: int, ids: list, flags: list, texts: pa.LargeStringArray) -> dict:
+    trimmed = pc.ascii_trim_whitespace(texts)
+    split = pc.ascii_split_whitespace(trimmed)
+    blank = pc.binary_length(trimmed).to_numpy() == 0
+    counts, words = np.where(blank, 0, pc.list_value_length(split).to_numpy()), split.flatten()
+    if blank.any():  # the split of an empty text is one empty word
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    coded = words.dictionary_encode()
+    lines = pc.binary_join_element_wise(coded.dictionary, *(pa.scalar(x, pa.large_string()) for x in ("", "\n")))  # no word holds a line feed
+    joined = lines.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(lines)).as_py() - 1] if len(lines) else b""
+    return {"block": block, "ids": ids, "flags": flags, "words": len(words), "counts": pack(counts), "vocabulary": len(joined).to_bytes(6, "little") + squeeze(joined), "codes": pack(coded.indices.to_numpy())}
 
 
 def block_size(spark: SparkSession) -> int:
@@ -81,35 +81,36 @@ def block_size(spark: SparkSession) -> int:
     return min(MOST_BYTES, max(BLOCK_BYTES, memory // cores // 400))
 
 
-def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, separator: bytes | None = None, block_bytes: int | None = None) -> DataFrame:
-    """Rows of df as blocks. flag: an integer column expression kept per document; separator: instead of white space;
-    block_bytes: block_size if not given."""
+def to_blocks(df: DataFrame, key: str, text: str, flag=None, lower: bool = False, block_bytes: int | None = None) -> DataFrame:
+    """Rows of df as blocks. flag: an integer column expression kept per document; lower: A-Z to a-z; block_bytes: block_size if not given."""
     block_bytes = block_bytes or block_size(df.sparkSession)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("flags", pa.list_(pa.int32())), ("words", pa.int64()), ("counts", pa.binary()), ("vocabulary", pa.binary()), ("codes", pa.binary())])
-        ids, flags, texts, size = [], [], [], 0
+        held, size = [], 0  # slices of batches, and their bytes
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([_encode((part << 32) | seq, ids, flags, texts, separator)], schema)
+            ids, flags = ([x for b in held for x in b[c].to_pylist()] for c in (0, 1))
+            texts = pa.concat_arrays([b[2].cast(pa.large_string()).fill_null("") for b in held])
+            return pa.RecordBatch.from_pylist([_encode((part << 32) | seq, ids, flags, pc.ascii_lower(texts) if lower else texts)], schema)
 
         for batch in batches:
-            for i, f, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].cast(pa.binary()), strict=True):
-                t = t.as_py() or b""
-                ids.append(i)
-                flags.append(f or 0)
-                texts.append(t.translate(LOWER) if lower else t)
-                size += len(t) + 16
+            begin = 0
+            for end, n in enumerate(pc.binary_length(batch[2]).to_pylist(), 1):
+                size += (n or 0) + 16
                 if size >= block_bytes:
+                    held.append(batch.slice(begin, end - begin))
                     yield out()
-                    seq, ids, flags, texts, size = seq + 1, [], [], [], 0
-        if ids:
+                    seq, held, size, begin = seq + 1, [], 0, end
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
             yield out()
-        ids, flags, texts = [], [], []
+        held = []
         give_back()
 
-    flag = F.lit(0) if flag is None else flag
+    flag = F.lit(0) if flag is None else F.coalesce(flag.cast("int"), F.lit(0))
     return df.select(F.col(key).cast("long").alias("k"), flag.cast("int").alias("f"), F.col(text).cast("string").alias("t")).mapInArrow(make, SCHEMA)
 
 

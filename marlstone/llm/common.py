@@ -8,9 +8,9 @@ from __future__ import annotations
 import gc
 import os
 import uuid
-import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,27 +129,55 @@ def windows(hashes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 
 def window_hash(hashes: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """64-bit hash of the k items from each position."""
-    out = np.zeros(len(at), np.uint64)
+    n = max(0, len(hashes) - k + 1)
+    dense = 2 * len(at) > n  # then all positions are hashed in place, and those asked for are taken
+    out = np.zeros(n if dense else len(at), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[at + j] + np.uint64(salt + j + 1))
-    return out
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + (hashes[j : j + n] if dense else hashes[at + j]) + np.uint64(salt + j + 1))
+    return out[at] if dense else out
+
+
+# ----------------------------------------------------------------- sorted codes
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each value its place among the distinct ones, and those in ascending order."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(ordered), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, ordered[new]
 
 
 # ----------------------------------------------------------------- packed integers
 def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers: planes of equal significance side by side, then deflated."""
-    values = np.ascontiguousarray(values, np.uint64)
+    """Non-negative integers: width, length, then planes of equal significance side by side, compressed."""
+    values = np.ascontiguousarray(values)
+    values = values.view(f"u{values.itemsize}") if values.dtype.kind in "iu" else values.astype(np.uint64)
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = values.view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+    planes = np.empty((width, len(values)), np.uint8)
+    for j in range(width):
+        planes[j] = (values >> values.dtype.type(8 * j)).astype(np.uint8)
+    return bytes([width]) + len(values).to_bytes(6, "little") + squeeze(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view(np.uint64).ravel()
+    width, n = data[0], int.from_bytes(data[1:7], "little")
+    planes = np.frombuffer(expand(data[7:], width * n), np.uint8).reshape(width, n)
+    out = planes[0].astype(np.uint64)
+    for j in range(1, width):
+        out |= planes[j].astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
+def squeeze(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def expand(data: bytes, size: int) -> bytes:
+    """What squeeze was given; size: its length."""
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -165,8 +193,6 @@ def give_back() -> None:
     """Return freed memory to the system: workers are kept between stages, and what they hold adds up."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
-from .common import materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
+from .common import materialize, pack, pack_sorted, ranked, release, unpack, unpack_sorted, window_hash
 from .components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -55,7 +55,7 @@ CARRY = 32  # token groups of a class up to which its rows name all of them; a c
 
 
 class _Shingles:
-    """Distinct (document, shingle) of a block; keys: ascending distinct shingles."""
+    """Distinct (document, shingle) of a block, by document, then hash; keys: ascending distinct shingles."""
 
     def __init__(self, block: Block):
         hashes, counts = block.hashes(), block.counts
@@ -66,18 +66,13 @@ class _Shingles:
             own = np.flatnonzero(counts == n)
             parts.append((own, window_hash(hashes, block.starts[own], n, 100 + n)))
         doc, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-        with np.errstate(over="ignore"):
-            codes, pairs = pd.factorize(mix(h + mix(doc.astype(np.uint64) + np.uint64(1))))
-        at = np.zeros(len(pairs), np.int64)
-        at[codes] = np.arange(len(codes))
-        at.sort()
-        self.doc, self.hash = doc[at], h[at]
+        place, self.keys = ranked(h)
+        pairs = np.sort((doc.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        pairs = pairs[new]
+        self.doc, self.code = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.n = np.bincount(self.doc, minlength=len(counts))
-        codes, keys = pd.factorize(self.hash)
-        order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        self.code, self.keys = rank[codes], keys[order].astype(np.uint64)
 
 
 def _ask(owners: int):
@@ -123,21 +118,19 @@ def _sets(owners: int):
         s = _Shingles(block)
         slices = by_owner(s.keys, owners)
         df = np.concatenate([unpack(got[1, o]) for o, _ in slices]).astype(np.int64)[s.code] if slices else np.empty(0, np.int64)
-        order = np.argsort(s.doc, kind="stable")
         ends = np.cumsum(s.n)
         seen = set()
         for i, n, end in zip(block.ids, s.n.tolist(), ends.tolist(), strict=True):
-            own = order[end - n : end]
+            own = slice(end - n, end)
             row = {"doc_id": i, "n": n, "shared": None, "set": None, "live": None, "tokens": None, "levels": None, "depth": None}
             if n and (df[own] > 1).sum() >= needed(n):
-                h, f = s.hash[own], df[own]
-                up = np.sort(h)
-                row["set"] = xxhash.xxh3_128_digest(up.tobytes())
+                h, f = s.keys[s.code[own]], df[own]
+                row["set"] = xxhash.xxh3_128_digest(h.tobytes())
                 if row["set"] not in seen:
                     seen.add(row["set"])
                     row["shared"] = int((f > 1).sum())
-                    row["live"] = pack_sorted(np.sort(h[f > 1] >> SHORT))
-                    rare = np.lexsort((h, f))
+                    row["live"] = pack_sorted(h[f > 1] >> SHORT)
+                    rare = np.argsort(f.astype(np.uint16), kind="stable")  # frequencies stop at MOST
                     depth = prefix_depth(f[rare], n)
                     prefix = rare[: n - needed(n) + depth]
                     level = np.maximum(1, np.arange(len(prefix)) - (n - needed(n)) + 1)

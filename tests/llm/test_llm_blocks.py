@@ -121,3 +121,38 @@ def test_lm_without_training_rows(spark):
     got = lm_scoring.lm_scores(spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA), F.lit(False)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(1, 3, 0, 0), (2, 1, 0, 0)}
     assert lm_scoring.lm_scores(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_packed_integers_and_codes_round_trip():
+    import numpy as np
+
+    from marlstone.llm import common
+
+    rng = np.random.default_rng(7)
+    for values in ([], [0], [255, 256, 0], rng.integers(0, 1 << 63, 1000), rng.integers(0, 5, 1000, np.int32)):
+        values = np.array(values, None if len(values) else np.uint64)
+        assert np.array_equal(common.unpack(common.pack(values)), values.astype(np.uint64))
+        place, distinct = common.ranked(values)
+        assert np.array_equal(distinct, np.unique(values)) and np.array_equal(distinct[place], values)
+
+
+def test_window_hash_is_the_same_for_all_positions_and_for_few():
+    import numpy as np
+
+    from marlstone.llm.common import window_hash
+
+    hashes = np.random.default_rng(7).integers(0, 1 << 63, 50).astype(np.uint64)
+    every = window_hash(hashes, np.arange(46), 5)
+    assert np.array_equal(window_hash(hashes, np.array([3, 40]), 5), every[[3, 40]])
+    assert len(window_hash(hashes[:3], np.empty(0, np.int64), 5)) == 0
+
+
+def test_blocks_split_at_ascii_white_space_only():
+    import pyarrow as pa
+
+    from marlstone.llm.blocks import Block, _encode
+
+    texts = ["", " ", "a b", "\tb\x0b c\x0c\r\n", "\xa0d e \x1c", "é a"]
+    block = Block(_encode(0, list(range(6)), [0] * 6, pa.array(texts, pa.large_string())))
+    words = [block.vocabulary[c].decode() for c in block.codes]
+    assert block.counts.tolist() == [0, 0, 2, 2, 2, 2] and words == ["a", "b", "b", "c", "\xa0d e", "\x1c", "é", "a"]
