@@ -22,12 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
-from .common import NULL_ID, materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted, window_hash
+from .common import NULL_ID, materialize, mix, pack, pack_sorted, ranked, release, unpack, unpack_sorted, window_hash
 
 WINDOW = 13
 DEPTH = 2  # rows of the count-min sketch
@@ -47,18 +46,13 @@ class _Windows:
         self.at = first + np.arange(inside.sum())
         self.id = np.repeat(ids[order], inside)
         self.hashes = block.hashes()
-        codes, distinct = pd.factorize(window_hash(self.hashes, self.at, k))
-        n = len(distinct)
-        begin, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        begin[codes[::-1]] = np.arange(len(codes))[::-1]
-        end[codes] = np.arange(len(codes))
-        by_hash = np.argsort(distinct)
-        rank = np.empty(n, np.int64)
-        rank[by_hash] = np.arange(n)
-        self.code, self.hash = rank[codes], distinct[by_hash].astype(np.uint64)
-        self.first = begin[by_hash]  # an occurrence in the document with the smallest id
+        self.code, self.hash = ranked(window_hash(self.hashes, self.at, k))
+        places = np.arange(len(self.code))
+        self.first, end = np.zeros(len(self.hash), np.int64), np.zeros(len(self.hash), np.int64)
+        self.first[self.code[::-1]] = places[::-1]  # an occurrence in the document with the smallest id
+        end[self.code] = places
         self.least = self.id[self.first]
-        self.repeated = self.id[end[by_hash]] > self.least  # in two documents of this block
+        self.repeated = self.id[end] > self.least  # in two documents of this block
 
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ascending counters of a row that the windows fall on, how many windows do, and each window's among them."""

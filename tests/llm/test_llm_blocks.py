@@ -152,7 +152,7 @@ def test_blocks_split_at_ascii_white_space_only():
 
     from marlstone.llm.blocks import Block, _encode
 
-    texts = ["", " ", "a b", "\tb\x0b c\x0c\r\n", "\xa0d e \x1c", "é a"]
+    texts = ["", " ", "a b", "\tb\x0b c\x0c\r\n", "\xa0d\u2003e \x1c", "é a"]
     block = Block(_encode(0, list(range(6)), [0] * 6, pa.array(texts, pa.large_string())))
     words = [block.vocabulary[c].decode() for c in block.codes]
-    assert block.counts.tolist() == [0, 0, 2, 2, 2, 2] and words == ["a", "b", "b", "c", "\xa0d e", "\x1c", "é", "a"]
+    assert block.counts.tolist() == [0, 0, 2, 2, 2, 2] and words == ["a", "b", "b", "c", "\xa0d\u2003e", "\x1c", "é", "a"]
