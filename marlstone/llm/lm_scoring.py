@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, ASK, Block, answer, bundle, by_owner, join_blocks, map_blocks, owners_for, to_blocks, unbundle
-from .common import materialize, mix, pack, pack_sorted, release, unpack, unpack_sorted
+from .common import materialize, mix, pack, pack_sorted, ranked, release, unpack, unpack_sorted
 
 END, BEGIN = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0xB5297A4D3F84D5B5)
 GRID = 4
@@ -60,11 +60,7 @@ class _Tokens:
 
     def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes in place and ascending distinct keys; kind 1 always has the end token."""
-        codes, keys = pd.factorize((self.token if kind == 1 else self.pair) >> self.drop)
-        order = np.argsort(keys)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        return rank[codes], keys[order].astype(np.uint64)
+        return ranked((self.token if kind == 1 else self.pair) >> self.drop)
 
 
 def _ask(owners: int, bits: int):
