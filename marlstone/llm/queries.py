@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontamination, filter_audit, jaccard_join, license_scan, license_templates, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
 from .common import SPACES, crc_fold, split_words
 
 
@@ -78,7 +78,19 @@ def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.agg(F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("n") != F.col("end")).alias("gaps"), F.count_if(F.col("pieces") != F.col("sources")).alias("conflicts"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1}
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), filter_audit.text_conditions(F.col("text")), _read(spark, sf_dir, "labels"), flags, duplicates="E")
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_line_dedup": op7_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
+QUERIES |= {"op11_filter_audit": op11_filter_audit, "op12_license_scan": op12_license_scan}
 QUERIES |= {"lm_base_scores": lm_base_scores, "packing_totals": packing_totals, "packing_bins": packing_bins}
 
 ORACLE_SQL: dict[str, str] = {}
@@ -213,3 +225,51 @@ FROM t LEFT JOIN c USING (token), n GROUP BY doc_id
 ORACLE_SQL["packing_totals"] = f"SELECT doc_id, len({WORDS_SQL})::BIGINT AS n_words, ceil(len({WORDS_SQL}) / 2048.0)::BIGINT AS n_pieces FROM documents"
 
 ORACLE_SQL["packing_bins"] = "SELECT 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS conflicts"
+
+ORACLE_SQL["op11_filter_audit"] = f"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * (len(t) - len(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * len(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(coalesce(doc_id, 9223372036854775807) > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask
+  FROM t LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(f, b)),
+o AS (
+  SELECT v.f || w.f || x.f || y.f || z.f AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits FROM f v, f w, f x, f y, f z
+  WHERE v.b | w.b | x.b | y.b | z.b = 31
+), s AS (SELECT filter_order, step, bits[step] AS b, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+r AS (
+  SELECT part, filter_order, step, b, coalesce(sum(n) FILTER (mask & (before | b) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & b > 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & before > 0 AND mask & b > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = b), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & before = 0 AND mask & b > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & b > 0), 0)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley FROM r
+"""
+
+
+def _license_sql() -> str:
+    """Phrases by position; templates as regular expressions over the joined words, one for each section's end."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    at = lambda p: "[i - 1 FOR i IN range(1, len(w) + 1) IF " + " AND ".join(f"w[i + {k}] = {quoted(x)}" for k, x in enumerate(p.split())) + "]"
+    places = ", ".join(f"{at(p)} AS p{k}" for k, p in enumerate(license_templates.PHRASES))
+    all_places = " || ".join(f"p{k}" for k in range(len(license_templates.PHRASES)))
+    named = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN {quoted(x)} END" for k, x in enumerate(license_templates.PHRASES.values()))
+    accepted, shares = [], []
+    for label, markup in license_templates.TEMPLATES:
+        ends = [(f"regexp_matches(t, {quoted('(?:^| )' + license_scan.pattern(tree))})", share) for tree, share in license_scan.sections(license_scan.parse(markup))]
+        accepted.append(f"CASE WHEN {ends[-1][0]} THEN {quoted(label)} END")
+        shares.append("CASE " + " ".join(f"WHEN {test} THEN {share!r}::DOUBLE" for test, share in reversed(ends)) + " ELSE 0.0::DOUBLE END")
+    return f"""
+WITH d AS (SELECT doc_id, {ITEM_WORDS_SQL} AS w FROM documents),
+p AS (SELECT doc_id, len(w)::BIGINT AS n_words, array_to_string(w, ' ') || ' ' AS t, {places} FROM d),
+l AS (SELECT *, {all_places} AS places, [x FOR x IN [{named}] IF x IS NOT NULL] AS base, [x FOR x IN [{", ".join(accepted)}] IF x IS NOT NULL] AS found, greatest({", ".join(shares)}) AS score FROM p)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || found)), ',') AS labels, score
+FROM l
+"""
+
+
+ORACLE_SQL["op12_license_scan"] = _license_sql()
