@@ -29,14 +29,19 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, deleted when the driver ends; only a local session may do without that setting."""
+def new_folder(spark: SparkSession, name: str = "marlstone") -> str:
+    """The path of a new folder below spark.checkpoint.dir, which stays; only a local session may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """new_folder, deleted when the driver ends."""
+    path = new_folder(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path
