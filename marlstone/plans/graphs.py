@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
+from ..operators import attention as A
 from ..operators import features
 from ..operators import graph as G
 from ..sources.tables import table
@@ -243,3 +244,69 @@ def principal_component_invariants(spark, sf):
         F.lit(8).cast("long").alias("components"), every([F.abs(f"m{i}") < 1e-9 for i in range(8)]).alias("centred"), every([F.abs(f"k{i}_{j}") < 1e-9 for i, j in both]).alias("uncorrelated"),
         every([F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-12 for i in range(7)]).alias("descending"), (held <= F.col("total") + 1e-9).alias("within_total"),
     )
+
+
+# ----------------------------------------------------------------- attention
+_HEADS, _WIDTH = 2, 3
+_INPUTS = 3  # of a turn: its length, its number, whether the user has it
+
+
+def _weights(shape: list[int], seed: int) -> list:
+    """Made-up parameters by rule, which the SQL below repeats: ((7 i + 3 j + 5 k + seed) mod 11 - 5) / 5."""
+    i, *rest = shape
+    if not rest:
+        return [((5 * k + seed) % 11 - 5) / 5 for k in range(i)]
+    step = 7 if len(rest) == 2 else 3
+    return [_weights(rest, seed + step * a) for a in range(i)]
+
+
+_LIN = "[list_sum([x[i + 1] * ((7 * h + 3 * d + 5 * i + {}) % 11 - 5) / 5.0::DOUBLE FOR i IN range(3)]) FOR d IN range(3)]"
+_MEAN = "[sum(exp(logit) * {0}[1]) / sum(exp(logit)), sum(exp(logit) * {0}[2]) / sum(exp(logit)), sum(exp(logit) * {0}[3]) / sum(exp(logit))]"
+_ATTENTION = f"""t AS (SELECT conv_id, turn AS node, min(struct_pack(r := role, n := coalesce(len(text), 0))) AS m FROM conversations GROUP BY ALL),
+f AS (SELECT conv_id, node, [least(m.n, 2000) / 1000.0::DOUBLE, node / 10.0::DOUBLE, CASE WHEN m.r = 'user' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END] AS x FROM t),
+g AS (SELECT conv_id, node, h, {_LIN.format(0)} AS q, {_LIN.format(1)} AS k, {_LIN.format(2)} AS v FROM f, range(2) r(h)),
+p AS (SELECT n.conv_id, n.h, m.node AS src, n.node AS dst, m.v AS v, [n.q[d] * m.k[d] * (0.5::DOUBLE + d / 4.0::DOUBLE) FOR d IN range(1, 4)] AS p
+  FROM g n JOIN g m ON m.conv_id = n.conv_id AND m.h = n.h AND m.node IN (n.node - 1, n.node + 1, n.node + 2)),
+e AS (SELECT conv_id, h, src, dst, v, [greatest(least(sign(p[d]) * sqrt(abs(p[d]) + 1e-9::DOUBLE), 5.0::DOUBLE), -5.0::DOUBLE) + (src - dst) * d / 8.0::DOUBLE FOR d IN range(1, 4)] AS score FROM p),
+l AS (SELECT *, greatest(least(list_sum([score[d + 1] * ((3 * h + 5 * d + 3) % 11 - 5) / 5.0::DOUBLE FOR d IN range(3)]) / sqrt(3.0::DOUBLE) + abs(src - dst) / 4.0::DOUBLE, 5.0::DOUBLE), -5.0::DOUBLE) AS logit FROM e),
+a AS (SELECT conv_id, dst AS node, h, count(*) AS degree, {_MEAN.format("v")} AS v, {_MEAN.format("score")} AS r FROM l GROUP BY ALL),
+w AS (SELECT conv_id, node, h, coalesce(degree, 0) AS degree, [coalesce(v[d + 1] + list_sum([r[c + 1] * ((7 * h + 3 * d + 5 * c + 4) % 11 - 5) / 5.0::DOUBLE FOR c IN range(3)]), 0) FOR d IN range(3)] AS w
+  FROM (SELECT conv_id, node, h FROM g) LEFT JOIN a USING (conv_id, node, h))"""
+
+
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """conv_id, node and x of each turn."""
+    c = table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    t = c.groupBy("conv_id", "turn").agg(F.min(F.struct("role", F.coalesce(F.length("text"), F.lit(0)).alias("n"))).alias("m"))
+    x = F.array(F.least(F.col("m.n"), F.lit(2000)) / 1000.0, F.col("turn") / 10.0, F.when(F.col("m.role") == "user", 1.0).otherwise(0.0))
+    return t.select("conv_id", F.col("turn").alias("node"), x.alias("x"))
+
+
+def _projected(spark: SparkSession, sf: str) -> DataFrame:
+    w = lambda s: A.of_head(_weights([_HEADS, _WIDTH, _INPUTS], s), "head")
+    return A.heads(_turns(spark, sf), _HEADS).select("conv_id", "node", "head", *[A.project(F.col("x"), w(s)).alias(n) for s, n in enumerate("qkv")])
+
+
+def _near(nodes: DataFrame) -> DataFrame:
+    """Edges from the turns before, after and two after, with weights by channel and biases by distance."""
+    apart = F.col("src") - F.col("dst")
+    e = nodes.select("conv_id", "head", F.col("node").alias("dst"), F.explode(F.array(F.col("node") - 1, F.col("node") + 1, F.col("node") + 2)).alias("src"))
+    channel = lambda fn: F.transform(F.sequence(F.lit(1), F.lit(_WIDTH)), fn)
+    return e.withColumns({"ew": channel(lambda d: 0.5 + d / 4.0), "eb": channel(lambda d: apart * d / 8.0), "bias": F.abs(apart) / 4.0})
+
+
+@query(f"""WITH {_ATTENTION} SELECT conv_id, node, h::INTEGER AS head, degree::BIGINT AS degree, d::INTEGER AS channel,
+  round(w[d + 1] * ((7 * h + 3 * d + 5) % 11 - 5) / 5.0::DOUBLE + w[d + 1] * ln(1 + degree) * ((7 * h + 3 * d + 10) % 11 - 5) / 5.0::DOUBLE, 7) + 0.0 AS out FROM w, range(3) c(d)""")
+def graph_attention(spark, sf):
+    """GRA-07, JOI-14, AGG-21: one attention layer over conversations: signed root, clamp, edge values and degree scaler."""
+    nodes = _projected(spark, sf)
+    out = A.attention(_near(nodes), nodes, "conv_id", _weights([_HEADS, _WIDTH], 3), _weights([_HEADS, _WIDTH, _WIDTH], 4), _weights([_HEADS, _WIDTH, 2], 5))
+    return out.select("conv_id", "node", "head", "degree", F.posexplode("out").alias("channel", "out")).withColumn("out", F.round("out", 7) + 0.0)
+
+
+@query(f"""WITH {_ATTENTION}, z AS (SELECT conv_id, h, [sum(exp(x) * v[1]) / sum(exp(x)), sum(exp(x) * v[2]) / sum(exp(x)), sum(exp(x) * v[3]) / sum(exp(x))] AS v FROM (SELECT conv_id, h, v, 3 * q[1] - k[2] AS x FROM g) GROUP BY ALL)
+SELECT a.conv_id, [round(x, 7) + 0.0 FOR x IN list_concat(a.v, b.v)] AS pooled FROM z a JOIN z b ON b.conv_id = a.conv_id WHERE a.h = 0 AND b.h = 1""")
+def graph_pooling(spark, sf):
+    """GRA-07, AGG-21: one vector a conversation: turns weighted by a gated softmax in each head, heads joined."""
+    pooled = A.attention_pool(_projected(spark, sf), "conv_id", 3 * F.get("q", F.lit(0)) - F.get("k", F.lit(1)), "v", _WIDTH)
+    return A.joined_heads(pooled, ["conv_id"], "v", _HEADS).select("conv_id", F.transform("v", lambda x: F.round(x, 7) + 0.0).alias("pooled"))

@@ -12,7 +12,7 @@ from ..operators import fallible, features
 from ..operators import metrics as M
 from ..operators import ragged
 from ..session import scratch_folder
-from ..sources import files, sinks, tables
+from ..sources import arrays, files, sinks, tables
 from ..sources.tables import table
 from ..streaming import incremental as S
 from .registry import query
@@ -124,6 +124,30 @@ def array_shards(spark, sf):
     return got.select(F.split("file", "-")[0].alias("shard"), F.col("row").alias("pos"), F.round(F.get("values", F.lit(0)), 7).alias("first_value"), F.size("values").cast("long").alias("width"))
 
 
+@query("""WITH r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding FROM embeddings)
+SELECT label::VARCHAR AS shard, i AS row, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM r WHERE i BETWEEN 3 AND 40""")
+def array_row_ranges(spark, sf):
+    """SRC-19, SNK-09: rows 3 to 40 of each array file: tasks read row ranges by offset, here of eight rows."""
+    to = scratch_folder(spark)
+    e = table(spark, sf, "embeddings", ["vec_id", "label", "embedding"]).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    files.write_array_files(e, to, "label", "vec_id", "embedding").write.parquet(f"{to}-made")
+    got = arrays.array_rows(spark, f"{to}/*.npy", partition_bytes=8 * 64 * 8).where("row >= 3 and row <= 40")
+    return got.select(F.split("file", "-")[0].alias("shard"), "row", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("""WITH p AS (SELECT p_type AS smiles, p_name AS title, p_partkey AS id, p_retailprice AS energy FROM part)
+SELECT smiles, count(*)::BIGINT AS n, arg_min(title, struct_pack(energy, id)) AS best, min(energy) AS energy FROM p GROUP BY smiles""")
+def structure_files(spark, sf):
+    """SRC-14, JOI-18, SRT-05: structure records with properties from large text files, grouped by one property, the least by another."""
+    to = scratch_folder(spark)
+    lines = F.concat_ws("\n", "p_name", F.lit("  0  0"), F.lit("M  END"), F.lit("> <SMILES>"), "p_type", F.lit(""), F.lit(">  <ENERGY>"), F.col("p_retailprice").cast("string"), F.lit(""), F.lit("> <ID>"), "p_partkey", F.lit(""), F.lit("$$$$"))
+    table(spark, sf, "part").select(lines.alias("value")).coalesce(1).write.text(to)
+    got = tables.structure_records(spark, to)
+    p = got.select(F.col("properties")["SMILES"].alias("smiles"), "title", F.col("properties")["ID"].cast("long").alias("id"), F.col("properties")["ENERGY"].cast("double").alias("energy"))
+    best = p.groupBy("smiles").agg(F.count("*").alias("n"), F.min(F.struct("energy", "id", "title")).alias("b"))
+    return best.select("smiles", "n", F.col("b.title").alias("best"), F.col("b.energy").alias("energy"))
+
+
 @query("""SELECT method, '1' AS seed, task, 'mean' AS metric, round(avg(l_discount), 6) AS value FROM (SELECT l_returnflag AS method, l_shipmode AS task, l_discount FROM (SELECT l_returnflag, l_linestatus AS l_shipmode, l_discount FROM lineitem)) WHERE method <> 'R' GROUP BY ALL""")
 def result_folder(spark, sf):
     """SRC-16, SRC-24: result files of a folder; a corrupt one and one with a leading underscore give nothing, an absent folder neither."""
@@ -341,6 +365,23 @@ def calibrated_state(spark, sf):
     return S.run_to_end(state, ["task"])
 
 
+@query("""WITH e AS (SELECT user_id || '/' || event_type AS task, epoch_ms(ts) AS ms, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL),
+g AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY task ORDER BY ms, value) > 864000000, true) AS anew FROM e),
+s AS (SELECT *, sum(anew::INT) OVER (PARTITION BY task ORDER BY ms, value) AS spell FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY task, spell ORDER BY ms, value) AS i, max(spell) OVER (PARTITION BY task) AS newest FROM s)
+SELECT task, count(*)::BIGINT AS seen, min(value) FILTER (i <= 3) AS nadir, count(*) >= 3 AS frozen, max(ms) + 864000000 < (SELECT max(ms) - 86400000 FROM e) AS expired FROM r WHERE spell = newest GROUP BY task""")
+def expiring_state(spark, sf):
+    """STM-05: the least of the first three values of each user's events of a kind, begun anew after ten idle days; five files of six days."""
+    to = scratch_folder(spark)
+    e = table(spark, sf, "events", ["ts", "user_id", "event_type", "value"]).where("ts is not null")
+    for k in range(5):
+        e.where(F.floor((F.dayofmonth("ts") - 1) / 6) == k).coalesce(1).write.mode("append").parquet(to)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(to)
+    named = stream.where("user_id is not null and event_type is not null").withColumn("task", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    with S.rocksdb_state(spark):
+        return S.run_to_end(S.expiring_minimum(named, "task", "ts", "value", 3, 864_000, "1 day"), ["task"])
+
+
 @query("""WITH x AS (SELECT l_returnflag AS task, l_quantity AS q, l_extendedprice AS y, ('0x' || substr(md5(l_orderkey || '-' || l_linenumber), 1, 8))::BIGINT % 4 = 0 AS test FROM lineitem),
 m AS (SELECT task, regr_slope(y, q) AS a, regr_intercept(y, q) AS b FROM x WHERE NOT test GROUP BY task)
 SELECT task, count(*)::BIGINT AS n, round(avg(abs(a * q + b - y)), 3) AS mae FROM x JOIN m USING (task) WHERE test GROUP BY task""")

@@ -11,6 +11,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Spark 4.1 takes a union of tables dealt by one key to be dealt by it, though adaptive execution may have merged the
     # partitions of one side only; an aggregate above it then gives a key twice
     "spark.sql.unionOutputPartitioning": "false",

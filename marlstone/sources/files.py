@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "wasbs://": "abfss://"}
 
 
-def open_uri(path: str, mode: str):
-    """A file of any file system that pyarrow and Spark both reach, for reading ("r") or writing ("w")."""
+def located(path: str):
+    """(file system, path in it, scheme and host to be put before such paths) of a URI or local path, by pyarrow."""
     import pyarrow.fs as pafs
 
     for theirs, ours in SCHEMES.items():
         if path.startswith(theirs):
             path = ours + path[len(theirs) :]
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
     fs, inner = pafs.FileSystem.from_uri(path)
+    return fs, inner, path[: len(path) - len(inner)]
+
+
+def open_uri(path: str, mode: str):
+    """A file of any file system that pyarrow and Spark both reach, for reading ("r") or writing ("w")."""
+    fs, inner, _ = located(path)
     if mode == "r":
         return fs.open_input_file(inner)
     fs.create_dir(inner.rpartition("/")[0], recursive=True)
@@ -32,12 +40,8 @@ def write_array_files(df: DataFrame, folder: str, shard: str, order: str, values
     one is deleted. Shards are the unit of writing."""
     import pyarrow as pa
 
-    if "://" not in folder and folder.startswith("/"):
-        folder = f"file://{folder}"
-
     def write(key, table):
         import numpy as np
-        import pyarrow.fs as pafs
 
         rows = table.sort_by(order)[values]
         width = len(rows[0].as_py())
@@ -49,7 +53,7 @@ def write_array_files(df: DataFrame, folder: str, shard: str, order: str, values
                     out.write(np.array(rows.slice(at, flush).to_pylist(), "<f8").tobytes())
                     out.flush()
         except Exception:
-            fs, inner = pafs.FileSystem.from_uri(path)
+            fs, inner, _ = located(path)
             fs.delete_file(inner)
             raise
         return pa.table({"shard": [str(key[0].as_py())], "path": [path], "n": pa.array([len(rows)], pa.int64())})

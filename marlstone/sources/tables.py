@@ -198,6 +198,22 @@ def grouped_records(records: DataFrame, key: Column, record: str = "record") ->
     return records.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(record)).alias("records"))
 
 
+def structure_records(spark: SparkSession, path: str, separator: str = "$$$$") -> DataFrame:
+    """SRC-14: records of structure files: title (first line), block (all up to the first property) and properties, a map of what
+    stands below the lines "> <name>", trimmed; of a name that repeats, the first counts.
+
+    A record ends with a line that is the separator, alone. The text reader finds it wherever file splits fall, so one large
+    file is read by many tasks; a record that crosses splits is read by the task in whose split it begins. Blank records are left out."""
+    raw = spark.read.option("lineSep", f"\n{separator}\n").text(path)
+    last = f"(^|\\n){''.join(chr(92) + c for c in separator)}\\s*$"  # of a file without a line feed at its end, or with no record before
+    record = F.regexp_replace(F.regexp_replace("value", last, ""), "^\\n+", "")
+    parts = F.split("r", "\n> +(?=<)|\n>  +(?=.*<)")
+    named = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: F.struct(F.regexp_extract(x, "<([^>]*)>", 1).alias("k"), F.trim(F.regexp_replace(F.regexp_replace(x, "^[^\\n]*\\n?", ""), "\\s+$", "")).alias("v")))
+    first = F.filter("n", lambda x, i: ~F.exists(F.slice("n", 1, i), lambda y: y["k"] == x["k"]))
+    rows = raw.select(record.alias("r")).where(F.length(F.trim(F.regexp_replace("r", "\\s+", ""))) > 0).select("r", parts.alias("p")).select("p", named.alias("n"))
+    return rows.select(F.substring_index(F.get("p", F.lit(0)), "\n", 1).alias("title"), F.get("p", F.lit(0)).alias("block"), F.map_from_entries(first).alias("properties"))
+
+
 def array_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC-19: .npy files of one or two dimensions as (file, row, values)."""
 

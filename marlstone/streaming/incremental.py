@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,3 +65,65 @@ def calibrated_minimum(stream: DataFrame, task: str, value: str, calibration: in
 
     named = stream.select(F.col(task).cast("string").alias("task"), F.col(value).cast("double").alias(value))
     return named.groupBy("task").applyInPandasWithState(step, out, state, "update", "NoTimeout")
+
+
+# ----------------------------------------------------------------- state that expires
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which state with timers needs; the setting is restored."""
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
+def expiring_minimum(stream: DataFrame, task: str, ts: str, value: str, calibration: int, idle_seconds: int, late: str) -> DataFrame:
+    """STM-05: the minimum of each task's first calibration values in order of time, frozen from then on, as a state that expires:
+    task, seen, nadir, frozen, expired, one row a task and micro-batch that changes it.
+
+    A task without a value for idle_seconds of event time begins anew with its next one, whichever batch that comes in. A timer
+    deletes its state (and reports it as expired) once the watermark, late behind the newest value, has passed that time, so that the
+    state holds active tasks only. Start it inside rocksdb_state; null tasks, times and values are left out, values
+    behind the watermark are dropped. The values that one micro-batch has of one task are sorted in memory."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    idle = idle_seconds * 1000
+
+    class Calibrated(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.held = handle.getValueState("held", "seen long, nadir double, last long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            seen, nadir, last = self.held.get() if self.held.exists() else (0, float("inf"), None)
+            batch = sorted((int(t), float(v)) for frame in rows for t, v in zip(frame["at"], frame["v"], strict=True))
+            for at, v in batch:
+                if last is not None and at - last > idle:
+                    seen, nadir = 0, float("inf")
+                if seen < calibration:
+                    nadir = min(nadir, v)
+                seen, last = seen + 1, at if last is None else max(last, at)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.held.update((seen, nadir, last))
+            self.handle.registerTimer(last + idle)
+            yield self.row(key, seen, nadir, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            seen, nadir, _ = self.held.get()
+            self.held.clear()
+            yield self.row(key, seen, nadir, True)
+
+        @staticmethod
+        def row(key, seen, nadir, expired):
+            return pd.DataFrame([(key[0], seen, nadir, seen >= calibration, expired)], columns=["task", "seen", "nadir", "frozen", "expired"])
+
+        def close(self):
+            pass
+
+    timed = stream.select(F.col(task).cast("string").alias("task"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("task is not null and ts is not null and v is not null")
+    rows = timed.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return rows.groupBy("task").transformWithStateInPandas(Calibrated(), "task string, seen long, nadir double, frozen boolean, expired boolean", "update", "EventTime")

@@ -25,3 +25,42 @@ def test_masked_totals_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", None)], "k string, v double").write.parquet(f"{tmp_path}/x/t.parquet")
     stream = spark.readStream.schema("k string, v double").parquet(f"{tmp_path}/x/t.parquet")
     assert [tuple(r) for r in S.run_to_end(S.masked_totals(stream, ["k"], F.col("v")), ["k"]).collect()] == [("a", 1.0, 1)]
+
+
+def land(spark, folder, k, rows):
+    spark.createDataFrame(rows, "task string, ts timestamp_ntz, v double").coalesce(1).write.parquet(f"{folder}/{k}.parquet")
+
+
+def states(spark, tmp_path):
+    stream = spark.readStream.schema("task string, ts timestamp_ntz, v double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*.parquet")
+    with S.rocksdb_state(spark):
+        rows = S.run_to_end(S.expiring_minimum(stream, "task", "ts", "v", 2, 7200, "1 minute"), ["task"], f"{tmp_path}/out")
+    return {r.task: (r.seen, r.nadir, r.frozen, r.expired) for r in rows.collect()}
+
+
+def at(hour, minute=0):
+    import datetime
+
+    return datetime.datetime(2024, 1, 1 + hour // 24, hour % 24, minute)
+
+
+def test_state_expires_and_a_restart_keeps_frozen_minima(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    land(spark, f"{tmp_path}/in", 0, [("a", at(0), 5.0), ("a", at(0, 20), 3.0), ("a", at(0, 10), 4.0), ("b", at(0), 1.0), ("c", at(0), 9.0), (None, at(0), 0.0), ("a", None, 0.0), ("a", at(0), None)])
+    assert states(spark, tmp_path) == {"a": (3, 4.0, True, False), "b": (1, 1.0, False, False), "c": (1, 9.0, False, False)}  # in order of time 5 and 4 come first
+    land(spark, f"{tmp_path}/in", 1, [("a", at(1), 2.0), ("c", at(1), 8.0), ("c", at(1, 1), 1.0)])
+    assert states(spark, tmp_path) == {"a": (4, 4.0, True, False), "b": (1, 1.0, False, False), "c": (3, 8.0, True, False)}  # a restart: a stays frozen
+    land(spark, f"{tmp_path}/in", 2, [("a", at(2, 30), 0.5)])
+    assert states(spark, tmp_path)["b"] == (1, 1.0, False, True)  # idle for two hours
+    land(spark, f"{tmp_path}/in", 3, [("b", at(3), 7.0), ("c", at(4), 6.0), ("late", at(0), 1.0)])
+    got = states(spark, tmp_path)
+    assert got["b"] == (1, 7.0, False, False) and got["a"][:2] == (5, 4.0) and "late" not in got  # b begins anew; behind the watermark
+    assert got["c"] == (1, 6.0, False, False)  # idle for more than two hours, whether its timer had fired or not
+    assert spark.conf.get(name, None) == before
+    # the state store has active tasks alone: after two idle hours for all but one, one is left
+    land(spark, f"{tmp_path}/in", 4, [("z", at(9), 1.0)])
+    got = states(spark, tmp_path)
+    assert {k for k, v in got.items() if not v[3]} == {"z"}
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/out/state")
+    assert [r.key.task for r in held.collect()] == ["z"]
