@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, numeric
 from ..operators import compare as K
 from ..operators import corpus as C
-from ..operators import fallible, features
+from ..operators import fallible, features, heads
 from ..operators import metrics as M
 from ..operators import ragged
 from ..session import scratch_folder
@@ -382,6 +382,38 @@ def expiring_state(spark, sf):
         return S.run_to_end(S.expiring_minimum(named, "task", "ts", "value", 3, 864_000, "1 day"), ["task"])
 
 
+_HASH = _MD5.format("l_orderkey || '-' || l_linenumber")
+
+
+@query(f"""WITH x AS (SELECT l_returnflag AS task, l_quantity AS u, l_discount AS v, l_extendedprice AS y, ({_HASH} % 4 = 0) AS test, ({_HASH} // 4 % 3)::INTEGER AS fold FROM lineitem),
+c AS (SELECT c, pow(10.0::DOUBLE, -3.0::DOUBLE + 4.0::DOUBLE * ({_MD5.format("'5/' || c")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS ridge FROM range(6) r(c)),
+f AS (SELECT task, k, count(*) AS n, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM x, range(-1, 3) r(k) WHERE NOT test AND fold <> k GROUP BY ALL),
+w AS (SELECT task, k, c, ridge, mu, mv, my, (uy * vv * (1 + ridge) - vy * uv) / (uu * vv * (1 + ridge) * (1 + ridge) - uv * uv) AS a, (vy * uu * (1 + ridge) - uy * uv) / (uu * vv * (1 + ridge) * (1 + ridge) - uv * uv) AS b FROM f, c),
+e AS (SELECT task, c, ridge, avg((my + a * (u - mu) + b * (v - mv) - y) ** 2) AS mse FROM x JOIN w USING (task) WHERE NOT test AND fold = k GROUP BY ALL),
+z AS (SELECT task, min(struct_pack(mse, c, ridge)) AS z FROM e GROUP BY task)
+SELECT task, z.c::INTEGER AS candidate, round(z.ridge, 9) AS ridge, round(sqrt(z.mse), 4) AS cv_rmse, n, mae FROM z JOIN (
+  SELECT x.task, count(*)::BIGINT AS n, round(avg(abs(my + a * (u - mu) + b * (v - mv) - y)), 4) AS mae FROM x JOIN w ON w.task = x.task AND w.k = -1 JOIN z ON z.task = x.task AND z.z.c = w.c WHERE test GROUP BY ALL) USING (task)""")
+def searched_heads(spark, sf):
+    """UDA-01, UDA-02: a ridge regression a task, the penalty found by random search over folds, all from sums of products."""
+    li = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_extendedprice"])
+    h = keys.hash32("l_orderkey", F.lit("-"), "l_linenumber")
+    rows = li.select(F.col("l_returnflag").alias("task"), F.array("l_quantity", "l_discount").alias("x"), F.col("l_extendedprice").alias("y"), (h % 4 == 0).alias("test"), (F.floor(h / 4) % 3).cast("int").alias("fold"))
+    models = heads.fit_ridge(rows.where("not test"), "task", "x", "y", "fold", 2, heads.candidates(spark, 6, 5))
+    seen = heads.predict(rows.where("test"), models, "task", "x").groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 4).alias("mae"))
+    return models.select("task", "candidate", F.round("ridge", 9).alias("ridge"), F.round(F.sqrt("cv_mse"), 4).alias("cv_rmse")).join(seen, "task")
+
+
+@query("""WITH x AS (SELECT l_linestatus AS task, l_returnflag <> 'A' AS y FROM lineitem WHERE l_returnflag <> 'R' OR l_linestatus = 'O')
+SELECT task, count(*)::BIGINT AS n, round(avg(y::INT), 6) AS mean_y, round(avg(y::INT), 6) AS mean_p, true AS balanced FROM x GROUP BY task""")
+def logistic_heads(spark, sf):
+    """UDA-03: a logistic regression a task by Newton steps over sums; at the optimum its mean probability is the mean label, and so within the feature."""
+    li = table(spark, sf, "lineitem", ["l_linestatus", "l_returnflag", "l_quantity", "l_discount"]).where("l_returnflag <> 'R' or l_linestatus = 'O'")
+    rows = li.select(F.col("l_linestatus").alias("task"), F.array("l_quantity", "l_discount").alias("x"), (F.col("l_returnflag") != "A").cast("int").alias("y"))
+    p = heads.predict(rows, heads.fit_logistic(rows, "task", "x", "y", 2, 0.0), "task", "x", "p", probability=True)
+    gradient = F.avg(F.col("x")[0] * (F.col("p") - F.col("y")))
+    return p.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean_y"), F.round(F.avg("p"), 6).alias("mean_p"), (F.abs(gradient) < 1e-6).alias("balanced"))
+
+
 @query("""WITH x AS (SELECT l_returnflag AS task, l_quantity AS q, l_extendedprice AS y, ('0x' || substr(md5(l_orderkey || '-' || l_linenumber), 1, 8))::BIGINT % 4 = 0 AS test FROM lineitem),
 m AS (SELECT task, regr_slope(y, q) AS a, regr_intercept(y, q) AS b FROM x WHERE NOT test GROUP BY task)
 SELECT task, count(*)::BIGINT AS n, round(avg(abs(a * q + b - y)), 3) AS mae FROM x JOIN m USING (task) WHERE test GROUP BY task""")
