@@ -260,7 +260,7 @@ def _weights(shape: list[int], seed: int) -> list:
     return [_weights(rest, seed + step * a) for a in range(i)]
 
 
-_LIN = "[list_sum([x[i + 1] * ((7 * h + 3 * d + 5 * i + {}) % 11 - 5) / 5.0::DOUBLE FOR i IN range(3)]) FOR d IN range(3)]"
+_LIN = "[round(list_sum([x[i + 1] * ((7 * h + 3 * d + 5 * i + {}) % 11 - 5) / 5.0::DOUBLE FOR i IN range(3)]), 6) FOR d IN range(3)]"
 _MEAN = "[sum(exp(logit) * {0}[1]) / sum(exp(logit)), sum(exp(logit) * {0}[2]) / sum(exp(logit)), sum(exp(logit) * {0}[3]) / sum(exp(logit))]"
 _ATTENTION = f"""t AS (SELECT conv_id, turn AS node, min(struct_pack(r := role, n := coalesce(len(text), 0))) AS m FROM conversations GROUP BY ALL),
 f AS (SELECT conv_id, node, [least(m.n, 2000) / 1000.0::DOUBLE, node / 10.0::DOUBLE, CASE WHEN m.r = 'user' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END] AS x FROM t),
@@ -284,7 +284,8 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def _projected(spark: SparkSession, sf: str) -> DataFrame:
     w = lambda s: A.of_head(_weights([_HEADS, _WIDTH, _INPUTS], s), "head")
-    return A.heads(_turns(spark, sf), _HEADS).select("conv_id", "node", "head", *[A.project(F.col("x"), w(s)).alias(n) for s, n in enumerate("qkv")])
+    # rounded, for the sign under the root jumps at 0, which two engines may miss by 1e-17
+    return A.heads(_turns(spark, sf), _HEADS).select("conv_id", "node", "head", *[F.transform(A.project(F.col("x"), w(s)), lambda v: F.round(v, 6)).alias(n) for s, n in enumerate("qkv")])
 
 
 def _near(nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, numeric
 from ..operators import batching as B
 from ..operators import ragged as R
+from ..operators.prefix_pack import prefix_pack
 from ..sources.tables import table
 from .registry import query
 
@@ -103,6 +104,19 @@ def budget_pack(spark, sf):
     return _packed(spark, sf).select("part", "doc_id", "batch")
 
 
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+r AS (
+  SELECT doc_id, i, 0::BIGINT AS batch, CASE WHEN n >= 20000 THEN NULL ELSE n END AS used FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.doc_id, o.i, CASE WHEN o.n >= 20000 OR r.used IS NULL OR r.used + o.n > 20000 THEN r.batch + 1 ELSE r.batch END,
+         CASE WHEN o.n >= 20000 THEN NULL WHEN r.used IS NULL OR r.used + o.n > 20000 THEN o.n ELSE r.used + o.n END
+  FROM r JOIN o ON o.i = r.i + 1
+) SELECT doc_id, batch FROM r""")
+def budget_pack_whole(spark, sf):
+    """WIN-09: all documents as one ordered group, packed as a parallel prefix."""
+    return prefix_pack(table(spark, sf, "documents", ["doc_id", "n_chars"]), ["doc_id"], "n_chars", 20_000).select("doc_id", "batch")
+
+
 @query("""WITH b AS (SELECT DISTINCT (l_shipdate::DATE - DATE '1990-01-01') // 30 AS d FROM lineitem), n AS (SELECT row_number() OVER (ORDER BY d) - 1 AS batch FROM b), c AS (SELECT count(*) AS n FROM n),
 u AS (SELECT batch, batch AS slot FROM n UNION ALL SELECT batch, batch + c.n FROM n, c WHERE batch < (4 - c.n % 4) % 4)
 SELECT batch::BIGINT AS batch, slot::BIGINT AS slot, (slot % 4)::BIGINT AS rank, (slot // 4)::BIGINT AS step FROM u""")
