@@ -53,10 +53,110 @@ def once_per_key(df: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame])
     return df.join(fn(df.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
 
 
+class Child:
+    """A process of its own that calls one of some functions at a time. It is started by running Python, not by a fork of the worker with
+    its threads, lives on between calls, and is replaced after it was killed or has died."""
+
+    MAIN = "import sys; from marlstone.operators.fallible import serve; serve()"
+
+    def __init__(self, functions: list[Callable]):
+        from pyspark import cloudpickle
+
+        self.functions, self.process = cloudpickle.dumps(functions), None
+
+    def call(self, k: int, x, seconds: float):
+        """functions[k](x); TimeoutError after the seconds, RuntimeError with its text for any failure."""
+        import os
+        import pickle
+        import selectors
+        import subprocess
+        import sys
+        import time
+
+        if self.process is None:
+            env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+            self.process = subprocess.Popen([sys.executable, "-c", self.MAIN], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=env)
+            self.buffer = b""
+            self._send(self.functions)
+            self._receive(None)  # ready: starting up is not the step's time
+        self._send(pickle.dumps((k, x)))
+        end = time.monotonic() + seconds
+        with selectors.DefaultSelector() as waiting:
+            waiting.register(self.process.stdout, selectors.EVENT_READ)
+            answer = self._receive(lambda: waiting.select(max(0.0, end - time.monotonic())))
+        if answer is None:
+            self.kill()
+            raise TimeoutError(f"killed after {seconds} s")
+        value, error = pickle.loads(answer)
+        if error:
+            raise RuntimeError(error)
+        return value
+
+    def _send(self, data: bytes) -> None:
+        try:
+            self.process.stdin.write(len(data).to_bytes(8, "little") + data)
+            self.process.stdin.flush()
+        except BrokenPipeError:
+            self.kill()
+            raise RuntimeError("the process died") from None
+
+    def _receive(self, ready) -> bytes | None:
+        """The next message; None if ready() says that there is nothing in time."""
+        import os
+
+        while len(self.buffer) < 8 or len(self.buffer) < 8 + int.from_bytes(self.buffer[:8], "little"):
+            if ready is not None and not ready():
+                return None
+            part = os.read(self.process.stdout.fileno(), 1 << 16)
+            if not part:
+                self.kill()
+                raise RuntimeError("the process died")
+            self.buffer += part
+        end = 8 + int.from_bytes(self.buffer[:8], "little")
+        message, self.buffer = self.buffer[8:end], self.buffer[end:]
+        return message
+
+    def kill(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.wait()
+            self.process.stdin.close()
+            self.process.stdout.close()
+            self.process = None
+
+
+def serve() -> None:
+    """The child's side of Child; what functions print goes to the worker's error output."""
+    import os
+    import pickle
+    import sys
+
+    source, answers = sys.stdin.buffer, os.fdopen(os.dup(1), "wb")
+    os.dup2(2, 1)
+
+    def receive() -> bytes:
+        n = source.read(8)
+        return source.read(int.from_bytes(n, "little")) if n else b""
+
+    def send(x) -> None:
+        data = pickle.dumps(x)
+        answers.write(len(data).to_bytes(8, "little") + data)
+        answers.flush()
+
+    functions = pickle.loads(receive())
+    send(True)
+    while call := receive():
+        k, x = pickle.loads(call)
+        try:
+            send((functions[k](x), None))
+        except Exception as problem:  # noqa: BLE001  any failure of a step is data
+            send((None, f"{type(problem).__name__}: {problem}"))
+
+
 def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str, seconds: float | None = None) -> DataFrame:
     """UDF-03, UDF-06: adds value, step (the place of the first step that did not fail) and error (of all steps, where all
-    failed). With seconds, each step runs in a process of its own that is killed when its time is up, so that code which
-    ignores signals cannot hold a task; null input gives nulls."""
+    failed). With seconds, steps run in a child process of the task that is killed when their time is up, and started anew, so that
+    code which ignores signals cannot hold a task; null input gives nulls."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -64,43 +164,22 @@ def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str,
     schema = StructType([*df.schema.fields, value, StructField("step", IntegerType()), StructField("error", StringType())])
     arrow, at = to_arrow_schema(schema), df.columns.index(column)
 
-    def hard(fn, x):
-        """fn(x) in a forked process, killed after seconds."""
-        import multiprocessing
-
-        fork = multiprocessing.get_context("fork")
-        here, there = fork.Pipe(False)
-
-        def child():
-            try:
-                there.send((fn(x), None))
-            except Exception as problem:  # noqa: BLE001  any failure of a step is data
-                there.send((None, f"{type(problem).__name__}: {problem}"))
-
-        process = fork.Process(target=child, daemon=True)
-        process.start()
-        there.close()
+    def run(batches):
+        child = Child(steps) if seconds else None
         try:
-            if not here.poll(seconds):
-                raise TimeoutError(f"killed after {seconds} s")
-            v, e = here.recv()
-        except EOFError:
-            raise RuntimeError("the process died") from None
+            yield from tried(batches, child)
         finally:
-            process.kill()
-            process.join()
-        if e:
-            raise RuntimeError(e)
-        return v
+            if child:
+                child.kill()
 
-    def run(batches):
+    def tried(batches, child):
         for batch in batches:
             out: list[tuple] = []
             for x in batch[at].to_pylist():
                 errors, row = [], (None, None, None)
                 for k, fn in enumerate(steps if x is not None else []):
                     try:
-                        row = (hard(fn, x) if seconds else fn(x), k, None)
+                        row = (child.call(k, x, seconds) if child else fn(x), k, None)
                         break
                     except Exception as problem:  # noqa: BLE001
                         errors.append(f"{type(problem).__name__}: {problem}"[:200])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import encode
+from .ragged import row_numbers
 
 
 def code_columns(df: DataFrame, vocabularies: dict[str, list[str]], keep: list[str]) -> DataFrame:
@@ -46,6 +49,23 @@ def task_registry(spark: SparkSession, losses: dict[str, str], exclude_losses: t
     return spark.createDataFrame(rows, "task string, loss string, metric string, n_outputs int, higher_is_better boolean")
 
 
+def register(tasks: DataFrame, exclude_losses: tuple[str, ...] = (), exclude_infixes: tuple[str, ...] = (), task: str = "task", loss: str = "loss") -> DataFrame:
+    """EXT-01, EXT-05, FIL-09: the same from a table of any number of tasks and losses; a row with an unknown loss fails the query."""
+    known = F.create_map(*[c for k, (metric, n, higher) in LOSSES.items() for c in (F.lit(k), F.struct(F.lit(metric).alias("metric"), F.lit(n).alias("n_outputs"), F.lit(higher).alias("higher_is_better")))])
+    named = tasks.select(F.col(task).alias("task"), F.col(loss).alias("loss"))
+    dropped = reduce(lambda a, b: a | b, [F.contains("task", F.lit(f"_{x}_")) for x in exclude_infixes], F.col("loss").isin(list(exclude_losses)))
+    entry = F.coalesce(F.try_element_at(known, F.col("loss")), F.raise_error(F.concat(F.lit("unknown loss: "), F.col("loss"))))
+    return named.where(~F.coalesce(dropped, F.lit(False))).select("task", "loss", entry.alias("e")).select("task", "loss", "e.*")
+
+
+def expand_assays(registry: DataFrame, assays: DataFrame, prefix: str, name: str = "assay") -> DataFrame:
+    """EXT-05: adds a task prefix/name for each assay of a table, with its place in order of name as assay_idx."""
+    numbered = row_numbers(assays.select(F.col(name).alias("_name")).where("_name is not null").distinct(), "_name", name="assay_idx")
+    metric, n, higher = LOSSES["focal"]
+    more = numbered.select(F.concat(F.lit(f"{prefix}/"), F.col("_name")).alias("task"), F.lit("focal").alias("loss"), F.lit(metric).alias("metric"), F.lit(n).alias("n_outputs"), F.lit(higher).alias("higher_is_better"), F.col("assay_idx").cast("int").alias("assay_idx"))
+    return registry.unionByName(more, allowMissingColumns=True)
+
+
 def group_assays(registry: DataFrame, prefix: str, names: list[str], expand: bool) -> DataFrame:
     """EXT-05: adds one task for a source's assays, or one for each (prefix/name, with assay_idx)."""
     spark = registry.sparkSession

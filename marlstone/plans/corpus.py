@@ -95,7 +95,7 @@ def seeded_shuffle_rank(spark, sf):
   count(*) FILTER (WHERE text IN (SELECT text FROM ({TOXIC})))::BIGINT AS n_listed, count(DISTINCT text)::BIGINT AS n_distinct, count(DISTINCT source)::BIGINT AS n_sources
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def prep_manifest(spark, sf):
-    """AGG-02, AGG-03, SNK-03."""
+    """AGG-02, AGG-03."""
     d = C.enrich(_documents(spark, sf, "doc_id", "source"), table(spark, sf, "labels", ["doc_id", "quality"]), "doc_id")
     d = C.flag_listed(d, _listed(spark, sf), "k")
     conditions = {"n_text": F.col("k").isNotNull(), "n_labelled": F.col("quality").isNotNull(), "n_listed": F.col("listed")}
@@ -147,7 +147,7 @@ def _filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_ASSAYS} SELECT task, n_valid, n_pos, n_neg, drop_reason, drop_reason IS NULL AS kept FROM f")
 def label_filter_reasons(spark, sf):
-    """FIL-05, SNK-04."""
+    """FIL-05."""
     return _filtered(spark, sf).select("task", "n_valid", "n_pos", "n_neg", "drop_reason", "kept")
 
 
@@ -253,7 +253,7 @@ def _key_number(props: str) -> int:
 @query("""SELECT event_id, CASE WHEN k % 7 <> 3 THEN 2 * k END AS value, CASE WHEN k % 7 = 3 THEN 'ValueError: a seventh fails' END AS error
 FROM (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)""")
 def fallible_map(spark, sf):
-    """UDF-01..06, SNK-06."""
+    """UDF-01, UDF-02, UDF-04, UDF-05."""
     return fallible.fallible_map(table(spark, sf, "events", ["event_id", "props"]), "props", _key_number, "bigint", seconds=10).select("event_id", "value", "error")
 
 

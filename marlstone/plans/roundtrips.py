@@ -9,6 +9,7 @@ from ..functions import keys, numeric
 from ..operators import compare as K
 from ..operators import corpus as C
 from ..operators import fallible, features, heads
+from ..operators import labels as label_ops
 from ..operators import metrics as M
 from ..operators import ragged
 from ..session import scratch_folder
@@ -222,6 +223,92 @@ def upserted_table(spark, sf):
     return sinks.read_upserted(spark, to)
 
 
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT count(*)::BIGINT AS n_rows, count(text)::BIGINT AS n_text, count(quality)::BIGINT AS n_labelled, count(DISTINCT md5(text))::BIGINT AS n_distinct, 7::BIGINT AS seed, [0.1::DOUBLE, 0.9::DOUBLE] AS fractions FROM documents LEFT JOIN l USING (doc_id)""")
+def manifest_file(spark, sf):
+    """SNK-03, AGG-02, AGG-03: statistics of a preparation and its parameters written as a JSON manifest, and read again."""
+    to = scratch_folder(spark)
+    d = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", F.md5("text").alias("k"))
+    own = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    row = C.counts(C.enrich(d, own, "doc_id"), {"n_text": F.col("k").isNotNull(), "n_labelled": F.col("quality").isNotNull()}, {"n_distinct": "k"})
+    sinks.write_manifest(row, f"{to}/manifest.json", seed=7, fractions=[0.1, 0.9])
+    return spark.read.option("multiLine", True).json(f"{to}/manifest.json")
+
+
+@query("""WITH a AS (SELECT lang || '/' || source AS task, count(*) FILTER (quality = 1)::BIGINT AS n_pos, count(*) FILTER (quality = 0)::BIGINT AS n_neg, count(quality)::BIGINT AS n_valid FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1),
+f AS (SELECT *, nullif(concat_ws(';', CASE WHEN n_pos < 5 THEN 'n_pos=' || n_pos || '<5' END, CASE WHEN n_neg < 1 THEN 'n_neg=' || n_neg || '<1' END, CASE WHEN n_valid < 8 THEN 'n_valid=' || n_valid || '<8' END), '') AS drop_reason FROM a)
+SELECT (row_number() OVER (ORDER BY task) - 1)::INTEGER AS place, task, n_valid, n_pos, n_neg, drop_reason, drop_reason IS NULL AS kept FROM f""")
+def label_qc_file(spark, sf):
+    """SNK-04, FIL-05, SRT-03: the quality control of all labels as one JSON list in order of task, each entry with kept, read again by place."""
+    to = scratch_folder(spark)
+    d = C.enrich(table(spark, sf, "documents", ["doc_id", "lang", "source"]), table(spark, sf, "labels"), "doc_id")
+    long = d.select(F.concat_ws("/", "lang", "source").alias("task"), F.col("quality").alias("y"))
+    out = label_ops.filter_tasks(label_ops.task_stats(long), 5, 1, 8).select("task", "n_valid", "n_pos", "n_neg", "drop_reason", "kept")
+    sinks.write_json_sorted(out, f"{to}/stats.json", "task")
+    text = spark.read.text(f"{to}/stats.json", wholetext=True)
+    listed = text.select(F.from_json("value", f"array<{out.schema.simpleString()}>").alias("a"))
+    return listed.select(F.posexplode("a").alias("place", "r")).select("place", "r.*")
+
+
+@query("""WITH e AS (SELECT event_id, (props->>'k')::BIGINT AS k FROM events)
+SELECT CASE WHEN k % 7 = 3 THEN 'bad' ELSE 'good' END AS folder, count(*)::BIGINT AS n, coalesce(sum(CASE WHEN k % 7 <> 3 THEN 2 * k END), 0)::BIGINT AS total, CASE WHEN k % 7 = 3 THEN 'ValueError: a seventh fails' END AS error FROM e GROUP BY ALL""")
+def quarantine_files(spark, sf):
+    """SNK-06, UDF-01: rows whose conversion failed are written apart, with the reason; both folders read again."""
+    to = scratch_folder(spark)
+
+    def convert(props: str) -> int:
+        import json
+
+        if (n := json.loads(props)["k"]) % 7 == 3:
+            raise ValueError("a seventh fails")
+        return n * 2
+
+    rows = fallible.fallible_map(table(spark, sf, "events", ["event_id", "props"]), "props", convert, "bigint", seconds=10)
+    sinks.write_with_quarantine(rows, f"{to}/good", f"{to}/bad")
+    good, bad = spark.read.parquet(f"{to}/good").select(F.lit("good").alias("folder"), "value", F.lit(None).cast("string").alias("error")), spark.read.parquet(f"{to}/bad").select(F.lit("bad").alias("folder"), "value", "error")
+    return good.union(bad).groupBy("folder", "error").agg(F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0)).cast("long").alias("total"))
+
+
+@query("""WITH c AS (SELECT p_brand AS b, p_size % 3 AS s, printf('%.2f', round(avg(p_retailprice), 2)) AS v FROM part WHERE p_size % 3 <> 1 OR p_brand <> 'Brand#12' GROUP BY ALL),
+w AS (SELECT b, coalesce(max(v) FILTER (s = 0), '-') AS x, coalesce(max(v) FILTER (s = 1), '-') AS y, coalesce(max(v) FILTER (s = 2), '-') AS z FROM c GROUP BY b)
+SELECT 0::BIGINT AS place, '| brand | 0 | 1 | 2 |' AS line UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL SELECT row_number() OVER (ORDER BY b) + 1, '| ' || b || ' | ' || x || ' | ' || y || ' | ' || z || ' |' FROM w""")
+def markdown_file(spark, sf):
+    """SNK-14, STR-08: a table of results by row and column as a Markdown file, gaps as '-', read again line by line."""
+    to = scratch_folder(spark)
+    part = table(spark, sf, "part", ["p_brand", "p_size", "p_retailprice"]).withColumn("s", F.col("p_size") % 3).where("s <> 1 or p_brand <> 'Brand#12'")
+    cells = part.groupBy(F.col("p_brand").alias("brand"), "s").agg(F.format_string("%.2f", F.round(F.avg("p_retailprice"), 2)).alias("v"))
+    sinks.write_markdown(spark, f"{to}/table.md", K.markdown(cells, "brand", "s", "v"))
+    lines = spark.read.text(f"{to}/table.md", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\n")).alias("place", "line"))
+    return lines.select(F.col("place").cast("long").alias("place"), "line")
+
+
+_LOSS_OF = "CASE hash WHEN 0 THEN 'huber' WHEN 1 THEN 'log_huber' WHEN 2 THEN 'beta_nll' WHEN 3 THEN 'ordinal' ELSE 'focal' END"
+_REGISTRY = f"""t AS (SELECT DISTINCT 'x_' || p_size || '_' || p_brand || '_' AS task, p_size % 5 AS hash FROM part),
+r AS (SELECT task, {_LOSS_OF} AS loss FROM t), l AS (SELECT * FROM (VALUES ('huber', 'mae', 1, false), ('log_huber', 'mae', 1, false), ('log_ratio_squared', 'mae', 1, false), ('beta_nll', 'mae', 2, false), ('ordinal', 'acc', 1, true), ('focal', 'auroc', 1, true)) v(loss, metric, n_outputs, higher_is_better)),
+g AS (SELECT task, loss, metric, n_outputs, higher_is_better FROM r JOIN l USING (loss) WHERE loss <> 'log_huber' AND NOT contains(task, '_13_') AND NOT contains(task, '_Brand#21_'))"""
+
+
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of all sizes of all brands, each with a loss by its size."""
+    part = table(spark, sf, "part", ["p_size", "p_brand"])
+    loss = F.element_at(F.array(*[F.lit(x) for x in ("huber", "log_huber", "beta_nll", "ordinal", "focal")]), F.col("p_size") % 5 + 1)
+    tasks = part.select(F.concat(F.lit("x_"), "p_size", F.lit("_"), "p_brand", F.lit("_")).alias("task"), loss.alias("loss")).distinct()
+    return features.register(tasks, ("log_huber",), ("13", "Brand#21"))
+
+
+@query(f"""WITH {_REGISTRY}, a AS (SELECT DISTINCT p_type AS assay FROM part) SELECT task, loss, metric, n_outputs, higher_is_better, NULL::INTEGER AS assay_idx FROM g
+UNION ALL SELECT 'bio/' || assay, 'focal', 'auroc', 1, true, (row_number() OVER (ORDER BY assay) - 1)::INTEGER FROM a""")
+def task_table(spark, sf):
+    """EXT-01, EXT-05, FIL-09: a registry from a table of tasks, without an excluded loss and excluded infixes, and a source expanded to its assays."""
+    return features.expand_assays(_registry(spark, sf), table(spark, sf, "part", ["p_type"]), "bio", "p_type")
+
+
+@query(f"WITH {_REGISTRY} SELECT higher_is_better, n_outputs, list_sort(list(task)) AS tasks FROM g GROUP BY ALL")
+def task_table_by_size(spark, sf):
+    """AGG-32: the registered tasks of each direction and number of outputs."""
+    return features.outputs_by_size(_registry(spark, sf))
+
+
 @query("SELECT event_type, round(sum(value), 4) AS total, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def metric_log(spark, sf):
     """SNK-16: batches of a stream logged by number; one is sent twice and counts once."""
@@ -382,6 +469,28 @@ def expiring_state(spark, sf):
         return S.run_to_end(S.expiring_minimum(named, "task", "ts", "value", 3, 864_000, "1 day"), ["task"])
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 311 = 0 THEN 2 ELSE 1 END AS step, CASE WHEN c_custkey % 311 = 0 THEN c_custkey + 1000 ELSE 2 * c_custkey END AS value FROM customer WHERE c_custkey % 311 <> 5
+UNION ALL SELECT c_custkey, 2, c_custkey + 1000 FROM customer WHERE c_custkey % 311 = 5""")
+def killed_steps(spark, sf):
+    """UDF-06: a first tool that ignores signals and hangs, or brings its process down, for some rows; it is killed, and another tool takes over."""
+
+    def hangs(x):
+        import os
+        import signal
+        import time
+
+        signal.signal(signal.SIGALRM, signal.SIG_IGN)
+        if x % 311 == 0:
+            time.sleep(60)
+        if x % 311 == 5:
+            os._exit(3)
+        return 2 * x
+
+    rows = table(spark, sf, "customer", ["c_custkey"])
+    out = fallible.fallback_map(rows, "c_custkey", [hangs, lambda x: x + 1000], "bigint", seconds=1.0)
+    return out.select("c_custkey", F.col("step") + 1, "value").toDF("c_custkey", "step", "value")
+
+
 _HASH = _MD5.format("l_orderkey || '-' || l_linenumber")
 
 

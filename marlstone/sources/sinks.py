@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_order
 from ..operators.corpus import upsert
+from ..session import written
 
 JSON_ROWS = 100_000  # a JSON list is for small tables; more is an error, not a cut
 
@@ -58,11 +59,10 @@ def write_json_sorted(df: DataFrame, path: str, by: str) -> None:
 
 
 def write_with_quarantine(df: DataFrame, good: str, bad: str, error: str = "error") -> None:
-    """SNK-06: rows with an error apart from the others; df is computed once."""
-    kept = df.persist()
+    """SNK-06: rows with an error apart from the others; df is computed once, whatever becomes of executors."""
+    kept = written(df)
     kept.where(F.col(error).isNull()).drop(error).write.mode("overwrite").parquet(good)
     kept.where(F.col(error).isNotNull()).write.mode("overwrite").parquet(bad)
-    kept.unpersist()
 
 
 def merge_shards(spark: SparkSession, paths: list[str], to: str, files: int) -> None:

@@ -197,6 +197,35 @@ def test_studentised_range_against_tables(q, k, df, p):
     assert significance.studentised_range_sf(q, k, df) == pytest.approx(p, abs=0.006)
 
 
+def range_by_hand(q, k, df):
+    """The tail by sums over fine grids."""
+    import numpy as np
+
+    h = 1 / 400
+    x = np.arange(1, int(4 / h)) * h  # roots of the deviation
+    s = x * x
+    f = 2 * x * np.exp(math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2)
+    z = np.arange(-9, 9, 1 / 32)
+    phi = lambda v: 0.5 * (1 + np.vectorize(math.erf)(v / math.sqrt(2)))
+    inside = phi(z)[None, :] - phi(z[None, :] - np.minimum(q * s, 40)[:, None])
+    tail = 1 - k * (np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / 32 * np.maximum(inside, 0) ** (k - 1)).sum(1)
+    return (f * tail).sum() * h
+
+
+def test_native_range_tail(spark):
+    cases = [(q, k, df) for q in (0.02, 0.7, 2.5, 4.2, 9.0) for k in (2, 3, 7, 40) for df in (3.0, 6.5, 19.5, 20.0, 36.0)]
+    odd = [(None, 3, 5.0), (1.0, None, 5.0), (1.0, 3, None), (float("nan"), 3, 5.0), (1.0, 3, 0.5), (1.0, 1, 5.0), (0.0, 3, 5.0), (1e9, 3, 5.0), (1e4, 3, 1.0)]
+    df = spark.createDataFrame(cases + odd, "q double, k int, df double")
+    got = {(r.q, r.k, r.df): r.p for r in significance.range_p_values(df, "q", "df", "k").collect()}
+    for q, k, d in cases:
+        assert got[q, k, d] == pytest.approx(range_by_hand(q, k, d), abs=1e-7)
+        if k == 2:
+            assert got[q, k, d] == pytest.approx(significance.t_two_sided(q / math.sqrt(2), d), abs=1e-8)
+    assert [got[c] for c in odd if c[0] is None or c[0] == c[0]] == [None, None, None, None, 1.0, 1.0, pytest.approx(0.0, abs=1e-30), pytest.approx(1.35e-4, rel=0.1)]
+    for x in (0.5, 1.0, 7.3, 500.0):
+        assert spark.range(1).select(significance.log_gamma(F.lit(x))).first()[0] == pytest.approx(math.lgamma(x), abs=1e-11)
+
+
 @pytest.mark.parametrize("t,df,p", [(2.228, 10, 0.05), (12.706, 1, 0.05), (1.96, 10**6, 0.05), (0.0, 5, 1.0), (4.032, 5, 0.01)])
 def test_student_t_against_tables(t, df, p):
     assert significance.t_two_sided(t, df) == pytest.approx(p, abs=2e-4)
