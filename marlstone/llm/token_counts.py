@@ -20,9 +20,11 @@ with a second count for tokens that carry the end-of-word mark, which is how a p
 and distinct pieces are remembered.
 
 New words are taken in order, so that words that begin alike share rows. Where the normaliser changes
-the number of characters, or where a piece holds the name of a special token, the library encodes every prefix
-of that piece while the store is built. The cuts fit one normaliser and pre-tokenizer (NFC, lower case, words of
-letters, single digits, runs of signs); tokenizer files with others are refused.
+the number of characters, a piece is read by clusters, which the normaliser takes each for itself (a letter with its accents,
+say): the program goes on from cluster to cluster, and the prefixes that end inside one go on from the last whole one, so that a
+piece of any length takes time in proportion. A special token ends what is before it and starts afresh behind it.
+The cuts fit one normaliser and pre-tokenizer (NFC, lower case, words of letters, single digits, runs of signs); tokenizer
+files with others are refused.
 
 Null and empty texts have no tokens and an empty store; repeated rows are counted row by row; columns
 besides the key and the text are not read, so their names cannot clash.
@@ -51,7 +53,10 @@ PIECE = re.compile(rf"[\x20\x09-\x0D]+|[{LATIN}]++(?![^\x00-\x7F])|[!-&(-/:-@\[-
 #: The normaliser and the pre-tokenizer that the cuts fit.
 NORMALISER = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BATCH_CHARS = 1 << 20  # characters handed to the library at once
+BATCH_CHARS = 1 << 20  # a quarter of the characters whose stores are made at once
+LONG = 1000  # characters of a piece that is not remembered
+#: What makes one word with an apostrophe that begins one.
+CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Words:
@@ -160,6 +165,90 @@ class Words:
                 held.clear()
 
 
+class Growing:
+    """One word as it grows by symbols, with the rows that the next symbols can need."""
+
+    def __init__(self, words: Words):
+        self.words, self.rows, self.tail = words, [["", 0, 0, 0]], ""  # rows[j] is that of the word less len(rows) - 1 - j symbols
+
+    def copy(self) -> Growing:
+        out = Growing(self.words)
+        out.rows, out.tail = list(self.rows), self.tail
+        return out
+
+    def _best(self, tokens: frozenset, known: dict, rows: list, end: str) -> list | None:
+        """The row before the token that ends here, and the token."""
+        for n in range(min(len(self.tail), self.words.longest, len(rows)), 0, -1):
+            t, before = self.tail[len(self.tail) - n :], rows[len(rows) - n]
+            if t in tokens and before[1] >= 0:
+                pair = (before[0], t)
+                if (fits := known.get(pair)) is None:
+                    fits = known[pair] = not before[0] or self.words._apart(before[0], t + end)
+                if fits:
+                    return [t, before[1] + 1]
+        return None
+
+    def push(self, symbols: str) -> None:
+        most = self.words.longest
+        for x in symbols:
+            self.tail = (self.tail + x)[-most:]
+            found = self._best(self.words.inner, self.words.inside, self.rows, "")
+            self.rows.append([*(found or ["", -1]), None, 0])
+            if len(self.rows) > 4 * most:
+                del self.rows[: -most - 1]
+
+    def ended(self) -> int:
+        """Tokens if the word ends here."""
+        if not self.tail:
+            return 0
+        if self.rows[-1][2] is None:
+            found = self._best(self.words.closing, self.words.at_end, self.rows[:-1], self.words.end)
+            if found is None:
+                raise ValueError(f"no token ends {self.tail!r}")
+            self.rows[-1][2] = found[1]
+        return self.rows[-1][2]
+
+
+class Reader:
+    """Tokens of a text as it grows by normalised characters: those of whole words, and the word that is open.
+
+    kind: what the open word is made of; begun: an apostrophe that began a word, with the letters behind it that may make one word with it."""
+
+    def __init__(self, counter: PieceCounter):
+        self.counter, self.done, self.kind, self.begun, self.word = counter, 0, "", "", Growing(counter.words)
+
+    def copy(self) -> Reader:
+        out = Reader(self.counter)
+        out.done, out.kind, out.begun, out.word = self.done, self.kind, self.begun, self.word.copy()
+        return out
+
+    def count(self) -> int:
+        return self.done + self.word.ended()
+
+    def _start(self, kind: str) -> None:
+        self.done, self.kind, self.begun, self.word = self.count(), kind, "", Growing(self.counter.words)
+
+    def push(self, text: str) -> None:
+        for c in text:
+            kind, symbols = self.counter.character(c)
+            if self.begun and self.begun[1:] + c in CONTRACTED:
+                whole = "".join(self.counter.character(x)[1] for x in self.begun + c)
+                self.done -= self.counter.words.counts("'", (1,))[0] if self.begun[1:] else 0  # it had been counted as a word
+                self.kind, self.begun, self.word = "", "", Growing(self.counter.words)
+                self.done += self.counter.words.counts(whole, (len(whole),))[0]
+                continue
+            begun = self.begun + c if self.begun == "'" and any(x.startswith(c) for x in CONTRACTED) else ""
+            if kind == "space":
+                self._start("")
+                continue
+            if kind == "number" or kind != self.kind:
+                apostrophe = c == "'" and self.kind != "sign"
+                self._start(kind)
+                begun = "'" if apostrophe else begun
+            self.begun = begun
+            self.word.push(symbols)
+
+
 class PieceCounter:
     """Piece to the growth of the count at each of its characters; remembers two generations of pieces."""
 
@@ -179,17 +268,75 @@ class PieceCounter:
         self.normal, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.words = Words(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.special = [t["content"] for t in spec["added_tokens"]]
+        self.specials = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"]) or any(a != b and a in b for a in self.special for b in self.special):
+            raise ValueError(f"{path}: prefix counts are made for plain special tokens, none inside another")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kinds: dict[str, tuple[str, str]] = {}
+        self.alone: dict[str, bool] = {}
+
+    def character(self, c: str) -> tuple[str, str]:
+        """What a normalised character is to the pre-tokenizer (space, letter, number or sign), and its symbols."""
+        if (known := self.kinds.get(c)) is None:
+            own = self.split(c)
+            kind = "space" if not own else "letter" if len(self.split("a" + c)) == 1 else "number" if len(self.split(c + c)) == 2 else "sign"
+            known = self.kinds[c] = (kind, own[0][0] if own else "")
+        return known
+
+    def clusters(self, text: str) -> Iterator[str]:
+        """Parts of the text that are normalised each for itself."""
+        held = ""
+        for c in text:
+            if held and not self._apart(held, c):
+                held += c
+                continue
+            if held:
+                yield held
+            held = c
+        if held:
+            yield held
+
+    def _apart(self, held: str, c: str) -> bool:
+        if held.isascii() and c.isascii():
+            return True
+        if unicodedata.combining(c):  # marks may change places, so all of them stay with their letter
+            return False
+        if len(held) > 1:
+            return self.normal(held + c) == self.normal(held) + self.normal(c)
+        if (known := self.alone.get(held + c)) is None:
+            known = self.alone[held + c] = self.normal(held + c) == self.normal(held) + self.normal(c)
+        return known
+
+    def _clustered(self, text: str) -> list[int]:
+        """Tokens of text[:1], text[:2], ...; the text holds no special token."""
+        reader, out = Reader(self), []
+        for cluster in self.clusters(text):
+            for j in range(1, len(cluster)):
+                part = reader.copy()
+                part.push(self.normal(cluster[:j]))
+                out.append(part.count())
+            reader.push(self.normal(cluster))
+            out.append(reader.count())
+        return out
+
+    def prefixes(self, piece: str) -> list[int]:
+        """Tokens of piece[:1], piece[:2], ..., whatever it holds."""
+        out, done, at = [], 0, 0
+        for special in self.specials.finditer(piece):
+            begin, end = special.span()
+            before = self._clustered(piece[at : end - 1])  # its name short of the last character is plain text
+            out += [done + n for n in before]
+            done += (before[begin - at - 1] if begin > at else 0) + 1
+            out.append(done)
+            at = end
+        return out + [done + n for n in self._clustered(piece[at:])]
 
     def learn(self, pieces: set[str]) -> None:
         for piece in sorted(pieces, key=str.lower):
             self.known[piece] = self.older[piece] if piece in self.older else self.growth(piece)
         self.words.forget()
 
-    def library(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def _word(self, token: str, chars: str) -> list[int]:
         """Tokens of each prefix of a pre-token; token: chars in byte-level symbols."""
         if len(chars) > 1 and chars[0] == "'" and chars[-1].isalpha():  # cut short, a contraction is two words
@@ -218,15 +365,11 @@ class PieceCounter:
             return bytes(len(piece))
         counts = self._program(piece)
         if counts is None:
-            counts = self.library_prefixes(piece)
-        return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
-
-    def library_prefixes(self, piece: str) -> list[int]:
-        """As the library encodes each prefix, some at a time."""
-        out, step = [], max(1, BATCH_CHARS // len(piece))
-        for at in range(0, len(piece), step):
-            out += self.library([piece[: i + 1] for i in range(at, min(at + step, len(piece)))])
-        return out
+            counts = self.prefixes(piece)
+        steps = np.diff(np.array(counts), prepend=0)
+        if len(steps) and (steps.max() > 127 or steps.min() < -128):
+            raise OverflowError("a character changes the count by more than a byte holds")
+        return steps.astype(np.int8).tobytes()
 
     def stores(self, texts: list[str]) -> list[bytes]:
         """One signed byte a character of each text."""
@@ -237,7 +380,14 @@ class PieceCounter:
         for pieces in cut:
             new.update(set(pieces).difference(self.known))
         self.learn(new)
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > LONG:
+                del self.known[piece]
+        for held in (self.kinds, self.alone):
+            if len(held) > PAIRS:
+                held.clear()
+        return out
 
 
 def counter_of(path: str) -> PieceCounter:

@@ -294,6 +294,47 @@ def test_every_prefix_of_every_text(spark):
             assert rows[-1] == token_counts.longest_within(n, budget)
 
 
+PARTS = ["\u00e9", "e\u0301", "\u0301", "\u0323", "\u0344", "a", "the", "'", "'s", "'re", "'r", "'ll", "l", "v", "S", "!", "..", "<|endoftext|>", "<|startoftext|>", "<|endof", "|>", "\u0130", "\u00df", "\u4e2d", "\u3000", "\u00a0", "\u00bd", "\u0663", "\u1100\u1161", "\u1161", "n\u0303", "\u03a3", "\U0001f389", "\U0001f469\u200d", "\ufb01", "\u212b", "7", "\u0915\u094d\u0937"]
+
+
+def test_odd_pieces_by_clusters_equal_the_library():
+    """What the normaliser changes, cut short anywhere, with special tokens whole and in part."""
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(5)
+    library, counter = Tokenizer.from_file(path), token_counts.PieceCounter(path)
+    for _ in range(5000):
+        s = "".join(rng.choices(PARTS, k=rng.randrange(1, 9)))
+        assert counter.prefixes(s) == [len(e) for e in library.encode_batch_fast([s[: i + 1] for i in range(len(s))], add_special_tokens=False)], repr(s)
+
+
+@pytest.mark.parametrize("text", ["\u4e2d\u6587\u5b57" * 33_333 + "e\u0301", "\u4e2d\u6587\u5b57" * 33_333 + "<|endoftext|>", "e\u0301" * 50_000, "\u1100\u1161\uac01" * 30_000, "!" * 50_000 + "\u0130"])
+def test_long_pieces_take_linear_time(text):
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.PieceCounter(path)
+    took = []
+    for part in (text[: len(text) // 4], text):
+        start = time.process_time()
+        store = counter.stores([part])[0]
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * max(took[0], 0.5)  # quadratic: 16 times as long, and minutes
+    at = [*range(0, len(text), len(text) // 100), len(text)]
+    counts = token_counts.running(store)
+    assert [int(counts[i]) for i in at] == [len(e) for e in library.encode_batch_fast([text[:i] for i in at], add_special_tokens=False)]
+    assert not any(len(p) > token_counts.LONG for p in counter.known)
+
+
+def test_a_growth_beyond_a_byte_is_an_error(monkeypatch):
+    counter = token_counts.PieceCounter(tokenizer_path("word_bpe_49k.json"))
+    monkeypatch.setattr(counter, "_program", lambda piece: [200] * len(piece))
+    with pytest.raises(OverflowError):
+        counter.growth("ab")
+
+
 def test_other_tokenizer_forms_are_refused():
     with pytest.raises(ValueError):
         token_counts.PieceCounter(tokenizer_path("byte_bpe_50k.json"))
