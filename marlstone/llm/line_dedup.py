@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, drop, give_back, materialize, partitions, release
 
-#: Words a repeated run must have to be deleted, as the SQL of op7_line_dedup states; the pipeline sets 1.
-MIN_WORDS = 10
+#: Words a repeated run must have to be deleted: one, so that every line with a word that occurred earlier goes.
+MIN_WORDS = 1
 
 
 def _numbered(df: DataFrame, order: list[str], step: str | None, name: str) -> DataFrame:
@@ -71,11 +71,9 @@ def _place() -> Column:
 
 def _rank(suffixes: DataFrame) -> DataFrame:
     """d, pos, h1, h2 of suffixes to d, pos, rank of those that share their pair, and whether they are the first to have it."""
-    counted = materialize(suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("least")).where("n > 1"))
+    counted = suffixes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("least")).where("n > 1")
     ranked = _numbered(counted, ["h1", "h2"], "n", "rank").select("h1", "h2", "rank", "least")
-    out = materialize(suffixes.join(ranked, ["h1", "h2"]).select("d", "pos", "rank", (_place() == F.col("least")).alias("leader")))
-    drop(suffixes.sparkSession, counted)
-    return out
+    return materialize(suffixes.join(ranked, ["h1", "h2"]).select("d", "pos", "rank", (_place() == F.col("least")).alias("leader")))
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
@@ -109,12 +107,12 @@ def lcp_intervals(levels: list[DataFrame]) -> DataFrame:
         classed = materialize(known.select("d", "pos", "a", "g", F.coalesce("rank", F.xxhash64("d", "pos").bitwiseOR(F.lit(-(1 << 63)))).alias("c")))
         classes = classed.groupBy("a", "g", "c").agg(F.count("*").alias("n"), F.min(_place()).alias("least"))
         several = classes.groupBy("a", "g").agg(F.count("*").alias("k"))
-        of = materialize(classes.join(several, ["a", "g"]).where("n > 1 or k > 1"))
-        placed = classed.join(of, ["a", "g", "c"])
-        longer = placed.where("n > 1").select("d", "pos", (F.col("a") + step).alias("a"), F.xxhash64("g", "c", F.lit(j)).alias("g"))
-        shorter = placed.where((F.col("k") > 1) & (_place() == F.col("least"))).select("d", "pos", "a", "g")
-        new = materialize(short.union(longer).union(shorter))
-        drop(spark, rows, classed, of)
+        placed = classed.join(classes.join(several, ["a", "g"]).where("n > 1 or k > 1"), ["a", "g", "c"])
+        longer = F.when(F.col("n") > 1, F.struct((F.col("a") + step).alias("a"), F.xxhash64("g", "c", F.lit(j)).alias("g")))
+        shorter = F.when((F.col("k") > 1) & (_place() == F.col("least")), F.struct("a", "g"))
+        both = placed.select("d", "pos", F.explode(F.array_compact(F.array(longer, shorter))).alias("x")).select("d", "pos", "x.a", "x.g")
+        new = materialize(short.union(both))
+        drop(spark, rows, classed)
         rows = new
     found = materialize(rows.groupBy("a", "g").agg(F.count("*").alias("n"), F.min(_place()).alias("source")).where("n > 1"))
     return rows.join(found, ["a", "g"]).where(_place() > F.col("source")).select("d", "pos", F.col("a").alias("len"), "source")

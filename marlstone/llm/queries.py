@@ -190,24 +190,15 @@ SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x) USING (doc_id)
 """
 
-# the shortest runs with 10 words from and up to each line, as in the operator; a run is the text of its lines
+# a repeated run of any length is made of repeated lines, and a repeated line is a run
 ORACLE_SQL["op7_line_dedup"] = """
-WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l0 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM raw),
-l AS (SELECT doc_id, p, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM l),
-n AS (
-  SELECT a.doc_id, a.i AS i, min(b.i) AS e FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i AND a.i + 9 AND b.s - a.s + a.w >= 10 GROUP BY ALL
-  UNION
-  SELECT a.doc_id, max(b.i) AS i, a.i AS e FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i BETWEEN a.i - 9 AND a.i AND a.s - b.s + b.w >= 10 GROUP BY a.doc_id, a.i
-), r AS (SELECT n.doc_id, n.i, n.e, string_agg(line, chr(10) ORDER BY c.i) AS t FROM n JOIN c ON c.doc_id = n.doc_id AND c.i BETWEEN n.i AND n.e GROUP BY ALL),
-f AS (SELECT t, min(struct_pack(d := doc_id, i := i)) AS least FROM r GROUP BY t),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM r JOIN f USING (t) WHERE struct_pack(d := doc_id, i := i) > least),
-gone AS (SELECT c.doc_id, p FROM c JOIN g USING (doc_id, i)),
-k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM l0 ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-SELECT raw.doc_id, (SELECT count(*) FROM l WHERE l.doc_id = raw.doc_id)::BIGINT AS n_lines, (SELECT count(*) FROM gone WHERE gone.doc_id = raw.doc_id)::BIGINT AS n_removed,
-       sha256(coalesce(kept, '')) AS kept_sha256
-FROM raw LEFT JOIN k ON k.doc_id = raw.doc_id
+l AS (SELECT doc_id, p, line, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS worded FROM l0),
+m AS (SELECT *, worded AND row_number() OVER (PARTITION BY line ORDER BY doc_id, p) > 1 AS gone FROM l)
+SELECT doc_id, count(*) FILTER (worded)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """
 
 # crc32 by bits, as SQL has none: the remainder of the text's bytes by the fixed polynomial
