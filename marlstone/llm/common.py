@@ -34,14 +34,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared scratch store and read it back: cuts the lineage, and lost executors cost nothing."""
-    spark = guard(df.sparkSession)
+def held_dir(spark: SparkSession) -> str:
+    """A new scratch folder that goes with sweep, or else when the driver ends."""
     path = scratch_dir(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends, if not before
-    df.write.parquet(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     SCRATCH.add(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared scratch store and read it back: cuts the lineage, and lost executors cost nothing."""
+    path = held_dir(guard(df.sparkSession))
+    df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -99,6 +104,12 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
+def count_words(text: Column, separators: str) -> Column:
+    """How many words split_words gives, without making them: only the first and the last part can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), separators)
+    return let(parts, lambda p: F.size(p) - (F.get(p, F.lit(0)) == "").cast("int") - ((F.size(p) > 1) & (F.get(p, F.size(p) - 1) == "")).cast("int"))
+
+
 def crc_fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import open_uri
-from .common import materialize, scratch_dir
+from .common import held_dir, materialize
 
 ARCHIVE_BYTES = 32 << 20  # inflated size at which a task starts its next archive
 CHUNK = 1 << 20
@@ -228,7 +228,7 @@ def read_records(archives: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes, normalises and reads back; one row a page."""
-    folder = scratch_dir(pages.sparkSession) + "/archives"
+    """Writes, normalises and reads back; one row a page. The archives are deleted when the driver ends."""
+    folder = held_dir(pages.sparkSession)
     marked = mark_revisits(pages.select(key, url, payload), key, payload, least_bytes)
     return read_records(normalise(write_archives(marked, folder, key, url, payload), folder), key)

@@ -8,7 +8,7 @@ import pytest
 from corpus import documents
 from pyspark.sql import functions as F
 
-from marlstone.llm import lm_scoring, substring_dedup
+from marlstone.llm import common, lm_scoring, substring_dedup
 from marlstone.llm.common import crc_fold
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -156,3 +156,32 @@ def test_blocks_split_at_ascii_white_space_only():
     block = Block(_encode(0, list(range(6)), [0] * 6, pa.array(texts, pa.large_string())))
     words = [block.vocabulary[c].decode() for c in block.codes]
     assert block.counts.tolist() == [0, 0, 2, 2, 2, 2] and words == ["a", "b", "b", "c", "\xa0d\u2003e", "\x1c", "é", "a"]
+
+
+def test_words_are_counted_as_they_are_split(spark):
+    texts = ["", " ", "a", " a", "a ", " a  b\n", "\x0b\x0c a\tb c", None, "a\u00a0b", "\n\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(common.count_words(F.col("t"), common.SPACES).alias("n"), F.size(common.split_words(F.col("t"), common.SPACES)).alias("m"))
+    assert all(r.n == r.m for r in df.collect())
+
+
+def test_no_scratch_is_left_when_the_driver_ends(tmp_path):
+    """Archives of op9 and scratch tables, in a driver of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+from marlstone.llm import warc
+pages = spark.createDataFrame([(1, "u", "body"), (2, "v", "body"), (3, None, None)], "page_id long, url string, html string")
+rows = warc.warc_round_trip(pages).collect()
+import os
+print(len(rows), sum(f.endswith(".warc.gz") for _, _, fs in os.walk("{tmp_path}") for f in fs))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    n, archives = map(int, done.stdout.split())
+    assert n == 3 and archives >= 2
+    assert [f for _, _, files in os.walk(tmp_path) for f in files] == []
