@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
-from marlstone.llm.common import SPACES, crc_fold, held, materialize, release, split_words, sweep
+from marlstone.llm.common import SPACES, count_words, crc_fold, held, materialize, release, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs, F.size(split_words(F.col("text"), SPACES)), F.col("source"), F.xxhash64("text"))
+    return packing.best_fit(docs, count_words(F.col("text"), SPACES), F.col("source"), F.xxhash64("text"))
 
 
 STAGES = [
