@@ -40,12 +40,21 @@ def new_folder(spark: SparkSession, name: str = "marlstone") -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_HOMES: dict[tuple, str] = {}  # this driver's scratch, by JVM and base folder
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """new_folder, deleted when the driver ends."""
-    path = new_folder(spark)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    """The path of a new folder in this driver's scratch, which is deleted when the driver ends."""
+    home = new_folder(spark, "marlstone")
+    at = (id(spark._jvm), home.rpartition("/")[0])
+    if at not in _HOMES:
+        where = spark._jvm.org.apache.hadoop.fs.Path(home)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        if not fs.deleteOnExit(where):  # it takes folders that exist only
+            raise OSError(f"{home} cannot be made")
+        _HOMES[at] = home
+    return f"{_HOMES[at]}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
