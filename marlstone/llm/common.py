@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import gc
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import guard
+from ..session import guard, scratch_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -24,21 +23,9 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 # ----------------------------------------------------------------- scratch tables
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only a local session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-
-
 def held_dir(spark: SparkSession) -> str:
-    """A new scratch folder that goes with sweep, or else when the driver ends."""
-    path = scratch_dir(spark)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    """A new scratch folder under spark.checkpoint.dir; it goes with sweep, or else when the driver ends."""
+    path = scratch_folder(spark)
     SCRATCH.add(path)
     return path
 
