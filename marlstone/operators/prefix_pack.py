@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import written
+from .ragged import changes
 
 FULL = float("inf")  # the fill of "no batch is open": any row starts one
 FIELDS = "high double, shift double, lower array<double>, used array<double>, count array<bigint>, fresh boolean"
@@ -110,14 +111,6 @@ class Block:
         return out
 
 
-def _changes(group: pa.Array, before) -> np.ndarray:
-    """Where a value differs from the one before it (before: that of the first; None for nothing known, a list of one otherwise)."""
-    codes = group.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    out = np.r_[False, codes[1:] != codes[:-1]]
-    out[0] = before is not None and group[0].as_py() != before[0]
-    return out
-
-
 def prefix_pack(df: DataFrame, order: list[str], size: str, budget: int, group: str | None = None, ranges: int | None = None) -> DataFrame:
     """WIN-09, T22: adds batch (0, 1, ... in each group) as batching.budget_pack does: in order, a row that would overflow the open batch
     starts a new one; a row of at least budget stands alone. A null size is 0. Groups may be of any size: rows are dealt by
@@ -147,7 +140,7 @@ def prefix_pack(df: DataFrame, order: list[str], size: str, budget: int, group:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            forced = _changes(batch.column(at_group), last)
+            forced = changes(batch.column(at_group), last)
             block = Block(sizes_of(batch.column(at_size)), forced, budget)
             names = [f.name for f in rows_type.value_type]
             rows = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, rows_type.value_type, strict=True)], names=names)
@@ -194,7 +187,7 @@ def prefix_pack(df: DataFrame, order: list[str], size: str, budget: int, group:
                 base = count + (0 if f.fresh else t["_base"][i].as_py())
                 rows = t["_rows"][i].values
                 own = [rows.field(c) for c in range(len(columns))]
-                forced = _changes(rows.field(at_group), None)
+                forced = changes(rows.field(at_group), None)
                 forced[0] = t["_new"][i].as_py()
                 numbers = Block(sizes_of(own[at_size]), forced, budget).batches(fill, base)
                 yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(own, result_arrow, strict=False)], pa.array(numbers, pa.int64())], schema=result_arrow)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,20 +45,92 @@ def prefix_sum(df: DataFrame, order: str | list[str | Column], value: Column, na
     return rows.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_value", "_own", "_before")
 
 
+def changes(values, before: list | None):
+    """Where a value differs from the one before it, nulls being equal; before: a list of the value ahead of the first, None without any."""
+    import numpy as np
+
+    codes = values.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    out = np.r_[False, codes[1:] != codes[:-1]]
+    out[0] = before is not None and values[0].as_py() != before[0]
+    return out
+
+
 def running_counts(counted: DataFrame, keys: list[str], value: str | Column, columns: list[str]) -> DataFrame:
     """Adds upto_<c> for each of columns: its sum over the rows of the same keys up to and with this one, in order of value, which
-    no two rows of a key share. A key may hold any share of the rows: ranges of the order are summed, not keys."""
-    out = counted
-    for c in columns:
-        out = prefix_sum(out, [*keys, value], F.col(c), f"_{c}")
-    if keys:
-        start = out.groupBy(*keys).agg(*[F.min(f"_{c}").alias(f"_first_{c}") for c in columns])
-        same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
-        joined = out.alias("a").join(start.alias("b"), reduce(lambda x, y: x & y, same))
-        out = joined.select("a.*", *[f"b._first_{c}" for c in columns])
-    else:
-        out = out.withColumns({f"_first_{c}": F.lit(0) for c in columns})
-    return out.withColumns({f"upto_{c}": F.col(f"_{c}") - F.col(f"_first_{c}") + F.col(c) for c in columns}).drop(*[f"_{c}" for c in columns], *[f"_first_{c}" for c in columns])
+    no two rows of a key share. A key may hold any share of the rows: rows are dealt by ranges of (keys, value) and summed up in each task
+    from where a key begins; only the key that a range begins with can have come before, and what it had is added from one row a range."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+
+    spark = counted.sparkSession
+    longs = counted.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in columns})
+    fields = [StructField(f.name, f.dataType) for f in longs.schema.fields]
+    schema = StructType([*fields, *[StructField(f"upto_{c}", LongType()) for c in columns], StructField("_range", IntegerType()), StructField("_head", BooleanType()), StructField("_sums", ArrayType(LongType()))])
+    arrow = to_arrow_schema(schema)
+    at_keys, at = [longs.columns.index(k) for k in keys], [longs.columns.index(c) for c in columns]
+
+    def summary(place: int, key: list, head: bool, sums: list | None) -> pa.RecordBatch:
+        """The first key of a range (sums None), or the last one with its sums; head: the range has no other."""
+        row = [None] * len(fields)
+        for i, k in zip(at_keys, key, strict=True):
+            row[i] = k
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*row, *[None] * len(columns), place, head, sums if sums is not None else []], arrow, strict=True)], schema=arrow)
+
+    def add(batches):
+        place, key, sums, alone = TaskContext.get().partitionId(), None, np.zeros(len(columns), np.int64), True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for j, i in enumerate(at_keys):
+                new |= changes(batch.column(i), None if key is None else [key[j]])
+            if key is None:
+                yield summary(place, [batch.column(i)[0].as_py() for i in at_keys], False, None)
+            starts = np.flatnonzero(new)
+            which = np.searchsorted(starts, np.arange(batch.num_rows), side="right") - 1  # -1: goes on with the key held
+            upto = []
+            for c, i in enumerate(at):
+                v = np.asarray(batch.column(i))
+                run = np.cumsum(v)
+                before = np.r_[(run - v)[starts], -sums[c]][which]  # the last entry is that of which == -1
+                upto.append(run - before)
+            head = (which == -1) & alone
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, upto), pa.array(np.full(batch.num_rows, place, np.int32)), pa.array(head), pa.nulls(batch.num_rows, arrow.field("_sums").type)], schema=arrow)
+            key, sums, alone = [batch.column(i)[-1].as_py() for i in at_keys], np.array([u[-1] for u in upto], np.int64), alone and not len(starts)
+        if key is not None:
+            yield summary(place, key, alone, sums.tolist())
+
+    by = [*keys, value]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(longs.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(add, schema))
+
+    carry_schema = StructType([StructField("_range", IntegerType()), StructField("_carry", ArrayType(LongType()))])
+    carry_arrow = to_arrow_schema(carry_schema)
+
+    def fold(batches):
+        last, have = None, [0] * len(columns)
+        for batch in batches:
+            t, out = batch.to_pydict(), []
+            for i, place in enumerate(t["_range"]):
+                key, sums = [t[k][i] for k in keys], t["_sums"][i]
+                if not sums:  # a range begins
+                    have = have if last == key else [0] * len(columns)
+                    out.append((place, have))
+                else:
+                    have = [a + b for a, b in zip(have, sums, strict=True)] if t["_head"][i] else sums
+                last = key
+            places, carried = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(carried, pa.list_(pa.int64()))], schema=carry_arrow)
+
+    # two rows a range: its first key, then its last
+    ends = rows.where("_sums is not null").select(*keys, "_range", "_head", "_sums").repartition(1).sortWithinPartitions("_range", F.size("_sums"))
+    carry = ends.mapInArrow(fold, carry_schema)
+    found = rows.where("_sums is null").join(F.broadcast(carry), "_range")
+    more = lambda i: F.when(F.col("_head"), F.get("_carry", F.lit(i))).otherwise(0)
+    return found.withColumns({f"upto_{c}": F.col(f"upto_{c}") + more(i) for i, c in enumerate(columns)}).drop("_range", "_head", "_sums", "_carry")
 
 
 def row_numbers(df: DataFrame, order: str | list[str | Column], ties: list[str] | None = None, name: str = "rn") -> DataFrame:
