@@ -12,7 +12,8 @@ of each other (the effective number of their min-hash signatures), and at least
 stand in toxic rows; its weight is the logarithm of how much more often it occurs there than in clean rows, and a word has the weight of its longest
 entry. Rows are dealt into FOLDS by signature, so that copies stay together, and the features of a row come from
 a lexicon learned without its fold: the trees see features as good as those of new texts. Raw scores for
-the calibration likewise come from trees that have not seen the row's fold.
+the calibration likewise come from trees that have not seen the row's fold. A score is for the share TIES the raw probability
+and the rest the calibrated one, so it grows with the raw score inside a level too.
 
 Null and empty texts have all rates 0 and get the score of such a row; rows without a label are
 not learned from, several labels of one id count as the largest; without two classes the score
@@ -39,6 +40,7 @@ SUPPORT, SHARE, PRECISION = 3, 0.012, 0.8
 STEM = range(4, 11)
 STRONG = 3.0  # weight from which an entry marks a word as bad: eight times as frequent in toxic rows
 THRESHOLD = 0.3
+TIES = 0.02  # weight of the raw probability beside the calibrated level, which is the same for a whole block of raw scores
 NEAR = 3  # words on either side that count as near
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 80, 3, 0.15, 48, 8, 1.0
 FOLDS = 4
@@ -206,7 +208,12 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.levels[0])
-        return np.clip(np.interp(self.trees.raw(features(texts, [self.lexicon] * len(texts))), self.knots, self.levels), 0.0, 1.0)
+        return self.calibrated(self.trees.raw(features(texts, [self.lexicon] * len(texts))))
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        """Isotonic levels, with a small part of the raw probability, so that texts of one level are still told apart."""
+        level = np.clip(np.interp(raw, self.knots, self.levels), 0.0, 1.0)
+        return level + TIES * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - level)
 
 
 def fit_rows(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:

@@ -164,6 +164,17 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, one)).count() == 0
 
 
+def test_calibrated_scores_grow_with_raw_scores():
+    rng = np.random.default_rng(3)
+    raw = np.sort(rng.normal(size=500) * 4)
+    y = (rng.random(500) < 1 / (1 + np.exp(-raw))).astype(float)
+    model = toxicity.Model(toxicity.Lexicon({}), toxicity.Trees(0.0, *[np.zeros((0, 1))] * 3), *toxicity.isotonic(raw, y))
+    got = model.calibrated(np.r_[-1e9, raw, 1e9])
+    assert (np.diff(got[1:-1]) > 0).all() and 0 <= got.min() and got.max() <= 1
+    assert np.abs(got[1:-1] - np.interp(raw, model.knots, model.levels)).max() <= toxicity.TIES
+    assert len(set(got)) > 20 * len(set(model.levels)) / 2
+
+
 def test_isotonic_levels_ascend():
     rng = np.random.default_rng(0)
     raw = rng.normal(size=500)
