@@ -187,7 +187,7 @@ def shard_files(spark, sf):
 
 @query(f"SELECT is_val, shard_id, o_orderkey, row_number() OVER (PARTITION BY is_val, shard_id ORDER BY o_orderkey) - 1 AS place FROM (SELECT o_orderkey, o_orderkey % 10 = 0 AS is_val, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE ({_MD5.format('o_orderkey::VARCHAR')} % 3)::INTEGER END AS shard_id FROM orders)")
 def split_files(spark, sf):
-    """SNK-02: validation and training shards, rows in order of key."""
+    """SNK-02, SRT-02: validation and training shards, rows in order of key."""
     to = scratch_folder(spark)
     o = table(spark, sf, "orders", ["o_orderkey"]).withColumn("is_val", F.col("o_orderkey") % 10 == 0)
     sinks.write_split(o.withColumn("shard_id", F.when(F.col("is_val"), 0).otherwise(keys.bucket(3, "o_orderkey"))), to, "o_orderkey")
@@ -491,6 +491,24 @@ def killed_steps(spark, sf):
     return out.select("c_custkey", F.col("step") + 1, "value").toDF("c_custkey", "step", "value")
 
 
+@query("""WITH e AS (SELECT event_type AS task, ((dayofmonth(ts) - 1) // 3)::INTEGER AS shard, abs(value) + 1 AS loss FROM events WHERE value IS NOT NULL),
+c AS (SELECT task, shard, avg(loss) AS mean FROM e WHERE shard IN (2, 6) GROUP BY ALL),
+n AS (SELECT e.*, CASE WHEN shard < 2 THEN 'warm-up' WHEN shard IN (2, 6) THEN 'calibration' ELSE 'weighted' END AS phase, (SELECT arg_max(mean, c.shard) FROM c WHERE c.task = e.task AND c.shard < e.shard) AS nadir FROM e)
+SELECT task, shard, phase, count(*)::BIGINT AS n, round(any_value(nadir), 6) AS nadir, round(sum(CASE WHEN phase = 'weighted' THEN ln(loss / nadir + 1e-10) ELSE 0 END), 4) + 0.0 AS total FROM n GROUP BY task, shard, phase""")
+def resumed_weighting(spark, sf):
+    """STM-03, STM-05: ten shards of a run, the third and seventh calibrate; the stream stops after the fifth and goes on from its checkpoint."""
+    to = scratch_folder(spark)
+    e = table(spark, sf, "events", ["event_id", "ts", "event_type", "value"]).withColumn("shard", F.floor((F.dayofmonth("ts") - 1) / 3).cast("int"))
+    rows = e.select("event_type", "shard", "event_id", (F.abs("value") + 1).alias("loss"))
+    for first, end in ((0, 5), (5, 10)):
+        for k in range(first, end):
+            rows.where(F.col("shard") == k).coalesce(1).write.mode("append").parquet(f"{to}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
+        with S.rocksdb_state(spark):
+            out = S.run_to_end(S.nadir_ratios(stream, "event_type", "shard", "event_id", "loss", 2, 4), ["task", "shard"], f"{to}/run")
+    return out.select("task", "shard", "phase", "n", F.round("nadir", 6).alias("nadir"), (F.round("total", 4) + 0.0).alias("total"))
+
+
 _HASH = _MD5.format("l_orderkey || '-' || l_linenumber")
 
 

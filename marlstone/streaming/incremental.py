@@ -127,3 +127,54 @@ def expiring_minimum(stream: DataFrame, task: str, ts: str, value: str, calibrat
     timed = stream.select(F.col(task).cast("string").alias("task"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("task is not null and ts is not null and v is not null")
     rows = timed.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
     return rows.groupBy("task").transformWithStateInPandas(Calibrated(), "task string, seen long, nadir double, frozen boolean, expired boolean", "update", "EventTime")
+
+
+def nadir_ratios(stream: DataFrame, task: str, shard: str, step: str, loss: str, warmup: int, refresh: int = 0, eps: float = 1e-10) -> DataFrame:
+    """STM-03, STM-05: the state of a task weighting as it goes through the shards of a run: task, shard, phase, n, nadir, total, one row
+    for each task and shard that a micro-batch changes, with all that was seen of it.
+
+    Before shard warmup the phase is warm-up. Shard warmup, and then every refresh-th one (0: none), calibrates: the mean loss of a
+    calibration is the task's nadir in the shards after it, until the next calibration has ended. There total is the sum of
+    log(loss / nadir + eps), what the smooth maximum of losses is made of. Shards must arrive in order, each in any number of
+    micro-batches; the sums, the nadir and whether a calibration is pending are in the stream's checkpoint, so a run goes on where it
+    stopped. Start it inside rocksdb_state; null tasks, shards and losses are left out."""
+    import math
+
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    names = ["task", "shard", "phase", "n", "nadir", "total"]
+
+    def calibrates(k: int) -> bool:
+        return k == warmup or (refresh > 0 and k > warmup and (k - warmup) % refresh == 0)
+
+    class Weighted(StatefulProcessor):
+        def init(self, handle):
+            self.held = handle.getValueState("run", "shard int, n long, total double, sum double, count long, nadir double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            at, n, total, mean_sum, count, nadir = self.held.get() if self.held.exists() else (None, 0, 0.0, 0.0, 0, None)
+            out = {}
+            for k, _, x in sorted((int(k), int(i), float(x)) for frame in rows for k, i, x in zip(frame["shard"], frame["step"], frame["loss"], strict=True)):
+                if k != at:
+                    if at is not None and calibrates(at) and count:
+                        nadir = mean_sum / count  # the calibration that was pending has ended
+                    at, n, total = k, 0, 0.0
+                    if calibrates(k):
+                        mean_sum, count = 0.0, 0
+                n += 1
+                if calibrates(k):
+                    mean_sum, count = mean_sum + x, count + 1
+                elif k > warmup and nadir is not None:
+                    total += math.log(x / nadir + eps)
+                phase = "warm-up" if k < warmup else "calibration" if calibrates(k) else "weighted"
+                out[k] = (key[0], k, phase, n, None if phase == "warm-up" else nadir, total)
+            self.held.update((at, n, total, mean_sum, count, nadir))
+            yield pd.DataFrame(list(out.values()), columns=names).astype({"nadir": "float64", "total": "float64"})
+
+        def close(self):
+            pass
+
+    rows = stream.select(F.col(task).cast("string").alias("task"), F.col(shard).cast("int").alias("shard"), F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss"))
+    known = rows.where("task is not null and shard is not null and step is not null and loss is not null")
+    return known.groupBy("task").transformWithStateInPandas(Weighted(), "task string, shard int, phase string, n long, nadir double, total double", "update", "None")

@@ -64,3 +64,37 @@ def test_state_expires_and_a_restart_keeps_frozen_minima(spark, tmp_path):
     assert {k for k, v in got.items() if not v[3]} == {"z"}
     held = spark.read.format("statestore").option("stateVarName", "held").load(f"{tmp_path}/out/state")
     assert [r.key.task for r in held.collect()] == ["z"]
+
+
+def test_weighting_state_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Any cut of the shards into runs and micro-batches gives the same, and what one pass over all rows gives."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [(t, k, i, rng.random() + 0.1) for k in range(9) for i, t in enumerate("abcab") if (t, k) not in (("c", 2), ("a", 5))]
+
+    def run(name, cuts, parts):
+        for n, (first, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            for k in range(first, end):
+                own = [r for r in rows if r[1] == k]
+                for j in range(parts):
+                    spark.createDataFrame(own[j::parts], "t string, k int, i int, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            stream = spark.readStream.schema("t string, k int, i int, x double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in")
+            with S.rocksdb_state(spark):
+                out = S.run_to_end(S.nadir_ratios(stream, "t", "k", "i", "x", 2, 3), ["task", "shard"], f"{tmp_path}/{name}/out")
+        return {(r.task, r.shard): (r.phase, r.n, r.nadir and round(r.nadir, 9), round(r.total, 9)) for r in out.collect()}
+
+    want = {}
+    for t in "abc":
+        nadir = None
+        for k in range(9):
+            x = [r[3] for r in rows if r[:2] == (t, k)]
+            phase = "warm-up" if k < 2 else "calibration" if k in (2, 5, 8) else "weighted"
+            if x:
+                total = sum(math.log(v / nadir + 1e-10) for v in x) if phase == "weighted" and nadir else 0.0
+                want[t, k] = (phase, len(x), nadir and round(nadir, 9), round(total, 9))
+            if phase == "calibration" and x:
+                nadir = sum(x) / len(x)
+    assert run("one", [0, 9], 1) == want
+    assert run("cut", [0, 1, 3, 6, 9], 2) == want
