@@ -33,10 +33,14 @@ LEDGER = "key string, doc_id long, raw string, lang string, source string"
 CORPUS = f"doc_id long, {LEDGER.replace(', doc_id long, raw string', '')}, text string, batch long, shard_id int"
 
 
-def fresh_keys(rows: DataFrame, excluded: DataFrame, ledger: DataFrame | None) -> DataFrame:
-    """The ledger rows that a batch adds."""
+def keys_of(rows: DataFrame) -> DataFrame:
+    """The row of each key of a batch that would be added, and copies: how many had it."""
     keyed = rows.select("doc_id", "lang", "source", F.md5("text").alias("raw"), canonical_key(F.col("text")).alias("key")).where("doc_id is not null")
-    first = written(corpus.keep_first(keyed, ["key"], ["doc_id", "raw", "lang", "source"]))
+    return written(corpus.keep_first(keyed, ["key"], ["doc_id", "raw", "lang", "source"], "copies"))
+
+
+def fresh_keys(first: DataFrame, excluded: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """The ledger rows that a batch adds."""
     new = corpus.drop_listed(first, excluded, "key")
     if ledger is not None:
         new = corpus.drop_listed(new, corpus.only_listed(ledger.select("key"), first.select("key"), "key"), "key")
@@ -48,14 +52,15 @@ def take(rows: DataFrame, batch: int, benchmark: DataFrame, out: str, s: dict) -
     spark = rows.sparkSession
     excluded = corpus.key_set(benchmark.select(canonical_key(F.col("text")).alias("key")), "key")
     ledger = spark.read.schema(f"{LEDGER}, batch long").parquet(f"{out}/ledger").where(F.col("batch") < batch) if batch else None
-    fresh_keys(rows, excluded, ledger).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
+    first = keys_of(rows)
+    fresh_keys(first, excluded, ledger).write.mode("overwrite").parquet(f"{out}/ledger/batch={batch}")
     added = spark.read.schema(LEDGER).parquet(f"{out}/ledger/batch={batch}")
     texts = rows.select("doc_id", F.md5("text").alias("raw"), "text").dropDuplicates(["doc_id", "raw"])
     full = texts.join(added, ["doc_id", "raw"]).select("doc_id", "key", "lang", "source", "text", bucket(s["shards"], "key").alias("shard_id"))
     full.repartition("shard_id").sortWithinPartitions("shard_id", "key").write.mode("overwrite").partitionBy("shard_id").option("compression", "zstd").parquet(f"{out}/corpus/batch={batch}")
-    read = rows.agg(F.count("*").alias("read"), F.count_if(F.col("doc_id").isNull() | canonical_key(F.col("text")).isNull()).alias("without_id_or_words"))
     n = report(added, f"{out}/ledger/batch={batch}", f"batch {batch}")["rows"]
-    read = read.withColumn("added", F.lit(n))
+    keyed = first.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("_keyed"))  # no further scan of texts
+    read = rows.agg(F.count("*").alias("read")).crossJoin(F.broadcast(keyed)).select("read", (F.col("read") - F.col("_keyed")).alias("without_id_or_words"), F.lit(n).alias("added"))
     read.coalesce(1).write.mode("overwrite").json(f"{out}/log/batch={batch}")
     log.info("batch %s: %s", batch, spark.read.json(f"{out}/log/batch={batch}").first().asDict())
 

@@ -45,9 +45,9 @@ def overlapping(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def routed(docs: DataFrame, benchmark: DataFrame, s: dict) -> DataFrame:
-    """doc_id, key, lang, overlap, split, shard_id of the documents that stay."""
+    """doc_id, raw (the text's digest), key, lang, source, copies (rows with the key), overlap, split, shard_id of the documents that stay."""
     keyed = docs.select("doc_id", "lang", "source", F.md5("text").alias("raw"), canonical_key(F.col("text")).alias("key"))
-    first = corpus.keep_first(keyed, ["key"], ["doc_id", "raw", "lang", "source"])
+    first = corpus.keep_first(keyed, ["key"], ["doc_id", "raw", "lang", "source"], "copies")
     items = corpus.key_set(benchmark.select(canonical_key(F.col("text")).alias("key")), "key")
     flagged = corpus.flag_listed(corpus.flag_listed(first, items, "key", "same"), overlapping(docs, benchmark, s["overlap_words"]), "doc_id", "shares")
     flagged = flagged.withColumn("overlap", F.col("same") | F.col("shares")).drop("same", "shares")
@@ -80,11 +80,13 @@ def run(spark: SparkSession, documents: str, labels: str, benchmark: str, out: s
 
         # rows that repeat both id and text are one; the join goes by the same columns, so they cost no further shuffle
         texts = docs.select("doc_id", F.md5("text").alias("raw"), "text").dropDuplicates(["doc_id", "raw"])
-        full = texts.join(route, ["doc_id", "raw"]).drop("raw").withColumn("_file", bucket(s["files_per_shard"], "key", F.lit("file")))
+        full = texts.join(route, ["doc_id", "raw"]).drop("raw", "copies").withColumn("_file", bucket(s["files_per_shard"], "key", F.lit("file")))
         ordered = full.repartition("split", "shard_id", "_file").sortWithinPartitions("split", "shard_id", "_file", seeded_order("key", s["seed"]), "key").drop("_file")
         ordered.write.mode("overwrite").partitionBy("split", "shard_id").option("compression", "zstd").parquet(f"{out}/data")
 
-        counts = spark.read.parquet(documents).agg(F.count("*").alias("rows_read"), F.count_if(F.col("doc_id").isNull() | canonical_key(F.col("text")).isNull()).alias("rows_without_id_or_words"))
+        # rows from the files' footers, rows with words from the counts of copies: no further scan of texts
+        counts = spark.read.parquet(documents).agg(F.count("*").alias("rows_read")).crossJoin(F.broadcast(route.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("_keyed"))))
+        counts = written(counts.select("rows_read", (F.col("rows_read") - F.col("_keyed")).alias("rows_without_id_or_words")))
         log.info("read %s: %s", documents, counts.first().asDict())
         split = {f"{x}_rows": F.count_if(F.col("split") == x) for x in ("train", "val")}
         data = spark.read.schema(full.drop("_file").schema).parquet(f"{out}/data")  # an empty table has no files to learn it from

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.keys import bucket, seeded_order
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-01, FIL-01: one row per non-null key, the least by order.
+def keep_first(df: DataFrame, keys: list[str], order: list[str], copies: str | None = None) -> DataFrame:
+    """WIN-01, FIL-01: one row per non-null key, the least by order; copies: a column for how many rows had the key.
 
     An aggregate of a struct, not a window: copies shrink before the shuffle, so a key that holds
     a third of all rows costs one row a task. order should end in a unique column (T4)."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     present = df.where(F.expr(" and ".join(f"`{k}` is not null" for k in keys)))
-    best = present.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_best"))
-    return best.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
+    best = present.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_best"), *([F.count("*").alias(copies)] if copies else []))
+    return best.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in df.columns], *([copies] if copies else []))
 
 
 def pick_columns(df: DataFrame, keys: list[str], columns: list[str], by: Column) -> DataFrame:

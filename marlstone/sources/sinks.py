@@ -74,7 +74,7 @@ def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, keys: list[st
     """SNK-13, SNK-10, FIL-17: replaces the rows of new's keys in a table, which is made if absent.
 
     Every version has a folder of its own, and the pointer file current.txt, renamed into place, names the one that
-    counts: a crash leaves the old version readable. The version before the last is deleted."""
+    counts: a crash leaves the old version readable. The version before the last is deleted. One writer at a time: of two at once, one is lost."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     where = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     fs = where("current.txt").getFileSystem(conf)
