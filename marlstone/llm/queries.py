@@ -71,22 +71,12 @@ def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of op2 SQL can state of bins: none is overfull, has a gap between pieces or two pieces of one source."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    """What of op2 SQL can state of bins: none is overfull, has a gap between pieces, two pieces of one source or of equal texts; all words are in them."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
     placed = op2_packing(spark, sf_dir).where("bin is not null").join(docs, "doc_id")
-    bins = placed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("source").alias("pieces"), F.countDistinct("source").alias("sources"))
-    return bins.agg(F.count_if(F.col("n") > packing.CAPACITY).alias("overfull"), F.count_if(F.col("n") != F.col("end")).alias("gaps"), F.count_if(F.col("pieces") != F.col("sources")).alias("conflicts"))
-
-
-def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {"good_lost": F.col("quality") == 1, "toxic_lost": F.col("toxic") == 1}
-    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), filter_audit.text_conditions(F.col("text")), _read(spark, sf_dir, "labels"), flags, duplicates="E")
-
-
-def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(_read(spark, sf_dir, "documents"))
-    joined = lambda c: F.array_join(c, ",").alias(c)
-    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+    bins = placed.groupBy("shard", "bin").agg(F.sum("n_tokens").alias("n"), F.max(F.col("start") + F.col("n_tokens")).alias("end"), F.count("source").alias("pieces"), F.countDistinct("source").alias("sources"), F.count("digest").alias("texts"), F.countDistinct("digest").alias("digests"))
+    wrong = {"overfull": F.col("n") > packing.CAPACITY, "gaps": F.col("n") != F.col("end"), "conflicts": F.col("pieces") != F.col("sources"), "copies": F.col("texts") != F.col("digests")}
+    return bins.agg(*[F.count_if(c).alias(k) for k, c in wrong.items()], F.sum("n").alias("n_words"), F.sum("texts").alias("n_pieces"))
 
 
 QUERIES = {"op1_decontamination": op1_decontamination, "op2_packing": op2_packing, "op7_line_dedup": op7_line_dedup, "op3_toxicity": op3_toxicity, "op4_substring_dedup": op4_substring_dedup, "op6_lm_scoring": op6_lm_scoring, "op5_token_counts": op5_token_counts, "op8_quality_rules": op8_quality_rules, "op9_warc": op9_warc, "op10_jaccard_join": op10_jaccard_join}
@@ -215,7 +205,7 @@ FROM t LEFT JOIN c USING (token), n GROUP BY doc_id
 
 ORACLE_SQL["packing_totals"] = f"SELECT doc_id, len({WORDS_SQL})::BIGINT AS n_words, ceil(len({WORDS_SQL}) / 2048.0)::BIGINT AS n_pieces FROM documents"
 
-ORACLE_SQL["packing_bins"] = "SELECT 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS conflicts"
+ORACLE_SQL["packing_bins"] = f"SELECT 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS conflicts, 0::BIGINT AS copies, sum(len({WORDS_SQL}))::BIGINT AS n_words, sum(ceil(len({WORDS_SQL}) / 2048.0))::BIGINT AS n_pieces FROM documents"
 
 ORACLE_SQL["op11_filter_audit"] = f"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS_SQL} AS w FROM documents),
