@@ -83,8 +83,8 @@ def _report(names: list[str], flags: list[str]):
         lists = batch.column(1)
         of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
         cell = lists.flatten()
-        mask = cell.field("mask").to_numpy(zero_copy_only=False)
-        for k, name in enumerate(["n", *flags]):
+        mask = cell.field("_mask").to_numpy(zero_copy_only=False)
+        for k, name in enumerate(["_n", *flags]):
             cells[mask, of, k] = cell.field(name).to_numpy(zero_copy_only=False)
         total, fails = cells.sum(0)[:, 0], [cells[np.arange(1 << n) >> f & 1 == 1].sum(0)[:, 0] for f in range(n)]
         orders, steps, numbers, filters = [], [], [], []
@@ -119,26 +119,26 @@ def _report(names: list[str], flags: list[str]):
 
 
 def cells_of(df: DataFrame, conditions: dict[str, Column], duplicates: str | None, labels: DataFrame, flags: dict[str, Column], key: str, text: str, part: str) -> DataFrame:
-    """part, mask, n and for each flag the number of documents that have it; bits of mask in order of conditions, then duplicates."""
+    """_part, _mask, _n and for each flag the number of documents that have it; bits of the mask in order of conditions, then duplicates."""
     mask = sum((F.when(c, F.lit(1 << k)).otherwise(0) for k, c in enumerate(conditions.values())), F.lit(0))
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))) if duplicates else F.lit(None).cast("binary")
     # a null id finds no label, so it is dealt by its text
-    slim = df.select(F.col(key).alias("_id"), digest.alias("_h"), mask.cast("int").alias("mask"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
-    slim = slim.withColumn("_to", F.when(F.col("_id").isNotNull(), F.xxhash64("_id")).otherwise(F.xxhash64("_h", "part", "mask")))
-    rows = slim.groupBy("_to", "_id", "_h", "part", "mask").agg(F.count("*").alias("n"))
+    slim = df.select(F.col(key).alias("_id"), digest.alias("_h"), mask.cast("int").alias("_mask"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("_part"))
+    slim = slim.withColumn("_to", F.when(F.col("_id").isNotNull(), F.xxhash64("_id")).otherwise(F.xxhash64("_h", "_part", "_mask")))
+    rows = slim.groupBy("_to", "_id", "_h", "_part", "_mask").agg(F.count("*").alias("_n"))
     own = labels.select(F.col(key).alias("_id"), *[F.coalesce(c, F.lit(False)).cast("int").alias(f) for f, c in flags.items()]).where("_id is not null")
     marked = own.groupBy("_id").agg(*[F.max(f).alias(f) for f in flags]).withColumn("_to", F.xxhash64("_id")) if flags else None
     rows = rows.join(marked, ["_to", "_id"], "left").fillna(0, list(flags)) if flags else rows
     if duplicates:
         place = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"))
-        copies = rows.groupBy("_h", "part", "mask", *flags).agg(F.sum("n").alias("n"), F.min(F.struct(place.alias("place"), F.col("n").alias("c"))).alias("least"))
+        copies = rows.groupBy("_h", "_part", "_mask", *flags).agg(F.sum("_n").alias("_n"), F.min(F.struct(place.alias("place"), F.col("_n").alias("c"))).alias("least"))
         least = F.min("least.place").over(W.partitionBy("_h"))
         first = F.when(F.col("least.place").eqNullSafe(least), F.col("least.c")).otherwise(0)
         split = copies.withColumn("_first", first)
         bit = 1 << len(conditions)
-        both = F.array(F.struct(F.col("mask"), F.col("_first").alias("n")), F.struct((F.col("mask") + bit).alias("mask"), (F.col("n") - F.col("_first")).alias("n")))
-        rows = split.select("part", *flags, F.explode(both).alias("b")).select("part", *flags, "b.mask", "b.n").where("n > 0")
-    return rows.groupBy("part", "mask").agg(F.sum("n").alias("n"), *[F.sum(F.col(f) * F.col("n")).alias(f) for f in flags])
+        both = F.array(F.struct(F.col("_mask"), F.col("_first").alias("_n")), F.struct((F.col("_mask") + bit).alias("_mask"), (F.col("_n") - F.col("_first")).alias("_n")))
+        rows = split.select("_part", *flags, F.explode(both).alias("b")).select("_part", *flags, "b._mask", "b._n").where("_n > 0")
+    return rows.groupBy("_part", "_mask").agg(F.sum("_n").alias("_n"), *[F.sum(F.col(f) * F.col("_n")).alias(f) for f in flags])
 
 
 def filter_audit(df: DataFrame, conditions: dict[str, Column], labels: DataFrame, flags: dict[str, Column], duplicates: str | None = None, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
@@ -148,10 +148,12 @@ def filter_audit(df: DataFrame, conditions: dict[str, Column], labels: DataFrame
     conditions: one-letter name to failure condition over df; duplicates: the name of the filter "same text as a
     smaller id", last in the alphabet of orders; flags: name to condition over labels, which has the same key."""
     names = [*conditions, *([duplicates] if duplicates else [])]
+    if taken := set(flags) & {"part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "shapley"}:
+        raise ValueError(f"columns of the result cannot be flags: {', '.join(sorted(taken))}")
     if len(names) > MOST_FILTERS:
         raise ValueError(f"{len(names)} filters have too many orders, {MOST_FILTERS} at most")
     cells = cells_of(df, conditions, duplicates, labels, flags, key, text, part)
     # at most one row for each mask meets in a part
-    parts = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", *flags)).alias("cells"))
+    parts = cells.groupBy("_part").agg(F.collect_list(F.struct("_mask", "_n", *flags)).alias("cells"))
     run, schema = _report(names, list(flags))
     return parts.mapInArrow(run, schema)

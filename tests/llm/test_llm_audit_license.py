@@ -75,6 +75,8 @@ def test_audit_of_nothing_of_few_filters_and_of_too_many(spark):
     }
     with pytest.raises(ValueError):
         filter_audit.filter_audit(df, {c: F.lit(True) for c in "ABCDEFGH"}, labels, {})
+    with pytest.raises(ValueError):
+        filter_audit.filter_audit(df, {"A": F.lit(True)}, labels, {"kept": F.col("quality") == 1})
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])

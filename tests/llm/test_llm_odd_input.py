@@ -7,7 +7,7 @@ import corpus_pipeline
 from corpus import words
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity
+from marlstone.llm import decontamination, filter_audit, jaccard_join, license_scan, line_dedup, lm_scoring, packing, quality_rules, substring_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, stays int, bad int, n_lines int, kept string, comp string, k int"
 
@@ -36,12 +36,17 @@ def test_every_operator_takes_odd_rows(spark):
         "lines": line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_removed"),
         "quality": quality_rules.quality_rules(df),
         "jaccard": jaccard_join.jaccard_components(df),
+        "license": license_scan.scan(df),
     }
     for name, out in outs.items():
         got = out.collect()
         assert Counter(r.doc_id for r in got) == n, name
         if name in ("substring",):
             assert {r.n_words for r in got} == size
+    labels = spark.createDataFrame([(1, 1, 0), (1, None, 1), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    audit = filter_audit.filter_audit(df, filter_audit.text_conditions(F.col("text")), labels, {"n": F.col("quality") == 1, "mask": F.col("toxic") == 1}, duplicates="E").where("filter_order = 'EDCBA' and step = 1").collect()
+    # equal to a smaller id's: the long text of ids 11 and null (in part s), the empty one of ids 3 and null
+    assert {r.part: r.removed for r in audit} == {"": 3, "s": 1}
     found = {(r.doc_id, r.n_words): r for r in outs["decontaminate"].collect()}
     assert found[0, 60_000].n_hit >= 30 and found[0, 60_000]["items"] == ["1"] and found[9, 3000].n_hit == 3000
     removed = {(r.doc_id, r.n_words): r.n_removed for r in outs["substring"].collect()}
