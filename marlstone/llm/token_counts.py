@@ -366,10 +366,10 @@ class PieceCounter:
         counts = self._program(piece)
         if counts is None:
             counts = self.prefixes(piece)
-        steps = np.diff(np.array(counts), prepend=0)
-        if len(steps) and (steps.max() > 127 or steps.min() < -128):
+        steps = [b - a for a, b in zip([0, *counts], counts)]
+        if max(steps) > 127 or min(steps) < -128:
             raise OverflowError("a character changes the count by more than a byte holds")
-        return steps.astype(np.int8).tobytes()
+        return bytes([x & 255 for x in steps])
 
     def stores(self, texts: list[str]) -> list[bytes]:
         """One signed byte a character of each text."""
