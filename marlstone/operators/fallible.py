@@ -53,110 +53,203 @@ def once_per_key(df: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame])
     return df.join(fn(df.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
 
 
-class Child:
-    """A process of its own that calls one of some functions at a time. It is started by running Python, not by a fork of the worker with
-    its threads, lives on between calls, and is replaced after it was killed or has died."""
+CHILDREN = 8  # processes of a task at most: so many of its rows may hang at the same time
+PATIENCE = 0.02  # seconds after which a row that has not answered no longer holds up the next
 
-    MAIN = "import sys; from marlstone.operators.fallible import serve; serve()"
 
-    def __init__(self, functions: list[Callable]):
-        from pyspark import cloudpickle
+class Children:
+    """Processes that call functions for a task, one row each at a time, and are replaced when their time is up or they have died.
 
-        self.functions, self.process = cloudpickle.dumps(functions), None
+    They are forks of one process, which is started by running Python and has one thread, not of the worker with its threads; it
+    kills and replaces them and goes, with all of them, when the worker does. A row that answers at once is followed by the next in the
+    same process; while rows hang, the next ones go on in up to CHILDREN others."""
 
-    def call(self, k: int, x, seconds: float):
-        """functions[k](x); TimeoutError after the seconds, RuntimeError with its text for any failure."""
-        import os
-        import pickle
+    MAIN = "import pickle, sys; pickle.loads(sys.stdin.buffer.read())()"
+
+    def __init__(self, functions: list[Callable], seconds: float):
         import selectors
+        import socket
         import subprocess
         import sys
-        import time
+        from functools import partial
 
-        if self.process is None:
-            env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
-            self.process = subprocess.Popen([sys.executable, "-c", self.MAIN], stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=env)
-            self.buffer = b""
-            self._send(self.functions)
-            self._receive(None)  # ready: starting up is not the step's time
-        self._send(pickle.dumps((k, x)))
-        end = time.monotonic() + seconds
-        with selectors.DefaultSelector() as waiting:
-            waiting.register(self.process.stdout, selectors.EVENT_READ)
-            answer = self._receive(lambda: waiting.select(max(0.0, end - time.monotonic())))
-        if answer is None:
-            self.kill()
-            raise TimeoutError(f"killed after {seconds} s")
-        value, error = pickle.loads(answer)
-        if error:
-            raise RuntimeError(error)
-        return value
-
-    def _send(self, data: bytes) -> None:
-        try:
-            self.process.stdin.write(len(data).to_bytes(8, "little") + data)
-            self.process.stdin.flush()
-        except BrokenPipeError:
-            self.kill()
-            raise RuntimeError("the process died") from None
-
-    def _receive(self, ready) -> bytes | None:
-        """The next message; None if ready() says that there is nothing in time."""
+        from pyspark import cloudpickle
+
+        self.steps, self.seconds, self.waiting = len(functions), seconds, selectors.DefaultSelector()
+        self.sockets, self.buffers, self.idle, self.starting, self.busy = {}, {}, [], set(), {}
+        self.control, theirs = socket.socketpair()
+        self.process = subprocess.Popen([sys.executable, "-c", self.MAIN], stdin=subprocess.PIPE, pass_fds=[theirs.fileno()], env=self.environment())
+        self.process.stdin.write(cloudpickle.dumps(partial(serve, theirs.fileno(), functions)))
+        self.process.stdin.close()
+        theirs.close()
+        if not self.control.recv(1):  # ready: starting up is not a step's time
+            raise RuntimeError("the process of the steps did not start")
+
+    @staticmethod
+    def environment() -> dict:
         import os
+        import sys
 
-        while len(self.buffer) < 8 or len(self.buffer) < 8 + int.from_bytes(self.buffer[:8], "little"):
-            if ready is not None and not ready():
-                return None
-            part = os.read(self.process.stdout.fileno(), 1 << 16)
-            if not part:
-                self.kill()
-                raise RuntimeError("the process died")
-            self.buffer += part
-        end = 8 + int.from_bytes(self.buffer[:8], "little")
-        message, self.buffer = self.buffer[8:end], self.buffer[end:]
-        return message
-
-    def kill(self) -> None:
-        if self.process is not None:
-            self.process.kill()
-            self.process.wait()
-            self.process.stdin.close()
-            self.process.stdout.close()
-            self.process = None
-
-
-def serve() -> None:
-    """The child's side of Child; what functions print goes to the worker's error output."""
+        return os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+
+    def start(self, slot: int) -> None:
+        """A new process in a slot; the one that was there is killed."""
+        import selectors
+        import socket
+
+        if slot in self.sockets:
+            self.waiting.unregister(self.sockets[slot])
+            self.sockets[slot].close()
+        ours, theirs = socket.socketpair()
+        socket.send_fds(self.control, [bytes([slot])], [theirs.fileno()])
+        theirs.close()
+        self.sockets[slot], self.buffers[slot] = ours, b""
+        self.waiting.register(ours, selectors.EVENT_READ, slot)
+        self.starting.add(slot)
+
+    def received(self, slot: int) -> bytes | None:
+        """The message of a slot if it is complete, None if not; EOFError if the process has died."""
+        try:
+            part = self.sockets[slot].recv(1 << 16)
+        except ConnectionError:
+            part = b""
+        if not part:
+            raise EOFError
+        self.buffers[slot] += part
+        n = int.from_bytes(self.buffers[slot][:8], "little")
+        return self.buffers[slot][8:] if len(self.buffers[slot]) >= 8 + n and len(self.buffers[slot]) >= 8 else None
+
+    def run(self, values: list) -> list[tuple]:
+        """For each value, null apart: the first result of a step, the step's place and no error, or the errors of all steps."""
+        import pickle
+        import time
+        from collections import deque
+
+        out: list[tuple] = [(None, None, None)] * len(values)
+        todo = deque((i, 0, ()) for i, x in enumerate(values) if x is not None)
+
+        def failed(slot: int, error: str) -> None:
+            i, k, errors, _ = self.busy.pop(slot)
+            errors = (*errors, error[:200])
+            if k + 1 < self.steps:
+                todo.appendleft((i, k + 1, errors))
+            else:
+                out[i] = (None, None, "; ".join(errors))
+
+        while todo or self.busy:
+            now = time.monotonic()
+            next_at = max((since for *_, since in self.busy.values()), default=-PATIENCE) + PATIENCE
+            if todo and now >= next_at:
+                if self.idle:
+                    slot = self.idle.pop()
+                    i, k, errors = todo.popleft()
+                    data = pickle.dumps((k, values[i]))
+                    self.busy[slot] = (i, k, errors, now)
+                    try:
+                        self.sockets[slot].sendall(len(data).to_bytes(8, "little") + data)
+                    except ConnectionError:
+                        failed(slot, "RuntimeError: the process died")
+                        self.start(slot)
+                    continue
+                if not self.starting and len(self.sockets) < CHILDREN:
+                    self.start(len(self.sockets))
+            ends = [since + self.seconds for *_, since in self.busy.values()] + ([next_at] if todo and now < next_at else [])
+            for key, _ in self.waiting.select(max(0.0, min(ends) - now) if ends else None):
+                slot = key.data
+                try:
+                    if (answer := self.received(slot)) is None:
+                        continue
+                except EOFError:
+                    if slot in self.busy:
+                        failed(slot, "RuntimeError: the process died")
+                    elif slot in self.starting:
+                        raise RuntimeError("the process of the steps died") from None
+                    else:
+                        self.idle.remove(slot)
+                    self.start(slot)
+                    continue
+                self.buffers[slot] = b""
+                if slot in self.starting:
+                    self.starting.remove(slot)
+                else:
+                    value, error = pickle.loads(answer)
+                    if error:
+                        failed(slot, f"RuntimeError: {error}")
+                    else:
+                        i, k, *_ = self.busy.pop(slot)
+                        out[i] = (value, k, None)
+                self.idle.append(slot)
+            now = time.monotonic()
+            for slot in [s for s, (*_, since) in self.busy.items() if now >= since + self.seconds]:
+                failed(slot, f"TimeoutError: killed after {self.seconds} s")
+                self.start(slot)
+        return out
+
+    def close(self) -> None:
+        self.control.close()  # tells the process to kill the others and go
+        for x in self.sockets.values():
+            x.close()
+        self.waiting.close()
+        self.process.wait()
+
+
+def serve(control: int, functions: list[Callable]) -> None:
+    """The process that Children starts: for each slot named it kills the process there and forks another, which calls functions.
+    What functions print goes to the worker's error output."""
     import os
     import pickle
-    import sys
+    import signal
+    import socket
 
-    source, answers = sys.stdin.buffer, os.fdopen(os.dup(1), "wb")
     os.dup2(2, 1)
-
-    def receive() -> bytes:
-        n = source.read(8)
-        return source.read(int.from_bytes(n, "little")) if n else b""
-
-    def send(x) -> None:
-        data = pickle.dumps(x)
-        answers.write(len(data).to_bytes(8, "little") + data)
-        answers.flush()
-
-    functions = pickle.loads(receive())
-    send(True)
-    while call := receive():
-        k, x = pickle.loads(call)
-        try:
-            send((functions[k](x), None))
-        except Exception as problem:  # noqa: BLE001  any failure of a step is data
-            send((None, f"{type(problem).__name__}: {problem}"))
+    channel, held = socket.socket(fileno=control), {}
+    channel.sendall(b"r")
+
+    def work(fd: int) -> None:
+        channel.close()
+        with socket.socket(fileno=fd) as s, s.makefile("rwb") as stream:
+
+            def send(x) -> None:
+                data = pickle.dumps(x)
+                stream.write(len(data).to_bytes(8, "little") + data)
+                stream.flush()
+
+            send(None)
+            while n := stream.read(8):
+                k, x = pickle.loads(stream.read(int.from_bytes(n, "little")))
+                try:
+                    answer = (functions[k](x), None)
+                    pickle.dumps(answer)
+                except Exception as problem:  # noqa: BLE001  any failure of a step is data
+                    answer = (None, f"{type(problem).__name__}: {problem}")
+                send(answer)
+
+    def end(pid: int) -> None:
+        os.kill(pid, signal.SIGKILL)  # not yet waited for, so the number is still its own
+        os.waitpid(pid, 0)
+
+    while True:
+        name, fds, *_ = socket.recv_fds(channel, 1, 1)
+        if not name:
+            break
+        if name in held:
+            end(held.pop(name))
+        if (pid := os.fork()) == 0:
+            try:
+                work(fds[0])
+            finally:
+                os._exit(1)
+        held[name] = pid
+        os.close(fds[0])
+    for pid in held.values():
+        end(pid)
 
 
 def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str, seconds: float | None = None) -> DataFrame:
     """UDF-03, UDF-06: adds value, step (the place of the first step that did not fail) and error (of all steps, where all
-    failed). With seconds, steps run in a child process of the task that is killed when their time is up, and started anew, so that
-    code which ignores signals cannot hold a task; null input gives nulls."""
+    failed). With seconds, steps run in child processes of the task that are killed when their time is up, and started anew, so that
+    code which ignores signals cannot hold a task; rows that hang wait beside each other, and rows are dealt evenly to as many tasks as there are
+    cores, as a small file of them may hold hours of waiting. Null input gives nulls."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -165,29 +258,28 @@ def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str,
     arrow, at = to_arrow_schema(schema), df.columns.index(column)
 
     def run(batches):
-        child = Child(steps) if seconds else None
+        children = Children(steps, seconds) if seconds else None
         try:
-            yield from tried(batches, child)
+            for batch in batches:
+                values = batch[at].to_pylist()
+                out = children.run(values) if children else [tried(x) for x in values]
+                v, k, e = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, arrow.field("value").type), pa.array(k, pa.int32()), pa.array(e, pa.string())], schema=arrow)
         finally:
-            if child:
-                child.kill()
-
-    def tried(batches, child):
-        for batch in batches:
-            out: list[tuple] = []
-            for x in batch[at].to_pylist():
-                errors, row = [], (None, None, None)
-                for k, fn in enumerate(steps if x is not None else []):
-                    try:
-                        row = (child.call(k, x, seconds) if child else fn(x), k, None)
-                        break
-                    except Exception as problem:  # noqa: BLE001
-                        errors.append(f"{type(problem).__name__}: {problem}"[:200])
-                        row = (None, None, "; ".join(errors))
-                out.append(row)
-            v, k, e = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v, arrow.field("value").type), pa.array(k, pa.int32()), pa.array(e, pa.string())], schema=arrow)
-
+            if children:
+                children.close()
+
+    def tried(x) -> tuple:
+        errors = []
+        for k, fn in enumerate(steps if x is not None else []):
+            try:
+                return fn(x), k, None
+            except Exception as problem:  # noqa: BLE001
+                errors.append(f"{type(problem).__name__}: {problem}"[:200])
+        return None, None, "; ".join(errors) if errors else None
+
+    if seconds:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df.mapInArrow(run, schema)
 
 

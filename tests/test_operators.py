@@ -439,6 +439,25 @@ def test_steps_that_hang_or_die_are_killed(spark):
     assert by[None].value is None and by[None].error is None
 
 
+def test_rows_that_hang_wait_beside_each_other(spark):
+    """Thirty rows of one partition that take their whole second, and two that die: one after another they would take half a minute."""
+    import os
+    import time
+
+    def hang(x):
+        if x < 30:
+            time.sleep(60)
+        if x < 32:
+            os._exit(3)
+        return x * 10
+
+    df = spark.range(100).coalesce(1).withColumnRenamed("id", "x")
+    start = time.monotonic()
+    got = {r.x: (r.value, r.step, r.error) for r in fallible.fallback_map(df, "x", [hang, lambda x: -x], "bigint", seconds=1.0).collect()}
+    assert time.monotonic() - start < 20
+    assert got == {x: (-x, 1, None) if x < 32 else (10 * x, 0, None) for x in range(100)}
+
+
 def test_win_rules_where_the_second_best_differs(spark):
     """The best is not apart from c, though the second best is: c is still on top. A method that lacks a task loses it."""
     s = spark.createDataFrame([("t", m, v) for m, v in (("a", 3.0), ("b", 2.0), ("c", 1.0))], "task string, method string, mean double")
