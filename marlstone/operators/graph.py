@@ -19,9 +19,10 @@ def symmetrise(edges: DataFrame, real: Column) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame, graph: str) -> DataFrame:
-    """graph, src, dst: every edge and its reverse once each, from one scan."""
+    """graph, src, dst: every edge and its reverse once each, from one scan. Spark takes exploded rows for as small as the rows that they come
+    from and would broadcast whole edge tables, through the driver; a join with them sorts and merges."""
     ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return edges.select(graph, F.explode(ways).alias("e")).select(graph, "e.src", "e.dst").distinct()
+    return edges.select(graph, F.explode(ways).alias("e")).select(graph, "e.src", "e.dst").distinct().hint("merge")
 
 
 def virtual_edges(wanted: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
@@ -55,7 +56,7 @@ def across_double(bonds: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
 
     def other(end: str, far: str) -> DataFrame:
         own = known.select(graph, "src", "dst", F.col(end).alias("_u"), F.col(far).alias("_far"), F.col(f"s_{end}").alias("_s")).join(both, [graph, "_u"])
-        return own.where("_v <> _far and _v <> _s").groupBy(graph, "src", "dst").agg(F.min("_v").alias(f"o_{end}"))
+        return own.where("_v <> _far and _v <> _s").groupBy(graph, "src", "dst").agg(F.min("_v").alias(f"o_{end}")).hint("merge")
 
     full = known.join(other("src", "dst"), [graph, "src", "dst"], "left").join(other("dst", "src"), [graph, "src", "dst"], "left")
     turned = F.when(F.col("kind") == "E", "Z").otherwise("E")

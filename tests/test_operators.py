@@ -439,6 +439,16 @@ def test_steps_that_hang_or_die_are_killed(spark):
     assert by[None].value is None and by[None].error is None
 
 
+def test_edge_tables_are_not_broadcast(spark):
+    """Exploded edges look as small as their rows to Spark: joins with them go without a copy in the driver."""
+    nodes = spark.range(50).selectExpr("'g' as g", "id as src")
+    edges = nodes.selectExpr("g", "src", "explode(array(src + 1, src + 4)) as dst")
+    bonds = nodes.where("src % 5 = 3").selectExpr("g", "src", "src + 1 as dst", "'E' as kind", "src - 1 as s_src", "src + 2 as s_dst")
+    for df in (graph.without_real(graph.across_double(bonds, edges, "g"), edges, "g"), graph.virtual_edges(edges.select("g", "src", (edges.dst + 1).alias("dst")), edges, "g")):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() > 0
+
+
 def test_rows_that_hang_wait_beside_each_other(spark):
     """Thirty rows of one partition that take their whole second, and two that die: one after another they would take half a minute."""
     import os
