@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from . import heads
+
 
 def fallible_map(df: DataFrame, column: str, fn: Callable, result: str, seconds: float | None = None) -> DataFrame:
     """UDF-01..06: adds value (of type result) and error for fn of the column; null input gives neither.
@@ -283,37 +286,43 @@ def fallback_map(df: DataFrame, column: str, steps: list[Callable], result: str,
     return df.mapInArrow(run, schema)
 
 
-def least_squares(x, y, seed: int):
+def least_squares(sums, seed: int):
     """A model for fit_predict: linear with an intercept; the seed is not needed."""
     import numpy as np
 
-    w, *_ = np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)
-    return lambda new: np.c_[new, np.ones(len(new))] @ w
-
-
-def fit_predict(df: DataFrame, task: str, x: str, y: str, test: str, fit: Callable, members: int = 1) -> DataFrame:
-    """UDA-01..03: task, y and prediction of the test rows. In each task fit(x, y, seed) learns from the other rows with a
-    label, its target standardised (a deviation below 1e-8 counts as 1), and gives a function of x; predictions of members,
-    which differ by seed, are averaged. A task without training rows has null predictions. Tasks must fit a worker."""
-
-    def run(frame):
-        import numpy as np
-        import pandas as pd
-
-        t = frame["test"].to_numpy(bool)
-        new = frame[t]
-        train = frame[~t & frame["y"].notna()]
-        guess = np.full(len(new), np.nan)
-        if len(train) and len(new):
-            target = train["y"].to_numpy(float)
-            mean, std = target.mean(), target.std()
-            std = 1.0 if std < 1e-8 else std
-            a, b = np.stack(train["x"].to_list()), np.stack(new["x"].to_list())
-            guess = np.mean([fit(a, (target - mean) / std, seed)(b) for seed in range(members)], axis=0) * std + mean
-        return pd.DataFrame({"task": new["task"], "y": new["y"], "prediction": guess})
-
-    rows = df.select(F.col(task).alias("task"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.col(test).alias("test"))
-    return rows.groupBy("task").applyInPandas(run, f"task {df.schema[task].dataType.simpleString()}, y double, prediction double")
+    return heads.ridge_weights(sums, np.zeros(1))[0]
+
+
+def fit_predict(df: DataFrame, task: str, x: str, y: str, test: str, fit: Callable, width: int, members: int = 1) -> DataFrame:
+    """UDA-01..03: task, y and prediction of the test rows. In each task fit(sums, seed) learns a linear model (weights, the intercept
+    first) of width features from the other rows with a label, its target standardised (a deviation below 1e-8 counts as 1); predictions of
+    members, which differ by seed, are averaged. A task without training rows has null predictions. sums are those of products of (1, features, target)
+    over all rows of a task, added up by any number of Spark's tasks: no task's rows ever meet in one place."""
+    import numpy as np
+
+    key = F.coalesce(F.concat(F.lit("="), F.col(task).cast("string")), F.lit(""))  # rows with a null task are a task
+    rows = df.select(F.col(task).alias("task"), F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(test), F.lit(False)).alias("test"), key.alias("_task"))
+    train = rows.where(~F.col("test") & F.col("y").isNotNull() & ~F.isnan("y"))
+    std = F.stddev_pop("y")
+    scale = written(train.groupBy("_task").agg(F.avg("y").alias("_mean"), F.when(std < 1e-8, 1.0).otherwise(std).alias("_std")))
+    standard = train.join(scale, "_task").select("_task", "x", ((F.col("y") - F.col("_mean")) / F.col("_std")).alias("y"), F.lit(0).alias("_fold"))
+    shift = heads.centers(standard, "_task", "x", "y", width)
+    center = np.array(shift)
+
+    def solve(batches):
+        for batch in batches:
+            weights = []
+            for m in batch.column(1).to_pylist():
+                sums = heads.matrix(m, (width + 2) ** 2).reshape(width + 2, width + 2)
+                w = np.mean([fit(sums, seed) for seed in range(members)], axis=0)
+                w[0] += center[-1] - w[1:] @ center[:-1]
+                weights.append(w.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.list_(pa.float64()))], ["_task", "weights"])
+
+    sums = heads.moments(standard, "_task", "x", "y", "_fold", width, shift)
+    models = written(sums.select(F.col("task").alias("_task"), "m").mapInArrow(solve, "_task string, weights array<double>").join(scale, "_task"))
+    guess = heads.linear(F.col("x"), F.col("weights")) * F.col("_std") + F.col("_mean")
+    return rows.where("test").join(models, "_task", "left").select("task", "y", guess.alias("prediction"))
 
 
 def per_task(df: DataFrame, task: str, fn: Callable, schema: str) -> DataFrame:

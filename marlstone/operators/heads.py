@@ -69,7 +69,8 @@ def _added(rows: DataFrame, task: str, keys: list[str], sums) -> DataFrame:
     return parts.groupBy("task", *keys).agg(F.collect_list(F.struct("pos", "value")).alias("m"))  # one row for each pair of columns
 
 
-def _matrix(m: list[dict], size: int) -> np.ndarray:
+def matrix(m: list[dict], size: int) -> np.ndarray:
+    """The flat array of the cells that moments holds."""
     out = np.zeros(size)
     for cell in m:
         out[cell["pos"]] = cell["value"]
@@ -105,7 +106,7 @@ def moments(df: DataFrame, task: str, x: str, y: str, fold: str, width: int, cen
     return _added(known, "task", ["part"], sums).withColumn("size", F.lit(size))
 
 
-def _ridge(m: np.ndarray, ridges: np.ndarray) -> np.ndarray:
+def ridge_weights(m: np.ndarray, ridges: np.ndarray) -> np.ndarray:
     """Weights (intercept first) for each of ridges from sums of products; penalties are on features over their deviation."""
     n, means = m[0, 0], m[0, 1:] / m[0, 0]
     cov = m[1:, 1:] / n - np.outer(means, means)
@@ -132,17 +133,17 @@ def ridge_search(m: DataFrame, tried: list[tuple[int, float]], center: list[floa
             out = []
             for task, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size = parts[0]["size"]
-                sums = {p["part"]: _matrix(p["m"], size * size).reshape(size, size) for p in parts}
+                sums = {p["part"]: matrix(p["m"], size * size).reshape(size, size) for p in parts}
                 folds = {k: v for k, v in sums.items() if k >= 0}
                 total = sum(folds.values())
                 error = np.zeros(len(ridges))
                 for held in folds.values():
                     rest = total - held
-                    w = _ridge(rest, ridges) if rest[0, 0] > 0.5 else np.zeros((len(ridges), size - 1))
+                    w = ridge_weights(rest, ridges) if rest[0, 0] > 0.5 else np.zeros((len(ridges), size - 1))
                     full = np.c_[w, -np.ones(len(ridges))]  # residual of (1, x, y)
                     error += np.einsum("ci,ij,cj->c", full, held, full)
                 bags = [v for k, v in sums.items() if k < 0 and v[0, 0] > 0.5]
-                w = np.mean([_ridge(b, ridges) for b in bags], axis=0) if bags else _ridge(total, ridges)
+                w = np.mean([ridge_weights(b, ridges) for b in bags], axis=0) if bags else ridge_weights(total, ridges)
                 w[:, 0] += shift[-1] - w[:, 1:] @ shift[:-1]
                 out += [(task, c, r, total[0, 0], max(e, 0.0) / total[0, 0], list(x)) for (c, r), e, x in zip(tried, error, w, strict=True)]
             columns = list(zip(*out, strict=True)) or [()] * len(arrow)
@@ -210,7 +211,7 @@ def fit_logistic(df: DataFrame, task: str, x: str, y: str, width: int, ridge: fl
         for batch in batches:
             t = batch.to_pydict()
             for i, m in enumerate(t["m"]):
-                both = _matrix(m, size + size * size)
+                both = matrix(m, size + size * size)
                 penalty = np.r_[0.0, np.full(width, ridge * t["n"][i])]
                 w = np.array(t["w"][i])
                 h = both[size:].reshape(size, size) + np.diag(penalty + 1e-9)

@@ -549,7 +549,7 @@ def fitted_heads(spark, sf):
     li = table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice"])
     test = keys.hash32("l_orderkey", F.lit("-"), "l_linenumber") % 4 == 0
     rows = li.select(F.col("l_returnflag").alias("task"), F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"), test.alias("test"))
-    out = fallible.fit_predict(rows, "task", "x", "y", "test", fallible.least_squares, members=3)
+    out = fallible.fit_predict(rows, "task", "x", "y", "test", fallible.least_squares, 1, members=3)
     return out.groupBy("task").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("prediction") - F.col("y"))), 3).alias("mae"))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marlstone.operators import heads
+from marlstone.operators import fallible, heads
 
 D, FOLDS = 3, 4
 
@@ -121,3 +121,24 @@ def test_logistic_equals_newton_on_all_rows(spark):
         assert got[task].n == len(y) and np.allclose(got[task].weights, logistic(x, y, 0.01), rtol=1e-4, atol=1e-6)
     p = heads.predict(df, heads.fit_logistic(df, "task", "x", "y", D, 0.01), "task", "x", "p", probability=True)
     assert p.where("task = 'only ones'").first().p > 0.9
+
+
+def test_fit_predict_brings_no_task_together(spark):
+    """Least squares a task, by the standardised target, as of all its rows at once; the rows do not meet in a Python worker."""
+    rng = np.random.default_rng(4)
+    rows = [(t, [float(a), float(b)], float(3 * a - b + c + rng.normal()) if i % 9 else None, i % 4 == 0) for t, c in (("a", 1e4), (None, 5.0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    rows += [("untaught", [1.0, 2.0], 3.0, True), ("flat", [1.0, 1.0], 2.0, False), ("flat", [1.0, 1.0], 2.0, True)]
+    df = spark.createDataFrame(rows, "t string, x array<double>, y double, test boolean").repartition(5)
+    out = fallible.fit_predict(df, "t", "x", "y", "test", fallible.least_squares, 2, members=3)
+    assert "FlatMapGroupsIn" not in out._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for t in ("a", None):
+        learn = [r for r in rows if r[0] == t and not r[3] and r[2] is not None]
+        w = np.linalg.lstsq(np.array([[*r[1], 1.0] for r in learn]), np.array([r[2] for r in learn]), rcond=None)[0]
+        want += [(t, r[2], float(np.dot([*r[1], 1.0], w))) for r in rows if r[0] == t and r[3]]
+    want += [("untaught", 3.0, None), ("flat", 2.0, 2.0)]
+    order = lambda r: (str(r[0]), r[1] is None, r[1] or 0.0, r[2] or 0.0)
+    got = sorted(map(tuple, out.collect()), key=order)
+    assert len(got) == len(want)
+    for g, e in zip(got, sorted(want, key=order), strict=True):
+        assert g[:2] == e[:2] and (g[2] is None) == (e[2] is None) and (g[2] is None or abs(g[2] - e[2]) < 1e-7)
