@@ -462,7 +462,7 @@ def expiring_state(spark, sf):
     to = scratch_folder(spark)
     e = table(spark, sf, "events", ["ts", "user_id", "event_type", "value"]).where("ts is not null")
     for k in range(5):
-        e.where(F.floor((F.dayofmonth("ts") - 1) / 6) == k).coalesce(1).write.mode("append").parquet(to)
+        e.where(F.floor((F.dayofmonth("ts") - 1) / 6) == k).repartition(1).write.mode("append").parquet(to)
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(to)
     named = stream.where("user_id is not null and event_type is not null").withColumn("task", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
     with S.rocksdb_state(spark):

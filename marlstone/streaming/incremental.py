@@ -86,8 +86,9 @@ def expiring_minimum(stream: DataFrame, task: str, ts: str, value: str, calibrat
     A task without a value for idle_seconds of event time begins anew with its next one, whichever batch that comes in. A timer
     deletes its state (and reports it as expired) once the watermark, late behind the newest value, has passed that time, so that the
     state holds active tasks only. Start it inside rocksdb_state; null tasks, times and values are left out, values
-    behind the watermark are dropped. The values that one micro-batch has of one task are sorted in memory."""
-    import pandas as pd
+    behind the watermark are dropped. The values that one micro-batch has of one task are sorted in memory. A task has one timer, which is not
+    moved with each value but set anew when it goes off too early, as calls to the state store are what a task costs."""
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
     idle = idle_seconds * 1000
@@ -98,35 +99,37 @@ def expiring_minimum(stream: DataFrame, task: str, ts: str, value: str, calibrat
             self.held = handle.getValueState("held", "seen long, nadir double, last long")
 
         def handleInputRows(self, key, rows, timerValues):
-            seen, nadir, last = self.held.get() if self.held.exists() else (0, float("inf"), None)
-            batch = sorted((int(t), float(v)) for frame in rows for t, v in zip(frame["at"], frame["v"], strict=True))
-            for at, v in batch:
+            held = self.held.get()
+            seen, nadir, last = held or (0, float("inf"), None)
+            for at, v in sorted((r.at, r.v) for r in rows):
                 if last is not None and at - last > idle:
                     seen, nadir = 0, float("inf")
                 if seen < calibration:
                     nadir = min(nadir, v)
                 seen, last = seen + 1, at if last is None else max(last, at)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.held.update((seen, nadir, last))
-            self.handle.registerTimer(last + idle)
+            if held is None:
+                self.handle.registerTimer(last + idle)
             yield self.row(key, seen, nadir, False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            seen, nadir, _ = self.held.get()
+            seen, nadir, last = self.held.get()
+            if last + idle > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(last + idle)
+                return
             self.held.clear()
             yield self.row(key, seen, nadir, True)
 
         @staticmethod
         def row(key, seen, nadir, expired):
-            return pd.DataFrame([(key[0], seen, nadir, seen >= calibration, expired)], columns=["task", "seen", "nadir", "frozen", "expired"])
+            return Row(task=key[0], seen=seen, nadir=nadir, frozen=seen >= calibration, expired=expired)
 
         def close(self):
             pass
 
     timed = stream.select(F.col(task).cast("string").alias("task"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).where("task is not null and ts is not null and v is not null")
     rows = timed.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
-    return rows.groupBy("task").transformWithStateInPandas(Calibrated(), "task string, seen long, nadir double, frozen boolean, expired boolean", "update", "EventTime")
+    return rows.groupBy("task").transformWithState(Calibrated(), "task string, seen long, nadir double, frozen boolean, expired boolean", "update", "EventTime")
 
 
 def nadir_ratios(stream: DataFrame, task: str, shard: str, step: str, loss: str, warmup: int, refresh: int = 0, eps: float = 1e-10) -> DataFrame:
