@@ -502,7 +502,7 @@ def resumed_weighting(spark, sf):
     rows = e.select("event_type", "shard", "event_id", (F.abs("value") + 1).alias("loss"))
     for first, end in ((0, 5), (5, 10)):
         for k in range(first, end):
-            rows.where(F.col("shard") == k).coalesce(1).write.mode("append").parquet(f"{to}/in")
+            rows.where(F.col("shard") == k).repartition(1).write.mode("append").parquet(f"{to}/in")
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
         with S.rocksdb_state(spark):
             out = S.run_to_end(S.nadir_ratios(stream, "event_type", "shard", "event_id", "loss", 2, 4), ["task", "shard"], f"{to}/run")
