@@ -589,7 +589,7 @@ def resumed_stream(spark, sf):
     to = scratch_folder(spark)
     e = table(spark, sf, "events", ["event_id", "event_type", "value"])
     for k in range(3):
-        e.where(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{to}/in")
+        e.where(F.col("event_id") % 3 == k).repartition(4).write.mode("append").parquet(f"{to}/in")  # as many micro-batches for any input
         if k:
             stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
             out = S.run_to_end(S.masked_totals(stream, ["event_type"], F.col("value")), ["event_type"], f"{to}/run")

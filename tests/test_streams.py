@@ -98,3 +98,18 @@ def test_weighting_state_goes_on_from_its_checkpoint(spark, tmp_path):
                 nadir = sum(x) / len(x)
     assert run("one", [0, 9], 1) == want
     assert run("cut", [0, 1, 3, 6, 9], 2) == want
+
+
+def test_a_table_of_many_files_makes_no_more_micro_batches(spark, tmp_path, monkeypatch):
+    from marlstone.plans import roundtrips
+
+    rows = spark.range(3000).selectExpr("id as event_id", "'a' as event_type", "1.0D as value")
+    rows.repartition(12).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(roundtrips, "scratch_folder", lambda spark: f"{tmp_path}/scratch")
+    monkeypatch.setattr(roundtrips.S, "run_to_end", lambda stream, keys, folder: spark.createDataFrame([("a", 0.0, 0)], "event_type string, total double, n long"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # a task a file
+    try:
+        roundtrips.resumed_stream(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(spark.read.parquet(f"{tmp_path}/scratch/in").inputFiles()) == 12  # four for each third
