@@ -155,6 +155,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(odd, model).count() == 4
 
 
+def test_toxicity_learns_words_of_texts_that_share_frequent_words(spark):
+    """The texts of a language have its frequent words in common; they are no copies of each other."""
+    rng = random.Random(11)
+    frequent, rows, labels = [f"{a}{b}" for a in "klmn" for b in "aeio"], [], []
+    for i in range(800):
+        w = rng.choices(frequent, k=120)
+        if i % 5 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["schurke", "trottel", "gauner"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    texts = [t for _, t in rows]
+    assert len({toxicity.signature(t) for t in texts}) > 0.9 * len(texts)
+    assert len({toxicity.signature(t) for t in (texts[0], texts[0].upper(), texts[0].replace(" ", ", "))}) == 1
+    assert toxicity.signature(None) == toxicity.signature("12 !") and toxicity.signature("one") != toxicity.signature("two")
+    docs, lab = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab.where("doc_id % 4 <> 2"))
+    assert all(model.lexicon.weight(w) > toxicity.STRONG for w in ("schurke", "trottel", "gauner"))
+    assert {r.doc_id for r in toxicity.score(docs, model).where("predicted = 1").collect()} == {i for i, y in labels if y}
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, toxic int")
