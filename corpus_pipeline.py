@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
-from marlstone.llm.common import SPACES, count_words, crc_fold, held, materialize, release, sweep
+from marlstone.llm.common import crc_fold, held, materialize, release, sweep, words_for_text
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.best_fit(docs, count_words(F.col("text"), SPACES), F.col("source"), F.xxhash64("text"))
+    rows = words_for_text(docs.select("doc_id", "text", "source", F.xxhash64("text").alias("cluster")), "text", "n")
+    return packing.best_fit(rows, F.col("n"), F.col("source"), F.col("cluster"))
 
 
 STAGES = [

@@ -164,6 +164,21 @@ def test_words_are_counted_as_they_are_split(spark):
     assert all(r.n == r.m for r in df.collect())
 
 
+def test_words_are_counted_in_bytes_as_they_are_split(spark):
+    """Over more texts than one slice; a word ends with its text, null and empty texts have none."""
+    from marlstone.llm import packing
+
+    texts = ["", " ", "a", " a", "a ", " a  b\n", "\x0b\x0c a\tb c", None, "a\u00a0b", "\n\n", "x\x1cy \x00 z", "é\u2003ü é", "a b c d e f"] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {r.doc_id: r.n for r in df.select("doc_id", F.size(common.split_words(F.col("text"), common.SPACES)).alias("n")).collect()}
+    counted = common.words_for_text(df, "text", "n")
+    assert counted.columns == ["doc_id", "n"] and {r.doc_id: r.n for r in counted.collect()} == want
+    assert common.words_for_text(df.limit(0), "text", "n").count() == 0
+    near = packing.near_duplicates(df, words="n")
+    assert near.columns == ["doc_id", "n", "cluster"] and {r.doc_id: r.n for r in near.collect()} == want
+    assert {(r.doc_id, r.cluster) for r in near.collect()} == {(r.doc_id, r.cluster) for r in packing.near_duplicates(df).collect()}
+
+
 def test_no_scratch_is_left_when_the_driver_ends(tmp_path):
     """Archives of op9 and scratch tables, in a driver of its own."""
     import os
