@@ -8,24 +8,25 @@ import logging
 from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from jobs.texts import keys_of
 from marlstone.session import session
 
-SPACE = "[\\x20\\x09-\\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 log = logging.getLogger("jobs")
 
 
-def plain(text: Column) -> Column:
-    """The text in lower case (A-Z) with single spaces between words; empty for null."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), SPACE, " "))
+def canonical_key(text: Column) -> Column:
+    """The digest of the text in lower case (A-Z) with single spaces between words, by which texts are the same; null for a text without a word."""
 
+    @F.arrow_udf(StringType())
+    def key(x: pa.Array) -> pa.Array:
+        return keys_of(x)
 
-def canonical_key(text: Column) -> Column:
-    """The digest of the plain text, by which texts are the same; null for a text without a word."""
-    return F.when(plain(text) != "", F.md5(plain(text)))
+    return key.asNondeterministic()(text)  # else Spark makes a key twice where rows without one are filtered out
 
 
 def settings_of(given: dict, defaults: dict) -> dict:
@@ -41,7 +42,7 @@ def settings_of(given: dict, defaults: dict) -> dict:
 @contextmanager
 def kept_settings(spark: SparkSession, **changed: str):
     """Spark settings for the time of a job (keys use _ for .), restored afterwards whatever happens."""
-    names = {"spark.sql.unionOutputPartitioning": "false"} | {k.replace("_", "."): v for k, v in changed.items()}
+    names = {"spark.sql.unionOutputPartitioning": "false", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"} | {k.replace("_", "."): v for k, v in changed.items()}
     old = {k: spark.conf.get(k, None) for k in names}
     try:
         for k, v in names.items():

@@ -14,15 +14,17 @@ inputs alone, so a rerun gives the same and a run that was cut short is repaired
 
 Scale: keys, labels and routes are decided on digests and ids; whole texts are shuffled to meet their route (by doc_id, which no
 group of copies makes hot) and to their shard. Copies are combined before the shuffle. Windows of documents meet the
-benchmark's in a join that Spark broadcasts below its size threshold. Shards of a large run are split with files_per_shard.
+benchmark's in a join that Spark broadcasts below its size threshold; keys and windows are made on Arrow batches (jobs/texts.py), each once a run. Shards of a large run are split with files_per_shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from jobs.common import canonical_key, command_line, kept_settings, log, plain, report, settings_of
+from jobs.common import canonical_key, command_line, kept_settings, log, report, settings_of
+from jobs.texts import run_batches
 from marlstone.functions.keys import bucket, seeded_order
 from marlstone.operators import corpus, labels as qc
 from marlstone.session import written
@@ -33,9 +35,8 @@ PATHS = {"documents": "Parquet of doc_id, text, lang, source", "labels": "Parque
 
 def windows(df: DataFrame, keep: list[str], n: int) -> DataFrame:
     """keep and run: a hash of each run of n words of text."""
-    words = F.filter(F.split(plain(F.col("text")), " "), lambda w: w != "")
-    places = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1)))
-    return df.select(*keep, words.alias("_w")).select(*keep, F.explode(F.transform(places, lambda i: F.xxhash64(F.slice("_w", i, n)))).alias("run"))
+    rows = df.select(*keep, "text")
+    return rows.mapInArrow(run_batches(keep, n), StructType([*rows.select(*keep).schema, StructField("run", LongType())]))
 
 
 def overlapping(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
